@@ -27,7 +27,7 @@ _TIME_SUFFIX = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 def parse_date(col, patterns: tuple[str, ...] = DATE_PATTERNS) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     text = F.regexp_replace(F.trim(c.cast("string")), _TIME_SUFFIX, "")
-    return F.coalesce(*[F.try_to_date(text, F.lit(p)) for p in patterns])
+    return F.coalesce(*[F.try_to_date(text, p) for p in patterns])
 
 
 def parse_sales(col) -> Column:
