@@ -35,3 +35,20 @@ def clip(x, lo, hi) -> Column:
 def signed_pct_text(x, decimals: int = 1) -> Column:
     """'+12.3%' / '-4.0%' formatting."""
     return F.format_string(f"%+.{decimals}f%%", _c(x))
+
+
+SNAP_DP = 6
+
+
+def round_half_up(x, dp: int = 2) -> Column:
+    """Presentation rounding that any engine reproduces bit-for-bit.
+
+    Snap to 6 decimals first (absorbs summation-order noise such as
+    30021.184999999 vs 30021.185000001), then round half up — using only IEEE
+    multiply / add / floor, so Spark and an SQL oracle agree exactly.
+    """
+    c = _c(x)
+    if dp >= SNAP_DP:
+        return F.floor(c * 10.0**dp + 0.5) / 10.0**dp
+    snapped = F.floor(c * 10.0**SNAP_DP + 0.5) / 10.0**SNAP_DP
+    return F.floor(snapped * 10.0**dp + 0.5) / 10.0**dp

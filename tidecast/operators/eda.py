@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import DAY_NAMES, season, season_order, weekday0
-from ..functions.numeric import clip, safe_div
+from ..functions.numeric import clip, round_half_up, safe_div
 from .quantile import exact_quantiles
 
 STORE, DATE, SALES = "store", "date", "sales"
@@ -72,7 +72,7 @@ def seasonality_strength(fact: DataFrame, keys: Sequence[str] = (), date: str =
     )
     return per.withColumn(
         "seasonality_strength",
-        F.when(F.col("overall_mean") > 0, F.round(F.col("season_mean_std") / F.col("overall_mean") * 100, 2)).otherwise(
+        F.when(F.col("overall_mean") > 0, round_half_up(F.col("season_mean_std") / F.col("overall_mean") * 100, 2)).otherwise(
             F.lit(0.0)
         ),
     )
@@ -250,7 +250,7 @@ def correlation_analysis(
         n=len(cols), pairs=", ".join(f"'{c}', `{c}`" for c in cols)
     )
     long = wide.selectExpr(*[f"`{k}`" for k in keys], stack).where(F.col("r").isNotNull() & ~F.isnan("r"))
-    long = long.withColumn("correlation", F.round("r", 3)).drop("r")
+    long = long.withColumn("correlation", round_half_up("r", 3)).drop("r")
     w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("correlation")), F.asc("variable")) if keys else Window.orderBy(
         F.desc(F.abs("correlation")), F.asc("variable")
     )

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import pct_change, safe_div
+from ..functions.numeric import pct_change, round_half_up, safe_div
 
 # Trend arrows and the ±2 % dead band.
 UP, DOWN, FLAT = "↑", "↓", "→"
@@ -33,7 +33,7 @@ def period_trend(df: DataFrame, order: str = "period", value: str = "value", key
     """win_trend: change % vs the previous period (0 for the first / zero base), arrow with ±2 % band."""
     prev = F.lag(value).over(_w(keys, order))
     chg = F.when(prev.isNull(), F.lit(0.0)).otherwise(F.coalesce(pct_change(F.col(value), prev), F.lit(0.0)))
-    return df.withColumn("change_pct", F.round(chg, 2)).withColumn("direction", _direction(F.col("change_pct")))
+    return df.withColumn("change_pct", round_half_up(chg, 2)).withColumn("direction", _direction(F.col("change_pct")))
 
 
 def month_growth(df: DataFrame, value: str = "mean", order: str = "month_num", keys: Sequence[str] = ()) -> DataFrame:
@@ -81,7 +81,12 @@ def seasonal_difference(
 def step_pct_change(df: DataFrame, order: str = "period", value: str = "value", keys: Sequence[str] = (), out: str = "pct_change") -> DataFrame:
     """win_pct_change: step % change; first row (no predecessor) dropped."""
     prev = F.lag(value).over(_w(keys, order))
-    return df.withColumn(out, safe_div(F.col(value) - prev, prev) * 100).where(prev.isNotNull())
+    return (
+        df.withColumn("__prev", prev)
+        .withColumn(out, safe_div(F.col(value) - F.col("__prev"), F.col("__prev")) * 100)
+        .where(F.col("__prev").isNotNull())
+        .drop("__prev")
+    )
 
 
 def halves(df: DataFrame, order: str = "period", keys: Sequence[str] = ()) -> DataFrame:
