@@ -43,26 +43,35 @@ def dedupe_key(df: DataFrame, key: Sequence[str] = (STORE, DATE), tiebreak: Sequ
     return picked.select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def _ordered(keys: Sequence[str], order: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
+def _ordered(keys: Sequence[str], order: str, descending: bool = False) -> Window:
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    return Window.partitionBy(*keys).orderBy(o) if keys else Window.orderBy(o)
+
+
+def carry_forward(column: str, keys: Sequence[str], order: str):
+    """Last non-NULL value at or before each row (running frame: O(n) per partition)."""
+    return F.last(column, ignorenulls=True).over(_ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def carry_backward(column: str, keys: Sequence[str], order: str):
+    """First non-NULL value at or after each row, as a running frame over the reversed order.
+
+    (``first`` over current→unbounded-following is re-evaluated per row — quadratic.)"""
+    return F.last(column, ignorenulls=True).over(_ordered(keys, order, True).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def forward_fill(df: DataFrame, column: str = SALES, keys: Sequence[str] = (STORE,), order: str = DATE) -> DataFrame:
     """cln_fill_ffill: per-key forward fill by ``order`` then backward fill for leading gaps."""
     keys = list(keys)
-    w = _ordered(keys, order)
-    ff = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    bf = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(column, F.coalesce(F.col(column), ff, bf))
+    ff = df.withColumn("__ff", carry_forward(column, keys, order))
+    return ff.withColumn(column, F.coalesce(F.col(column), F.col("__ff"), carry_backward(column, keys, order))).drop("__ff")
 
 
 def backward_fill(df: DataFrame, column: str = SALES, keys: Sequence[str] = (STORE,), order: str = DATE) -> DataFrame:
     """cln_fill_bfill: mirror of forward_fill (backward first, then forward for trailing gaps)."""
     keys = list(keys)
-    w = _ordered(keys, order)
-    ff = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    bf = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(column, F.coalesce(F.col(column), bf, ff))
+    ff = df.withColumn("__ff", carry_forward(column, keys, order))
+    return ff.withColumn(column, F.coalesce(F.col(column), carry_backward(column, keys, order), F.col("__ff"))).drop("__ff")
 
 
 def mean_fill(df: DataFrame, column: str = SALES, keys: Sequence[str] = (STORE,)) -> DataFrame:

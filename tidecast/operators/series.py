@@ -94,12 +94,13 @@ def complete(
 
 def fixed_intervals(series: DataFrame, freq: str = "D", keys: Sequence[str] = (), period: str = PERIOD, value: str = VALUE) -> DataFrame:
     """ts_fixed: complete calendar, forward fill then backward fill; ``filled`` marks inserted periods."""
+    from .clean import carry_backward, carry_forward
+
     j = complete(series.withColumn("__present", F.lit(True)), freq, keys, period)
-    w = Window.partitionBy(*keys).orderBy(period) if keys else Window.orderBy(period)
-    ff = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    bf = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    j = j.withColumn("__ff", carry_forward(value, keys, period))
+    j = j.withColumn("__bf", carry_backward(value, keys, period))
     return j.select(
-        *keys, period, F.coalesce(F.col(value), ff, bf).alias(value), F.col("__present").isNull().alias("filled")
+        *keys, period, F.coalesce(F.col(value), F.col("__ff"), F.col("__bf")).alias(value), F.col("__present").isNull().alias("filled")
     )
 
 
