@@ -11,8 +11,8 @@ from ..functions.calendar import FEATURES7, temporal_features7
 from ..operators import ml
 from ..operators import series as ts
 from ..session import ensure_checkpoint_dir
-from ..sources.testdata import sales_fact
-from .registry import register
+from ..sources.testdata import FACT_CTE, sales_fact
+from .registry import register, with_ctes
 
 FEATURES = ["store", "quantity", "discount", "tax", *FEATURES7]
 ROW_KEY = ["order_key", "line_number", "product"]
@@ -27,7 +27,13 @@ def trained(spark, sf):
     return ml.train(enriched(spark, sf), FEATURES, "sales", ROW_KEY, **SMALL_RF)
 
 
-@register("ml_assemble")
+@register(
+    "ml_assemble",
+    with_ctes(FACT_CTE)
+    + """SELECT order_key, line_number, product, [quantity, discount, tax, CAST(year(date) AS DOUBLE), CAST(month(date) AS DOUBLE),
+       CAST(day(date) AS DOUBLE), CAST(week(date) AS DOUBLE), CAST(isodow(date) - 1 AS DOUBLE), CAST(quarter(date) AS DOUBLE),
+       CAST(dayofyear(date) AS DOUBLE)] AS features FROM fact WHERE sales IS NOT NULL""",
+)
 def q_ml_assemble(spark, sf):
     a = ml.assemble(enriched(spark, sf), ["quantity", "discount", "tax", *FEATURES7], "sales")
     return a.select(*ROW_KEY, vector_to_array("features").alias("features"))

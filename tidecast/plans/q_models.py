@@ -16,6 +16,7 @@ from ..operators import series as ts
 from ..operators import stationarity as st
 from ..operators import windows as win
 from ..sources.testdata import FACT_CTE, sales_fact
+from .q_series import PREP_CTE, VALIDATE_BODY
 from .registry import register, rnd, with_ctes
 
 K = ["store"]
@@ -87,10 +88,13 @@ def q_ts_validate_diff(spark, sf):
     return rnd(st.validate_differencing(m, d, 1, K))
 
 
-@register("ts_prepare")
+@register(
+    "ts_prepare",
+    W + MONTHLY + PREP_CTE + """, s AS (SELECT * FROM filled),""" + VALIDATE_BODY,
+)
 def q_ts_prepare(spark, sf):
     _, validation = ts.prepare(sales_fact(spark, sf), "MS", K)
-    return validation
+    return rnd(validation)
 
 
 @register("ts_prepare_stat")

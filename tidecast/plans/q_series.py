@@ -148,6 +148,34 @@ def q_ts_validate(spark, sf):
     return rnd(ts.validate(monthly(spark, sf), K))
 
 
+VALIDATE_BODY = """
+g AS (SELECT *, period - lag(period) OVER (PARTITION BY store ORDER BY period) AS gap FROM s),
+base AS (SELECT store, count(*) AS length, count(*) FILTER (WHERE value IS NULL OR isnan(value)) AS nan_count, avg(value) AS mean,
+         stddev_samp(value) AS std, min(value) AS min, max(value) AS max, min(period) AS start_date, max(period) AS end_date,
+         count(DISTINCT gap) AS distinct_intervals FROM g GROUP BY store),
+o AS (SELECT s.store, count(*) FILTER (WHERE abs(value - mean) > 5 * std) AS outliers FROM s JOIN base USING (store) GROUP BY s.store),
+r AS (SELECT base.*, o.outliers, nan_count * 100.0 / length AS nan_pct FROM base LEFT JOIN o USING (store))
+SELECT store, length, nan_count, round(mean, 2) AS mean, round(std, 2) AS std, round(min, 2) AS min, round(max, 2) AS max, start_date, end_date,
+       distinct_intervals, outliers,
+       list_filter([CASE WHEN length < 10 THEN printf('Series length (%d) is less than minimum (%d)', length, 10) END,
+                    CASE WHEN nan_pct > 20 THEN printf('Too many NaN values (%.1f%%)', nan_pct) END,
+                    CASE WHEN std = 0 THEN 'Series has no variation (constant values)' END], lambda x: x IS NOT NULL) AS issues,
+       list_filter([CASE WHEN nan_pct > 0 AND nan_pct <= 20 THEN printf('Series has %d NaN values (%.1f%%)', nan_count, nan_pct) END,
+                    CASE WHEN outliers > 0 THEN printf('Found %d potential outliers (%.1f%%)', outliers, outliers * 100.0 / length) END,
+                    CASE WHEN distinct_intervals > 1 THEN printf('Series has %d different time intervals', distinct_intervals) END], lambda x: x IS NOT NULL) AS warnings,
+       NOT (length < 10 OR nan_pct > 20 OR coalesce(std = 0, false)) AS is_valid
+FROM r"""
+
+PREP_CTE = """, pos AS (SELECT * FROM ms WHERE value > 0),
+pb AS (SELECT store, min(period) AS lo, max(period) AS hi FROM pos GROUP BY store),
+pc AS (SELECT store, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS period FROM pb),
+pj AS (SELECT pc.store, pc.period, pos.value FROM pc LEFT JOIN pos USING (store, period)),
+filled AS (SELECT store, period, coalesce(value,
+    last_value(value IGNORE NULLS) OVER (PARTITION BY store ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(value IGNORE NULLS) OVER (PARTITION BY store ORDER BY period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value FROM pj)
+"""
+
+
 # --- §2.3 joins ---------------------------------------------------------------------------------
 @register(
     "jn_scalar",
