@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tsstats
+from ..functions.attach import attach_row
 from .stationarity import differencing_order, spread
 
 PERIOD, VALUE = "period", "value"
@@ -34,8 +35,11 @@ def _with_orders(series: DataFrame, keys: list[str], orders: DataFrame | None, o
     for c in ORDER_COLS:
         if c not in orders.columns:
             orders = orders.withColumn(c, F.lit(0))
-    j = series.join(orders.select(*keys, *ORDER_COLS), keys, "inner") if keys else series.join(F.broadcast(orders.select(*ORDER_COLS)), how="inner")
-    return j, keys
+    if keys:
+        return series.join(orders.select(*keys, *ORDER_COLS), keys, "inner"), keys
+    # one ungrouped series: the (bounded) candidate list becomes an array, exploded per row — no join
+    grid = orders.select(F.collect_list(F.struct(*ORDER_COLS))).scalar()
+    return series.select("*", F.inline(grid)), keys
 
 
 FIT_FIELDS = [
@@ -237,7 +241,7 @@ def holdout_evaluation(series: DataFrame, keys: Sequence[str] = (), order=DEFAUL
     w = Window.partitionBy(*keys).orderBy(period) if keys else Window.orderBy(period)
     test = test.withColumn("step", F.row_number().over(w))
     horizon = test.groupBy(*keys).agg(F.max("step").alias("h"))
-    train = train.join(horizon, keys, "inner") if keys else train.join(F.broadcast(horizon), how="inner")
+    train = attach_row(train, horizon, keys)
     fc = forecast(train, 1, keys, order, period=period, value=value, steps_col="h")
     j = test.join(fc.select(*keys, "step", "forecast"), keys + ["step"], "inner") if keys else test.join(fc.select("step", "forecast"), ["step"])
     pairs = j.select(*keys, F.col(value).alias("actual"), F.col("forecast").alias("predicted"))

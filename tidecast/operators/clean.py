@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.attach import attach_row
 from ..functions.calendar import temporal_features
 
 STORE, DATE, SALES = "store", "date", "sales"
@@ -88,8 +89,8 @@ def column_mean_fill(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     from .eda import numeric_columns
 
     cols = list(columns) if columns is not None else numeric_columns(df)
-    means = df.agg(*[F.avg(c).alias(f"__m_{i}") for i, c in enumerate(cols)]).withColumn("__one", F.lit(1))
-    j = df.withColumn("__one", F.lit(1)).join(F.broadcast(means), "__one", "left")  # 1-row table: proven bound
+    means = df.agg(*[F.avg(c).alias(f"__m_{i}") for i, c in enumerate(cols)])
+    j = attach_row(df, means)  # column means as scalar subqueries (one aggregate)
     return j.select(
         *[
             F.coalesce(F.col(c), F.col(f"__m_{cols.index(c)}")).cast(df.schema[c].dataType).alias(c) if c in cols else F.col(c)
@@ -156,7 +157,7 @@ def preprocessing_stats(before: DataFrame, after: DataFrame, date: str = DATE) -
         F.min(date).alias("start_date"),
         F.max(date).alias("end_date"),
     )
-    j = b.withColumn("__one", F.lit(1)).join(a.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    j = attach_row(b, a)
     return j.withColumns(
         {
             "records_removed": F.col("records_before") - F.col("records_after"),

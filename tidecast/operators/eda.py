@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.attach import attach_row
 from ..functions.calendar import DAY_NAMES, season, season_order, weekday0
 from ..functions.numeric import clip, round_half_up, safe_div
 from .quantile import exact_quantiles
@@ -196,10 +197,8 @@ def overall_statistics(
 
 
 def _attach(one_row: DataFrame, other_one_row: DataFrame) -> DataFrame:
-    """Attach two single-row results side by side via a constant key (both are proven 1 row)."""
-    a = one_row.withColumn("__one", F.lit(1))
-    b = other_one_row.withColumn("__one", F.lit(1))
-    return a.join(F.broadcast(b), "__one", "left").drop("__one")
+    """Attach a single-row result to another (scalar subqueries; no join)."""
+    return attach_row(one_row, other_one_row)
 
 
 def data_stats(fact: DataFrame, keys: Sequence[str] = (), store: str = STORE, date: str = DATE, sales: str = SALES) -> DataFrame:
@@ -352,10 +351,7 @@ def histogram(fact: DataFrame, sales: str = SALES, bins: int = 50, keys: Sequenc
     keys = _keys(keys)
     rng = fact.groupBy(*keys).agg(F.min(sales).alias("lo"), F.max(sales).alias("hi"))
     joined = fact.select(*keys, sales).where(F.col(sales).isNotNull())
-    if keys:
-        joined = joined.join(rng, keys, "inner")
-    else:  # one-row range table: proven size bound, broadcast on a constant key
-        joined = joined.withColumn("__one", F.lit(1)).join(F.broadcast(rng.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    joined = attach_row(joined, rng, keys)
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((F.col(sales) - F.col("lo")) / width), F.lit(bins - 1)))
     h = joined.groupBy(*keys, b.cast("int").alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
@@ -383,10 +379,7 @@ def box_plot(fact: DataFrame, sales: str = SALES, keys: Sequence[str] = ()) -> D
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     fences = q.withColumns({"lo_fence": F.col("q1") - 1.5 * F.col("iqr"), "hi_fence": F.col("q3") + 1.5 * F.col("iqr")})
     src = fact.select(*keys, F.col(sales).alias("v")).where(F.col("v").isNotNull())
-    if keys:
-        j = src.join(fences, keys, "inner")
-    else:
-        j = src.withColumn("__one", F.lit(1)).join(F.broadcast(fences.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    j = attach_row(src, fences, keys)
     inside = (F.col("v") >= F.col("lo_fence")) & (F.col("v") <= F.col("hi_fence"))
     w = j.groupBy(*keys, "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("v"))).alias("lower_whisker"),

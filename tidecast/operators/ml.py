@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.attach import attach_row
 from ..functions.calendar import FEATURES7, temporal_features7
 from ..session import cut_lineage
 
@@ -215,7 +216,7 @@ def lag_forecast(
     out = outputs[0]
     for o in outputs[1:]:
         out = out.unionByName(o)
-    j = out.join(resid, keys, "left") if keys else out.withColumn("__o", F.lit(1)).join(F.broadcast(resid.withColumn("__o", F.lit(1))), "__o").drop("__o")
+    j = attach_row(out, resid, keys, "left")
     return j.select(
         *keys, F.col("step").cast("int").alias("step"), period, "forecast",
         (F.col("forecast") - z * F.col("resid_std")).alias("lower_ci"), (F.col("forecast") + z * F.col("resid_std")).alias("upper_ci"),

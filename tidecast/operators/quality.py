@@ -12,13 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.attach import attach_row
 from ..functions.numeric import round_half_up
 
 
 def _result(name: str, checked: DataFrame, violations: DataFrame) -> DataFrame:
-    c = checked.agg(F.count(F.lit(1)).alias("checked")).withColumn("__one", F.lit(1))
-    v = violations.agg(F.count(F.lit(1)).alias("violations")).withColumn("__one", F.lit(1))
-    return c.join(v, "__one").drop("__one").select(
+    c = checked.agg(F.count(F.lit(1)).alias("checked"))
+    v = violations.agg(F.count(F.lit(1)).alias("violations"))
+    return attach_row(c, v).select(
         F.lit(name).alias("check"), "checked", "violations", (F.col("violations") == 0).alias("passed")
     )
 
@@ -32,7 +33,7 @@ def forecast_bounds(fc: DataFrame, history: DataFrame, keys: Sequence[str] = (),
     """Q2: forecasts that are negative, not finite, or |z| ≥ 3 against the history of their series."""
     keys = list(keys)
     h = history.groupBy(*keys).agg(F.avg(value).alias("__mu"), F.stddev_samp(value).alias("__sd"))
-    j = fc.join(h, keys, "left") if keys else fc.withColumn("__one", F.lit(1)).join(F.broadcast(h.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    j = attach_row(fc, h, keys, "left")
     z = F.try_divide(F.col("forecast") - F.col("__mu"), F.col("__sd"))
     bad_num = F.col("forecast").isNull() | F.isnan("forecast") | (F.abs(F.col("forecast")) == float("inf"))
     reason = (
@@ -82,8 +83,7 @@ def series_completeness(series: DataFrame, freq: str = "D", keys: Sequence[str]
     cal = calendar(series, freq, keys, period)
     missing = cal.join(series, [*keys, period], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("missing_periods"))
     nulls = series.groupBy(*keys).agg(F.count_if(F.col(value).isNull()).alias("null_values"), F.count(F.lit(1)).alias("points"))
-    j = nulls.join(missing, keys, "left") if keys else nulls.withColumn("__one", F.lit(1)).join(
-        missing.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
+    j = attach_row(nulls, missing, keys, "left")
     j = j.fillna({"missing_periods": 0})
     return j.withColumn("passed", (F.col("missing_periods") == 0) & (F.col("null_values") == 0))
 

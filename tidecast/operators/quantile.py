@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.attach import attach_row
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -35,28 +37,17 @@ def exact_quantiles(
     """One row per group with one column per probability (``q_<p>`` or ``names``)."""
     keys = list(keys)
     names = list(names) if names else [f"q_{str(p).replace('.', '_')}" for p in probs]
-    user_keys = list(keys)
-    if not keys:
-        df = df.withColumn("__g", F.lit(0))
-        keys = ["__g"]
     base = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
 
-    sketch = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
+    sketch = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / buckets
     bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
-    tagged = base.join(sketch.select(*keys, "lo", "hi"), keys, "inner").select(*keys, "v", bucket.cast("int").alias("bucket"))
-
-    per_bucket = tagged.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys).orderBy("bucket")
-    per_bucket = per_bucket.withColumn("start", F.sum("c").over(w) - F.col("c"))
+    tagged = attach_row(base, sketch.select(*keys, "lo", "hi"), keys).select(*keys, "v", bucket.cast("int").alias("bucket"))
 
-    # Target 0-based ranks: lo = floor((n-1)p), hi = ceil((n-1)p).
+    # Target 0-based ranks per group: lo = floor((n-1)p), hi = ceil((n-1)p).
     targets = sketch.select(
         *keys,
-        "n",
-        F.explode(
+        F.inline(
             F.array(
                 *[
                     F.struct(
@@ -68,17 +59,22 @@ def exact_quantiles(
                     for i, p in enumerate(probs)
                 ]
             )
-        ).alias("t"),
-    ).select(*keys, "t.*")
-    ranks = targets.select(*keys, F.col("lo").alias("r")).union(targets.select(*keys, F.col("hi").alias("r"))).distinct()
-    located = ranks.join(per_bucket, keys, "inner").where(
-        (F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("c"))
-    ).select(*keys, "r", "bucket", "start")
+        ),
+    )
+    wanted = targets.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list(F.array("lo", "hi")))).alias("ranks"))
 
-    needed = located.select(*keys, "bucket").distinct()
-    values = tagged.join(needed, keys + ["bucket"], "left_semi").groupBy(*keys, "bucket", "v").agg(
-        F.count(F.lit(1)).alias("m")
+    # Cumulative rank offset of every bucket (≤ ``buckets`` rows per group), then the buckets holding a wanted rank.
+    per_bucket = tagged.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*keys).orderBy("bucket") if keys else Window.orderBy("bucket")
+    per_bucket = per_bucket.withColumn("start", F.sum("c").over(w) - F.col("c"))
+    located = attach_row(per_bucket, wanted, keys).select(
+        *keys, "bucket", "start",
+        F.explode(F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("c")))).alias("r"),
     )
+
+    # Only those buckets are re-read; their distinct values are ranked inside the bucket.
+    needed = located.select(*keys, "bucket").distinct()
+    values = tagged.join(needed, keys + ["bucket"], "left_semi").groupBy(*keys, "bucket", "v").agg(F.count(F.lit(1)).alias("m"))
     wv = Window.partitionBy(*keys, "bucket").orderBy("v")
     values = values.withColumn("upto", F.sum("m").over(wv))
     at_rank = located.join(values, keys + ["bucket"], "inner").where(
@@ -92,5 +88,4 @@ def exact_quantiles(
         .join(hi, keys + ["hi"], "inner")
         .select(*keys, "qi", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
     )
-    out = solved.groupBy(*keys).agg(*[F.max(F.when(F.col("qi") == i, F.col("q"))).alias(nm) for i, nm in enumerate(names)])
-    return out if user_keys else out.drop("__g")
+    return solved.groupBy(*keys).agg(*[F.max(F.when(F.col("qi") == i, F.col("q"))).alias(nm) for i, nm in enumerate(names)])

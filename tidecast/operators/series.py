@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.attach import attach_row
 from ..functions.calendar import month_start, week_ending_sunday
 
 PERIOD, VALUE = "period", "value"
@@ -133,13 +134,9 @@ def validate(
         F.count_distinct("__gap").alias("distinct_intervals"),
     )
     # Outliers need the series mean/std: second pass joined on the keys (one row per series).
-    joined = series.join(base.select(*keys, "mean", "std"), list(keys), "inner") if keys else series.withColumn(
-        "__one", F.lit(1)
-    ).join(F.broadcast(base.select("mean", "std").withColumn("__one", F.lit(1))), "__one")
+    joined = attach_row(series, base.select(*keys, "mean", "std"), keys)
     out = joined.groupBy(*keys).agg(F.count_if(F.abs(F.col(value) - F.col("mean")) > 5 * F.col("std")).alias("outliers"))
-    res = base.join(out, list(keys), "left") if keys else base.withColumn("__one", F.lit(1)).join(
-        out.withColumn("__one", F.lit(1)), "__one"
-    ).drop("__one")
+    res = attach_row(base, out, keys, "left")
     nan_pct = F.col("nan_count") / F.col("length") * 100
     issues = F.array_compact(
         F.array(

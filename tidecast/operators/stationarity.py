@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tsstats
+from ..functions.attach import attach_row
 from ..functions.numeric import safe_div
 from . import windows
 
@@ -137,7 +138,7 @@ def consensus(series: DataFrame, keys: Sequence[str] = (), period: str = PERIOD,
     if keys:
         j = a.join(k, keys, "full").join(v, keys, "full")
     else:
-        j = a.withColumn("__o", F.lit(1)).join(k.withColumn("__o", F.lit(1)), "__o").join(v.withColumn("__o", F.lit(1)), "__o").drop("__o")
+        j = attach_row(attach_row(a, k), v)
     votes = sum(F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("adf_stationary", "kpss_stationary", "vr_stationary"))
     j = j.withColumn("votes", votes)
     return j.withColumns(
@@ -206,7 +207,7 @@ def validate_differencing(original: DataFrame, differenced: DataFrame, order: in
         F.count(F.lit(1)).alias("differenced_length"), F.count_if(F.col(value).isNull()).alias("__nulls"),
         F.avg(value).alias("differenced_mean"), F.stddev_samp(value).alias("differenced_std"), F.var_samp(value).alias("__dv"),
     )
-    j = o.join(d, keys, "inner") if keys else o.withColumn("__o", F.lit(1)).join(d.withColumn("__o", F.lit(1)), "__o").drop("__o")
+    j = attach_row(o, d, keys)
     j = j.withColumns(
         {
             "order_correct": F.col("original_length") - order == F.col("differenced_length"),
@@ -242,7 +243,7 @@ def prepare_stationary(
     if keys:
         rep = order.join(before, keys, "left").join(after, keys, "left")
     else:
-        rep = order.withColumn("__o", F.lit(1)).join(before.withColumn("__o", F.lit(1)), "__o").join(after.withColumn("__o", F.lit(1)), "__o").drop("__o")
+        rep = attach_row(attach_row(order, before), after)
     rep = rep.withColumns({"seasonal_differencing": F.lit(apply_seasonal), "seasonal_period": F.lit(seasonal_period if apply_seasonal else None).cast("int")})
     return prepared, rep
 
@@ -256,7 +257,7 @@ def compare_before_after(original: DataFrame, differenced: DataFrame, d: int, ke
     if keys:
         j = a0.join(a1, keys, "inner").join(v, keys, "inner")
     else:
-        j = a0.withColumn("__o", F.lit(1)).join(a1.withColumn("__o", F.lit(1)), "__o").join(v.withColumn("__o", F.lit(1)), "__o").drop("__o")
+        j = attach_row(attach_row(a0, a1), v)
     return j.withColumns(
         {
             "d_order": F.lit(d),

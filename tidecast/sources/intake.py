@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.attach import attach_row
 from ..functions.calendar import normalize_season
 from ..functions.dates import parse_date, parse_sales
 from ..schema import CSV_CONTRACT, all_string
@@ -131,7 +132,7 @@ def date_parse_failures(raw: DataFrame, date_col: str, samples: int = 5) -> Data
     examples = bad.where(F.col("value").isNotNull()).distinct().orderBy("value").limit(samples).agg(
         F.sort_array(F.collect_list("value")).alias("samples")
     )
-    return count.withColumn("__one", F.lit(1)).join(examples.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return attach_row(count, examples)
 
 
 def validate_csv(spark: SparkSession, path: str | Sequence[str], default_store: str = "1"):
