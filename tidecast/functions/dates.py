@@ -9,25 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date layouts, tried in this order.
+# Accepted date layouts in priority order — year-first ISO shapes, then
+# day-first, then month-first — each with the text shape it applies to.
 DATE_PATTERNS = (
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "d-M-yyyy",
-    "d/M/yyyy",
-    "d.M.yyyy",
-    "d MMM yyyy",
-    "M/d/yyyy",
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
 )
 
 # Timestamps with a time part are cut to their date first.
 _TIME_SUFFIX = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 
 
-def parse_date(col, patterns: tuple[str, ...] = DATE_PATTERNS) -> Column:
+def parse_date(col, patterns=DATE_PATTERNS) -> Column:
+    """Row-wise date parsing: every pattern is tried only on text of its shape.
+
+    A failed parse costs an exception inside ``try_to_date``; guarding each
+    pattern with a cheap ``rlike`` on the shape means a well-formed value is
+    parsed once, by the first pattern that can read it (ordered coalesce
+    keeps the priority: ISO, then day-first, then month-first).
+    """
     c = F.col(col) if isinstance(col, str) else col
-    text = F.regexp_replace(F.trim(c.cast("string")), _TIME_SUFFIX, "")
-    return F.coalesce(*[F.try_to_date(text, p) for p in patterns])
+    raw = F.trim(c.cast("string"))
+    text = F.when(F.length(raw) > 11, F.regexp_replace(raw, _TIME_SUFFIX, "")).otherwise(raw)
+    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_date(text, fmt)) for fmt, shape in patterns])
 
 
 def parse_sales(col) -> Column:

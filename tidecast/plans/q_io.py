@@ -161,7 +161,7 @@ def q_snk_replace_tenant(spark, sf):
     path = stored_table(spark, sf)
     _, b2 = batches(spark, sf)
     new_rows = sk.merge_last_wins(None, [b2.where(F.col("user_id").isin(3, 5)).withColumn("sales", F.col("sales") * 2)], order="event_id")
-    sk.replace_tenant(new_rows, path)
+    sk.replace_tenant(spark, new_rows, path, tenants=[3, 5])
     return tenant.read_stored(spark, path)
 
 
@@ -171,7 +171,7 @@ def q_snk_replace_tenant(spark, sf):
 WHERE user_id = 7 AND store_id = 'click' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' ORDER BY store_id, date""",
 )
 def q_src_tenant_scan(spark, sf):
-    t = tenant.read_stored(spark, stored_table(spark, sf))
+    t = tenant.read_stored(spark, stored_table(spark, sf), with_bucket=True)
     return tenant.tenant_scan(t, 7, "click", "2024-01-05", "2024-01-20")
 
 
@@ -180,7 +180,7 @@ def q_src_tenant_scan(spark, sf):
     WS + f"""SELECT store_id, date, sales, {PARTS_SQL} FROM s1 WHERE user_id = 8""",
 )
 def q_src_export_tenant(spark, sf):
-    t = tenant.read_stored(spark, stored_table(spark, sf))
+    t = tenant.read_stored(spark, stored_table(spark, sf), with_bucket=True)
     out = tenant.export_tenant(t, 8, sk.shared_path(spark, "export"))
     schema = ("store_id string, date date, sales double, year int, month int, week int, quarter int, season string, "
               "day_of_week int, day_of_year int")

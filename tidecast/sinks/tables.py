@@ -1,9 +1,12 @@
 """Sinks: CSV / JSON files and the multi-tenant stored-sales table.
 
-The stored table is Parquet partitioned by tenant. Upserts are one aggregate
-(``max_by`` over a (batch, order) struct: last write wins, combined map-side so
-a hot key is collapsed before the shuffle) followed by a *dynamic* partition
-overwrite, which rewrites only the tenants present in the batch.
+The stored table is Parquet partitioned by a hashed tenant bucket
+(``tenant_bucket = pmod(xxhash64(user_id), TENANT_BUCKETS)``): a tenant filter
+prunes to one bucket directory and Parquet statistics skip the rest, while the
+number of directories stays fixed however many (small) tenants there are.
+Upserts are one aggregate (``max_by`` over a (batch, order) struct: last write
+wins, combined map-side so a hot key is collapsed before the shuffle) followed
+by a *dynamic* partition overwrite of the touched buckets only.
 """
 
 from __future__ import annotations
@@ -18,7 +21,15 @@ from ..functions.calendar import season, weekday0
 from ..session import ensure_checkpoint_dir
 
 TENANT = "user_id"
+BUCKET = "tenant_bucket"
+TENANT_BUCKETS = 64
 STORED_KEY = ("user_id", "store_id", "date")
+STORED_COLUMNS = ["user_id", "store_id", "date", "sales", "year", "month", "week", "quarter", "season", "day_of_week", "day_of_year"]
+
+
+def tenant_bucket(tenant_col=TENANT, buckets: int = TENANT_BUCKETS):
+    c = F.col(tenant_col) if isinstance(tenant_col, str) else tenant_col
+    return F.pmod(F.xxhash64(c.cast("bigint")), F.lit(buckets)).cast("int")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -98,31 +109,45 @@ def upsert(spark: SparkSession, path: str | None, batches: Sequence[DataFrame],
     """
     typed = [stored_shape(b.withColumn("__order", F.col(order)) if order else b).where(
         F.col(TENANT).isNotNull() & F.col("store_id").isNotNull() & F.col("date").isNotNull()) for b in batches]
-    existing = None
-    if path is not None:
-        try:
-            existing = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 — first write: no table yet
-            existing = None
+    existing = _read_existing(spark, path)
     touched = None
     if existing is not None:
-        tenants = None
+        # every row of every touched bucket is rewritten: read exactly those buckets (partition pruning)
+        buckets = None
         for t in typed:
-            ids = t.select(TENANT).distinct()
-            tenants = ids if tenants is None else tenants.union(ids)
-        existing = existing.join(tenants.distinct(), TENANT, "left_semi")
-        touched = existing
+            ids = t.select(tenant_bucket().alias(BUCKET)).distinct()
+            buckets = ids if buckets is None else buckets.union(ids)
+        touched = existing.join(buckets.distinct(), BUCKET, "left_semi").select(*STORED_COLUMNS)
     merged = merge_last_wins(touched, typed, order="__order" if order else None)
-    merged = stored_shape(merged).drop("__batch", "__order")
-    return merged
+    return stored_shape(merged).drop("__batch", "__order")
+
+
+def _read_existing(spark: SparkSession, path: str | None) -> DataFrame | None:
+    if path is None:
+        return None
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 — first write: no table yet
+        return None
 
 
 def write_stored(merged: DataFrame, path: str) -> str:
-    """Dynamic partition overwrite: only the tenants present in ``merged`` are replaced."""
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(TENANT).parquet(path))
+    """Dynamic partition overwrite: only the buckets present in ``merged`` are replaced.
+
+    ``rebalance`` on the bucket groups each bucket's rows into few files while
+    AQE splits a hot bucket (a tenant holding a third of all rows) across tasks
+    instead of funnelling it through one.
+    """
+    out = merged.select(*STORED_COLUMNS).withColumn(BUCKET, tenant_bucket())
+    (out.hint("rebalance", BUCKET).sortWithinPartitions(TENANT, "store_id", "date")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
     return path
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def upsert_report(batches: Sequence[DataFrame]) -> DataFrame:
     """Counts stored / failed in one aggregate: a row fails when its key does not type."""
     u = batches[0]
@@ -132,14 +157,27 @@ def upsert_report(batches: Sequence[DataFrame]) -> DataFrame:
     return u.agg(F.count_if(ok).alias("stored"), F.count_if(~ok).alias("failed"))
 
 
-def replace_tenant(rows: DataFrame, path: str) -> str:
-    """snk_replace_tenant: the tenants in ``rows`` get exactly these rows (old rows of theirs are gone)."""
-    return write_stored(stored_shape(rows), path)
-
+def replace_tenant(spark: SparkSession, rows: DataFrame, path: str, tenants: Sequence | None = None) -> str:
+    """snk_replace_tenant: delete-then-insert — the listed tenants (default: those in ``rows``) end up with
+    exactly ``rows``; other tenants sharing their buckets are carried over unchanged.
 
-def delete_tenant(spark: SparkSession, path: str, tenant_id) -> bool:
-    """Drop one tenant's partition directory (a metadata operation on the shared file system)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{TENANT}={tenant_id}")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.delete(hpath, True))
+    The touched buckets are staged in the shared folder first (a job must not read the
+    partitions it overwrites), then swapped in with a dynamic partition overwrite.
+    """
+    new = stored_shape(rows)
+    ids = new.select(TENANT).distinct() if tenants is None else spark.createDataFrame([(int(t),) for t in tenants], f"{TENANT} bigint")
+    existing = _read_existing(spark, path)
+    if existing is not None:
+        buckets = ids.select(tenant_bucket().alias(BUCKET)).union(new.select(tenant_bucket().alias(BUCKET))).distinct()
+        keep = (existing.join(buckets, BUCKET, "left_semi").join(ids, TENANT, "left_anti").select(*STORED_COLUMNS))
+        new = keep.unionByName(new.select(*STORED_COLUMNS))
+        staged = shared_path(spark, "replace-stage")
+        new.write.parquet(staged)
+        new = spark.read.parquet(staged)
+    return write_stored(new, path)
+
+
+def delete_tenant(spark: SparkSession, path: str, tenant_id) -> str:
+    """Remove one tenant: its bucket is rewritten without it (staged, then swapped in)."""
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["user_id", "store_id", "date", "sales"]))
+    return replace_tenant(spark, empty, path, tenants=[tenant_id])
