@@ -260,3 +260,17 @@ def q_rec_summary(spark, sf):
 @register("rec_bundle")
 def q_rec_bundle(spark, sf):
     return rec.bundle_json(series(spark, sf), K)
+
+
+@register(
+    "jn_festival",
+    W + FEST_CTE + """SELECT store, month_num, festival_name, round(coalesce(mean, overall_mean), 2) AS month_sales, above AS above_mean FROM fz""",
+)
+def q_jn_festival(spark, sf):
+    """The 12-row festival dimension attached to every series' month profile (default: the series mean)."""
+    s = series(spark, sf)
+    per = rec._overall(s, K, "value").select(*K, "overall_mean", F.inline(rec.festival_dimension()))
+    m = rec.month_stats(s, K).select(*K, "month_num", "mean")
+    j = per.join(m, [*K, "month_num"], "left")
+    sales = F.coalesce("mean", "overall_mean")
+    return rnd(j.select(*K, "month_num", "festival_name", sales.alias("month_sales"), (sales > F.col("overall_mean")).alias("above_mean")))
