@@ -10,12 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted date layouts in priority order — year-first ISO shapes, then
-# day-first, then month-first — each with the text shape it applies to.
+# day-first, then month-first (a slash date whose middle number cannot be a month) —
+# each with the text shape it applies to. Every text matches at most one layout.
 DATE_PATTERNS = (
     ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
     ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
     ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4}$"),
     ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
     ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
     ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
@@ -25,18 +26,26 @@ DATE_PATTERNS = (
 _TIME_SUFFIX = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 
 
+def date_layout(text: Column, patterns=DATE_PATTERNS) -> Column:
+    """The layout a text has (first matching shape), NULL when none fits."""
+    expr = None
+    for fmt, shape in patterns:
+        expr = F.when(text.rlike(shape), F.lit(fmt)) if expr is None else expr.when(text.rlike(shape), F.lit(fmt))
+    return expr
+
+
 def parse_date(col, patterns=DATE_PATTERNS) -> Column:
-    """Row-wise date parsing: every pattern is tried only on text of its shape.
+    """Row-wise date parsing: each text is parsed once, with the layout its shape selects.
 
-    A failed parse costs an exception inside ``try_to_date``; guarding each
-    pattern with a cheap ``rlike`` on the shape means a well-formed value is
-    parsed once, by the first pattern that can read it (ordered coalesce
-    keeps the priority: ISO, then day-first, then month-first).
+    Same result as trying the layouts in order (ISO, then day-first, then month-first),
+    but without failed attempts — a failed ``try_to_date`` costs a caught exception —
+    and with a single reference to the text in the parse itself. Formatters for the
+    per-row layout come from Spark's formatter cache.
     """
     c = F.col(col) if isinstance(col, str) else col
     raw = F.trim(c.cast("string"))
     text = F.when(F.length(raw) > 11, F.regexp_replace(raw, _TIME_SUFFIX, "")).otherwise(raw)
-    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_date(text, fmt)) for fmt, shape in patterns])
+    return F.call_function("try_to_date", text, date_layout(text, patterns))
 
 
 def parse_sales(col) -> Column:

@@ -38,12 +38,15 @@ WR = with_ctes(FACT_CTE, RAW_CTE, TYPED_CTE)
 def rendered_upload(spark, sf):
     f = sales_fact(spark, sf)
     k = F.col("order_key") % 5
-    fmt = (
-        F.when(k == 0, F.date_format("date", "yyyy-MM-dd"))
-        .when(k == 1, F.date_format("date", "dd-MM-yyyy"))
-        .when(k == 2, F.date_format("date", "dd/MM/yyyy"))
-        .when(k == 3, F.date_format("date", "yyyy/MM/dd"))
-        .otherwise(F.date_format("date", "dd.MM.yyyy"))
+    y = F.year("date").cast("string")
+    m = F.lpad(F.month("date").cast("string"), 2, "0")
+    d = F.lpad(F.dayofmonth("date").cast("string"), 2, "0")
+    fmt = (  # plain string assembly: cheap to re-evaluate wherever the optimizer inlines it
+        F.when(k == 0, F.concat_ws("-", y, m, d))
+        .when(k == 1, F.concat_ws("-", d, m, y))
+        .when(k == 2, F.concat_ws("/", d, m, y))
+        .when(k == 3, F.concat_ws("/", y, m, d))
+        .otherwise(F.concat_ws(".", d, m, y))
     )
     return f.select(
         F.col("store").alias("Store_ID"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import CSV_CONTRACT
 from ..sinks import tables as sk
 from ..sources import intake, tenant
-from ..sources.testdata import FACT_CTE, TENANT_CTE, sales_fact, tenant_fact
+from ..sources.testdata import FACT_CTE, TENANT_CTE, sales_fact, table, tenant_fact
 from .q_clean import RAW_CTE, TYPED_CTE, rendered_upload
 from .registry import register, with_ctes
 
@@ -70,7 +70,7 @@ def q_src_required(spark, sf):
 def q_src_manifest(spark, sf):
     landing = sk.shared_path(spark, "landing")
     sk.write_csv(clean_headers(rendered_upload(spark, sf)), landing + "/csv")
-    sk.write_json(sales_fact(spark, sf).limit(1000), landing + "/json")
+    sk.write_json(table(spark, sf, "region"), landing + "/json")  # a non-CSV file to reject
     return intake.upload_manifest(spark, landing)
 
 
