@@ -152,7 +152,7 @@ def order_grid(series: DataFrame, keys: Sequence[str] = (), max_p: int = 3, max_
     if d is None:
         dd = differencing_order(series, keys, 2, "adf", period, value).select(*keys, "d")
     elif isinstance(d, int):
-        dd = series.select(*keys).distinct().withColumn("d", F.lit(d)) if keys else series.limit(1).select(F.lit(d).alias("d"))
+        dd = series.select(*keys).distinct().withColumn("d", F.lit(d)) if keys else series.sparkSession.range(1).select(F.lit(d).alias("d"))
     else:
         dd = d
     grid = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(max_p + 1) for q in range(max_q + 1)]))
@@ -189,7 +189,7 @@ def compare_orders(series: DataFrame, keys: Sequence[str] = (), candidates=((0,
     """fc_compare: rank candidate orders per series by AIC (and BIC)."""
     keys = list(keys)
     arr = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q")) for p, d, q in candidates]))
-    base = series.select(*keys).distinct() if keys else series.limit(1).select()
+    base = series.select(*keys).distinct() if keys else series.sparkSession.range(1).select()
     grid = base.select(*keys, arr.alias("o")).select(*keys, "o.*").withColumns({"sp": F.lit(0), "sd": F.lit(0), "sq": F.lit(0), "s": F.lit(0)})
     fits = fit(series, keys, orders=grid, period=period, value=value)
     w = Window.partitionBy(*keys) if keys else Window.partitionBy()

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.attach import attach_row
 from ..functions.calendar import FEATURES7, temporal_features7
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_parallelism
 
 # Reference model defaults.
 RF_DEFAULTS = {"numTrees": 100, "maxDepth": 20, "minInstancesPerNode": 2, "seed": 42}
@@ -79,7 +79,7 @@ def train(
     Returns the fitted ``PipelineModel`` and the split input (``is_train`` column)."""
     params = {**RF_DEFAULTS, **rf_params}
     params["maxDepth"] = min(int(params["maxDepth"]), 30)
-    data = df.dropna(subset=[*features, label])
+    data = ensure_parallelism(df.dropna(subset=[*features, label]))
     data = split(data, key or list(features) + [label])
     stages, _ = feature_stages(data, features, scale)
     rf = RandomForestRegressor(labelCol=label, featuresCol="features", featureSubsetStrategy="all", maxBins=max_bins, **params)
@@ -188,7 +188,7 @@ def lag_forecast(
     Interval: ± z · std of in-sample residuals per series.
     """
     keys = list(keys)
-    table = lag_training_table(series, keys, period, value)
+    table = ensure_parallelism(lag_training_table(series, keys, period, value))
     params = {"numTrees": 100, "maxDepth": 10, "seed": 42, **rf_params}
     assembler = VectorAssembler(inputCols=LAG_FEATURES, outputCol="features")
     rf = RandomForestRegressor(labelCol=value, featuresCol="features", featureSubsetStrategy="all", **params)

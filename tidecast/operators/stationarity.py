@@ -33,9 +33,9 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     distribution (no second exchange). The count is the larger of the session's
     shuffle partitions and the cluster's default parallelism.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    from ..session import target_parallelism
+
+    return df.repartition(target_parallelism(df.sparkSession), *keys)
 
 
 def _run_per_series(series: DataFrame, keys: Sequence[str], fields: list[T.StructField], kernel, period: str, value: str) -> DataFrame:

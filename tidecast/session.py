@@ -53,3 +53,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def target_parallelism(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Give a CPU-heavy consumer (model training) at least one partition per core.
+
+    Only a DataFrame with fewer partitions than the cluster's parallelism is
+    re-spread (e.g. a small file with a few row groups, or an AQE-coalesced
+    aggregate); a large scan already has thousands of splits and is left alone.
+    """
+    n = target_parallelism(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
