@@ -71,12 +71,22 @@ def run_upload_ingest(spark: SparkSession, landing: str, table_path: str, checkp
     q.awaitTermination()
 
 
+def wall_clock_instant(ts_ntz: str):
+    """The instant whose UTC wall clock equals a TIMESTAMP_NTZ value, independent of the session time zone
+    (a plain cast would read the wall clock in the session zone and shift the day windows)."""
+    c = F.col(ts_ntz)
+    secs = F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    micros = secs * 1_000_000 + F.date_format(c, "SSSSSS").cast("long")
+    return F.timestamp_micros(micros)
+
+
 def daily_totals_stream(events: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value",
                         watermark: str = "1 hour") -> DataFrame:
     """Daily tumbling-window totals per key with an event-time watermark (append-safe)."""
-    e = events.withColumn("__t", F.col(ts).cast("timestamp")).withWatermark("__t", watermark)
+    e = events.withColumn("__t", wall_clock_instant(ts)).withWatermark("__t", watermark)
     g = e.groupBy(F.window("__t", "1 day").alias("w"), F.col(key)).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("events"))
-    return g.select(F.col("w.start").cast("date").alias("day"), F.col(key), "total", "events")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+    return g.select(day.alias("day"), F.col(key), "total", "events")
 
 
 def run_daily_totals(spark: SparkSession, source_dir: str, file_glob: str, out: str, checkpoint: str, schema: str,
