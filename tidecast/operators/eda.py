@@ -387,3 +387,47 @@ def box_plot(fact: DataFrame, sales: str = SALES, keys: Sequence[str] = ()) -> D
         F.count_if(~inside).alias("outliers"),
     )
     return w
+
+
+# --- dashboard distributions over per-store min / average / max ---------------------------------------
+# The dashboard's sales bands (upper edges, exclusive) and its histogram bin width.
+SALES_BAND_EDGES = (5000.0, 10000.0, 15000.0, 20000.0)
+STORE_VALUE_BIN = 2000.0
+
+
+def store_values(fact: DataFrame, keys: Sequence[str] = (), store: str = STORE, sales: str = SALES) -> DataFrame:
+    """Three values per store: its minimum, average and maximum sale."""
+    keys = _keys(keys)
+    m = store_metrics(fact, keys, store, sales)
+    return m.select(*keys, store, F.explode(F.array("min_sales", "avg_sales", "max_sales")).alias("value"))
+
+
+def store_value_bands(fact: DataFrame, keys: Sequence[str] = (), store: str = STORE, sales: str = SALES) -> DataFrame:
+    """Counts of store min/avg/max values per fixed band (all five bands, zeros included), one aggregate."""
+    keys = _keys(keys)
+    v = F.col("value")
+    e = SALES_BAND_EDGES
+    conds = [v < e[0]] + [(v >= e[i]) & (v < e[i + 1]) for i in range(len(e) - 1)] + [v >= e[-1]]
+    wide = store_values(fact, keys, store, sales).groupBy(*keys).agg(*[F.count_if(c).alias(f"b{i}") for i, c in enumerate(conds)])
+    labels = [f"<{int(e[0])}"] + [f"{int(e[i])}-{int(e[i + 1])}" for i in range(len(e) - 1)] + [f">={int(e[-1])}"]
+    stack = "stack({n}, {rows}) AS (band, label, count)".format(
+        n=len(conds), rows=", ".join(f"{i}, '{lab}', b{i}" for i, lab in enumerate(labels))
+    )
+    return wide.selectExpr(*[f"`{k}`" for k in keys], stack)
+
+
+def store_value_histogram(fact: DataFrame, keys: Sequence[str] = (), width: float = STORE_VALUE_BIN, store: str = STORE,
+                          sales: str = SALES) -> DataFrame:
+    """Bins of ``width`` from floor(min/width) to ceil(max/width) inclusive over store min/avg/max values,
+    empty bins included, labelled like '$2K-$4K'."""
+    keys = _keys(keys)
+    vals = store_values(fact, keys, store, sales).withColumn("bin", F.floor(F.col("value") / width).cast("long"))
+    counts = vals.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
+    rng = vals.groupBy(*keys).agg(F.min("bin").alias("__lo"), F.ceil(F.max("value") / width).cast("long").alias("__hi"))
+    bins = rng.select(*keys, F.explode(F.sequence("__lo", "__hi")).alias("bin"))
+    out = bins.join(counts, [*keys, "bin"], "left").fillna({"count": 0})
+    k = width / 1000.0
+    return out.select(
+        *keys, "bin", (F.col("bin") * width).alias("range_start"), ((F.col("bin") + 1) * width).alias("range_end"),
+        F.format_string("$%.0fK-$%.0fK", F.col("bin") * k, (F.col("bin") + 1) * k).alias("label"), "count",
+    )

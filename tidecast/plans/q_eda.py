@@ -317,3 +317,37 @@ FROM fact, f WHERE sales IS NOT NULL GROUP BY q1, median, q3, iqr""",
 )
 def q_agg_box(spark, sf):
     return rnd(eda.box_plot(sales_fact(spark, sf)))
+
+
+STORE_VALUES_SQL = """, sv AS (SELECT store, min(sales) AS mn, avg(sales) AS av, max(sales) AS mx FROM fact GROUP BY store),
+vals AS (SELECT unnest([mn, av, mx]) AS value FROM sv)
+"""
+
+
+@register(
+    "agg_store_bands",
+    W
+    + STORE_VALUES_SQL
+    + """SELECT * FROM (VALUES (0, '<5000'), (1, '5000-10000'), (2, '10000-15000'), (3, '15000-20000'), (4, '>=20000')) b(band, label)
+JOIN (SELECT count(*) FILTER (WHERE value < 5000) AS c0, count(*) FILTER (WHERE value >= 5000 AND value < 10000) AS c1,
+             count(*) FILTER (WHERE value >= 10000 AND value < 15000) AS c2, count(*) FILTER (WHERE value >= 15000 AND value < 20000) AS c3,
+             count(*) FILTER (WHERE value >= 20000) AS c4 FROM vals) c ON true""".replace(
+        "SELECT * FROM", "SELECT band, label, CASE band WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 WHEN 3 THEN c3 ELSE c4 END AS count FROM"
+    ),
+)
+def q_agg_store_bands(spark, sf):
+    return eda.store_value_bands(sales_fact(spark, sf))
+
+
+@register(
+    "agg_store_histogram",
+    W
+    + STORE_VALUES_SQL
+    + """, b AS (SELECT CAST(floor(value / 2000.0) AS BIGINT) AS bin FROM vals),
+c AS (SELECT bin, count(*) AS count FROM b GROUP BY bin),
+g AS (SELECT unnest(generate_series((SELECT min(bin) FROM b), (SELECT CAST(ceil(max(value) / 2000.0) AS BIGINT) FROM vals))) AS bin)
+SELECT g.bin, g.bin * 2000.0 AS range_start, (g.bin + 1) * 2000.0 AS range_end, printf('$%.0fK-$%.0fK', g.bin * 2.0, (g.bin + 1) * 2.0) AS label,
+       coalesce(c.count, 0) AS count FROM g LEFT JOIN c USING (bin)""",
+)
+def q_agg_store_histogram(spark, sf):
+    return eda.store_value_histogram(sales_fact(spark, sf))
