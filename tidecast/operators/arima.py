@@ -246,3 +246,17 @@ def holdout_evaluation(series: DataFrame, keys: Sequence[str] = (), order=DEFAUL
     j = test.join(fc.select(*keys, "step", "forecast"), keys + ["step"], "inner") if keys else test.join(fc.select("step", "forecast"), ["step"])
     pairs = j.select(*keys, F.col(value).alias("actual"), F.col("forecast").alias("predicted"))
     return metrics(pairs, keys=keys).join(horizon, keys, "left") if keys else metrics(pairs)
+
+
+def train_evaluate_forecast(series: DataFrame, keys: Sequence[str] = (), order=DEFAULT_ORDER, seasonal=(0, 0, 0, 0),
+                            train_fraction: float = 0.8, steps: int = 12, freq: str = "MS", period: str = PERIOD,
+                            value: str = VALUE) -> dict[str, DataFrame]:
+    """The full per-series workflow: chronological split → fit on train → test-span accuracy → refit on
+    all points → forecast with intervals → residual diagnostics (each step a grouped job over all series)."""
+    keys = list(keys)
+    return {
+        "test_metrics": holdout_evaluation(series, keys, order, train_fraction, period, value),
+        "forecast": forecast(series, steps, keys, order, seasonal, freq=freq, period=period, value=value),
+        "fit": fit(series, keys, order, seasonal, period=period, value=value),
+        "diagnostics": diagnostics(series, keys, order, seasonal, period=period, value=value),
+    }

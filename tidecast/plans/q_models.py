@@ -148,3 +148,13 @@ def q_fc_arima_holdout(spark, sf):
 @register("dq_arima_order")
 def q_dq_arima_order(spark, sf):
     return dq.arima_order_range(arima.auto_order(monthly(spark, sf), K))
+
+
+@register("fc_arima_workflow")
+def q_fc_arima_workflow(spark, sf):
+    """Refit-on-all forecast of the split → evaluate → refit → forecast → diagnose workflow, with each series'
+    test accuracy and diagnostic verdict attached to its forecast rows."""
+    parts = arima.train_evaluate_forecast(monthly(spark, sf), K, order=(1, 1, 1))
+    m = parts["test_metrics"].select(*K, F.col("rmse").alias("test_rmse"), F.col("mape").alias("test_mape"))
+    d = parts["diagnostics"].select(*K, F.col("passed").alias("diagnostics_passed"))
+    return parts["forecast"].join(m, K, "left").join(d, K, "left")
