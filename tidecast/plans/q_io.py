@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..schema import CSV_CONTRACT
 from ..sinks import tables as sk
 from ..sources import intake, tenant
 from ..sources.testdata import FACT_CTE, TENANT_CTE, sales_fact, table, tenant_fact
