@@ -160,3 +160,18 @@ def test_f1_intake_and_eda(spark):
     corr = {r.variable: r.correlation for r in eda.correlation_analysis(
         valid.select("sales", *[F.col(c).try_cast("double").alias(c) for c in ("price", "quantity_sold", "inventory_level", "rainfall", "temperature")])).collect()}
     assert corr["price"] == pytest.approx(0.785, abs=1e-3)
+
+
+def test_log_bucket_order_and_extremes(spark):
+    from tidecast.operators.quantile import log_bucket
+
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(0, 1, 500), rng.lognormal(3, 2, 500), -rng.lognormal(1, 3, 300), [0.0] * 50,
+                           [2.0 ** k for k in range(-30, 60)], [np.nextafter(2.0 ** k, 0) for k in range(-30, 60)],
+                           [5e-324, -5e-324, 1e308, -1e308]])
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    rows = sorted(df.select("v", log_bucket(F.col("v")).alias("b")).collect(), key=lambda r: r.v)
+    assert all(rows[i].b <= rows[i + 1].b for i in range(len(rows) - 1))
+    probs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
+    got = exact_quantiles(df, "v", probs, names=[f"p{i}" for i in range(len(probs))]).first()
+    assert list(got) == pytest.approx(list(np.percentile(vals, [p * 100 for p in probs])), rel=1e-12)
