@@ -305,3 +305,16 @@ def q_cln_stats(spark, sf):
 )
 def q_cln_min_rows(spark, sf):
     return clean.eligible_series(sales_fact(spark, sf), ["store"], 600)
+
+
+@register(
+    "cln_daily_features",
+    WR
+    + f""", d AS (SELECT date, sum(sales) AS sales FROM typed WHERE date IS NOT NULL AND sales IS NOT NULL GROUP BY date)
+SELECT date, round(sales, 2) AS sales, {FEATURE_SQL}, CAST(day(date) AS INTEGER) AS day FROM d WHERE sales IS NOT NULL ORDER BY date""",
+)
+def q_cln_daily_features(spark, sf):
+    from .workflows import daily_feature_table
+
+    valid, _, _ = intake.validate_frame(rendered_upload(spark, sf))
+    return rnd(daily_feature_table(valid.select("store", "date", "sales")))

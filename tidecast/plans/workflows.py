@@ -90,3 +90,13 @@ def recommendations(fact: DataFrame, keys: Sequence[str] = ()) -> dict[str, Data
     k = list(keys)
     s = series.complete(series.aggregate(fact, "MS", k, positive=False), "MS", k, fill_value=0.0)
     return recommend.bundle(s, k)
+
+
+def daily_feature_table(valid: DataFrame, missing_strategy: str = "drop") -> DataFrame:
+    """The Spark-side preparation path: validated rows → daily totals → missing-value strategy →
+    the seven calendar features, ordered by date at the edge."""
+    from ..functions.calendar import temporal_features7
+
+    daily = eda.daily_totals(valid)
+    daily = clean.handle_missing(daily, missing_strategy, keys=(), subset=["date", "sales"])
+    return temporal_features7(daily, "date").orderBy("date")
