@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -76,11 +77,15 @@ def train(
 ) -> tuple[PipelineModel, DataFrame]:
     """ml_rf_train: fit the feature pipeline + random forest on the train split.
 
-    Returns the fitted ``PipelineModel`` and the split input (``is_train`` column)."""
+    Returns the fitted ``PipelineModel`` and the split input (``is_train`` column). The split
+    input is persisted (``MEMORY_AND_DISK``: spills instead of failing, rebuilt from lineage if
+    an executor is lost) because fitting makes several passes (indexer, metadata, split search,
+    trees) that would otherwise each re-run the whole input plan; ``unpersist()`` it when done.
+    """
     params = {**RF_DEFAULTS, **rf_params}
     params["maxDepth"] = min(int(params["maxDepth"]), 30)
     data = ensure_parallelism(df.dropna(subset=[*features, label]))
-    data = split(data, key or list(features) + [label])
+    data = split(data, key or list(features) + [label]).persist(StorageLevel.MEMORY_AND_DISK)
     stages, _ = feature_stages(data, features, scale)
     rf = RandomForestRegressor(labelCol=label, featuresCol="features", featureSubsetStrategy="all", maxBins=max_bins, **params)
     model = Pipeline(stages=[*stages, rf]).fit(data.where("is_train"))
