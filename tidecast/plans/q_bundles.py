@@ -43,7 +43,7 @@ def q_agg_eda_bundle(spark, sf):
     b = eda_bundle(sales_fact(spark, sf), persist=False)
     out = _section_sizes(b)
     release(b)
-    return out.select("section", F.col("rows").cast("int").alias("rows"))
+    return out.select("section", "rows")
 
 
 @register(

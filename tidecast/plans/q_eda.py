@@ -346,7 +346,7 @@ def q_agg_store_bands(spark, sf):
     + """, b AS (SELECT CAST(floor(value / 2000.0) AS BIGINT) AS bin FROM vals),
 c AS (SELECT bin, count(*) AS count FROM b GROUP BY bin),
 g AS (SELECT unnest(generate_series((SELECT min(bin) FROM b), (SELECT CAST(ceil(max(value) / 2000.0) AS BIGINT) FROM vals))) AS bin)
-SELECT g.bin, g.bin * 2000.0 AS range_start, (g.bin + 1) * 2000.0 AS range_end, printf('$%.0fK-$%.0fK', g.bin * 2.0, (g.bin + 1) * 2.0) AS label,
+SELECT g.bin, CAST(g.bin * 2000.0 AS DOUBLE) AS range_start, CAST((g.bin + 1) * 2000.0 AS DOUBLE) AS range_end, printf('$%.0fK-$%.0fK', g.bin * 2.0, (g.bin + 1) * 2.0) AS label,
        coalesce(c.count, 0) AS count FROM g LEFT JOIN c USING (bin)""",
 )
 def q_agg_store_histogram(spark, sf):

@@ -344,7 +344,8 @@ def q_win_first_last(spark, sf):
     W
     + DAILY
     + """, g AS (SELECT store, period - lag(period) OVER (PARTITION BY store ORDER BY period) AS gap_days FROM ds)
-SELECT store, count(DISTINCT gap_days) AS distinct_gaps, min(gap_days) AS min_gap, max(gap_days) AS max_gap, list_sort(list(DISTINCT gap_days)) AS gaps
+SELECT store, count(DISTINCT gap_days) AS distinct_gaps, CAST(min(gap_days) AS INTEGER) AS min_gap, CAST(max(gap_days) AS INTEGER) AS max_gap,
+       list_sort(list(DISTINCT CAST(gap_days AS INTEGER))) AS gaps
 FROM g WHERE gap_days IS NOT NULL GROUP BY store""",
 )
 def q_win_intervals(spark, sf):
