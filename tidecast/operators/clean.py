@@ -49,30 +49,43 @@ def _ordered(keys: Sequence[str], order: str, descending: bool = False) -> Windo
     return Window.partitionBy(*keys).orderBy(o) if keys else Window.orderBy(o)
 
 
-def carry_forward(column: str, keys: Sequence[str], order: str):
-    """Last non-NULL value at or before each row (running frame: O(n) per partition)."""
-    return F.last(column, ignorenulls=True).over(_ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+def carry_forward(column: str, keys: Sequence[str], order: str, descending: bool = False):
+    """Last non-NULL value at or before each row in the given order (running frame: O(n))."""
+    return F.last(column, ignorenulls=True).over(_ordered(keys, order, descending).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def edge_value(column: str, keys: Sequence[str], order: str, descending: bool = False):
+    """First non-NULL value of the whole partition in the given order (whole-partition frame: computed once)."""
+    return F.first(column, ignorenulls=True).over(
+        _ordered(keys, order, descending).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
 
 
 def carry_backward(column: str, keys: Sequence[str], order: str):
-    """First non-NULL value at or after each row, as a running frame over the reversed order.
+    """First non-NULL value at or after each row: a running frame over the reversed order.
 
     (``first`` over current→unbounded-following is re-evaluated per row — quadratic.)"""
-    return F.last(column, ignorenulls=True).over(_ordered(keys, order, True).rowsBetween(Window.unboundedPreceding, 0))
+    return carry_forward(column, keys, order, descending=True)
 
 
 def forward_fill(df: DataFrame, column: str = SALES, keys: Sequence[str] = (STORE,), order: str = DATE) -> DataFrame:
-    """cln_fill_ffill: per-key forward fill by ``order`` then backward fill for leading gaps."""
+    """cln_fill_ffill: per-key forward fill by ``order`` then backward fill for leading gaps.
+
+    After the forward pass only leading gaps remain, and their backward fill is the
+    partition's first non-NULL value — both from ONE sort (one Window operator)."""
     keys = list(keys)
-    ff = df.withColumn("__ff", carry_forward(column, keys, order))
-    return ff.withColumn(column, F.coalesce(F.col(column), F.col("__ff"), carry_backward(column, keys, order))).drop("__ff")
+    return df.withColumn(
+        column, F.coalesce(F.col(column), carry_forward(column, keys, order), edge_value(column, keys, order))
+    )
 
 
 def backward_fill(df: DataFrame, column: str = SALES, keys: Sequence[str] = (STORE,), order: str = DATE) -> DataFrame:
-    """cln_fill_bfill: mirror of forward_fill (backward first, then forward for trailing gaps)."""
+    """cln_fill_bfill: mirror of forward_fill (backward first, then forward for trailing gaps), one reversed sort."""
     keys = list(keys)
-    ff = df.withColumn("__ff", carry_forward(column, keys, order))
-    return ff.withColumn(column, F.coalesce(F.col(column), carry_backward(column, keys, order), F.col("__ff"))).drop("__ff")
+    return df.withColumn(
+        column,
+        F.coalesce(F.col(column), carry_forward(column, keys, order, descending=True), edge_value(column, keys, order, descending=True)),
+    )
 
 
 def mean_fill(df: DataFrame, column: str = SALES, keys: Sequence[str] = (STORE,)) -> DataFrame:

@@ -95,14 +95,11 @@ def complete(
 
 def fixed_intervals(series: DataFrame, freq: str = "D", keys: Sequence[str] = (), period: str = PERIOD, value: str = VALUE) -> DataFrame:
     """ts_fixed: complete calendar, forward fill then backward fill; ``filled`` marks inserted periods."""
-    from .clean import carry_backward, carry_forward
+    from .clean import carry_forward, edge_value
 
     j = complete(series.withColumn("__present", F.lit(True)), freq, keys, period)
-    j = j.withColumn("__ff", carry_forward(value, keys, period))
-    j = j.withColumn("__bf", carry_backward(value, keys, period))
-    return j.select(
-        *keys, period, F.coalesce(F.col(value), F.col("__ff"), F.col("__bf")).alias(value), F.col("__present").isNull().alias("filled")
-    )
+    filled = F.coalesce(F.col(value), carry_forward(value, keys, period), edge_value(value, keys, period))
+    return j.select(*keys, period, filled.alias(value), F.col("__present").isNull().alias("filled"))
 
 
 def fill_stats(fixed: DataFrame, freq: str, keys: Sequence[str] = (), period: str = PERIOD) -> DataFrame:
