@@ -106,6 +106,9 @@ def upsert(spark: SparkSession, path: str | None, batches: Sequence[DataFrame],
     """snk_upsert: insert-or-replace on (user_id, store_id, date), written with dynamic partition overwrite.
 
     Rows whose key does not type (NULL after cast) are not stored; ``upsert_report`` counts them.
+    Writing the result back over the table it read is safe: dynamic overwrite writes into a
+    staging folder and swaps the touched bucket directories only at job commit, after every
+    task (including retries after an executor loss) has read the old files.
     """
     typed = [stored_shape(b.withColumn("__order", F.col(order)) if order else b).where(
         F.col(TENANT).isNotNull() & F.col("store_id").isNotNull() & F.col("date").isNotNull()) for b in batches]
