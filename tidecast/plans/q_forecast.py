@@ -289,3 +289,14 @@ FROM fc JOIN r USING (store) GROUP BY 1, 2""",
 )
 def q_fc_histogram(spark, sf):
     return fc.forecast_histogram(naive(spark, sf), 6, K)
+
+
+@register(
+    "fc_scenario_summary",
+    WN
+    + """, sc AS (SELECT fc.*, s.scenario FROM fc, (VALUES ('baseline'), ('pessimistic'), ('optimistic')) AS s(scenario)),
+v AS (SELECT store, scenario, forecast * CASE scenario WHEN 'pessimistic' THEN 0.95 WHEN 'optimistic' THEN 1.05 ELSE 1.0 END * (1 + 0.03) AS f FROM sc)
+SELECT store, scenario, round(avg(f), 2) AS mean_forecast, count(*) AS n_periods FROM v GROUP BY store, scenario""",
+)
+def q_fc_scenario_summary(spark, sf):
+    return rnd(fc.scenario_summary(fc.scenarios(naive(spark, sf), growth_rate=0.03, keys=K), K))
