@@ -175,3 +175,29 @@ def test_log_bucket_order_and_extremes(spark):
     probs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
     got = exact_quantiles(df, "v", probs, names=[f"p{i}" for i in range(len(probs))]).first()
     assert list(got) == pytest.approx(list(np.percentile(vals, [p * 100 for p in probs])), rel=1e-12)
+
+
+def test_forward_fill_rows_hot_store_spans_blocks(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(6000):  # the hot store: 6000 rows over 30 days, long leading gap, random gaps
+        v = None if (i < 900 or rng.random() < 0.4) else float(i)
+        rows.append(("hot", D(2024, 1, 1) + dt.timedelta(days=i % 30), i, v))
+    for i in range(300):
+        rows.append((f"s{i % 3}", D(2024, 1, 1) + dt.timedelta(days=i % 10), i, None if rng.random() < 0.5 else float(-i)))
+    rows.append(("empty", D(2024, 1, 1), 0, None))
+    df = spark.createDataFrame(rows, "store string, date date, seq long, sales double")
+    got = {(r.store, r.date, r.seq): r.sales for r in clean.forward_fill_rows(df, "sales", ["store"], ["date"], ["seq"], blocks=16).collect()}
+    # brute force on the driver (small fixture)
+    want = {}
+    by_store = {}
+    for s, d, q, v in rows:
+        by_store.setdefault(s, []).append((d, q, v))
+    for s, items in by_store.items():
+        items.sort(key=lambda t: (t[0], t[1]))
+        first = next((v for _, _, v in items if v is not None), None)
+        last = None
+        for d, q, v in items:
+            last = v if v is not None else last
+            want[(s, d, q)] = v if v is not None else (last if last is not None else first)
+    assert got == want

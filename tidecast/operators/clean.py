@@ -5,7 +5,9 @@
   being sorted inside one window partition. Result equals
   ``row_number() OVER (PARTITION BY key ORDER BY tiebreak) = 1``.
 * Forward/backward fills run per store ordered by date on the de-duplicated
-  fact, whose size per store is bounded by the calendar (one row per day).
+  fact, whose size per store is bounded by the calendar (one row per day);
+  ``forward_fill_rows`` fills raw rows (any number per store and day) through
+  range-partitioned blocks, so a hot store never lands in one task.
 * Mean fills aggregate first and join the small per-key table back (AQE
   broadcasts it after checking its runtime size) — no unbounded window.
 """
@@ -88,6 +90,44 @@ def backward_fill(df: DataFrame, column: str = SALES, keys: Sequence[str] = (STO
     )
 
 
+def forward_fill_rows(
+    df: DataFrame, column: str = SALES, keys: Sequence[str] = (STORE,), order: Sequence[str] = (DATE,),
+    tiebreak: Sequence[str] | None = None, blocks: int | None = None,
+) -> DataFrame:
+    """Forward fill (then backward fill of leading gaps) over raw rows, safe for hot keys.
+
+    A per-key window would put a key holding a third of all rows into one task. Instead
+    ``repartitionByRange`` on (keys, order, tiebreak) cuts the global order into ``blocks``
+    contiguous ranges of bounded size — a hot key (even a hot key-and-day) spans many
+    blocks. Each (block, key) is filled with a running window; what a block cannot see
+    comes from a tiny carry table (last value of every earlier block of the same key,
+    first value of the key), attached by equi-joins. Same result as the per-key window.
+    """
+    from ..session import target_parallelism
+
+    keys, order = list(keys), list(order)
+    rest = [c for c in df.columns if c not in (*keys, *order)]
+    tiebreak = list(tiebreak) if tiebreak else rest
+    sort_cols = [*keys, *order, *tiebreak]
+    n = blocks or target_parallelism(df.sparkSession)
+    ranged = df.repartitionByRange(n, *sort_cols).withColumn("__block", F.spark_partition_id())
+    w = Window.partitionBy("__block", *keys).orderBy(*sort_cols)
+    inside = ranged.withColumn("__ff", F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per_block = inside.groupBy("__block", *keys).agg(
+        F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.struct(*sort_cols))).alias("__last"),
+        F.min_by(F.col(column), F.when(F.col(column).isNotNull(), F.struct(*sort_cols))).alias("__first"),
+    )
+    wk = Window.partitionBy(*keys).orderBy("__block")
+    carry = per_block.select(
+        "__block", *keys,
+        F.last("__last", ignorenulls=True).over(wk.rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"),
+        F.first("__first", ignorenulls=True).over(wk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__edge"),
+    )
+    out = inside.join(carry, ["__block", *keys], "left")
+    filled = F.coalesce(F.col(column), F.col("__ff"), F.col("__carry"), F.col("__edge"))
+    return out.withColumn(column, filled).select(*df.columns)
+
+
 def mean_fill(df: DataFrame, column: str = SALES, keys: Sequence[str] = (STORE,)) -> DataFrame:
     """cln_fill_mean: NULL → mean of its key group (aggregate + join, not a window)."""
     keys = list(keys)
@@ -112,7 +152,7 @@ def column_mean_fill(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     )
 
 
-STRATEGIES = ("drop", "forward_fill", "backward_fill", "mean", "column_mean")
+STRATEGIES = ("drop", "forward_fill", "forward_fill_rows", "backward_fill", "mean", "column_mean")
 
 
 def handle_missing(
@@ -122,6 +162,8 @@ def handle_missing(
     """cln_strategy: dispatcher; an unknown strategy falls back to ``drop``."""
     if strategy == "forward_fill":
         return forward_fill(df, column, keys, order)
+    if strategy == "forward_fill_rows":  # raw rows, any number per key and day (hot keys split into blocks)
+        return forward_fill_rows(df, column, keys, [order])
     if strategy == "backward_fill":
         return backward_fill(df, column, keys, order)
     if strategy == "mean":

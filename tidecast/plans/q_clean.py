@@ -318,3 +318,20 @@ def q_cln_daily_features(spark, sf):
 
     valid, _, _ = intake.validate_frame(rendered_upload(spark, sf))
     return rnd(daily_feature_table(valid.select("store", "date", "sales")))
+
+
+FF_ROWS = "OVER (PARTITION BY store ORDER BY date, order_key, line_number, product, quantity, sales NULLS FIRST ROWS BETWEEN {a} AND {b})"
+
+
+@register(
+    "cln_fill_rows",
+    WG
+    + """SELECT store, date, order_key, line_number, product, quantity,
+       coalesce(sales, last_value(sales IGNORE NULLS) """ + FF_ROWS.format(a="UNBOUNDED PRECEDING", b="CURRENT ROW") + """,
+                first_value(sales IGNORE NULLS) """ + FF_ROWS.format(a="UNBOUNDED PRECEDING", b="UNBOUNDED FOLLOWING") + """) AS sales
+FROM gaps""",
+)
+def q_cln_fill_rows(spark, sf):
+    """Forward fill over every raw row (several per store and day), skew-safe range blocks."""
+    g = sales_fact_with_gaps(spark, sf).select("store", "date", "order_key", "line_number", "product", "quantity", "sales")
+    return clean.forward_fill_rows(g, "sales", ["store"], ["date"], ["order_key", "line_number", "product", "quantity", "sales"])
