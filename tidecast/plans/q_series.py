@@ -350,3 +350,16 @@ FROM g WHERE gap_days IS NOT NULL GROUP BY store""",
 )
 def q_win_intervals(spark, sf):
     return win.intervals(daily(spark, sf), keys=K)
+
+
+@register(
+    "ts_weekly_stats",
+    W
+    + """, ws AS (SELECT store, CAST(date_trunc('week', date) + INTERVAL 6 DAY AS DATE) AS period, sum(sales) AS value FROM fact GROUP BY 1, 2
+       HAVING sum(sales) > 0)
+SELECT store, count(value) AS periods, min(period) AS date_range_start, max(period) AS date_range_end,
+       round((max(period) - min(period)) / 7.0, 2) AS total_weeks, round(avg(value), 2) AS avg_sales, round(stddev_samp(value), 2) AS std_sales,
+       round(min(value), 2) AS min_sales, round(max(value), 2) AS max_sales FROM ws GROUP BY store""",
+)
+def q_ts_weekly_stats(spark, sf):
+    return rnd(ts.series_stats(ts.aggregate(sales_fact(spark, sf), "W", K), K))
