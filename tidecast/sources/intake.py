@@ -164,9 +164,30 @@ def load_with_fallback(spark: SparkSession, candidates: Sequence[str]):
     raise ValueError(f"no usable source among {list(candidates)}: {last_error}")
 
 
+def list_files(spark: SparkSession, landing: str) -> DataFrame:
+    """(path, length) of every file under ``landing`` from the file system's listing.
+
+    File-format sources skip zero-length files before scanning, so an empty upload would be
+    invisible to them; the listing is metadata only (no content is read), gathered on the
+    driver exactly as Spark's own file index lists a table's files. Hidden files (``_``/``.``)
+    are left out, as Spark does.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(landing)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    it = fs.listFiles(root, True)
+    rows = []
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().getName()
+        if not name.startswith(("_", ".")):
+            rows.append((st.getPath().toString(), int(st.getLen())))
+    return spark.createDataFrame(rows, "path string, length bigint")
+
+
 def upload_manifest(spark: SparkSession, landing: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """src_manifest: accept/reject every file of a landing directory (only ``path`` and ``length`` are read)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landing).select("path", "length")
+    """src_manifest: accept/reject every file of a landing directory: .csv only, non-empty, at most ``max_bytes``."""
+    files = list_files(spark, landing)
     name = F.element_at(F.split("path", "/"), -1)
     reason = (
         F.when(~F.lower(name).endswith(".csv"), "not a .csv file")
