@@ -61,3 +61,19 @@ def test_prepared_random_walk_is_stationary(walks):
     assert all(r.d >= 1 and r.is_ready for r in rep.values())
     n = {r.sid: r["count"] for r in prepared.groupBy("sid").count().collect()}
     assert all(n[s] == 90 - rep[s].d for s in n)
+
+
+def test_delete_and_replace_tenant(spark):
+    rows = [(u, f"s{u % 3}", dt.date(2024, 1, 1) + dt.timedelta(days=d), float(u * 100 + d)) for u in range(1, 41) for d in range(3)]
+    df = spark.createDataFrame(rows, "user_id bigint, store_id string, date date, sales double")
+    path = sk.shared_path(spark, "tenant-test")
+    sk.write_stored(sk.upsert(spark, None, [df]), path)
+    sk.delete_tenant(spark, path, 7)
+    t = spark.read.parquet(path)
+    users = {r.user_id for r in t.select("user_id").distinct().collect()}
+    assert users == set(range(1, 41)) - {7} and t.count() == 39 * 3
+    new = spark.createDataFrame([(9, "s9", dt.date(2025, 1, 1), 1.0)], "user_id bigint, store_id string, date date, sales double")
+    sk.replace_tenant(spark, new, path)
+    t = spark.read.parquet(path)
+    assert [tuple(r) for r in t.where("user_id = 9").select("store_id", "sales").collect()] == [("s9", 1.0)]
+    assert t.where("user_id != 9").count() == 38 * 3

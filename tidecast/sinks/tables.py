@@ -165,22 +165,36 @@ def replace_tenant(spark: SparkSession, rows: DataFrame, path: str, tenants: Seq
     exactly ``rows``; other tenants sharing their buckets are carried over unchanged.
 
     The touched buckets are staged in the shared folder first (a job must not read the
-    partitions it overwrites), then swapped in with a dynamic partition overwrite.
+    partitions it overwrites), then swapped in with a dynamic partition overwrite. A touched
+    bucket left with no rows is removed explicitly: a dynamic overwrite only replaces the
+    buckets that receive rows.
     """
     new = stored_shape(rows)
     ids = new.select(TENANT).distinct() if tenants is None else spark.createDataFrame([(int(t),) for t in tenants], f"{TENANT} bigint")
     existing = _read_existing(spark, path)
-    if existing is not None:
-        buckets = ids.select(tenant_bucket().alias(BUCKET)).union(new.select(tenant_bucket().alias(BUCKET))).distinct()
-        keep = (existing.join(buckets, BUCKET, "left_semi").join(ids, TENANT, "left_anti").select(*STORED_COLUMNS))
-        new = keep.unionByName(new.select(*STORED_COLUMNS))
-        staged = shared_path(spark, "replace-stage")
-        new.write.parquet(staged)
-        new = spark.read.parquet(staged)
-    return write_stored(new, path)
+    if existing is None:
+        return write_stored(new, path)
+    buckets = ids.select(tenant_bucket().alias(BUCKET)).union(new.select(tenant_bucket().alias(BUCKET))).distinct()
+    keep = existing.join(buckets, BUCKET, "left_semi").join(ids, TENANT, "left_anti").select(*STORED_COLUMNS)
+    staged = shared_path(spark, "replace-stage")
+    keep.unionByName(new.select(*STORED_COLUMNS)).write.parquet(staged)
+    staged_df = spark.read.parquet(staged)
+    write_stored(staged_df, path)
+    touched = {r[0] for r in buckets.collect()}  # at most TENANT_BUCKETS ids
+    filled = {r[0] for r in staged_df.select(tenant_bucket().alias(BUCKET)).distinct().collect()}
+    for b in sorted(touched - filled):
+        _delete_dir(spark, f"{path.rstrip('/')}/{BUCKET}={b}")
+    return path
+
+
+def _delete_dir(spark: SparkSession, path: str) -> bool:
+    """Remove one partition directory (a metadata operation on the shared file system)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True))
 
 
 def delete_tenant(spark: SparkSession, path: str, tenant_id) -> str:
-    """Remove one tenant: its bucket is rewritten without it (staged, then swapped in)."""
-    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["user_id", "store_id", "date", "sales"]))
+    """Remove one tenant: its bucket is rewritten without it (staged, then swapped in), or removed if it empties."""
+    empty = spark.createDataFrame([], "user_id bigint, store_id string, date date, sales double")
     return replace_tenant(spark, empty, path, tenants=[tenant_id])
