@@ -1,0 +1 @@
+"""Sinks: CSV / JSON files and the tenant-bucketed stored-sales table (upsert, replace, delete)."""
