@@ -193,7 +193,7 @@ def lag_forecast(
     Interval: ± z · std of in-sample residuals per series.
     """
     keys = list(keys)
-    table = ensure_parallelism(lag_training_table(series, keys, period, value))
+    table = ensure_parallelism(lag_training_table(series, keys, period, value)).persist(StorageLevel.MEMORY_AND_DISK)
     params = {"numTrees": 100, "maxDepth": 10, "seed": 42, **rf_params}
     assembler = VectorAssembler(inputCols=LAG_FEATURES, outputCol="features")
     rf = RandomForestRegressor(labelCol=value, featuresCol="features", featureSubsetStrategy="all", **params)

@@ -60,11 +60,10 @@ def target_parallelism(spark: SparkSession) -> int:
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy consumer (model training) at least one partition per core.
+    """Spread the input of an iterative, CPU-heavy fit evenly over the cluster's parallelism.
 
-    Only a DataFrame with fewer partitions than the cluster's parallelism is
-    re-spread (e.g. a small file with a few row groups, or an AQE-coalesced
-    aggregate); a large scan already has thousands of splits and is left alone.
+    One round-robin shuffle, paid once: the caller persists the result and every training
+    pass reads it. (Asking a shuffled DataFrame for its partition count would make AQE run
+    its stages just to answer, and the fit would then compute them again.)
     """
-    n = target_parallelism(df.sparkSession)
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(target_parallelism(df.sparkSession))
