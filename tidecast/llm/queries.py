@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, ngram_lm, pii, quality, secrets, simhash
 from .textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,76 @@ def byte_ranks() -> str:
 @_query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), bpe.Vocabulary(spark, byte_ranks()), kind="digest")
+
+
+@_query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digest(secrets.find(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
+def id_remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@_query
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngram_lm.score(docs, id_remainder(7) == 2)
+
+
+@_query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.with_fingerprint_text(simhash.cluster(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = quality.judge(table(spark, sf_dir, "documents"))
+    return verdict.select("doc_id", *quality.STATS, "base_failed", "n_removed", "kept")
+
+
+#: The same counts and verdict: words and lines by expressions, windows and lines grouped by row.
+ORACLES["op5_quality"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+spots AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
+wins AS (SELECT rid, i, w[i:i+4] AS win FROM spots),
+twice AS (SELECT rid, i FROM wins QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid),
+ls AS (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d),
+lw AS (SELECT rid, source, line, regexp_extract_all(line, '[^ 	-]+') AS w FROM ls),
+norm AS (
+  SELECT rid, source, line, len(w) AS words,
+         md5(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
+  FROM lw WHERE len(w) > 0),
+dup AS (SELECT rid, sum(c - 1) AS n FROM (SELECT rid, line, count(*) AS c FROM norm GROUP BY ALL) GROUP BY rid),
+cls AS (SELECT rid, any_value(source) AS source, min(h) AS c FROM norm GROUP BY rid),
+hosts AS (SELECT source, count(DISTINCT c) AS documents FROM cls GROUP BY source),
+freq AS (SELECT n.source, n.h, count(DISTINCT c.c) AS docs FROM norm n JOIN cls c USING (rid) GROUP BY n.source, n.h),
+wide AS (SELECT f.source, f.h FROM freq f JOIN hosts o ON f.source IS NOT DISTINCT FROM o.source
+         WHERE f.docs > 10 AND f.docs > o.documents * CAST(0.05 AS DOUBLE)),
+gone AS (SELECT n.rid, sum(n.words) AS n FROM norm n JOIN wide x ON n.source IS NOT DISTINCT FROM x.source AND n.h = x.h GROUP BY n.rid),
+r AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed
+  FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, n_removed,
+       (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_removed >= 10
+        AND n_words - n_removed >= n_words * CAST(0.2 AS DOUBLE)) AS kept
+FROM r"""
+
+
+@_query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.sample(table(spark, sf_dir, "documents"), F.xxhash64("text"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@_query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digest(pii.find(table(spark, sf_dir, "documents")), pii.KINDS)

@@ -93,6 +93,18 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def folded_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased words with one blank between them; starts, ends, and each text's first word."""
+    starts, ends, first = word_spans(buf, offsets)
+    size = ends - starts
+    begin = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 32, np.uint8)
+    low = np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[at + np.repeat(begin, size)] = low[at + np.repeat(starts, size)]
+    return out.tobytes(), begin, begin + size, first
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, _U)
     out[:1] = 1
@@ -141,3 +153,27 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = out * _U(_BASE) + h[k : k + m]
     return mix(out)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Groups of a stream that is sorted by integer ``keys``, each as one table; holds one group and one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(n, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        if held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, cols)):
+            yield pa.Table.from_batches(held)
+            held = []
+        edges = [0, *np.flatnonzero(change).tolist(), n]
+        for a, b in zip(edges, edges[1:]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
