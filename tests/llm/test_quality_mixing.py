@@ -102,7 +102,7 @@ def mixed_rows():
     rng = random.Random(5)
     rows = [(None, "a b c", "zz"), (1, None, "a"), (2, "", None), (3, "w " * 500, "\U0001f642"), (4, "w " * 300, "￮"), (5, None, "empty")]
     for s, n in (("a", 400), ("b", 30), ("c", 60), (None, 50), ("é", 5)):
-        rows += [(rng.randrange(10**6), "w " * rng.choice([1, 20, 300]), s) for _ in range(n)]
+        rows += [(rng.randrange(10**15), "w " * rng.choice([1, 20, 300]), s) for _ in range(n)]
     return rows + rows[10:13] * 2
 
 
@@ -125,7 +125,7 @@ def test_mix_query(spark, tmp_path):
         assert r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
         taken[s] = taken.get(s, 0) + r.taken
     for s in sizes:
-        assert abs(taken[s] - goal[s]) <= 1.0 if sizes[s] > 1000 and s in ("a", "b", "c") else abs(taken[s] - goal[s]) <= 500
+        assert abs(taken[s] - goal[s]) <= (20 if s in ("a", "b", "c") else 500)
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert op6_mixing(spark, str(tmp_path / "none")).collect() == []
 

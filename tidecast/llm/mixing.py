@@ -8,8 +8,9 @@ The flight phase moves these probabilities, three documents at a time, along the
 balancing constraints (words taken and documents taken), in a random direction that keeps each expectation,
 until one of the three reaches 0 or 1. A source's documents fly in hashed blocks of ``BLOCK`` and from the
 largest down; each block leaves two undecided documents at most, and these fly again, in blocks, until one
-block per source is left. The landing there drops the constraint on documents, then decides the last one
-by its probability. Everything random follows from hashes of the rows, so reruns agree.
+block per source is left. The landing there drops the constraint on documents, decides the last one by its
+probability, and then makes up for the words this missed by swapping taken for untaken documents of that
+block, while a swap brings the total nearer. Everything random follows from hashes of the rows, so reruns agree.
 
 Defined results: null text has size 0 and is never taken; a null source is a source, last in order;
 repeated rows are units of their own.
@@ -30,6 +31,8 @@ SHARE = 1.5
 CAP = 2.0
 #: Documents that fly together.
 BLOCK = 4096
+#: Swaps at most after a landing.
+SWAPS = 8
 _EPS = 1e-9
 
 
@@ -94,7 +97,29 @@ def fly(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator, land: bool
     out = np.array(p)
     near = np.abs(out - np.round(out)) <= _EPS
     out[near] = np.round(out[near])
-    return out
+    return _swapped(size.astype(float), out, prob) if land else out
+
+
+def _swapped(size: np.ndarray, taken: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Swaps a taken for an untaken unit, of those that were open, while that lessens the words over or under."""
+    free = (prob > _EPS) & (prob < 1 - _EPS)
+    over = float((taken - prob) @ size)
+    for _ in range(SWAPS):
+        ins, outs = np.flatnonzero(free & (taken == 1)), np.flatnonzero(free & (taken == 0))
+        if not ins.size or not outs.size:
+            break
+        outs = outs[np.argsort(size[outs], kind="stable")]
+        place = np.searchsorted(size[outs], size[ins] - over)
+        pairs = [(ins, outs[np.clip(place + d, 0, outs.size - 1)]) for d in (-1, 0)]
+        left = [np.abs(over - size[a] + size[b]) for a, b in pairs]
+        side = int(left[1].min() < left[0].min())
+        n = int(left[side].argmin())
+        if left[side][n] >= abs(over) - _EPS:
+            break
+        a, b = (int(x[n]) for x in pairs[side])
+        taken[a], taken[b] = 0.0, 1.0
+        over += size[b] - size[a]
+    return taken
 
 
 _COLUMNS = ("key", "block", "doc_id", "mark", "size", "source_size", "target", "base", "prob")

@@ -3,8 +3,8 @@
 Words and contexts are known by 64-bit hashes. Documents are dealt to blocks; a block sends each shard one
 packed row per order: the distinct n-grams of its documents with their training counts (0 in held-out
 documents). N-grams belong to the shard of their context, so that a shard knows a context's whole count; a
-very common context is dealt by its words too, and then its count goes along to each of its shards. Every
-shard builds a trie of the trained n-grams:
+very common context is dealt by its words to up to ``FAN`` shards, and every block sends its count to each of
+them. Every shard builds a trie of the trained n-grams:
 
 * vocabulary: the words' hashes;  contexts: the contexts' hashes;  pointers: where each context's words begin,
 * children: each context's words as numbers, made one monotone sequence by adding context x vocabulary,
@@ -43,6 +43,7 @@ BLOCK_BYTES = 16 << 20
 MU = 40.0
 #: A context with more than this share of the sampled tokens is dealt to many shards. Layout only: results don't depend on it.
 HOT_SHARE = 1 / 2000
+FAN = 32
 SAMPLE_BYTES = 4 << 20
 _STEP = 12 / 254
 
@@ -67,6 +68,7 @@ class Grams:
     of: np.ndarray
     shard: np.ndarray
     order: np.ndarray  # positions sorted by shard
+    alone: tuple[np.ndarray, np.ndarray, np.ndarray]  # shard, context, total: spread contexts without a word there
 
 
 def tokens_of(texts, wanted_bytes: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -101,18 +103,29 @@ def grams_of(tokens: np.ndarray, first: np.ndarray, trained: np.ndarray, orders:
         c, w = key // max(words.size, 1), key % max(words.size, 1)
         count = np.bincount(of[trained], minlength=key.size)
         total = np.bincount(c, count, context.size).astype(np.int64)
+        alone = (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))
         if n == 1:
             shard = words[w] % _U(shards)
         else:
             home = mix(context)
-            spread = np.isin(context, hot)[c]
-            shard = np.where(spread, mix(home[c] ^ words[w]), home[c]) % _U(shards)
+            spread = np.isin(context, hot)
+            shard = np.where(spread[c], mix(home[c] + mix(words[w]) % _U(FAN)), home[c]) % _U(shards)
+            alone = _alone(np.flatnonzero(spread & (total > 0)), home, shard, c, context, total, shards)
         shard = shard.astype(np.int64)
-        out.append(Grams(context[c], words[w], count, total[c], of, shard, np.argsort(shard, kind="stable")))
+        out.append(Grams(context[c], words[w], count, total[c], of, shard, np.argsort(shard, kind="stable"), alone))
         history = tokens if n == 1 else mix(before * _U(_BASE) + tokens)
     return out
 
 
+def _alone(spread, home, shard, c, context, total, shards) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shards of spread contexts that get no word from this block, by shard and context."""
+    every = (mix(home[spread][:, None] + np.arange(FAN, dtype=_U)) % _U(shards)).astype(np.int64)
+    asked = np.unique(shard.astype(np.int64) * context.size + c)
+    pairs = np.setdiff1d(every * context.size + spread[:, None], asked)
+    at = pairs % context.size
+    return pairs // context.size, context[at], total[at]
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the end."""
     if not values.size:
@@ -130,14 +143,19 @@ def requests(block: int, grams: list[Grams], shards: int) -> Iterator[tuple]:
     """One packed row per order and shard; every shard is asked for order 1, as its answer brings its totals."""
     for n, g in enumerate(grams, 1):
         edges = np.searchsorted(g.shard[g.order], np.arange(shards + 1))
+        lone = np.searchsorted(g.alone[0], np.arange(shards + 1))
         for s in range(shards):
-            at = g.order[edges[s] : edges[s + 1]]
-            if n > 1 and not at.size:
+            at, more = g.order[edges[s] : edges[s + 1]], slice(lone[s], lone[s + 1])
+            if n > 1 and not at.size and lone[s] == lone[s + 1]:
                 continue
             run = _runs(g.context[at]) if n > 1 else np.zeros(1, np.int64)
+            context, size, total = g.context[at][run[:-1]], np.diff(run), g.total[at][run[:-1]]
+            if lone[s] < lone[s + 1]:  # after the contexts with words
+                context, total = np.append(context, g.alone[1][more]), np.append(total, g.alone[2][more])
+                size = np.append(size, np.zeros(lone[s + 1] - lone[s], np.int64))
             yield (
-                block, n, s, g.context[at][run[:-1]].tobytes(), np.diff(run).astype("<u4").tobytes(),
-                g.total[at][run[:-1]].astype("<u8").tobytes(), g.word[at].tobytes(), g.count[at].astype("<u4").tobytes(),
+                block, n, s, context.tobytes(), size.astype("<u4").tobytes(), total.astype("<u8").tobytes(),
+                g.word[at].tobytes(), g.count[at].astype("<u4").tobytes(),
             )
 
 
@@ -301,8 +319,11 @@ def score(docs: DataFrame, held_out, orders: int = 2, mu: float = MU, block_byte
             codes, escape = np.empty(g.word.size, np.uint8), np.empty(g.word.size, np.uint8)
             codes[g.order] = _column(own, "words", np.uint8)[0]
             # contexts answer once per run of n-grams within a shard
-            runs = np.flatnonzero(np.concatenate([[True], (g.shard[g.order][1:] != g.shard[g.order][:-1]) | (g.context[g.order][1:] != g.context[g.order][:-1])]))
-            escape[g.order] = np.repeat(_column(own, "contexts", np.uint8)[0], np.diff(np.append(runs, g.word.size)))
+            of_shard, of_context = g.shard[g.order], g.context[g.order]
+            runs = np.flatnonzero(np.concatenate([[True], (of_shard[1:] != of_shard[:-1]) | (of_context[1:] != of_context[:-1])]))
+            number = np.bincount(of_shard[runs], minlength=blocks)
+            heard = [np.frombuffer(x.as_buffer(), np.uint8)[: number[s]] for x, s in zip(own.column("contexts"), own.column("shard").to_pylist())]
+            escape[g.order] = np.repeat(np.concatenate(heard), np.diff(np.append(runs, g.word.size)))
             weight = np.where(escape == 0, 1.0, CODEBOOK[escape])
             prob = CODEBOOK[codes][g.of] + weight[g.of] * prob
         at = first[:-1]

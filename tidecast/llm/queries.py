@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_lm, pii, quality, secrets, simhash
+from . import bpe, langid, mixing, ngram_lm, packing, pii, quality, secrets, simhash, topk
 from .textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,13 +60,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_quality"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+         regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 spots AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
 wins AS (SELECT rid, i, w[i:i+4] AS win FROM spots),
 twice AS (SELECT rid, i FROM wins QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid),
 ls AS (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d),
-lw AS (SELECT rid, source, line, regexp_extract_all(line, '[^ 	-]+') AS w FROM ls),
+lw AS (SELECT rid, source, line, regexp_extract_all(line, '[^ 	-
+]+') AS w FROM ls),
 norm AS (
   SELECT rid, source, line, len(w) AS words,
          md5(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
@@ -80,7 +82,7 @@ wide AS (SELECT f.source, f.h FROM freq f JOIN hosts o ON f.source IS NOT DISTIN
 gone AS (SELECT n.rid, sum(n.words) AS n FROM norm n JOIN wide x ON n.source IS NOT DISTINCT FROM x.source AND n.h = x.h GROUP BY n.rid),
 r AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed
@@ -98,6 +100,35 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@_query
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model, held_out.alias("held_out"))
+
+
 @_query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(pii.find(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+@_query
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+ORACLES["op9_topk"] = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+
+@_query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_bytes(table(spark, sf_dir, "documents"))
