@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Characters are code points of the lower-cased text; every run of 1 to ``ORDERS`` of them is hashed to one of
+Characters are code points of the lower-cased text, cut at NUL; every run of 1 to ``ORDERS`` is hashed to one of
 ``BUCKETS`` buckets. Counting runs in the tasks: each emits its counts per language and bucket, which Spark
 adds up. The log-probability matrix has languages x buckets entries at most 2^23 (buckets are halved while it
 would be larger), whatever the corpus, so it is broadcast; texts are scored in numpy batches.
@@ -82,7 +82,7 @@ class Model:
             starts = offsets[:-1]
             held = starts < windows.size
             for k in range(len(self.langs)):
-                total[k, held] += np.add.reduceat(self.log_prob[k][windows], starts[held])
+                total[k, held] += np.add.reduceat(self.log_prob[k][windows], starts[held], dtype=np.float64)
         best = total.argmax(axis=0)
         chance = 1.0 / np.exp(total - total.max(axis=0)).sum(axis=0)
         for i, b, c in zip(at, best.tolist(), chance.tolist()):

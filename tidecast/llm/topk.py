@@ -120,9 +120,9 @@ def top_k(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vecto
     queries = rows.where(is_query).distinct()
     n, m = rows.count(), queries.count()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(m / query_rows))
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = queries.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), each(shards).cast("long").alias("shard"))
-    right = rows.select("id", "x", each(blocks).cast("long").alias("block"), F.pmod(F.xxhash64("id", "x"), F.lit(shards)).alias("shard"))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    left = queries.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), each(shards).alias("shard"))
+    right = rows.select("id", "x", each(blocks).alias("block"), F.pmod(F.xxhash64("id", "x"), F.lit(shards)).alias("shard"))
     found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_search(k), "query_id long, id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
