@@ -130,6 +130,16 @@ def test_mix_query(spark, tmp_path):
     assert op6_mixing(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_targets(spark):
+    rng = random.Random(7)
+    for _ in range(6):
+        sizes = {f"s{i}" if i else None: rng.choice([0, 5, 100, 4000, 10**6]) for i in range(rng.randint(1, 9))}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {r.source: r.target for r in mixing.targets(rows).collect()}
+        want = brute_targets(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
 def test_several_flights(spark):
     rows = [(i, "w " * (1 + i % 37), "one" if i % 3 else f"s{i % 4}") for i in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -53,7 +53,8 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     """source, documents, source_size, target: one row per source.
 
     With sources in order of cap / weight, those before some place stop at their cap and the rest share what
-    is left by weight; the place is the first where the share is within the source's cap.
+    is left by weight; the place is the first where the share is within the source's cap. Further places
+    would take more from what is left than those sources' shares, so theirs is the largest such level.
     """
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -63,7 +64,7 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     after = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     level = (F.sum("source_size").over(every) * share - before) / after
-    shared = weighed.withColumn("level", F.when(level <= full, level)).withColumn("level", F.min("level").over(every))
+    shared = weighed.withColumn("level", F.when(level <= full, level)).withColumn("level", F.max("level").over(every))
     return shared.select("source", "documents", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight"))).alias("target"))
 
 
