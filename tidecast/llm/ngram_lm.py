@@ -1,6 +1,6 @@
 """N-gram language model in Elias-Fano tries, trained on one part of the corpus and scoring all of it.
 
-Words and contexts are known by 64-bit hashes. Documents are dealt to blocks; a block sends each shard one
+Words and contexts are known by 64-bit hashes, words after a context by 48 of those bits. Documents are dealt to blocks; a block sends each shard one
 packed row per order: the distinct n-grams of its documents with their training counts (0 in held-out
 documents). N-grams belong to the shard of their context, so that a shard knows a context's whole count; a
 very common context is dealt by its words to up to ``FAN`` shards, and every block sends its count to each of
@@ -39,7 +39,7 @@ from .textkit import _BASE, mix, sorted_groups, span_hashes, text_bytes, text_sl
 _U = np.uint64
 END, BOS = _U(0xE0D0E0D0E0D0E0D1), _U(0xB05B05B05B05B051)
 #: Text bytes per block; also what a shard's n-grams stem from, on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 MU = 40.0
 #: A context with more than this share of the sampled tokens is dealt to many shards. Layout only: results don't depend on it.
 HOT_SHARE = 1 / 2000
@@ -87,21 +87,43 @@ def tokens_of(texts, wanted_bytes: int = 4 << 20) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(parts) if parts else np.zeros(0, _U)), np.concatenate([[0], np.cumsum(size)])
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and each value's number among them."""
+    distinct, number = np.unique(values, return_inverse=True)
+    return distinct, number.astype(np.int32 if distinct.size < 2**31 else np.int64)
+
+
+def packed_words(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash in 6 bytes."""
+    return np.ascontiguousarray((h >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked_words(raw) -> np.ndarray:
+    short = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :6] = short
+    return out.view("<u8").reshape(-1)
+
+
 def grams_of(tokens: np.ndarray, first: np.ndarray, trained: np.ndarray, orders: int, shards: int, hot: np.ndarray) -> list[Grams]:
     """Distinct n-grams of every order. ``trained``: per token, whether it counts."""
-    words, word_no = np.unique(tokens, return_inverse=True)
-    out, history = [], None
+    words, word_no = _numbered(tokens)
+    out, history = [], tokens
     for n in range(1, orders + 1):
         if n == 1:
-            context, context_no = np.zeros(1, _U), np.zeros(tokens.size, np.int64)
+            context, context_no = np.zeros(1, _U), np.zeros(1, np.int32)
         else:
             before = np.empty(tokens.size, _U)
             before[1:] = history[:-1]
             before[first[:-1]] = BOS
-            context, context_no = np.unique(before, return_inverse=True)
-        key, of = np.unique(context_no * words.size + word_no, return_inverse=True)
-        c, w = key // max(words.size, 1), key % max(words.size, 1)
-        count = np.bincount(of[trained], minlength=key.size)
+            context, context_no = _numbered(before)
+            if n < orders:
+                history = mix(before * _U(_BASE) + tokens)
+            del before
+        key, of = _numbered(context_no.astype(np.int64) * words.size + word_no)
+        c, w = np.divmod(key, max(words.size, 1))
+        del key, context_no
+        count = np.bincount(of[trained], minlength=c.size)
         total = np.bincount(c, count, context.size).astype(np.int64)
         alone = (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64))
         if n == 1:
@@ -112,8 +134,7 @@ def grams_of(tokens: np.ndarray, first: np.ndarray, trained: np.ndarray, orders:
             shard = np.where(spread[c], mix(home[c] + mix(words[w]) % _U(FAN)), home[c]) % _U(shards)
             alone = _alone(np.flatnonzero(spread & (total > 0)), home, shard, c, context, total, shards)
         shard = shard.astype(np.int64)
-        out.append(Grams(context[c], words[w], count, total[c], of, shard, np.argsort(shard, kind="stable"), alone))
-        history = tokens if n == 1 else mix(before * _U(_BASE) + tokens)
+        out.append(Grams(context[c], words[w], count.astype(np.uint32), total[c], of, shard, np.argsort(shard, kind="stable"), alone))
     return out
 
 
@@ -155,7 +176,7 @@ def requests(block: int, grams: list[Grams], shards: int) -> Iterator[tuple]:
                 size = np.append(size, np.zeros(lone[s + 1] - lone[s], np.int64))
             yield (
                 block, n, s, context.tobytes(), size.astype("<u4").tobytes(), total.astype("<u8").tobytes(),
-                g.word[at].tobytes(), g.count[at].astype("<u4").tobytes(),
+                g.word[at].tobytes() if n == 1 else packed_words(g.word[at]), g.count[at].astype("<u4").tobytes(),
             )
 
 
@@ -220,7 +241,7 @@ def trie_of(group: pa.Table, mu: float) -> bytes:
     context, _ = _column(group, "context", "<u8")
     children, _ = _column(group, "children", "<u4")
     total, _ = _column(group, "total", "<u8")
-    word, _ = _column(group, "word", "<u8")
+    word = np.concatenate([unpacked_words(x.as_buffer()) for x in group.column("word")])
     count, _ = _column(group, "count", "<u4")
     every, number = np.unique(context, return_inverse=True)
     sums = np.bincount(number, total.astype(float), every.size)
@@ -250,8 +271,8 @@ def _answers(mu: float):
     def higher(group: pa.Table) -> Iterator[tuple]:
         trie = Trie(mapped(trie_of(group, mu)))
         for i, block in enumerate(group.column("block").to_pylist()):
-            context, children, word = (np.frombuffer(group.column(c)[i].as_buffer(), kind) for c, kind in (("context", "<u8"), ("children", "<u4"), ("word", "<u8")))
-            codes, escape = trie.look_up(context, children, word)
+            context, children = (np.frombuffer(group.column(c)[i].as_buffer(), kind) for c, kind in (("context", "<u8"), ("children", "<u4")))
+            codes, escape = trie.look_up(context, children, unpacked_words(group.column("word")[i].as_buffer()))
             yield block, codes.tobytes(), escape.tobytes(), 0, 0
 
     def run(batches):
@@ -298,8 +319,9 @@ def score(docs: DataFrame, held_out, orders: int = 2, mu: float = MU, block_byte
         return tokens, first, grams_of(tokens, first, trained, orders, blocks, hot)
 
     def ask(part: pa.Table) -> pa.Table:
-        _, _, grams = prepare(part)
+        grams = prepare(part)[2]
         columns = list(zip(*requests(part.column("block")[0].as_py(), grams, blocks)))
+        del grams
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, REQUEST)], schema=REQUEST)
 
     def total(part: pa.Table, answers: pa.Table) -> pa.Table:
