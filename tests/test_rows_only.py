@@ -67,7 +67,7 @@ def test_delete_and_replace_tenant(spark):
     rows = [(u, f"s{u % 3}", dt.date(2024, 1, 1) + dt.timedelta(days=d), float(u * 100 + d)) for u in range(1, 41) for d in range(3)]
     df = spark.createDataFrame(rows, "user_id bigint, store_id string, date date, sales double")
     path = sk.shared_path(spark, "tenant-test")
-    sk.write_stored(sk.upsert(spark, None, [df]), path)
+    sk.write_stored(sk.upsert(spark, None, [df], order="user_id"), path)
     sk.delete_tenant(spark, path, 7)
     t = spark.read.parquet(path)
     users = {r.user_id for r in t.select("user_id").distinct().collect()}

@@ -10,20 +10,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted date layouts in priority order — year-first ISO shapes, then
-# day-first, then month-first (a slash date whose middle number cannot be a month) —
+# day-first, then month-first (a date whose middle number cannot be a month) —
 # each with the text shape it applies to. Every text matches at most one layout.
 DATE_PATTERNS = (
     ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
     ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
-    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("d-M-yyyy", r"^\d{1,2}-(0?[1-9]|1[0-2])-\d{4}$"),
     ("d/M/yyyy", r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4}$"),
-    ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("d.M.yyyy", r"^\d{1,2}\.(0?[1-9]|1[0-2])\.\d{4}$"),
+    ("d-M-yy", r"^\d{1,2}-(0?[1-9]|1[0-2])-\d{2}$"),
+    ("d/M/yy", r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{2}$"),
     ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]{4,9} \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
     ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M.d.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("M-d-yy", r"^\d{1,2}-\d{1,2}-\d{2}$"),
+    ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
 )
+# Fixed value: two-digit years from this one on belong to the 1900s.
+CENTURY_TURN = 69
 
 # Timestamps with a time part are cut to their date first.
-_TIME_SUFFIX = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
+_TIME_SUFFIX = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?(Z|[+-]\d{2}:?\d{2})?$"
 
 
 def date_layout(text: Column, patterns=DATE_PATTERNS) -> Column:
@@ -45,7 +57,11 @@ def parse_date(col, patterns=DATE_PATTERNS) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     raw = F.trim(c.cast("string"))
     text = F.when(F.length(raw) > 11, F.regexp_replace(raw, _TIME_SUFFIX, "")).otherwise(raw)
-    return F.call_function("try_to_date", text, date_layout(text, patterns))
+    layout = date_layout(text, patterns)
+    named = F.when(text.rlike("[A-Za-z]"), F.initcap(text)).otherwise(text)  # month names in any case
+    parsed = F.call_function("try_to_date", named, layout)
+    old = layout.endswith("/yy") | layout.endswith("-yy")
+    return F.when(old & (F.year(parsed) >= 2000 + CENTURY_TURN), F.add_months(parsed, -1200)).otherwise(parsed)
 
 
 def parse_sales(col) -> Column:

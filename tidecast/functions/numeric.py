@@ -38,6 +38,7 @@ def signed_pct_text(x, decimals: int = 1) -> Column:
 
 
 SNAP_DP = 6
+MOST_SCALED = 9e18  # just under the end of BIGINT
 
 
 def round_half_up(x, dp: int = 2) -> Column:
@@ -45,10 +46,13 @@ def round_half_up(x, dp: int = 2) -> Column:
 
     Snap to 6 decimals first (absorbs summation-order noise such as
     30021.184999999 vs 30021.185000001), then round half up — using only IEEE
-    multiply / add / floor, so Spark and an SQL oracle agree exactly.
+    multiply / add / floor, so Spark and an SQL oracle agree exactly. ``floor`` yields a
+    BIGINT, which ends at 9.22e18; values whose scaled form would pass it are rounded as
+    decimals instead.
     """
     c = _c(x)
     if dp >= SNAP_DP:
-        return F.floor(c * 10.0**dp + 0.5) / 10.0**dp
-    snapped = F.floor(c * 10.0**SNAP_DP + 0.5) / 10.0**SNAP_DP
-    return F.floor(snapped * 10.0**dp + 0.5) / 10.0**dp
+        snapped = F.floor(c * 10.0**dp + 0.5) / 10.0**dp
+    else:
+        snapped = F.floor(F.floor(c * 10.0**SNAP_DP + 0.5) / 10.0**SNAP_DP * 10.0**dp + 0.5) / 10.0**dp
+    return F.when(F.abs(c) * 10.0 ** max(dp, SNAP_DP) < MOST_SCALED, snapped).otherwise(F.round(c, dp))

@@ -351,14 +351,16 @@ def unified_analysis(fact: DataFrame, store: str = STORE, date: str = DATE, sale
 
 # --- agg_histogram -----------------------------------------------------------------------------
 def histogram(fact: DataFrame, sales: str = SALES, bins: int = 50, keys: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins between min and max (the max lands in the last bin)."""
+    """Equal-width bins between min and max (the max lands in the last bin), empty bins included."""
     keys = _keys(keys)
     rng = fact.groupBy(*keys).agg(F.min(sales).alias("lo"), F.max(sales).alias("hi"))
     joined = fact.select(*keys, sales).where(F.col(sales).isNotNull())
     joined = attach_row(joined, rng, keys)
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((F.col(sales) - F.col("lo")) / width), F.lit(bins - 1)))
-    h = joined.groupBy(*keys, b.cast("int").alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
+    counts = joined.groupBy(*keys, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    every = rng.where(F.col("lo").isNotNull()).select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    h = every.join(counts, [*keys, "bin"], "left").fillna({"count": 0})
     return h.select(
         *keys,
         "bin",
@@ -369,9 +371,13 @@ def histogram(fact: DataFrame, sales: str = SALES, bins: int = 50, keys: Sequenc
 
 
 def fixed_width_histogram(fact: DataFrame, sales: str = SALES, width: float = 2000.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Bins of ``width`` from the lowest to the highest value's, empty bins between them included."""
     keys = _keys(keys)
     b = F.floor(F.col(sales) / width).cast("long")
-    return fact.where(F.col(sales).isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count")).withColumns(
+    counts = fact.where(F.col(sales).isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    span = counts.groupBy(*keys).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where(F.col("lo").isNotNull())
+    every = span.select(*keys, F.explode(F.sequence("lo", "hi")).alias("bin"))
+    return every.join(counts, [*keys, "bin"], "left").fillna({"count": 0}).withColumns(
         {"bin_start": F.col("bin") * width, "bin_end": (F.col("bin") + 1) * width}
     )
 

@@ -13,41 +13,36 @@ from .registry import register, rnd, with_ctes
 W = with_ctes(FACT_CTE)
 WG = with_ctes(FACT_CTE, GAPS_CTE)
 
-# Upload-shaped text rendered from lineitem: five date layouts, junk dates and junk sales by fixed rules.
+# Upload-shaped text rendered from lineitem: twelve date layouts, junk dates and junk sales by fixed rules.
+LAYOUTS = (  # DuckDB layout, Spark layout
+    ("%Y-%m-%d", "yyyy-MM-dd"), ("%d-%m-%Y", "dd-MM-yyyy"), ("%d/%m/%Y", "dd/MM/yyyy"), ("%Y/%m/%d", "yyyy/MM/dd"),
+    ("%d.%m.%Y", "dd.MM.yyyy"), ("%d %B %Y", "dd MMMM yyyy"), ("%b %d, %Y", "MMM dd, yyyy"), ("%d/%m/%y", "dd/MM/yy"),
+    ("%Y%m%d", "yyyyMMdd"), ("%d %b %Y", "dd MMM yyyy"), ("%m-%d-%Y", "MM-dd-yyyy"), ("%m/%d/%Y 10:30 AM", "MM/dd/yyyy '10:30 AM'"),
+)
 RAW_CTE = """raw AS (
   SELECT store AS "Store_ID",
          CASE WHEN order_key % 31 = 0 THEN 'bad-date'
-              WHEN order_key % 5 = 0 THEN strftime(date, '%Y-%m-%d')
-              WHEN order_key % 5 = 1 THEN strftime(date, '%d-%m-%Y')
-              WHEN order_key % 5 = 2 THEN strftime(date, '%d/%m/%Y')
-              WHEN order_key % 5 = 3 THEN strftime(date, '%Y/%m/%d')
-              ELSE strftime(date, '%d.%m.%Y') END AS "Date ",
+              """ + "\n              ".join(f"WHEN (order_key + line_number) % {len(LAYOUTS)} = {i} THEN strftime(date, '{x}')" for i, (x, _) in enumerate(LAYOUTS)) + """ END AS "Date ",
          CASE WHEN (order_key + line_number) % 37 = 0 THEN 'n/a' ELSE printf('%.2f', sales) END AS " Weekly_Sales",
          CAST(CAST(quantity AS BIGINT) AS VARCHAR) AS "Quantity",
          CAST(order_key AS VARCHAR) AS "Order_Key", CAST(line_number AS VARCHAR) AS "Line"
   FROM fact)"""
-PARSE_SQL = """CAST(COALESCE(try_strptime(t, '%Y-%m-%d'), try_strptime(t, '%Y/%m/%d'), try_strptime(t, '%d-%m-%Y'),
-       try_strptime(t, '%d/%m/%Y'), try_strptime(t, '%d.%m.%Y'), try_strptime(t, '%d %b %Y'), try_strptime(t, '%m/%d/%Y')) AS DATE)"""
+PARSE_SQL = r"""CAST(CASE WHEN regexp_full_match(t, '\d{{1,2}}/\d{{1,2}}/\d{{2}}') THEN COALESCE(try_strptime(t, '%d/%m/%y'), try_strptime(t, '%m/%d/%y'))
+       WHEN regexp_full_match(t, '\d{{8}}') THEN try_strptime(t, '%Y%m%d')
+       ELSE COALESCE(try_strptime(t, '%Y-%m-%d'), try_strptime(t, '%Y/%m/%d'), try_strptime(t, '%d-%m-%Y'),
+       try_strptime(t, '%d/%m/%Y'), try_strptime(t, '%d.%m.%Y'), try_strptime(t, '%d %b %Y'), try_strptime(t, '%d %B %Y'),
+       try_strptime(t, '%b %d, %Y'), try_strptime(t, '%B %d, %Y'), try_strptime(t, '%m-%d-%Y'), try_strptime(t, '%m/%d/%Y')) END AS DATE)""".replace("{{", "{").replace("}}", "}")
 TYPED_CTE = """typed AS (
   SELECT trim("Store_ID") AS store, {parse} AS date, TRY_CAST(trim(" Weekly_Sales") AS DOUBLE) AS sales, "Date " AS raw_date,
          "Quantity" AS quantity, "Order_Key" AS order_key, "Line" AS line
-  FROM (SELECT *, trim("Date ") AS t FROM raw))""".format(parse=PARSE_SQL)
+  FROM (SELECT *, replace(trim("Date "), ' 10:30 AM', '') AS t FROM raw))""".format(parse=PARSE_SQL)
 WR = with_ctes(FACT_CTE, RAW_CTE, TYPED_CTE)
 
 
 def rendered_upload(spark, sf):
     f = sales_fact(spark, sf)
-    k = F.col("order_key") % 5
-    y = F.year("date").cast("string")
-    m = F.lpad(F.month("date").cast("string"), 2, "0")
-    d = F.lpad(F.dayofmonth("date").cast("string"), 2, "0")
-    fmt = (  # plain string assembly: cheap to re-evaluate wherever the optimizer inlines it
-        F.when(k == 0, F.concat_ws("-", y, m, d))
-        .when(k == 1, F.concat_ws("-", d, m, y))
-        .when(k == 2, F.concat_ws("/", d, m, y))
-        .when(k == 3, F.concat_ws("/", y, m, d))
-        .otherwise(F.concat_ws(".", d, m, y))
-    )
+    k = (F.col("order_key") + F.col("line_number")) % len(LAYOUTS)
+    fmt = F.coalesce(*[F.when(k == i, F.date_format("date", x)) for i, (_, x) in enumerate(LAYOUTS)])
     return f.select(
         F.col("store").alias("Store_ID"),
         F.when(F.col("order_key") % 31 == 0, F.lit("bad-date")).otherwise(fmt).alias("Date "),

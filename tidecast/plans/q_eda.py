@@ -286,9 +286,11 @@ def q_agg_unified(spark, sf):
     W
     + """, r AS (SELECT min(sales) AS lo, max(sales) AS hi FROM fact),
 b AS (SELECT CAST(CASE WHEN (hi - lo) / 50 = 0 THEN 0 ELSE least(floor((sales - lo) / ((hi - lo) / 50)), 49) END AS INTEGER) AS bin, lo, hi
-      FROM fact, r WHERE sales IS NOT NULL)
-SELECT bin, round(lo + bin * (hi - lo) / 50, 2) AS bin_start, round(lo + (bin + 1) * (hi - lo) / 50, 2) AS bin_end, count(*) AS count
-FROM b GROUP BY bin, lo, hi""",
+      FROM fact, r WHERE sales IS NOT NULL),
+c AS (SELECT bin, count(*) AS count FROM b GROUP BY bin),
+e AS (SELECT lo, hi, CAST(unnest(range(50)) AS INTEGER) AS bin FROM r WHERE lo IS NOT NULL)
+SELECT e.bin, round(lo + e.bin * (hi - lo) / 50, 2) AS bin_start, round(lo + (e.bin + 1) * (hi - lo) / 50, 2) AS bin_end, coalesce(c.count, 0) AS count
+FROM e LEFT JOIN c USING (bin)""",
 )
 def q_agg_histogram(spark, sf):
     return rnd(eda.histogram(sales_fact(spark, sf)))
@@ -297,8 +299,9 @@ def q_agg_histogram(spark, sf):
 @register(
     "agg_histogram_fixed",
     W
-    + """SELECT CAST(floor(sales / 2000.0) AS BIGINT) AS bin, count(*) AS count, floor(sales / 2000.0) * 2000.0 AS bin_start,
-       (floor(sales / 2000.0) + 1) * 2000.0 AS bin_end FROM fact WHERE sales IS NOT NULL GROUP BY 1, 3, 4""",
+    + """, c AS (SELECT CAST(floor(sales / 2000.0) AS BIGINT) AS bin, count(*) AS count FROM fact WHERE sales IS NOT NULL GROUP BY 1),
+e AS (SELECT unnest(generate_series(lo, hi)) AS bin FROM (SELECT min(bin) AS lo, max(bin) AS hi FROM c))
+SELECT e.bin, coalesce(c.count, 0) AS count, e.bin * 2000.0 AS bin_start, (e.bin + 1) * 2000.0 AS bin_end FROM e LEFT JOIN c USING (bin)""",
 )
 def q_agg_histogram_fixed(spark, sf):
     return rnd(eda.fixed_width_histogram(sales_fact(spark, sf)))

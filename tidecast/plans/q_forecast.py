@@ -17,13 +17,18 @@ from .registry import register, rnd, with_ctes
 K = ["store"]
 
 NAIVE_CTE = """ms AS (SELECT store, CAST(date_trunc('month', date) AS DATE) AS period, sum(sales) AS value FROM fact GROUP BY 1, 2 HAVING sum(sales) > 0),
-rk AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY period) AS rn, count(*) OVER (PARTITION BY store) AS n,
-       value - lag(value, 12) OVER (PARTITION BY store ORDER BY period) AS sd FROM ms),
+mcal AS (SELECT store, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS period FROM (SELECT store, min(period) AS lo, max(period) AS hi FROM ms GROUP BY store)),
+mf AS (SELECT c.store, c.period, last_value(m.value IGNORE NULLS) OVER (PARTITION BY c.store ORDER BY c.period) AS value
+       FROM mcal c LEFT JOIN ms m ON m.store = c.store AND m.period = c.period),
+rk AS (SELECT f.*, row_number() OVER (PARTITION BY f.store ORDER BY f.period) AS rn, count(*) OVER (PARTITION BY f.store) AS n,
+       f.value - y.value AS sd FROM mf f LEFT JOIN mf y ON y.store = f.store AND y.period = f.period - INTERVAL 12 MONTH),
 sg AS (SELECT store, stddev_samp(sd) AS sigma, max(period) AS last, max(n) AS n FROM rk GROUP BY store),
 st AS (SELECT store, sigma, last, n, unnest(generate_series(1, 12)) AS step FROM sg),
-fct AS (SELECT st.store, CAST(st.step AS INTEGER) AS step, CAST(st.last + to_months(CAST(st.step AS INTEGER)) AS DATE) AS period, rk.value AS forecast,
-        1.96 * sigma * sqrt(ceil(st.step / 12)) AS half FROM st JOIN rk ON rk.store = st.store AND rk.rn = st.n - 12 + ((st.step - 1) % 12) + 1),
-fc AS (SELECT store, step, period, forecast, forecast - half AS lower_ci, forecast + half AS upper_ci, 2 * half AS ci_width FROM fct)"""
+fct AS (SELECT st.store, CAST(st.step AS INTEGER) AS step, CAST(st.last + to_months(CAST(st.step AS INTEGER)) AS DATE) AS period,
+        coalesce(s.value, z.value) AS forecast, CASE WHEN s.value IS NULL THEN 'short history' ELSE 'seasonal' END AS status,
+        1.96 * sigma * sqrt(ceil(st.step / 12)) AS half FROM st JOIN mf z ON z.store = st.store AND z.period = st.last
+        LEFT JOIN mf s ON s.store = st.store AND s.period = CAST(st.last + to_months(CAST((st.step - 1) % 12 - 11 AS INTEGER)) AS DATE)),
+fc AS (SELECT store, step, period, forecast, forecast - half AS lower_ci, forecast + half AS upper_ci, 2 * half AS ci_width, status FROM fct)"""
 WN = with_ctes(FACT_CTE, NAIVE_CTE)
 
 PROFILE_CTE = """d AS (SELECT date, sum(sales) AS sales FROM fact GROUP BY date),
@@ -57,7 +62,7 @@ def profile(spark, sf):
 @register(
     "fc_seasonal_naive",
     WN + """SELECT store, step, period, round(forecast, 2) AS forecast, round(lower_ci, 2) AS lower_ci, round(upper_ci, 2) AS upper_ci,
-       round(ci_width, 2) AS ci_width FROM fc""",
+       round(ci_width, 2) AS ci_width, status FROM fc""",
 )
 def q_fc_seasonal_naive(spark, sf):
     return rnd(naive(spark, sf))
@@ -161,9 +166,9 @@ def q_agg_pred_monthly(spark, sf):
 t AS (SELECT *, CASE WHEN l > f THEN 'increasing' ELSE 'decreasing' END AS trend, CASE WHEN f <> 0 THEN (l - f) / f * 100 ELSE 0.0 END AS trend_value FROM g)
 SELECT round(average_forecast, 2) AS average_forecast, round(max_forecast, 2) AS max_forecast, round(min_forecast, 2) AS min_forecast, trend,
        round(trend_value, 4) AS trend_value, round(volatility, 2) AS volatility, peak_date, low_date, monthname(peak_date) AS peak_month,
-       printf('Peak forecast occurs on %s with projected sales of $%,.2f. Increase stock and staffing around this period.', CAST(peak_date AS VARCHAR), max_forecast) AS peak_advice,
-       printf('Lowest forecast occurs on %s with projected sales of $%,.2f. Reduce safety stock and adjust procurement to avoid overstocking.', CAST(low_date AS VARCHAR), min_forecast) AS low_advice,
-       printf('Current trend is %s (%.2f%%). Focus marketing campaigns around rising demand and transit inventory to best-selling categories.', trend, trend_value) AS trend_advice
+       printf('Highest day: %s, about $%,.2f. Plan extra stock and staff for it.', CAST(peak_date AS VARCHAR), max_forecast) AS peak_advice,
+       printf('Lowest day: %s, about $%,.2f. Order less ahead of it.', CAST(low_date AS VARCHAR), min_forecast) AS low_advice,
+       printf('Sales are %s over the horizon (%.2f%%).', trend, trend_value) AS trend_advice
 FROM t""",
 )
 def q_fc_insights(spark, sf):
@@ -224,11 +229,13 @@ def q_agg_forecast_summary(spark, sf):
     "fc_horizon",
     with_ctes(FACT_CTE)
     + """, ws AS (SELECT store, CAST(date_trunc('week', date) + INTERVAL 6 DAY AS DATE) AS period, sum(sales) AS value FROM fact GROUP BY 1, 2 HAVING sum(sales) > 0),
-rk AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY period) AS rn, count(*) OVER (PARTITION BY store) AS n,
-       value - lag(value, 52) OVER (PARTITION BY store ORDER BY period) AS sd FROM ws),
-sg AS (SELECT store, stddev_samp(sd) AS sigma, max(period) AS last, max(n) AS n FROM rk GROUP BY store),
-st AS (SELECT store, sigma, last, n, unnest(generate_series(1, 26)) AS step FROM sg),
-f AS (SELECT st.store, rk.value AS forecast FROM st JOIN rk ON rk.store = st.store AND rk.rn = st.n - 52 + ((st.step - 1) % 52) + 1)
+wcal AS (SELECT store, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS period FROM (SELECT store, min(period) AS lo, max(period) AS hi FROM ws GROUP BY store)),
+wf AS (SELECT c.store, c.period, last_value(w.value IGNORE NULLS) OVER (PARTITION BY c.store ORDER BY c.period) AS value
+       FROM wcal c LEFT JOIN ws w ON w.store = c.store AND w.period = c.period),
+sg AS (SELECT store, max(period) AS last FROM wf GROUP BY store),
+st AS (SELECT store, last, unnest(generate_series(1, 26)) AS step FROM sg),
+f AS (SELECT st.store, coalesce(s.value, z.value) AS forecast FROM st JOIN wf z ON z.store = st.store AND z.period = st.last
+      LEFT JOIN wf s ON s.store = st.store AND s.period = st.last + CAST(7 * ((st.step - 1) % 52 - 51) AS INTEGER))
 SELECT store, round(avg(forecast), 2) AS mean, round(quantile_cont(forecast, 0.5), 2) AS median, round(stddev_samp(forecast), 2) AS std,
        round(min(forecast), 2) AS min, round(max(forecast), 2) AS max, round(max(forecast) - min(forecast), 2) AS range, count(forecast) AS count
 FROM f GROUP BY store""",
@@ -284,8 +291,11 @@ def q_fc_chart_stats(spark, sf):
     "fc_histogram",
     WN
     + """, r AS (SELECT store, min(forecast) AS lo, max(forecast) AS hi FROM fc GROUP BY store)
+, c AS (
 SELECT store, CAST(CASE WHEN (hi - lo) / 6 = 0 THEN 0 ELSE least(floor((forecast - lo) / ((hi - lo) / 6)), 5) END AS INTEGER) AS bin, count(*) AS count
-FROM fc JOIN r USING (store) GROUP BY 1, 2""",
+FROM fc JOIN r USING (store) GROUP BY 1, 2),
+e AS (SELECT store, CAST(unnest(range(6)) AS INTEGER) AS bin FROM r)
+SELECT e.store, e.bin, coalesce(c.count, 0) AS count FROM e LEFT JOIN c ON c.store = e.store AND c.bin = e.bin""",
 )
 def q_fc_histogram(spark, sf):
     return fc.forecast_histogram(naive(spark, sf), 6, K)

@@ -43,4 +43,4 @@ def q_stream_upsert(spark, sf):
     # one file per group of tenants: every key lives in exactly one file, so file order cannot change a result
     t.repartition(4, "user_id").write.option("header", True).csv(landing)
     ingest.run_upload_ingest(spark, landing, table, base + "/_checkpoint", ["user_id", "store_id", "date", "sales", "event_id"])
-    return spark.read.parquet(table).drop("tenant_bucket")
+    return spark.read.parquet(table).drop(*sk.PARTITION)

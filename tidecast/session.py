@@ -7,7 +7,9 @@ session in and the settings below come from the cluster configuration.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local tests) is a scratch folder created and registered.
+    and everything runs on this machine (local tests) is a scratch folder created
+    and registered; it goes when the process ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,7 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidecast-ckpt-", dir="/tmp")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return configured
 

@@ -1,12 +1,12 @@
 """Sinks: CSV / JSON files and the multi-tenant stored-sales table.
 
 The stored table is Parquet partitioned by a hashed tenant bucket
-(``tenant_bucket = pmod(xxhash64(user_id), TENANT_BUCKETS)``): a tenant filter
-prunes to one bucket directory and Parquet statistics skip the rest, while the
-number of directories stays fixed however many (small) tenants there are.
-Upserts are one aggregate (``max_by`` over a (batch, order) struct: last write
-wins, combined map-side so a hot key is collapsed before the shuffle) followed
-by a *dynamic* partition overwrite of the touched buckets only.
+(``tenant_bucket = pmod(xxhash64(user_id), TENANT_BUCKETS)``) and the sale's month:
+a tenant filter prunes to one bucket and a date filter to its months, and an upload
+of a few days rewrites only the (bucket, month) directories it touches, however
+large the table has grown. Upserts are one aggregate (``max_by`` over a (batch,
+order) struct: last write wins, combined map-side so a hot key is collapsed before
+the shuffle) followed by a *dynamic* partition overwrite of those directories.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import season, weekday0
+from ..functions.dates import parse_date
 from ..session import ensure_checkpoint_dir
 
 TENANT = "user_id"
 BUCKET = "tenant_bucket"
+MONTH = "sale_month"
+PARTITION = (BUCKET, MONTH)
 TENANT_BUCKETS = 64
 STORED_KEY = ("user_id", "store_id", "date")
 STORED_COLUMNS = ["user_id", "store_id", "date", "sales", "year", "month", "week", "quarter", "season", "day_of_week", "day_of_year"]
@@ -32,6 +35,11 @@ def tenant_bucket(tenant_col=TENANT, buckets: int = TENANT_BUCKETS):
     return F.pmod(F.xxhash64(c.cast("bigint")), F.lit(buckets)).cast("int")
 
 
+def partition_columns() -> dict:
+    """Partition key of a stored row."""
+    return {BUCKET: tenant_bucket(), MONTH: F.date_format("date", "yyyy-MM")}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory (never a node-local temp dir)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
@@ -71,12 +79,23 @@ def json_report(predictions: DataFrame, keys: Sequence[str], order: str = "date"
     return g.select(*keys, F.to_json(doc).alias("report_json"))
 
 
+def typed_date(df: DataFrame, date: str = "date"):
+    """The date column as DATE; texts are parsed row by row, in every layout of the intake."""
+    return parse_date(F.col(date)) if dict(df.dtypes)[date] == "string" else F.col(date).cast("date")
+
+
+def key_types(df: DataFrame):
+    """Whether a row's key types, so that it can be stored."""
+    return F.col(TENANT).try_cast("bigint").isNotNull() & F.col("store_id").isNotNull() & typed_date(df).isNotNull()
+
+
 def stored_shape(df: DataFrame, date: str = "date") -> DataFrame:
-    """The stored-sales row: key, sales and the calendar parts kept with it."""
+    """The stored-sales row: key, sales and the calendar parts kept with it. What does not type is NULL."""
+    df = df.withColumn(date, typed_date(df, date))
     d = F.col(date)
     return df.select(
-        F.col(TENANT).cast("bigint").alias(TENANT), F.col("store_id").cast("string").alias("store_id"), d.cast("date").alias("date"),
-        F.col("sales").cast("double").alias("sales"),
+        F.col(TENANT).try_cast("bigint").alias(TENANT), F.col("store_id").cast("string").alias("store_id"), d.alias("date"),
+        F.col("sales").try_cast("double").alias("sales"),
         F.year(d).alias("year"), F.month(d).alias("month"), F.weekofyear(d).alias("week"), F.quarter(d).alias("quarter"),
         season(F.month(d)).alias("season"), weekday0(d).alias("day_of_week"), F.dayofyear(d).alias("day_of_year"),
         *[F.col(c) for c in ("__batch", "__order") if c in df.columns],
@@ -84,66 +103,69 @@ def stored_shape(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def merge_last_wins(existing: DataFrame | None, batches: Sequence[DataFrame], key: Sequence[str] = STORED_KEY,
-                    order: str | None = None) -> DataFrame:
+                    *, order: str) -> DataFrame:
     """Union existing rows (batch 0) and new batches (1..n); keep the last version of every key.
 
-    ``order`` breaks ties inside one batch (later value wins), like row order in an upload.
+    ``order`` ranks the rows of one batch (the largest value wins), like row order in an upload; rows
+    that tie in it too are ranked by their content, so the result never depends on the plan.
     """
     parts = []
     if existing is not None:
         parts.append(existing.withColumns({"__batch": F.lit(0), "__order": F.lit(None).cast("long")}))
     for i, b in enumerate(batches, start=1):
-        parts.append(b.withColumns({"__batch": F.lit(i), "__order": (F.col(order) if order else F.lit(0)).cast("long")}))
+        parts.append(b.withColumns({"__batch": F.lit(i), "__order": F.col(order).cast("long")}))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
     rest = [c for c in u.columns if c not in key and not c.startswith("__")]
-    g = u.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct("__batch", "__order")).alias("__row"))
+    g = u.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct("__batch", "__order", *rest)).alias("__row"))
     return g.select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
-def upsert(spark: SparkSession, path: str | None, batches: Sequence[DataFrame], order: str | None = None) -> DataFrame:
+def upsert(spark: SparkSession, path: str | None, batches: Sequence[DataFrame], *, order: str) -> DataFrame:
     """snk_upsert: insert-or-replace on (user_id, store_id, date), written with dynamic partition overwrite.
 
-    Rows whose key does not type (NULL after cast) are not stored; ``upsert_report`` counts them.
+    Rows whose key does not type are not stored; ``upsert_report`` counts them.
     Writing the result back over the table it read is safe: dynamic overwrite writes into a
-    staging folder and swaps the touched bucket directories only at job commit, after every
-    task (including retries after an executor loss) has read the old files.
+    staging folder and swaps the touched directories only at job commit, after every
+    task (including retries after an executor loss) has read the old files. A table that is
+    there but cannot be read fails the upsert: nothing is merged with nothing.
     """
-    typed = [stored_shape(b.withColumn("__order", F.col(order)) if order else b).where(
+    typed = [stored_shape(b.withColumn("__order", F.col(order))).where(
         F.col(TENANT).isNotNull() & F.col("store_id").isNotNull() & F.col("date").isNotNull()) for b in batches]
     existing = _read_existing(spark, path)
     touched = None
     if existing is not None:
-        # every row of every touched bucket is rewritten: read exactly those buckets (partition pruning)
-        buckets = None
+        # every row of every touched directory is rewritten: read exactly those (partition pruning)
+        parts = None
         for t in typed:
-            ids = t.select(tenant_bucket().alias(BUCKET)).distinct()
-            buckets = ids if buckets is None else buckets.union(ids)
-        touched = existing.join(buckets.distinct(), BUCKET, "left_semi").select(*STORED_COLUMNS)
-    merged = merge_last_wins(touched, typed, order="__order" if order else None)
+            ids = t.select(*[c.alias(n) for n, c in partition_columns().items()]).distinct()
+            parts = ids if parts is None else parts.union(ids)
+        touched = existing.join(parts.distinct(), list(PARTITION), "left_semi").select(*STORED_COLUMNS)
+    merged = merge_last_wins(touched, typed, order="__order")
     return stored_shape(merged).drop("__batch", "__order")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there, asked of its file system; errors of the file system are raised."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath))
+
+
 def _read_existing(spark: SparkSession, path: str | None) -> DataFrame | None:
-    if path is None:
-        return None
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 — first write: no table yet
-        return None
+    return spark.read.parquet(path) if path is not None and exists(spark, path) else None
 
 
 def write_stored(merged: DataFrame, path: str) -> str:
-    """Dynamic partition overwrite: only the buckets present in ``merged`` are replaced.
+    """Dynamic partition overwrite: only the directories present in ``merged`` are replaced.
 
-    ``rebalance`` on the bucket groups each bucket's rows into few files while
-    AQE splits a hot bucket (a tenant holding a third of all rows) across tasks
+    ``rebalance`` on the partition key groups each directory's rows into few files while
+    AQE splits a hot one (a tenant holding a third of all rows) across tasks
     instead of funnelling it through one.
     """
-    out = merged.select(*STORED_COLUMNS).withColumn(BUCKET, tenant_bucket())
-    (out.hint("rebalance", BUCKET).sortWithinPartitions(TENANT, "store_id", "date")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
+    out = merged.select(*STORED_COLUMNS).withColumns(partition_columns())
+    (out.hint("rebalance", *PARTITION).sortWithinPartitions(*PARTITION, TENANT, "store_id", "date")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path))
     return path
 
 
@@ -156,7 +178,7 @@ def upsert_report(batches: Sequence[DataFrame]) -> DataFrame:
     u = batches[0]
     for b in batches[1:]:
         u = u.unionByName(b, allowMissingColumns=True)
-    ok = F.col(TENANT).cast("bigint").isNotNull() & F.col("store_id").isNotNull() & F.col("date").cast("date").isNotNull()
+    ok = key_types(u)
     return u.agg(F.count_if(ok).alias("stored"), F.count_if(~ok).alias("failed"))
 
 
@@ -164,26 +186,27 @@ def replace_tenant(spark: SparkSession, rows: DataFrame, path: str, tenants: Seq
     """snk_replace_tenant: delete-then-insert — the listed tenants (default: those in ``rows``) end up with
     exactly ``rows``; other tenants sharing their buckets are carried over unchanged.
 
-    The touched buckets are staged in the shared folder first (a job must not read the
-    partitions it overwrites), then swapped in with a dynamic partition overwrite. A touched
-    bucket left with no rows is removed explicitly: a dynamic overwrite only replaces the
-    buckets that receive rows.
+    The touched directories (those that hold or get rows of these tenants) are staged in the
+    shared folder first (a job must not read the partitions it overwrites), then swapped in with
+    a dynamic partition overwrite. A touched directory left with no rows is removed explicitly:
+    a dynamic overwrite only replaces those that receive rows.
     """
     new = stored_shape(rows)
     ids = new.select(TENANT).distinct() if tenants is None else spark.createDataFrame([(int(t),) for t in tenants], f"{TENANT} bigint")
     existing = _read_existing(spark, path)
     if existing is None:
         return write_stored(new, path)
-    buckets = ids.select(tenant_bucket().alias(BUCKET)).union(new.select(tenant_bucket().alias(BUCKET))).distinct()
-    keep = existing.join(buckets, BUCKET, "left_semi").join(ids, TENANT, "left_anti").select(*STORED_COLUMNS)
+    of = [c.alias(n) for n, c in partition_columns().items()]
+    parts = existing.join(ids, TENANT, "left_semi").select(*PARTITION).union(new.select(*of)).distinct()
+    keep = existing.join(parts, list(PARTITION), "left_semi").join(ids, TENANT, "left_anti").select(*STORED_COLUMNS)
     staged = shared_path(spark, "replace-stage")
     keep.unionByName(new.select(*STORED_COLUMNS)).write.parquet(staged)
     staged_df = spark.read.parquet(staged)
+    # directory names (buckets x months), not rows; read before they are swapped
+    emptied = sorted(tuple(r) for r in parts.join(staged_df.select(*of).distinct(), list(PARTITION), "left_anti").collect())
     write_stored(staged_df, path)
-    touched = {r[0] for r in buckets.collect()}  # at most TENANT_BUCKETS ids
-    filled = {r[0] for r in staged_df.select(tenant_bucket().alias(BUCKET)).distinct().collect()}
-    for b in sorted(touched - filled):
-        _delete_dir(spark, f"{path.rstrip('/')}/{BUCKET}={b}")
+    for bucket, month in emptied:
+        _delete_dir(spark, f"{path.rstrip('/')}/{BUCKET}={bucket}/{MONTH}={month}")
     return path
 
 

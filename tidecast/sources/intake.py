@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from ..functions.dates import parse_date, parse_sales
 from ..schema import CSV_CONTRACT, all_string
 
 CORRUPT = "_corrupt_record"
+NO_SUCH_SOURCE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 
 
@@ -135,11 +137,40 @@ def date_parse_failures(raw: DataFrame, date_col: str, samples: int = 5) -> Data
     return attach_row(count, examples)
 
 
+def files_by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
+    """Header line -> files that begin with it. Only the files' first lines leave the tasks."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where("at = 0").withColumn("id", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return {r.header: r.files for r in sorted(found, key=lambda r: r.files)}
+
+
+def _canonical(raw: DataFrame, r: Resolved) -> DataFrame:
+    """The columns of one header under common names, as text."""
+    if r.date is None or r.sales is None:
+        raise ValueError(f"Missing required column: {'Date' if r.date is None else 'Sales'}.")
+    names = {r.date: "date", r.sales: "sales"} | ({r.store: "store"} if r.store else {})
+    return raw.select(*[F.col(f"`{c}`").cast("string").alias(names.get(c, r.rename.get(c, c))) for c in raw.columns if c != CORRUPT])
+
+
 def validate_csv(spark: SparkSession, path: str | Sequence[str], default_store: str = "1"):
-    """src_validate_csv: string-schema read → resolve header → validate. Raises on missing columns."""
-    cols = read_header(spark, path)
-    raw = read_csv(spark, path, header=True, schema=all_string(cols))
-    return validate_frame(raw, resolve_columns(cols), default_store)
+    """src_validate_csv: string-schema read → resolve header → validate. Raises on missing columns.
+
+    Every file's own header is resolved: files of other column orders or names are read with their
+    columns and meet under common names; a file without a store column gets the default store.
+    """
+    headers = files_by_header(spark, path) if len(spark.read.text(path).inputFiles()) > 1 else {}
+    if len(headers) <= 1:
+        cols = read_header(spark, path)
+        raw = read_csv(spark, path, header=True, schema=all_string(cols))
+        return validate_frame(raw, resolve_columns(cols), default_store)
+    whole = None
+    for files in headers.values():
+        cols = read_header(spark, files)
+        part = _canonical(read_csv(spark, files, header=True, schema=all_string(cols)), resolve_columns(cols))
+        part = part if "store" in part.columns else part.withColumn("store", F.lit(default_store))
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    return validate_frame(whole, resolve_columns(whole.columns), default_store)
 
 
 def require_columns(df: DataFrame, required: Sequence[str] = ("store", "date", "sales")) -> DataFrame:
@@ -151,12 +182,21 @@ def require_columns(df: DataFrame, required: Sequence[str] = ("store", "date", "
 
 
 def load_with_fallback(spark: SparkSession, candidates: Sequence[str]):
-    """src_fallback: the first candidate path that validates (exists, non-empty, parses) wins."""
+    """src_fallback: the first candidate path that validates (exists, non-empty, parses) wins.
+
+    Only a missing path, an empty file or a failed validation means "try the next source"; any
+    other error (storage, permissions, the cluster) is raised, as serving other data would hide it.
+    """
     last_error = None
     for path in candidates:
         try:
             valid, rejected, report = validate_csv(spark, path)
-        except Exception as e:  # noqa: BLE001 — any read/validation failure means "try the next source"
+        except AnalysisException as e:
+            if e.getCondition() not in NO_SUCH_SOURCE:
+                raise
+            last_error = e
+            continue
+        except ValueError as e:
             last_error = e
             continue
         if valid.limit(1).count() == 1:

@@ -43,21 +43,15 @@ def upsert_batch(spark: SparkSession, table_path: str):
     """foreachBatch body: merge the micro-batch into the stored table (last version of each key wins)."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        merged = sk.upsert(spark, table_path if _exists(spark, table_path) else None, [batch], order="event_id")
-        # The merged frame reads the table it replaces: materialise it in the shared folder first.
-        staged = sk.shared_path(spark, f"stage-{batch_id}")
-        merged.write.mode("overwrite").parquet(staged)
-        sk.write_stored(spark.read.parquet(staged), table_path)
+        batch = batch.persist()  # read twice: for the directories it touches and for its rows
+        try:
+            sk.write_stored(sk.upsert(spark, table_path, [batch], order="event_id"), table_path)
+        finally:
+            batch.unpersist()
 
     return run
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
-
-
 def run_upload_ingest(spark: SparkSession, landing: str, table_path: str, checkpoint: str, columns: Sequence[str],
                       max_files_per_trigger: int | None = 1) -> None:
     """Process everything available in ``landing`` and stop (``availableNow``)."""
