@@ -77,19 +77,24 @@ def train(
 ) -> tuple[PipelineModel, DataFrame]:
     """ml_rf_train: fit the feature pipeline + random forest on the train split.
 
-    Returns the fitted ``PipelineModel`` and the split input (``is_train`` column). The split
-    input is persisted (``MEMORY_AND_DISK``: spills instead of failing, rebuilt from lineage if
-    an executor is lost) because fitting makes several passes (indexer, metadata, split search,
-    trees) that would otherwise each re-run the whole input plan; ``unpersist()`` it when done.
+    Returns the fitted ``PipelineModel`` and the split input (``is_train`` column). The training
+    columns (features, label, key) are persisted while fitting (``MEMORY_AND_DISK``: spills instead
+    of failing, rebuilt from lineage if an executor is lost), because fitting makes several passes
+    (indexer, metadata, split search, trees) that would otherwise each re-run the whole input plan;
+    they are released before this returns.
     """
     params = {**RF_DEFAULTS, **rf_params}
     params["maxDepth"] = min(int(params["maxDepth"]), 30)
-    data = ensure_parallelism(df.dropna(subset=[*features, label]))
-    data = split(data, key or list(features) + [label]).persist(StorageLevel.MEMORY_AND_DISK)
-    stages, _ = feature_stages(data, features, scale)
-    rf = RandomForestRegressor(labelCol=label, featuresCol="features", featureSubsetStrategy="all", maxBins=max_bins, **params)
-    model = Pipeline(stages=[*stages, rf]).fit(data.where("is_train"))
-    return model, data
+    key = list(key or [*features, label])
+    whole = split(df.dropna(subset=[*features, label]), key)
+    fitting = ensure_parallelism(whole.where("is_train").select(*features, label)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stages, _ = feature_stages(fitting, features, scale)
+        rf = RandomForestRegressor(labelCol=label, featuresCol="features", featureSubsetStrategy="all", maxBins=max_bins, **params)
+        model = Pipeline(stages=[*stages, rf]).fit(fitting)
+    finally:
+        fitting.unpersist()
+    return model, whole
 
 
 def metrics(scored: DataFrame, label: str = "sales", prediction: str = "prediction", by: str | None = "is_train") -> DataFrame:
@@ -135,10 +140,11 @@ def load(path: str) -> PipelineModel:
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], defaults: dict | None = None) -> DataFrame:
     """ml_predict: score any table; missing numeric features are 0, missing string features empty."""
     defaults = defaults or {}
+    texts = {s.getInputCol() for s in model.stages if s.hasParam("stringOrderType")}
     out = df
     for c in features:
         if c not in out.columns:
-            out = out.withColumn(c, F.lit(defaults.get(c, 0)))
+            out = out.withColumn(c, F.lit(defaults.get(c, "" if c in texts else 0)))
     return model.transform(out)
 
 
@@ -190,39 +196,52 @@ def lag_forecast(
 
     The driver loop runs over *steps* (≤ horizon), each a distributed ``transform`` on
     one row per series; the lag window is an array column shifted by one per step.
-    Interval: ± z · std of in-sample residuals per series.
+    The forest is fitted on the earlier ``TRAIN_PERCENT`` of the periods; interval: ± z · std of each
+    series' residuals in the later ones, which it has not seen. Missing periods take the value before.
+    Series of fewer than 12 periods get their last value, without an interval, and say so in ``status``.
     """
+    from .series import fixed_intervals
+
     keys = list(keys)
+    series = fixed_intervals(series.select(*keys, period, value), "MS", keys, period, value).drop("filled")
     table = ensure_parallelism(lag_training_table(series, keys, period, value)).persist(StorageLevel.MEMORY_AND_DISK)
-    params = {"numTrees": 100, "maxDepth": 10, "seed": 42, **rf_params}
-    assembler = VectorAssembler(inputCols=LAG_FEATURES, outputCol="features")
-    rf = RandomForestRegressor(labelCol=value, featuresCol="features", featureSubsetStrategy="all", **params)
-    model = Pipeline(stages=[assembler, rf]).fit(table)
-    fitted = model.transform(table)
-    resid = fitted.groupBy(*keys).agg(F.stddev_pop(F.col(value) - F.col("prediction")).alias("resid_std"))
+    params = {"numTrees": RF_DEFAULTS["numTrees"], "maxDepth": RF_DEFAULTS["maxDepth"], "seed": RF_DEFAULTS["seed"], **rf_params}
+    try:
+        cut = table.agg(F.percentile(F.unix_date(period), TRAIN_PERCENT / 100)).first()[0]
+        early = F.lit(True) if cut is None else F.unix_date(period) <= cut
+        assembler = VectorAssembler(inputCols=LAG_FEATURES, outputCol="features")
+        rf = RandomForestRegressor(labelCol=value, featuresCol="features", featureSubsetStrategy="all", **params)
+        model = Pipeline(stages=[assembler, rf]).fit(table.where(early))
+        missed = model.transform(table.where(~early)).withColumn("__e", F.col(value) - F.col("prediction"))
+        resid = cut_lineage(missed.groupBy(*keys).agg(F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("resid_std")))
+    finally:
+        table.unpersist()
 
     w = Window.partitionBy(*keys).orderBy(F.desc(period)) if keys else Window.orderBy(F.desc(period))
     last12 = series.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= 12)
-    state = last12.groupBy(*keys).agg(
+    ends = last12.groupBy(*keys).agg(
         F.max(period).alias("__last"),
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("__r").alias("r"), F.col(value).alias("v")))), lambda s: s["v"]).alias("window"),
-    ).where(F.size("window") == 12)
-    outputs = []
+    )
+    state = ends.where(F.size("window") == 12).withColumn("made", F.array().cast("array<double>"))
     for h in range(1, steps + 1):
         nxt = F.add_months("__last", F.lit(h))
         feats = state.withColumns(
             {**{f"lag_{i}": F.col("window")[i - 1] for i in range(1, 13)}, "month": F.month(nxt), "quarter": F.quarter(nxt)}
         )
-        scored = model.transform(feats).select(*keys, "__last", "window", F.col("prediction").alias("forecast"))
-        outputs.append(scored.select(*keys, F.lit(h).alias("step"), nxt.alias(period), "forecast"))
-        state = scored.select(*keys, "__last", F.slice(F.concat(F.array("forecast"), F.col("window")), 1, 12).alias("window"))
+        state = model.transform(feats).select(
+            *keys, "__last", F.slice(F.concat(F.array("prediction"), F.col("window")), 1, 12).alias("window"),
+            F.concat("made", F.array("prediction")).alias("made"),
+        )
         if checkpoint_every and h % checkpoint_every == 0 and h < steps:
             state = cut_lineage(state)
-    out = outputs[0]
-    for o in outputs[1:]:
-        out = out.unionByName(o)
-    j = attach_row(out, resid, keys, "left")
+    long = state.select(*keys, "__last", F.lit("forest").alias("status"), F.posexplode("made").alias("__h", "forecast"))
+    short = ends.where(F.size("window") < 12).select(
+        *keys, "__last", F.lit("short history").alias("status"), F.posexplode(F.array_repeat(F.col("window")[0], steps)).alias("__h", "forecast")
+    )
+    j = attach_row(long.unionByName(short), resid, keys, "left")
+    half = F.when(F.col("status") == "forest", z * F.col("resid_std"))
     return j.select(
-        *keys, F.col("step").cast("int").alias("step"), period, "forecast",
-        (F.col("forecast") - z * F.col("resid_std")).alias("lower_ci"), (F.col("forecast") + z * F.col("resid_std")).alias("upper_ci"),
+        *keys, (F.col("__h") + 1).cast("int").alias("step"), F.add_months("__last", F.col("__h") + 1).alias(period), "forecast",
+        (F.col("forecast") - half).alias("lower_ci"), (F.col("forecast") + half).alias("upper_ci"), "status",
     )

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.calendar import FEATURES7, temporal_features7
 from ..operators import ml
 from ..operators import series as ts
-from ..session import ensure_checkpoint_dir
+from ..sinks.tables import shared_path
 from ..sources.testdata import FACT_CTE, sales_fact
 from .registry import register, with_ctes
 
 FEATURES = ["store", "quantity", "discount", "tax", *FEATURES7]
 ROW_KEY = ["order_key", "line_number", "product"]
+# On every sales row: a shallower forest, as one of depth 20 grows a leaf for every other row. The forecasts
+# on daily totals (fc_rf_daily) fit the full one, the lag forecasts all 100 trees at depth 10.
 SMALL_RF = {"numTrees": 20, "maxDepth": 8}
 
 
@@ -76,9 +78,8 @@ def q_ml_importance(spark, sf):
 @register("ml_save_load")
 def q_ml_save_load(spark, sf):
     model, data = trained(spark, sf)
-    path = ml.save(model, ensure_checkpoint_dir(spark).rstrip("/") + "/models/rf_sales")
-    again = ml.load(path)
-    return again.transform(data.where(~F.col("is_train"))).select(*ROW_KEY, "prediction")
+    again = ml.load(ml.save(model, shared_path(spark, "rf-sales")))
+    return again.transform(data).select(*ROW_KEY, "is_train", "prediction")
 
 
 @register("ml_predict")
@@ -92,9 +93,9 @@ def q_ml_predict(spark, sf):
 @register("ml_train_csv")
 def q_ml_train_csv(spark, sf):
     from ..sources import intake
-    from .q_clean import rendered_upload
+    from .q_io import upload_csv
 
-    valid, _, _ = intake.validate_frame(rendered_upload(spark, sf))
+    valid, _, _ = intake.validate_csv(spark, upload_csv(spark, sf))
     df = temporal_features7(valid.withColumn("quantity", F.col("quantity").try_cast("double")), "date")
     model, data = ml.train(df, ["store", "quantity", *FEATURES7], "sales", ["order_key", "line"], **SMALL_RF)
     return ml.metrics(model.transform(data))
@@ -108,13 +109,13 @@ def daily(spark, sf):
 @register("fc_rf_daily")
 def q_fc_rf_daily(spark, sf):
     d = daily(spark, sf)
-    model, _ = ml.train(d, FEATURES7, "sales", ["date"], **SMALL_RF)
+    model, _ = ml.train(d, FEATURES7, "sales", ["date"])  # the full forest: 100 trees, depth 20
     return ml.daily_forecast(model, d, 365)
 
 
 @register("fc_dates_product")
 def q_fc_dates_product(spark, sf):
-    f = temporal_features7(sales_fact(spark, sf).withColumn("product", F.col("product").cast("string")), "date")
+    f = temporal_features7(sales_fact(spark, sf), "date")  # the numeric product key is its own code: no labels on the driver
     model, _ = ml.train(f, ["product", "quantity", *FEATURES7], "sales", ROW_KEY, **SMALL_RF)
     return ml.dates_products(model, f, "2001-12-01", 30)
 
@@ -122,4 +123,4 @@ def q_fc_dates_product(spark, sf):
 @register("fc_rf_lag")
 def q_fc_rf_lag(spark, sf):
     m = ts.aggregate(sales_fact(spark, sf), "MS", ["store"])
-    return ml.lag_forecast(m, 12, ["store"], numTrees=20, maxDepth=8)
+    return ml.lag_forecast(m, 12, ["store"], maxDepth=10)  # 100 trees
