@@ -25,10 +25,12 @@ def naive(spark, sf):
 
 @register(
     "dq_tenant_isolation",
-    with_ctes(TENANT_CTE) + """SELECT event_id, count(DISTINCT user_id) AS tenants FROM tfact GROUP BY event_id HAVING count(DISTINCT user_id) > 1""",
+    with_ctes(TENANT_CTE) + """SELECT CAST(floor(event_id / 2) AS BIGINT) AS upload_id, count(DISTINCT user_id) AS tenants FROM tfact
+GROUP BY 1 HAVING count(DISTINCT user_id) > 1""",
 )
 def q_dq_tenant_isolation(spark, sf):
-    return dq.tenant_isolation(tenant_fact(spark, sf), ["event_id"])
+    """Uploads of two events each: most mix tenants, so the rule fires."""
+    return dq.tenant_isolation(tenant_fact(spark, sf).withColumn("upload_id", F.floor(F.col("event_id") / 2)), ["upload_id"])
 
 
 BOUNDS_SQL = """, h AS (SELECT store, avg(value) AS mu, stddev_samp(value) AS sdv FROM ms GROUP BY store),
@@ -38,9 +40,27 @@ bv AS (SELECT *, CASE WHEN forecast IS NULL OR isnan(forecast) OR isinf(forecast
 """
 
 
-@register("dq_forecast_bounds", WN + BOUNDS_SQL + """SELECT store, step, round(forecast, 2) AS forecast, round(z, 4) AS z, reason FROM bv WHERE reason IS NOT NULL""")
+PLANTED_SQL = """, fcp AS (SELECT store, step, period,
+      CASE step WHEN 3 THEN -forecast WHEN 7 THEN forecast * 50 WHEN 9 THEN NULL ELSE forecast END AS forecast,
+      CASE step WHEN 4 THEN upper_ci WHEN 8 THEN forecast - ci_width / 4 ELSE lower_ci END AS lower_ci,
+      CASE step WHEN 4 THEN lower_ci WHEN 8 THEN forecast + ci_width / 4 ELSE upper_ci END AS upper_ci FROM fc)"""
+
+
+def planted(spark, sf):
+    """The naive forecasts with a negative, a huge and a missing value, a swapped and a shrunken interval per store."""
+    f, s, v = naive(spark, sf), F.col("step"), F.col("forecast")
+    quarter = F.col("ci_width") / 4
+    return f.select(
+        "store", "step", "period",
+        F.when(s == 3, -v).when(s == 7, v * 50).when(s == 9, F.lit(None)).otherwise(v).alias("forecast"),
+        F.when(s == 4, F.col("upper_ci")).when(s == 8, v - quarter).otherwise(F.col("lower_ci")).alias("lower_ci"),
+        F.when(s == 4, F.col("lower_ci")).when(s == 8, v + quarter).otherwise(F.col("upper_ci")).alias("upper_ci"),
+    )
+
+
+@register("dq_forecast_bounds", WN + PLANTED_SQL + BOUNDS_SQL.replace("FROM fc LEFT", "FROM fcp fc LEFT") + """SELECT store, step, round(forecast, 2) AS forecast, round(z, 4) AS z, reason FROM bv WHERE reason IS NOT NULL""")
 def q_dq_forecast_bounds(spark, sf):
-    return rnd(dq.forecast_bounds(naive(spark, sf), monthly(spark, sf), K), overrides={"z": 4})
+    return rnd(dq.forecast_bounds(planted(spark, sf), monthly(spark, sf), K), overrides={"z": 4})
 
 
 CI_SQL = """, cw AS (SELECT store, step, forecast, lower_ci, upper_ci, upper_ci - lower_ci AS w,
@@ -50,9 +70,9 @@ cv AS (SELECT store, step, CASE WHEN lower_ci > forecast THEN 'lower above forec
 """
 
 
-@register("dq_ci", WN + CI_SQL + "SELECT store, step, reason FROM cv WHERE reason IS NOT NULL")
+@register("dq_ci", WN + PLANTED_SQL + CI_SQL.replace("FROM fc)", "FROM fcp)") + "SELECT store, step, reason FROM cv WHERE reason IS NOT NULL")
 def q_dq_ci(spark, sf):
-    return dq.ci_consistency(naive(spark, sf), K)
+    return dq.ci_consistency(planted(spark, sf), K)
 
 
 @register(
