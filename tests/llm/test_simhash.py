@@ -21,15 +21,15 @@ def brute_fp(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(fps):
-    """fp -> least fp reachable, by all pairs."""
+def brute_components(fps, radius=4):
+    """fp -> all fps reachable, by all pairs."""
     left, label = set(fps), {}
     while left:
         todo = [left.pop()]
         group = set(todo)
         while todo:
             x = todo.pop()
-            near = {y for y in left if (x ^ y).bit_count() <= 4}
+            near = {y for y in left if (x ^ y).bit_count() <= radius}
             left -= near
             group |= near
             todo += near
@@ -134,3 +134,51 @@ def test_keep_one(spark):
     assert len(kept) == len(groups)
     firsts = {next(iter(sorted(((d is None, d) for d, t in rows if brute_fp(t) in g))))[1] for g in groups}
     assert {d for d, _ in kept} == firsts
+
+
+def wide_fp(text, words=5):
+    tokens = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))] if tokens else []
+    h = [xxhash.xxh3_128_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def similar_kept(rows):
+    """Least doc_id of each group of texts within the wide radius, by all pairs."""
+    fp = {t: wide_fp(t) for _, t in rows}
+    groups, want = brute_components(set(fp.values()), simhash.wide_radius(0.8)), {}
+    for d, t in rows:
+        want.setdefault(groups[fp[t]], []).append((d is None, d))
+    return sorted((min(ids)[1] for ids in want.values()), key=str)
+
+
+def test_similar_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    rows, groups = [(None, None), (1, ""), (2, "One"), (2, "One")], 0
+    for g in range(40):
+        base = [word() for _ in range(rng.choice([60, 200, 400]))]
+        rows.append((1000 * (g + 1), " ".join(base)))
+        for c in range(rng.choice([0, 1, 5])):
+            copy = list(base)
+            for _ in range(len(base) // 60):  # some 0.85 alike in five-word shingles
+                copy[rng.randrange(len(base))] = word()
+            rows.append((1000 * (g + 1) + c + 1, " ".join(copy)))
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, label string, fp2 int")
+    out = simhash.keep_similar(docs)
+    assert out.columns == docs.columns
+    kept = sorted((r.doc_id for r in out.collect()), key=str)
+    assert kept == similar_kept(rows)
+    assert {1000 * (g + 1) for g in range(40)} <= set(kept) and len([d for d in kept if d and d >= 1000]) <= 42
+    assert simhash.keep_similar(docs.limit(0)).count() == 0
+    salted = {r.doc_id: r.component_id for r in simhash.cluster_similar(docs, shard_rows=3).collect()}
+    assert sorted({v for v in salted.values()}, key=str) == sorted(set(kept), key=str)
+
+
+def test_tables_of_random_bits():
+    assert simhash.wide_radius(0.8) == 26
+    for n in (10, 10**6, 10**9):
+        masks = simhash.random_masks(n, 0.8)
+        bits = {sum((m & (2**64 - 1)).bit_count() for m in mask) for mask in masks}
+        assert len(bits) == 1 and n / 2 ** bits.copy().pop() <= simhash.SHARD_MEAN
+        assert (1 - (1 - simhash._apart(0.8)) ** bits.pop()) ** len(masks) <= simhash.MISS

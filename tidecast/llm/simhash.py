@@ -9,6 +9,11 @@ Trees travel with their shard through the shuffle: their total size grows with t
 broadcast. A shard of more than ``SHARD_ROWS`` is dealt to pairs of salted blocks. Out of a shard come only
 the links that join two of its parts, never all pairs; components are formed from those.
 
+``keep_similar`` is for texts of a given similarity of their shingle sets, whose fingerprints differ in too many
+bits for that: it takes 128-bit fingerprints, and shards by bits drawn at random, as many tables as leave a pair
+of that similarity apart with ``MISS`` chance at most. The radius allows for the spread of such a pair's distance;
+unrelated texts come that near with a chance of some 1e-11.
+
 Defined results: null text counts as empty; a text of fewer words than a shingle has one shingle, no words
 give fingerprint zero, which links like any other. One output row per input row; a null doc_id stays null
 and never becomes a component's name unless all of the component's are null.
@@ -17,6 +22,7 @@ and never becomes a component's name unless all of the component's are null.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,40 +42,46 @@ SEED = 42
 SHARD_ROWS = 4096
 #: Distinct fingerprints per shard that the number of parts aims at, if fingerprints were evenly spread.
 SHARD_MEAN = 256
+#: Chance that tables of random bits miss a pair of the wanted similarity.
+MISS = 0.01
+#: Standard deviations of such a pair's distance that the wide radius allows for.
+SPREAD = 1.6
 _STEP = 1 << 15
 
 
-def fingerprints_of(arr, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Fingerprints (unsigned) of an Arrow string array's texts."""
+def fingerprints_of(arr, words: int = SHINGLE_WORDS, wide: bool = False) -> np.ndarray:
+    """Fingerprints (unsigned) of an Arrow string array's texts: XXH64 shingles, or two columns from XXH3-128."""
     joined, starts, ends, first = folded_words(*text_bytes(arr))
-    digest, out = xxhash.xxh64_intdigest, np.zeros(len(arr), np.uint64)
+    digest, size = (xxhash.xxh3_128_digest, 16) if wide else (xxhash.xxh64_digest, 8)
+    out = np.zeros((len(arr), size // 8), np.uint64)
     view = memoryview(joined)
     for d in range(len(arr)):
         a, b = int(first[d]), int(first[d + 1])
         if a == b:
             continue
         n = max(1, b - a - words + 1)
-        tally = np.zeros(64, np.int64)
+        tally = np.zeros(8 * size, np.int64)
         for k in range(a, a + n, _STEP):
             stop = min(k + _STEP, a + n)
             last = ends[min(k + words, b) - 1 : min(stop + words - 1, b)]
-            h = np.array([digest(view[s:e], SEED) for s, e in zip(starts[k:stop].tolist(), last.tolist())], ">u8")
-            tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[d] = np.packbits(tally * 2 > n).view(">u8")[0]
-    return out
+            h = b"".join([digest(view[s:e], SEED) for s, e in zip(starts[k:stop].tolist(), last.tolist())])
+            tally += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, size), axis=1).sum(axis=0, dtype=np.int64)
+        out[d] = np.packbits(tally * 2 > n).view(">u8")
+    return out if wide else out[:, 0]
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, mark (hash of the text), fp (the fingerprint's 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, wide: bool = False) -> DataFrame:
+    """doc_id, mark (hash of the text), fp (the fingerprint's 64 bits as a signed long); wide: fp and fp2."""
+    names = ["fp", "fp2"] if wide else ["fp"]
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                fp = fingerprints_of(part.column("text"), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fp)], ["doc_id", "mark", "fp"])
+                fp = fingerprints_of(part.column("text"), words, wide).view(np.int64).reshape(part.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *(pa.array(c) for c in fp.T.copy())], ["doc_id", "mark", *names])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return picked.mapInArrow(run, "doc_id long, mark long, fp long")
+    return picked.mapInArrow(run, f"doc_id long, mark long, {', '.join(f'{c} long' for c in names)}")
 
 
 class BKTree:
@@ -156,29 +168,61 @@ def parts_for(n: int, radius: int) -> int:
     return parts
 
 
-def link_edges(distinct: DataFrame, n: int, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(u, v), u > v: links between distinct fingerprints ``fp`` that leave no component apart."""
-    masks = _masks(parts_for(n, radius), radius)
-    dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("table", "bits"))
-    sizes = dealt.groupBy("table", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def random_masks(n: int, similarity: float, seed: int = 5) -> list[tuple[int, int]]:
+    """Bits of 128 that key each table: as few as give shards of SHARD_MEAN, in tables enough for ``MISS``."""
+    agree = 1 - _apart(similarity)
+    bits = max(14, math.ceil(math.log2(max(n, 1) / SHARD_MEAN)))
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(math.ceil(-math.log(MISS) / agree**bits)):
+        picked = rng.choice(128, bits, replace=False).tolist()
+        halves = [sum(1 << (b % 64) for b in picked if b // 64 == h) for h in (0, 1)]
+        out.append(tuple(m - (1 << 64) if m >> 63 else m for m in halves))
+    return out
+
+
+def _apart(similarity: float) -> float:
+    """Chance that a fingerprint bit differs between two shingle sets of this Jaccard similarity and like size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_radius(similarity: float) -> int:
+    p = _apart(similarity)
+    return round(128 * p + SPREAD * math.sqrt(128 * p * (1 - p)))
+
+
+def link_edges(distinct: DataFrame, n: int, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, node: str = "fp", masks: list[tuple[int, ...]] | None = None) -> DataFrame:
+    """(u, v), u > v: links between distinct fingerprints that leave no component apart, as their ``node`` numbers.
+
+    Fingerprints are the columns ``fp`` (and ``fp2``); ``masks``: each table's key bits in them.
+    """
+    masks = masks or [(m,) for m in _masks(parts_for(n, radius), radius)]
+    words = ["fp", "fp2"][: len(masks[0])]
+    bits = [f"b{i}" for i in range(len(words))]
+    shard = ["table", *bits]
+    tables = F.array(*[F.struct(*[F.col(w).bitwiseAND(F.lit(m)).alias(b) for w, m, b in zip(words, mask, bits)]) for mask in masks])
+    whole = dict.fromkeys([node, *words])
+    dealt = distinct.select(*whole, F.posexplode(tables).alias("table", "key")).select(*whole, "table", "key.*")
+    sizes = dealt.groupBy(*shard).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     salts = F.ceil(F.col("n") / shard_rows).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
-    members = dealt.join(sizes, ["table", "bits"]).withColumn("salts", salts).withColumn("own", own)
+    own = F.pmod(F.xxhash64(*words), F.col("salts")).cast("int")
+    members = dealt.join(sizes, shard).withColumn("salts", salts).withColumn("own", own)
     blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
-        "table", "bits", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "fp"
+        *shard, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), *whole
     )
-    keys = ["table", "bits", "low", "high"]
+    keys = [*shard, "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, keys):
-            fps = group.column("fp").to_numpy()
+            fps = group.column("fp").to_numpy().view(np.uint64).tolist()
+            if len(words) > 1:
+                fps = [a << 64 | b for a, b in zip(fps, group.column("fp2").to_numpy().view(np.uint64).tolist())]
             pair = group.column("low")[0].as_py() != group.column("high")[0].as_py()
-            found = shard_links(fps.view(np.uint64).tolist(), group.column("right").to_pylist(), pair, radius)
+            found = shard_links(fps, group.column("right").to_pylist(), pair, radius)
             if found:
-                a = fps[np.array(found)]
+                a = group.column(node).to_numpy()[np.array(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(a.max(axis=1)), pa.array(a.min(axis=1))], ["u", "v"])
 
-    return blocks.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "u long, v long")
+    return blocks.repartition(*keys).sortWithinPartitions(*keys, *words).mapInArrow(run, "u long, v long")
 
 
 def cluster(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -195,9 +239,29 @@ def with_fingerprint_text(clustered: DataFrame) -> DataFrame:
     return clustered.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def cluster_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, mark, label, component_id of texts whose shingle sets are about ``similarity`` alike or more."""
+    rows = cut_lineage(fingerprints(docs, words, wide=True))
+    distinct = cut_lineage(rows.groupBy("fp", "fp2").agg(F.min("mark").alias("node"), F.min("doc_id").alias("least")))
+    n = distinct.count()
+    links = star_labels(link_edges(distinct, n, wide_radius(similarity), shard_rows, "node", random_masks(n, similarity)))
+    named = distinct.join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("fp", "fp2", "least", F.coalesce("root", "node").alias("label"))
+    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    return rows.join(named.select("fp", "fp2", "label").join(ids, "label"), ["fp", "fp2"]).select("doc_id", "mark", "label", "component_id")
+
+
+def keep_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows and columns of ``docs``, one row of each group of similar texts."""
+    return _one_each(docs, cluster_similar(docs, words, similarity))
+
+
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows and columns of ``docs``, one row of each component: that of the least doc_id (then least mark)."""
-    kept = cluster(docs, words, radius).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("k"))
+    return _one_each(docs, cluster(docs, words, radius))
+
+
+def _one_each(docs: DataFrame, clustered: DataFrame) -> DataFrame:
+    kept = clustered.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("tc_kept_id"), F.col("k.mark").alias("tc_kept_mark")).distinct()
     marked = docs.withColumn("tc_mark", F.xxhash64("text"))
     same = marked["doc_id"].cast("long").eqNullSafe(kept["tc_kept_id"]) & (marked["tc_mark"] == kept["tc_kept_mark"])
