@@ -92,30 +92,33 @@ def backward_fill(df: DataFrame, column: str = SALES, keys: Sequence[str] = (STO
 
 def forward_fill_rows(
     df: DataFrame, column: str = SALES, keys: Sequence[str] = (STORE,), order: Sequence[str] = (DATE,),
-    tiebreak: Sequence[str] | None = None, blocks: int | None = None,
+    tiebreak: Sequence[str] | None = None, blocks: int | None = None, descending: bool = False,
 ) -> DataFrame:
-    """Forward fill (then backward fill of leading gaps) over raw rows, safe for hot keys.
+    """Forward fill (then backward fill of leading gaps) over raw rows, safe for hot keys; ``descending``: the mirror.
 
     A per-key window would put a key holding a third of all rows into one task. Instead
     ``repartitionByRange`` on (keys, order, tiebreak) cuts the global order into ``blocks``
     contiguous ranges of bounded size — a hot key (even a hot key-and-day) spans many
     blocks. Each (block, key) is filled with a running window; what a block cannot see
     comes from a tiny carry table (last value of every earlier block of the same key,
-    first value of the key), attached by equi-joins. Same result as the per-key window.
+    first value of the key), attached by equi-joins. Same result as the per-key window. The
+    ranged rows are checkpointed once, so that every later use sees the same blocks.
     """
-    from ..session import target_parallelism
+    from ..session import cut_lineage, target_parallelism
 
     keys, order = list(keys), list(order)
     rest = [c for c in df.columns if c not in (*keys, *order)]
     tiebreak = list(tiebreak) if tiebreak else rest
-    sort_cols = [*keys, *order, *tiebreak]
+    places = [*keys, *order, *tiebreak]
+    sort_cols = [*keys, *(F.col(c).desc() if descending else F.col(c).asc() for c in (*order, *tiebreak))]
+    ends = (F.min_by, F.max_by) if descending else (F.max_by, F.min_by)  # last and first in this order
     n = blocks or target_parallelism(df.sparkSession)
-    ranged = df.repartitionByRange(n, *sort_cols).withColumn("__block", F.spark_partition_id())
+    ranged = cut_lineage(df.repartitionByRange(n, *sort_cols).withColumn("__block", F.spark_partition_id()))
     w = Window.partitionBy("__block", *keys).orderBy(*sort_cols)
     inside = ranged.withColumn("__ff", F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     per_block = inside.groupBy("__block", *keys).agg(
-        F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.struct(*sort_cols))).alias("__last"),
-        F.min_by(F.col(column), F.when(F.col(column).isNotNull(), F.struct(*sort_cols))).alias("__first"),
+        ends[0](F.col(column), F.when(F.col(column).isNotNull(), F.struct(*places))).alias("__last"),
+        ends[1](F.col(column), F.when(F.col(column).isNotNull(), F.struct(*places))).alias("__first"),
     )
     wk = Window.partitionBy(*keys).orderBy("__block")
     carry = per_block.select(
@@ -159,13 +162,15 @@ def handle_missing(
     df: DataFrame, strategy: str = "drop", column: str = SALES, keys: Sequence[str] = (STORE,), order: str = DATE,
     subset: Sequence[str] | None = None,
 ) -> DataFrame:
-    """cln_strategy: dispatcher; an unknown strategy falls back to ``drop``."""
-    if strategy == "forward_fill":
-        return forward_fill(df, column, keys, order)
-    if strategy == "forward_fill_rows":  # raw rows, any number per key and day (hot keys split into blocks)
+    """cln_strategy: dispatcher; an unknown strategy falls back to ``drop``.
+
+    Raw rows may hold any number per key and day, so both fills go block by block (a hot key is
+    split, ties follow the remaining columns).
+    """
+    if strategy in ("forward_fill", "forward_fill_rows"):
         return forward_fill_rows(df, column, keys, [order])
     if strategy == "backward_fill":
-        return backward_fill(df, column, keys, order)
+        return forward_fill_rows(df, column, keys, [order], descending=True)
     if strategy == "mean":
         return mean_fill(df, column, keys)
     if strategy == "column_mean":
@@ -191,8 +196,8 @@ def preprocess(
     out = df
     if remove_dupes:
         out = dedupe_key(out, key, tiebreak)
-    if handle_missing_values:
-        out = forward_fill(out)
+    if handle_missing_values:  # one row per key and day after the de-duplication, any number without it
+        out = forward_fill(out) if remove_dupes else forward_fill_rows(out)
     if extract_features:
         out = temporal_features(out)
     return out

@@ -81,7 +81,8 @@ def adf_test(series: DataFrame, keys: Sequence[str] = (), period: str = PERIOD,
             "interpretation": F.when(p < 0.01, "Highly stationary (p < 0.01)")
             .when(p < 0.05, "Stationary (p < 0.05)")
             .when(p < 0.10, "Weakly stationary (p < 0.10)")
-            .otherwise("Non-stationary (p >= 0.10)"),
+            .when(p >= 0.10, "Non-stationary (p >= 0.10)")
+            .otherwise("Not testable"),
         }
     )
 
@@ -99,7 +100,8 @@ def kpss_test(series: DataFrame, keys: Sequence[str] = (), period: str = PERIOD,
             "interpretation": F.when(p > 0.10, "Stationary (p > 0.10)")
             .when(p > 0.05, "Likely stationary (p > 0.05)")
             .when(p > 0.01, "Weakly stationary (p > 0.01)")
-            .otherwise("Non-stationary (p <= 0.01)"),
+            .when(p <= 0.01, "Non-stationary (p <= 0.01)")
+            .otherwise("Not testable"),
         }
     )
 

@@ -330,3 +330,46 @@ def q_cln_fill_rows(spark, sf):
     """Forward fill over every raw row (several per store and day), skew-safe range blocks."""
     g = sales_fact_with_gaps(spark, sf).select("store", "date", "order_key", "line_number", "product", "quantity", "sales")
     return clean.forward_fill_rows(g, "sales", ["store"], ["date"], ["order_key", "line_number", "product", "quantity", "sales"])
+
+
+ROWS = ["store", "date", "order_key", "line_number", "product", "quantity", "sales"]
+
+
+@register(
+    "cln_strategy_forward",
+    WG
+    + """SELECT store, date, order_key, line_number, product, quantity,
+       coalesce(sales, last_value(sales IGNORE NULLS) """ + FF_ROWS.format(a="UNBOUNDED PRECEDING", b="CURRENT ROW") + """,
+                first_value(sales IGNORE NULLS) """ + FF_ROWS.format(a="UNBOUNDED PRECEDING", b="UNBOUNDED FOLLOWING") + """) AS sales
+FROM gaps""",
+)
+def q_cln_strategy_forward(spark, sf):
+    return clean.handle_missing(sales_fact_with_gaps(spark, sf).select(*ROWS), "forward_fill")
+
+
+@register(
+    "cln_strategy_backward",
+    WG
+    + """SELECT store, date, order_key, line_number, product, quantity,
+       coalesce(sales, first_value(sales IGNORE NULLS) """ + FF_ROWS.format(a="CURRENT ROW", b="UNBOUNDED FOLLOWING") + """,
+                last_value(sales IGNORE NULLS) """ + FF_ROWS.format(a="UNBOUNDED PRECEDING", b="UNBOUNDED FOLLOWING") + """) AS sales
+FROM gaps""",
+)
+def q_cln_strategy_backward(spark, sf):
+    return clean.handle_missing(sales_fact_with_gaps(spark, sf).select(*ROWS), "backward_fill")
+
+
+@register(
+    "cln_strategy_mean",
+    WG + """SELECT store, date, round(coalesce(sales, avg(sales) OVER (PARTITION BY store)), 2) AS sales, order_key, line_number FROM gaps""",
+)
+def q_cln_strategy_mean(spark, sf):
+    return rnd(clean.handle_missing(sales_fact_with_gaps(spark, sf).select("store", "date", "sales", "order_key", "line_number"), "mean"))
+
+
+@register(
+    "cln_strategy_column_mean",
+    WG + """SELECT store, round(coalesce(sales, avg(sales) OVER ()), 2) AS sales, quantity FROM gaps""",
+)
+def q_cln_strategy_column_mean(spark, sf):
+    return rnd(clean.handle_missing(sales_fact_with_gaps(spark, sf).select("store", "sales", "quantity"), "column_mean"))

@@ -12,7 +12,7 @@ from ..operators import ml
 from ..operators import series as ts
 from ..sinks.tables import shared_path
 from ..sources.testdata import FACT_CTE, sales_fact
-from .registry import register, with_ctes
+from .registry import register, rnd, with_ctes
 
 FEATURES = ["store", "quantity", "discount", "tax", *FEATURES7]
 ROW_KEY = ["order_key", "line_number", "product"]
@@ -124,3 +124,18 @@ def q_fc_dates_product(spark, sf):
 def q_fc_rf_lag(spark, sf):
     m = ts.aggregate(sales_fact(spark, sf), "MS", ["store"])
     return ml.lag_forecast(m, 12, ["store"], maxDepth=10)  # 100 trees
+
+
+@register(
+    "ml_metrics_table",
+    with_ctes(FACT_CTE)
+    + """, p AS (SELECT sales, quantity * 1500.0 AS prediction, order_key % 5 < 4 AS is_train FROM fact WHERE sales IS NOT NULL)
+SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, round(avg(abs(sales - prediction)), 2) AS mae,
+       round(sqrt(avg((sales - prediction) * (sales - prediction))), 2) AS rmse, count(*) AS n,
+       round(1 - sum((sales - prediction) * (sales - prediction)) / (count(*) * var_pop(sales)), 4) AS r2 FROM p GROUP BY is_train""",
+)
+def q_ml_metrics_table(spark, sf):
+    """The metrics on a prediction table that SQL can make too: quantity times a fixed price."""
+    f = sales_fact(spark, sf).where("sales is not null")
+    scored = f.select("sales", (F.col("quantity") * 1500.0).alias("prediction"), (F.col("order_key") % 5 < 4).alias("is_train"))
+    return rnd(ml.metrics(scored), overrides={"r2": 4})
