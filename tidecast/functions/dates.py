@@ -57,11 +57,15 @@ def parse_date(col, patterns=DATE_PATTERNS) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     raw = F.trim(c.cast("string"))
     text = F.when(F.length(raw) > 11, F.regexp_replace(raw, _TIME_SUFFIX, "")).otherwise(raw)
-    layout = date_layout(text, patterns)
     named = F.when(text.rlike("[A-Za-z]"), F.initcap(text)).otherwise(text)  # month names in any case
-    parsed = F.call_function("try_to_date", named, layout)
-    old = layout.endswith("/yy") | layout.endswith("-yy")
-    return F.when(old & (F.year(parsed) >= 2000 + CENTURY_TURN), F.add_months(parsed, -1200)).otherwise(parsed)
+    # one-element arrays bind what is used many times below, so that it is computed once
+    shaped = _bind(named, lambda t: F.struct(t.alias("t"), date_layout(t, patterns).alias("layout")))
+    parsed = _bind(shaped, lambda s: F.struct(F.call_function("try_to_date", s["t"], s["layout"]).alias("d"), s["layout"].rlike("[/-]yy$").alias("short")))
+    return _bind(parsed, lambda p: F.when(p["short"] & (F.year(p["d"]) >= 2000 + CENTURY_TURN), F.add_months(p["d"], -1200)).otherwise(p["d"]))
+
+
+def _bind(value: Column, use) -> Column:
+    return F.transform(F.array(value), use)[0]
 
 
 def parse_sales(col) -> Column:
