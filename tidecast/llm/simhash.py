@@ -197,11 +197,10 @@ def link_edges(distinct: DataFrame, n: int, radius: int = RADIUS, shard_rows: in
     """
     masks = masks or [(m,) for m in _masks(parts_for(n, radius), radius)]
     words = ["fp", "fp2"][: len(masks[0])]
-    bits = [f"b{i}" for i in range(len(words))]
-    shard = ["table", *bits]
-    tables = F.array(*[F.struct(*[F.col(w).bitwiseAND(F.lit(m)).alias(b) for w, m, b in zip(words, mask, bits)]) for mask in masks])
-    whole = dict.fromkeys([node, *words])
-    dealt = distinct.select(*whole, F.posexplode(tables).alias("table", "key")).select(*whole, "table", "key.*")
+    # a shard is known by a hash of its table and bits: should two meet, they are searched as one
+    tables = F.array(*[F.xxhash64(F.lit(t), *[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(words, mask)]) for t, mask in enumerate(masks)])
+    shard, whole = ["shard"], dict.fromkeys([node, *words])
+    dealt = distinct.select(*whole, F.explode(tables).alias("shard"))
     sizes = dealt.groupBy(*shard).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     salts = F.ceil(F.col("n") / shard_rows).cast("int")
     own = F.pmod(F.xxhash64(*words), F.col("salts")).cast("int")
