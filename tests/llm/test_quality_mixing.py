@@ -82,6 +82,34 @@ def test_near_copies_stay_and_notices_go(spark):
     assert sum(r.doc_id == 12 for r in out.collect()) == 3 if documents()[10][0] == 12 else True
 
 
+def template_pages(n, shared, own):
+    rng = random.Random(8)
+    template = lines_of(rng, shared)
+    return template, [(i, "\n".join(template + lines_of(rng, own)), "t") for i in range(n)]
+
+
+def test_templates_go_whatever_their_share_of_a_page(spark):
+    for n, shared, own in ((40, 20, 5), (100, 40, 3), (40, 1, 3)):
+        template, rows = template_pages(n, shared, own)
+        out = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_left=0.0).collect()
+        assert len(out) >= 0.8 * n
+        assert not any(line in r.text for r in out for line in template)
+
+
+def test_text_of_many_groups_of_near_copies_goes_and_theirs_stays(spark):
+    rng = random.Random(10)
+    notice, rows = "one notice that stands on every page of them all", []
+    for g in range(15):
+        group = lines_of(rng, 8)
+        for i in range(20):
+            copy = list(group)
+            copy[rng.randrange(8)] += f" edit{i}"
+            rows.append((100 * g + i, "\n".join([notice, *copy]), "t"))
+    out = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == len(rows) and not any(notice in r.text for r in out)
+    assert all(r.text.count("\n") == 7 for r in out)
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(order)}

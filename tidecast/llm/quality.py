@@ -1,13 +1,20 @@
 """Quality rules: repetition inside a document, and line frequency across the documents of a host.
 
-Lines are normalised (words with one blank between them, A-Z lowered) and hashed. A line is above the limit
-of its host when it stands in more than ``max(least_docs, share * documents of the host)`` distinct
-documents. Copies count as one document: documents are told apart by their least line hash, which copies and
-most near copies share, so that a group of copies doesn't condemn its own text. Lines above the limit are
-removed; a document that keeps fewer than ``min_words`` words, or less than ``min_left`` of them, is rejected.
+Lines are normalised (words with one blank between them, A-Z lowered) and hashed. Lines above the limit of their
+host are removed; a document that keeps fewer than ``min_words`` words, or less than ``min_left`` of them, is rejected.
+
+``boilerplate`` finds these lines. Documents are told apart by a hash of their whole normalised text, and a line
+is common when it stands in more than max(least_docs, 5 % of them). A group of near copies doesn't condemn its own text: a line with some words changed counts as the line it
+was made from (the one in most documents that has the same least hash of its three-word windows, under one of four
+functions). A document with a line that is in no other counts as itself, others by their rarest line, so that near
+copies count once, and text that many groups of them share is still found.
+
+``frequent_lines`` is the rule that the SQL of op5_quality fixes: documents are told apart by their least line
+hash, and the limit is ``max(least_docs, share * documents of the host)``. Where shared lines are most of a page,
+pages with one least line count as one document, so that it finds fewer of them.
 
 Counting goes over (host, line, document) triples that are first made distinct within each task, so a line
-that stands in a third of all documents reaches the shuffle once per task and document class.
+that stands in a third of all documents reaches the shuffle once per task and distinct document.
 
 Defined results: null or empty text has no words and fails; a null host is a host of its own; repeated rows
 are judged alike and all returned; extra columns pass through ``clean`` untouched.
@@ -71,9 +78,26 @@ def line_id(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
-LINE = pa.struct([("line", pa.int64()), ("words", pa.int32())])
+SKETCH_WORDS = 3
+SKETCHES = np.random.default_rng(11).integers(1, 2**63, 4, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def line_sketches(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per line (words ``starts`` to ``ends`` of ``h``, one line after the other): least window hash under each function."""
+    out = np.empty((starts.size, SKETCHES.size), np.int64)
+    if not starts.size:
+        return out
+    windows = np.zeros(h.size, np.uint64)
+    windows[: max(0, h.size - SKETCH_WORDS + 1)] = window_hashes(h, SKETCH_WORDS)
+    across = np.arange(h.size) + SKETCH_WORDS > np.repeat(ends, ends - starts)
+    for k, factor in enumerate(SKETCHES):
+        out[:, k] = np.minimum.reduceat(np.where(across, ~np.uint64(0), mix(windows * factor)), starts).view(np.int64)
+    return out
+
+
+LINE = pa.struct([("line", pa.int64()), ("words", pa.int32()), ("sketch", pa.list_(pa.int64()))])
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_SCHEMA = f"doc_id long, host long, mark long, {', '.join(f'{c} long' for c in STATS)}, class long, lines array<struct<line:long,words:int>>"
+_SCHEMA = f"doc_id long, host long, mark long, {', '.join(f'{c} long' for c in STATS)}, class long, copy long, lines array<struct<line:long,words:int,sketch:array<long>>>"
 
 
 def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -93,10 +117,14 @@ def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
     _, earlier = _seen_before(span_hashes(buf, a, b), row)
 
     text, begin, stop, _ = folded_words(buf, offsets)
-    lines: list[dict[bytes, int]] = [{} for _ in range(n)]
-    for r, s, e, w in zip(row.tolist(), begin[words_at].tolist(), stop[words_to - 1].tolist(), (words_to - words_at).tolist()):
+    sketches = line_sketches(span_hashes(buf, starts, ends, fold=True), words_at, words_to).tolist()
+    lines: list[dict[bytes, list]] = [{} for _ in range(n)]
+    whole = [hashlib.md5() for _ in range(n)]
+    for r, s, e, w, k in zip(row.tolist(), begin[words_at].tolist(), stop[words_to - 1].tolist(), (words_to - words_at).tolist(), sketches):
         digest = hashlib.md5(text[s:e]).digest()
-        lines[r][digest] = lines[r].get(digest, 0) + w
+        whole[r].update(digest)
+        # a line of fewer words than a window has no sketch
+        lines[r].setdefault(digest, [0, k if w >= SKETCH_WORDS else []])[0] += w
     cols = [
         np.diff(first),
         _per_text(inside & ((buf & 0xC0) != 0x80), offsets),
@@ -109,9 +137,10 @@ def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
             *(part.column(c) for c in ("doc_id", "host", "mark")),
             *(pa.array(c.astype(np.int64)) for c in cols),
             pa.array([line_id(min(x)) if x else None for x in lines], pa.int64()),
-            pa.array([[{"line": line_id(d), "words": w} for d, w in x.items()] for x in lines], pa.list_(LINE)),
+            pa.array([line_id(w.digest()) for w in whole], pa.int64()),
+            pa.array([[{"line": line_id(d), "words": w, "sketch": k} for d, (w, k) in x.items()] for x in lines], pa.list_(LINE)),
         ],
-        ["doc_id", "host", "mark", *STATS, "class", "lines"],
+        ["doc_id", "host", "mark", *STATS, "class", "copy", "lines"],
     )
 
 
@@ -120,7 +149,7 @@ def _keys(host: str) -> list[Column]:
 
 
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts inside each document, its class and its distinct normalised lines."""
+    """Counts inside each document, its class, its normalised text's hash and its distinct normalised lines."""
 
     def run(batches):
         for batch in batches:
@@ -131,7 +160,7 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def frequent_lines(measured: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, line) above the limit of its host."""
+    """(host, line) above the limit of its host, by the rule of op5_quality's SQL."""
     classes = measured.where("class is not null").select("host", "class").distinct()
     documents = classes.groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
     lines = measured.select("host", "class", F.explode("lines.line").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
@@ -139,14 +168,38 @@ def frequent_lines(measured: DataFrame, least_docs: int = LEAST_DOCS, share: flo
     return wide.join(documents, "host").where(F.col("n") > F.col("documents") * F.lit(share)).select("host", "line")
 
 
-def judge(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """doc_id, host, mark, the counts, base_failed, n_removed (words in removed lines), removed (their hashes), kept."""
+def boilerplate(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(host, line) that stands in more documents of its host than the limit, groups of near copies counted once."""
+    texts = measured.where("class is not null").select("host", "copy", "lines")
+    limits = texts.select("host", "copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents")).select("host", F.greatest(F.lit(least_docs), F.col("documents") * F.lit(SHARE)).alias("limit"))
+    pairs = texts.select("host", "copy", F.explode("lines.line").alias("line")).distinct()
+    counts = cut_lineage(pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    common = cut_lineage(counts.where(F.col("n") > least_docs).join(limits, "host").where("n > limit").select("host", "line", "limit"))
+    # from here on only documents that hold a common line
+    held = pairs.join(common, ["host", "line"], "left_semi").select("host", "copy").distinct()
+    lines = texts.join(held, ["host", "copy"], "left_semi").select("host", "copy", F.inline("lines")).drop("words").distinct()
+    lines = cut_lineage(lines.join(counts, ["host", "line"], "left").withColumn("n", F.coalesce("n", F.lit(1))))
+    sketches = lines.select("host", "line", "n", "sketch").distinct().select("host", "line", "n", F.posexplode("sketch").alias("k", "least"))
+    widest = sketches.groupBy("host", "k", "least").agg(F.max(F.struct("n", "line")).alias("as"))
+    origin = sketches.join(widest, ["host", "k", "least"]).groupBy("host", "line").agg(F.max("as").alias("as"))
+    known = lines.drop("sketch").join(origin, ["host", "line"], "left").withColumn("as", F.coalesce("as", F.struct("n", "line")))
+    keys = known.groupBy("host", "copy").agg(F.min("as").alias("as")).withColumn("own", F.col("as.n") == 1)
+    keys = keys.select("host", "copy", "own", F.when(F.col("own"), F.col("copy")).otherwise(F.col("as.line")).alias("key"))
+    wide = lines.select("host", "copy", "line").join(common, ["host", "line"]).join(keys, ["host", "copy"])
+    return wide.select("host", "line", "limit", "own", "key").distinct().groupBy("host", "line", "limit").agg(F.count(F.lit(1)).alias("n")).where("n > limit").select("host", "line")
+
+
+def judge(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float | None = None, min_left: float = MIN_LEFT) -> DataFrame:
+    """With ``share`` lines are judged by ``frequent_lines``, else by ``boilerplate``.
+
+    doc_id, host, mark, the counts, base_failed, n_removed (words in removed lines), removed (their hashes), kept.
+    """
     measured = cut_lineage(measure(docs, host))
-    frequent = frequent_lines(measured, least_docs, share)
-    placed = measured.select("doc_id", "host", "mark", F.inline("lines")).join(frequent, ["host", "line"])
+    frequent = boilerplate(measured, least_docs) if share is None else frequent_lines(measured, least_docs, share)
+    placed = measured.select("doc_id", "host", "mark", F.inline("lines")).drop("sketch").join(frequent, ["host", "line"])
     gone = placed.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("mark").alias("m")).agg(F.collect_set(F.struct("line", "words")).alias("gone"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("host") == F.col("h")) & (F.col("mark") == F.col("m"))
-    joined = measured.drop("class", "lines").join(gone, same, "left")
+    joined = measured.drop("class", "copy", "lines").join(gone, same, "left")
     removed = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda total, x: total + x["words"]), F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     left = F.col("n_words") - F.col("n_removed")

@@ -52,7 +52,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = quality.judge(table(spark, sf_dir, "documents"))
+    verdict = quality.judge(table(spark, sf_dir, "documents"), share=quality.SHARE)
     return verdict.select("doc_id", *quality.STATS, "base_failed", "n_removed", "kept")
 
 
