@@ -96,6 +96,14 @@ def test_templates_go_whatever_their_share_of_a_page(spark):
         assert not any(line in r.text for r in out for line in template)
 
 
+def test_limit_does_not_rise_with_the_host(spark):
+    template, rows = template_pages(40, 1, 3)
+    rng = random.Random(9)
+    rows += [(1000 + i, "\n".join(lines_of(rng, 2)), "t") for i in range(1500)]
+    out = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert not any(template[0] in r.text for r in out)
+
+
 def test_text_of_many_groups_of_near_copies_goes_and_theirs_stays(spark):
     rng = random.Random(10)
     notice, rows = "one notice that stands on every page of them all", []

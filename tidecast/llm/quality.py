@@ -4,7 +4,8 @@ Lines are normalised (words with one blank between them, A-Z lowered) and hashed
 host are removed; a document that keeps fewer than ``min_words`` words, or less than ``min_left`` of them, is rejected.
 
 ``boilerplate`` finds these lines. Documents are told apart by a hash of their whole normalised text, and a line
-is common when it stands in more than max(least_docs, 5 % of them). A group of near copies doesn't condemn its own text: a line with some words changed counts as the line it
+is common when it stands in more than ``line_limit`` of them, an absolute number that grows with the logarithm of
+the host. A group of near copies doesn't condemn its own text: a line with some words changed counts as the line it
 was made from (the one in most documents that has the same least hash of its three-word windows, under one of four
 functions). A document with a line that is in no other counts as itself, others by their rarest line, so that near
 copies count once, and text that many groups of them share is still found.
@@ -36,6 +37,8 @@ WINDOW_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 LEAST_DOCS = 10
+#: Up to so many documents of a host the limit is LEAST_DOCS; it then grows with their binary logarithm.
+LIMIT_DOCS = 100
 SHARE = 0.05
 MIN_LEFT = 0.2
 SYMBOLS = b"#*$%&|<>"
@@ -168,10 +171,15 @@ def frequent_lines(measured: DataFrame, least_docs: int = LEAST_DOCS, share: flo
     return wide.join(documents, "host").where(F.col("n") > F.col("documents") * F.lit(share)).select("host", "line")
 
 
+def line_limit(documents: Column, least_docs: int = LEAST_DOCS) -> Column:
+    """Distinct documents of a host of so many in which a line may stand."""
+    return F.lit(least_docs) * F.greatest(F.lit(1.0), F.log2(documents / F.lit(LIMIT_DOCS)))
+
+
 def boilerplate(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(host, line) that stands in more documents of its host than the limit, groups of near copies counted once."""
+    """(host, line) that stands in more documents of its host than ``line_limit``, groups of near copies counted once."""
     texts = measured.where("class is not null").select("host", "copy", "lines")
-    limits = texts.select("host", "copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents")).select("host", F.greatest(F.lit(least_docs), F.col("documents") * F.lit(SHARE)).alias("limit"))
+    limits = texts.select("host", "copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents")).select("host", line_limit(F.col("documents"), least_docs).alias("limit"))
     pairs = texts.select("host", "copy", F.explode("lines.line").alias("line")).distinct()
     counts = cut_lineage(pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     common = cut_lineage(counts.where(F.col("n") > least_docs).join(limits, "host").where("n > limit").select("host", "line", "limit"))
