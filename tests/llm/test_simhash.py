@@ -182,3 +182,64 @@ def test_tables_of_random_bits():
         bits = {sum((m & (2**64 - 1)).bit_count() for m in mask) for mask in masks}
         assert len(bits) == 1 and n / 2 ** bits.copy().pop() <= simhash.SHARD_MEAN
         assert (1 - (1 - simhash._apart(0.8)) ** bits.pop()) ** len(masks) <= simhash.MISS
+
+
+def shingle_set(text, words=5):
+    tokens = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))) if tokens else frozenset()
+
+
+def jaccard_groups(rows, similarity=0.8):
+    """Sets of row numbers linked by exact similarity, by all pairs."""
+    sets = [shingle_set(t) for _, t in rows]
+    parts = simhash._Sets(len(rows))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or len(x & sets[j]) >= similarity * len(x | sets[j]) - 1e-9:
+                parts.join(i, j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(parts.root(i), set()).add(i)
+    return {frozenset(g) for g in groups.values()}
+
+
+def edited_texts():
+    """Groups of texts around the wanted similarity, some linked only through a third."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    rows = [(None, None), (1, ""), (2, "One"), (3, "one"), (4, "a b c d e"), (5, "a b c d e f")]
+    for g in range(30):
+        base = [word() for _ in range(rng.choice([30, 100, 300]))]
+        for c in range(8):
+            copy = list(base)
+            for k in rng.sample(range(len(base)), len(base) * (c % 4 + 1) // 60):
+                copy[k] = word()
+            rows.append((1000 * (g + 1) + c, " ".join(copy)))
+    return rows
+
+
+def test_groups_are_those_of_exact_similarity(spark):
+    rows = edited_texts()
+    want = jaccard_groups(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for blocks in (None, 3):
+        got = {}
+        for i, r in enumerate(sorted(simhash.cluster_similar(docs, shard_rows=blocks).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))):
+            got.setdefault(r.label, set()).add(i)
+        assert {frozenset(g) for g in got.values()} == want
+    kept = sorted((r.doc_id for r in simhash.keep_similar(docs).collect()), key=str)
+    assert kept == sorted((min(rows[i][0] for i in g if rows[i][0] is not None) for g in want), key=str)
+
+
+def test_bands_find_pairs_at_the_similarity():
+    assert (1 - 0.8**simhash.BAND_ROWS) ** simhash.bands_for(0.8) <= simhash.TAIL
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = simhash.bands_for(0.8) * simhash.BAND_ROWS
+    factors = rng.integers(1, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    met = 0
+    for _ in range(500):
+        h = rng.integers(-(2**63), 2**63, 100, dtype=np.int64)
+        met += bool((simhash.band_keys(np.sort(h[:90]), factors) == simhash.band_keys(np.sort(h[10:]), factors)).any())
+    assert met >= 495
