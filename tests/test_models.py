@@ -105,3 +105,18 @@ def test_diagnostics_on_white_noise(spark, sims):
     df = _monthly(spark, {"noise": sims["noise"]})
     r = arima.diagnostics(df, ["sid"], order=(0, 0, 0)).first()
     assert r.mean_ok and r.ljung_box_p > 0.01
+
+
+def test_series_that_cannot_be_fitted_have_a_status(spark, sims):
+    some = {"long": sims["ar"][:60], "two": np.array([1.0, 2.0]), "one": np.array([3.0]), "flat": np.full(40, 7.0)}
+    df = _monthly(spark, some)
+    fc = arima.forecast(df, 12, ["sid"], order=(1, 1, 1)).collect()
+    assert {r.sid for r in fc} == set(some)
+    for r in fc:
+        assert (r.status == "fitted") == (r.step is not None) == (r.forecast is not None)
+    assert [r.status for r in fc if r.sid in ("one", "two")] == ["not fitted: series too short for this order"] * 2
+    dg = {r.sid: r.status for r in arima.diagnostics(df, ["sid"], order=(1, 1, 1)).collect()}
+    assert dg.keys() == some.keys() and dg["long"] == "fitted" and dg["one"].startswith("not fitted")
+    ho = {r.sid: r for r in arima.holdout_evaluation(df, ["sid"]).collect()}
+    assert ho.keys() == some.keys() and ho["long"].rmse is not None
+    assert ho["two"].rmse is None and ho["two"].status.startswith("not fitted") and ho["one"].status.startswith("not fitted")

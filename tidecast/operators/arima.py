@@ -55,6 +55,7 @@ FC_FIELDS = [
     T.StructField("forecast", T.DoubleType()),
     T.StructField("lower_ci", T.DoubleType()),
     T.StructField("upper_ci", T.DoubleType()),
+    T.StructField("status", T.StringType()),
 ]
 DIAG_FIELDS = [
     T.StructField("resid_mean", T.DoubleType()),
@@ -63,7 +64,9 @@ DIAG_FIELDS = [
     T.StructField("ljung_box_p", T.DoubleType()),
     T.StructField("jarque_bera", T.DoubleType()),
     T.StructField("jarque_bera_p", T.DoubleType()),
+    T.StructField("status", T.StringType()),
 ]
+FITTED = "fitted"
 
 
 def _grouped(df: DataFrame, keys: list[str], fields, fn, period: str, value: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -112,6 +115,7 @@ def forecast(
 ) -> DataFrame:
     """fc_arima / fc_sarima: forecast table with 95 % intervals per series (order fixed or per series).
 
+    A series that can't be fitted has one row, without step and figures, whose ``status`` says why.
     ``steps_col`` names a per-series horizon column carried on ``series`` (overrides ``steps``).
     """
     keys = list(keys)
@@ -121,9 +125,11 @@ def forecast(
         try:
             f = tsstats.arima_fit(y, od, seas)
             fc, lo, hi = tsstats.arima_forecast(y, f, n, z)
-        except Exception:  # noqa: BLE001 — series too short / singular: no forecast rows
-            return []
-        return [(h + 1, last, float(fc[h]), float(lo[h]), float(hi[h])) for h in range(n)]
+            if not np.isfinite([fc, lo, hi]).all():
+                raise ValueError("no finite forecast")
+        except Exception as why:  # noqa: BLE001 — series too short / singular: reported by status
+            return [(None, last, None, None, None, f"not {FITTED}: {why}")]
+        return [(h + 1, last, float(fc[h]), float(lo[h]), float(hi[h]), FITTED) for h in range(n)]
 
     extra = [steps_col] if steps_col else []
     df, keys = _with_orders(series.select(*keys, period, value, *extra), keys, orders, order, seasonal)
@@ -136,7 +142,7 @@ def forecast(
         per = F.date_add("last_period", F.col("step"))
     return out.select(
         *keys, *ORDER_COLS, "step", per.alias(PERIOD), "forecast", "lower_ci", "upper_ci",
-        (F.col("upper_ci") - F.col("lower_ci")).alias("ci_width"),
+        (F.col("upper_ci") - F.col("lower_ci")).alias("ci_width"), "status",
     )
 
 
@@ -203,18 +209,20 @@ def compare_orders(series: DataFrame, keys: Sequence[str] = (), candidates=((0,
 
 def diagnostics(series: DataFrame, keys: Sequence[str] = (), order=DEFAULT_ORDER, seasonal=(0, 0, 0, 0), orders: DataFrame | None = None,
                 lags: int = 10, period: str = PERIOD, value: str = VALUE) -> DataFrame:
-    """fc_diagnostics: residual mean < 0.1σ, Ljung-Box(10) p > .05, Jarque-Bera p > .05 (normality, in place of Shapiro-Wilk)."""
+    """fc_diagnostics: residual mean < 0.1σ, Ljung-Box(10) p > .05, Jarque-Bera p > .05 (normality, in place of Shapiro-Wilk).
+
+    A series that can't be fitted has a row without figures, whose ``status`` says why.
+    """
     keys = list(keys)
 
     def rows(y, last, od, seas):
         try:
-            f = tsstats.arima_fit(y, od, seas)
-        except Exception:  # noqa: BLE001
-            return []
-        e = f["resid"]
-        q, qp = tsstats.ljung_box(e, lags)
-        jb, jbp = tsstats.jarque_bera(e)
-        return [(float(np.mean(e)), float(np.std(e)), q, qp, jb, jbp)]
+            e = tsstats.arima_fit(y, od, seas)["resid"]
+            q, qp = tsstats.ljung_box(e, lags)
+            jb, jbp = tsstats.jarque_bera(e)
+        except Exception as why:  # noqa: BLE001 — series too short / singular: reported by status
+            return [(None, None, None, None, None, None, f"not {FITTED}: {why}")]
+        return [(float(np.mean(e)), float(np.std(e)), q, qp, jb, jbp, FITTED)]
 
     df, keys = _with_orders(series.select(*keys, period, value), keys, orders, order, seasonal)
     out = _grouped(df, keys, DIAG_FIELDS, rows, period, value)
@@ -230,7 +238,10 @@ def diagnostics(series: DataFrame, keys: Sequence[str] = (), order=DEFAULT_ORDER
 
 def holdout_evaluation(series: DataFrame, keys: Sequence[str] = (), order=DEFAULT_ORDER, train_fraction: float = 0.8,
                        period: str = PERIOD, value: str = VALUE) -> DataFrame:
-    """fc_arima_holdout: chronological split → fit on train → forecast the test span → accuracy metrics per series."""
+    """fc_arima_holdout: chronological split → fit on train → forecast the test span → accuracy metrics per series.
+
+    Every series has a row; ``status`` says why one has no metrics.
+    """
     from .forecast import metrics
     from .windows import train_test_split
 
@@ -245,7 +256,11 @@ def holdout_evaluation(series: DataFrame, keys: Sequence[str] = (), order=DEFAUL
     fc = forecast(train, 1, keys, order, period=period, value=value, steps_col="h")
     j = test.join(fc.select(*keys, "step", "forecast"), keys + ["step"], "inner") if keys else test.join(fc.select("step", "forecast"), ["step"])
     pairs = j.select(*keys, F.col(value).alias("actual"), F.col("forecast").alias("predicted"))
-    return metrics(pairs, keys=keys).join(horizon, keys, "left") if keys else metrics(pairs)
+    if not keys:
+        return attach_row(metrics(pairs), fc.agg(F.min("status").alias("status")), [])
+    status = fc.groupBy(*keys).agg(F.min("status").alias("status"))
+    out = series.select(*keys).distinct().join(metrics(pairs, keys=keys), keys, "left").join(horizon, keys, "left").join(status, keys, "left")
+    return out.withColumn("status", F.coalesce("status", F.lit(f"not {FITTED}: no test span")))
 
 
 def train_evaluate_forecast(series: DataFrame, keys: Sequence[str] = (), order=DEFAULT_ORDER, seasonal=(0, 0, 0, 0),
