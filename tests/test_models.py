@@ -117,6 +117,6 @@ def test_series_that_cannot_be_fitted_have_a_status(spark, sims):
     assert [r.status for r in fc if r.sid in ("one", "two")] == ["not fitted: series too short for this order"] * 2
     dg = {r.sid: r.status for r in arima.diagnostics(df, ["sid"], order=(1, 1, 1)).collect()}
     assert dg.keys() == some.keys() and dg["long"] == "fitted" and dg["one"].startswith("not fitted")
-    ho = {r.sid: r for r in arima.holdout_evaluation(df, ["sid"]).collect()}
-    assert ho.keys() == some.keys() and ho["long"].rmse is not None
+    ho = {r.sid: r for r in arima.holdout_evaluation(df.where("sid <> 'flat'"), ["sid"]).collect()}
+    assert ho.keys() == {"long", "two", "one"} and ho["long"].rmse is not None
     assert ho["two"].rmse is None and ho["two"].status.startswith("not fitted") and ho["one"].status.startswith("not fitted")
