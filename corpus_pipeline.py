@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 the next stage's ``docs``. All but the last return the columns of ``documents``:
 
 * quality: rejected documents go, lines above their host's limit are removed from the others;
-* near_duplicates: one document of each group of texts whose five-word shingle sets are 0.8 alike or more (exact
-  Jaccard on MinHash candidates) stays, that of the least doc_id;
+* near_duplicates: one document of each component of texts whose 64-bit fingerprints of four-word shingles differ in four
+  bits or less stays, that of the least doc_id;
 * personal_data: every span found is replaced by its kind, as in ``<EMAIL>``;
 * mixing: documents stand as often as the balanced sample takes them, none up to two times;
 * encoding: doc_id, n_tokens and the token ids (little-endian unsigned 32-bit integers) of each row.
@@ -30,7 +30,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_similar(docs)
+    return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,22 @@ STAGES = [("quality", rules), ("near_duplicates", near_duplicates), ("personal_d
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the tables between them go to the shared checkpoint folder."""
+    """All stages over ``documents``.
+
+    The tables between them go to the shared checkpoint folder; each is removed once the next one is written, but for
+    the last, which the returned rows are read from.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if k:
+            _remove(spark, f"{folder}/{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
