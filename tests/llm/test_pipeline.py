@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 import corpus_pipeline as cp
 from test_quality_mixing import WORD, brute_targets
-from test_simhash import similar_kept
+from test_simhash import kept_ids
 from tidecast.llm import bpe, pii, quality
 
 
@@ -29,7 +29,7 @@ def check(spark, docs):
             kept = sorted(r.doc_id for r in quality.judge(before).where("kept").collect() if r.doc_id is not None)
             assert sorted(r.doc_id for r in rows if r.doc_id is not None) == kept
         elif name == "near_duplicates":
-            assert sorted((r.doc_id for r in rows), key=str) == similar_kept([(r.doc_id, r.text) for r in source])
+            assert sorted((r.doc_id for r in rows), key=str) == kept_ids([(r.doc_id, r.text) for r in source])
         elif name == "personal_data":
             weights = pii.train(before)
             by_id = {r.doc_id: r for r in rows}

@@ -9,14 +9,6 @@ Trees travel with their shard through the shuffle: their total size grows with t
 broadcast. A shard of more than ``SHARD_ROWS`` is dealt to pairs of salted blocks. Out of a shard come only
 the links that join two of its parts, never all pairs; components are formed from those.
 
-``keep_similar`` is for texts of a given similarity of their shingle sets, whose fingerprints differ in too many
-bits for that. Candidates come from MinHash: equal keys of ``BAND_ROWS`` least hashes each, in as many bands as leave
-a pair of exactly that similarity apart with ``TAIL`` chance (bands are drawn apart, so that this is no matter of the
-number of texts; more similar pairs are missed less). Components of candidates are only where links are looked for:
-the texts of each are dealt out once more, and within it all pairs of the similarity or more, by exact
-Jaccard, are linked (or joined by others); the prefix filter skips pairs that can't be. A component of more than
-``BLOCK_SHINGLES`` is dealt to pairs of salted blocks.
-
 Defined results: null text counts as empty; a text of fewer words than a shingle has one shingle, no words
 give fingerprint zero, which links like any other. One output row per input row; a null doc_id stays null
 and never becomes a component's name unless all of the component's are null.
@@ -25,7 +17,6 @@ and never becomes a component's name unless all of the component's are null.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import star_labels
-from .textkit import folded_words, mix, sorted_groups, text_bytes, text_slices
+from .textkit import folded_words, sorted_groups, text_bytes, text_slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -45,51 +36,40 @@ SEED = 42
 SHARD_ROWS = 4096
 #: Distinct fingerprints per shard that the number of parts aims at, if fingerprints were evenly spread.
 SHARD_MEAN = 256
-#: Chance that tables of random bits miss a pair of the wanted similarity.
-MISS = 0.01
-#: Standard deviations of such a pair's distance that the wide radius allows for.
-SPREAD = 1.6
-#: Chance that the bands miss a pair of exactly the wanted similarity, and least hashes to a band's key.
-TAIL = 0.002
-BAND_ROWS = 8
-#: Components of more shingles are dealt to pairs of salted blocks of about this size.
-BLOCK_SHINGLES = 1 << 21
 _STEP = 1 << 15
 
 
-def fingerprints_of(arr, words: int = SHINGLE_WORDS, wide: bool = False) -> np.ndarray:
-    """Fingerprints (unsigned) of an Arrow string array's texts: XXH64 shingles, or two columns from XXH3-128."""
+def fingerprints_of(arr, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Fingerprints (unsigned) of an Arrow string array's texts."""
     joined, starts, ends, first = folded_words(*text_bytes(arr))
-    digest, size = (xxhash.xxh3_128_digest, 16) if wide else (xxhash.xxh64_digest, 8)
-    out = np.zeros((len(arr), size // 8), np.uint64)
+    out = np.zeros(len(arr), np.uint64)
     view = memoryview(joined)
     for d in range(len(arr)):
         a, b = int(first[d]), int(first[d + 1])
         if a == b:
             continue
         n = max(1, b - a - words + 1)
-        tally = np.zeros(8 * size, np.int64)
+        tally = np.zeros(64, np.int64)
         for k in range(a, a + n, _STEP):
             stop = min(k + _STEP, a + n)
             last = ends[min(k + words, b) - 1 : min(stop + words - 1, b)]
-            h = b"".join([digest(view[s:e], SEED) for s, e in zip(starts[k:stop].tolist(), last.tolist())])
-            tally += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, size), axis=1).sum(axis=0, dtype=np.int64)
-        out[d] = np.packbits(tally * 2 > n).view(">u8")
-    return out if wide else out[:, 0]
+            h = b"".join([xxhash.xxh64_digest(view[s:e], SEED) for s, e in zip(starts[k:stop].tolist(), last.tolist())])
+            tally += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[d] = np.packbits(tally * 2 > n).view(">u8")[0]
+    return out
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, wide: bool = False) -> DataFrame:
-    """doc_id, mark (hash of the text), fp (the fingerprint's 64 bits as a signed long); wide: fp and fp2."""
-    names = ["fp", "fp2"] if wide else ["fp"]
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, mark (hash of the text), fp (the fingerprint's 64 bits as a signed long)."""
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                fp = fingerprints_of(part.column("text"), words, wide).view(np.int64).reshape(part.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *(pa.array(c) for c in fp.T.copy())], ["doc_id", "mark", *names])
+                fp = fingerprints_of(part.column("text"), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fp)], ["doc_id", "mark", "fp"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return picked.mapInArrow(run, f"doc_id long, mark long, {', '.join(f'{c} long' for c in names)}")
+    return picked.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 class BKTree:
@@ -176,60 +156,29 @@ def parts_for(n: int, radius: int) -> int:
     return parts
 
 
-def random_masks(n: int, similarity: float, seed: int = 5) -> list[tuple[int, int]]:
-    """Bits of 128 that key each table: as few as give shards of SHARD_MEAN, in tables enough for ``MISS``."""
-    agree = 1 - _apart(similarity)
-    bits = max(14, math.ceil(math.log2(max(n, 1) / SHARD_MEAN)))
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(math.ceil(-math.log(MISS) / agree**bits)):
-        picked = rng.choice(128, bits, replace=False).tolist()
-        halves = [sum(1 << (b % 64) for b in picked if b // 64 == h) for h in (0, 1)]
-        out.append(tuple(m - (1 << 64) if m >> 63 else m for m in halves))
-    return out
-
-
-def _apart(similarity: float) -> float:
-    """Chance that a fingerprint bit differs between two shingle sets of this Jaccard similarity and like size."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def wide_radius(similarity: float) -> int:
-    p = _apart(similarity)
-    return round(128 * p + SPREAD * math.sqrt(128 * p * (1 - p)))
-
-
-def link_edges(distinct: DataFrame, n: int, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, node: str = "fp", masks: list[tuple[int, ...]] | None = None) -> DataFrame:
-    """(u, v), u > v: links between distinct fingerprints that leave no component apart, as their ``node`` numbers.
-
-    Fingerprints are the columns ``fp`` (and ``fp2``); ``masks``: each table's key bits in them.
-    """
-    masks = masks or [(m,) for m in _masks(parts_for(n, radius), radius)]
-    words = ["fp", "fp2"][: len(masks[0])]
+def link_edges(distinct: DataFrame, n: int, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(u, v), u > v: links between distinct fingerprints (column ``fp``) that leave no component apart."""
     # a shard is known by a hash of its table and bits: should two meet, they are searched as one
-    tables = F.array(*[F.xxhash64(F.lit(t), *[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(words, mask)]) for t, mask in enumerate(masks)])
-    shard, whole = ["shard"], dict.fromkeys([node, *words])
-    dealt = distinct.select(*whole, F.explode(tables).alias("shard"))
-    sizes = dealt.groupBy(*shard).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    salts = F.ceil(F.col("n") / shard_rows).cast("int")
-    own = F.pmod(F.xxhash64(*words), F.col("salts")).cast("int")
-    members = dealt.join(sizes, shard).withColumn("salts", salts).withColumn("own", own)
+    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(_masks(parts_for(n, radius), radius))])
+    dealt = distinct.select("fp", F.explode(tables).alias("shard"))
+    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
+    members = dealt.join(sizes, "shard").withColumn("salts", F.ceil(F.col("n") / shard_rows).cast("int")).withColumn("own", own)
     blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
-        *shard, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), *whole
+        "shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "fp"
     )
-    keys = [*shard, "low", "high"]
+    keys = ["shard", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, keys):
-            fps = group.column("fp").to_numpy().view(np.uint64).tolist()
-            if len(words) > 1:
-                fps = [a << 64 | b for a, b in zip(fps, group.column("fp2").to_numpy().view(np.uint64).tolist())]
+            fps = group.column("fp").to_numpy()
             pair = group.column("low")[0].as_py() != group.column("high")[0].as_py()
-            found = shard_links(fps, group.column("right").to_pylist(), pair, radius)
+            found = shard_links(fps.view(np.uint64).tolist(), group.column("right").to_pylist(), pair, radius)
             if found:
-                a = group.column(node).to_numpy()[np.array(found)]
+                a = fps[np.array(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(a.max(axis=1)), pa.array(a.min(axis=1))], ["u", "v"])
 
-    return blocks.repartition(*keys).sortWithinPartitions(*keys, *words).mapInArrow(run, "u long, v long")
+    return blocks.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "u long, v long")
 
 
 def cluster(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -246,169 +195,13 @@ def with_fingerprint_text(clustered: DataFrame) -> DataFrame:
     return clustered.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bands_for(similarity: float) -> int:
-    return math.ceil(math.log(TAIL) / math.log(1 - similarity**BAND_ROWS))
-
-
-def shingle_sets(arr, words: int) -> Iterator[np.ndarray]:
-    """Each text's distinct shingle hashes (signed), in order; none for a text without words."""
-    joined, starts, ends, first = folded_words(*text_bytes(arr))
-    view = memoryview(joined)
-    for d in range(len(arr)):
-        a, b = int(first[d]), int(first[d + 1])
-        n = max(1, b - a - words + 1) if b > a else 0
-        last = ends[min(a + words, b) - 1 : a + n + words - 1][:n] if n > 1 else ends[b - 1 : b][:n]
-        yield np.unique(np.array([xxhash.xxh3_64_intdigest(view[s:e], SEED) for s, e in zip(starts[a : a + n].tolist(), last.tolist())], np.uint64).view(np.int64))
-
-
-def band_keys(sets: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One key (signed) for each band of a shingle set: its least hashes under the band's functions, as one."""
-    least = np.full(factors.size, ~np.uint64(0))
-    h = mix(sets.view(np.uint64))
-    for k in range(0, h.size, 512):
-        np.minimum(least, (h[k : k + 512, None] * factors).min(axis=0), out=least)
-    key = np.arange(factors.size // BAND_ROWS, dtype=np.uint64)
-    for part in least.reshape(-1, BAND_ROWS).T:
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + part)
-    return key.view(np.int64)
-
-
-def band_rows(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """doc_id, mark (hash of the text), node (hash of the shingle set), size (of the set), bands (MinHash keys)."""
-    factors = np.random.default_rng(SEED).integers(1, 2**63, bands * BAND_ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                nodes, sizes, keys = [], [], []
-                for s in shingle_sets(part.column("text"), words):
-                    nodes.append(xxhash.xxh3_64_intdigest(s.tobytes(), SEED))
-                    sizes.append(s.size)
-                    keys.append(band_keys(s, factors))
-                cols = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *cols], ["doc_id", "mark", "node", "size", "bands"])
-
-    return _marked(docs).mapInArrow(run, "doc_id long, mark long, node long, size long, bands array<long>")
-
-
-def _marked(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-
-
-def candidate_edges(rows: DataFrame) -> DataFrame:
-    """(u, v), u > v: each node of an equal band key with that key's least node."""
-    # equal pairs are made one within each task, so that copies are not sent
-    dealt = rows.select("node", F.explode("bands").alias("key")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, root = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, v = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            new = np.ones(k.size, bool)
-            new[1:] = k[1:] != k[:-1]
-            new[0] = root is None or k[0] != key
-            at = np.maximum.accumulate(np.where(new, np.arange(k.size), -1))
-            least = np.where(at < 0, 0 if root is None else root, v[at])
-            key, root = int(k[-1]), int(least[-1])
-            u = least != v
-            if u.any():
-                yield pa.RecordBatch.from_arrays([pa.array(v[u]), pa.array(least[u])], ["u", "v"])
-
-    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()
-
-
-def similar_links(sets: list[np.ndarray], right: list[bool], pair: bool, similarity: float) -> list[tuple[int, int]]:
-    """Links that join two parts of the block: numbers of sets whose Jaccard similarity is reached. ``pair`` as in shard_links."""
-    label, members, out = np.arange(len(sets)), {n: [n] for n in range(len(sets))}, []
-    index: dict[int, list[int]] = {}
-    for n in sorted(range(len(sets)), key=lambda m: right[m]) if pair else range(len(sets)):
-        own = sets[n]
-        # two sets this alike share a hash among the least of each
-        prefix = own[: own.size - math.ceil(similarity * own.size - 1e-9) + 1].tolist()
-        if not pair or right[n]:
-            met = np.zeros(len(sets), bool)
-            for h in prefix:
-                met[index.get(h, [])] = True
-            for m in np.flatnonzero(met).tolist():
-                if label[m] == label[n]:
-                    continue
-                a, b = own.size, sets[m].size
-                if min(a, b) < similarity * max(a, b) - 1e-9:
-                    continue
-                both = np.intersect1d(own, sets[m], assume_unique=True).size
-                if both >= similarity * (a + b - both) - 1e-9:
-                    out.append((n, m))
-                    few, many = sorted((int(label[n]), int(label[m])), key=lambda x: len(members[x]))
-                    label[members[few]] = many
-                    members[many] += members.pop(few)
-        if not (pair and right[n]):
-            for h in prefix:
-                index.setdefault(h, []).append(n)
-    return out
-
-
-def verified_edges(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, words: int, similarity: float, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(u, v), u > v: links of exact similarity inside the components of candidates; they leave no pair that is alike apart.
-
-    ``distinct``: each node's size and one row of ``docs`` (doc_id, mark); only texts that have candidates are dealt out.
-    """
-    label = star_labels(candidates)
-    label = label.union(label.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("node"), F.col("v").alias("label"))
-    members = cut_lineage(distinct.join(label, "node"))
-    salts = members.groupBy("label").agg(F.ceil(F.sum("size") / block).cast("int").alias("salts"))
-    own = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
-    blocks = members.join(salts, "label").withColumn("salts", F.greatest("salts", F.lit(1))).withColumn("own", own)
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
-        "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "node", F.col("doc_id").alias("d"), F.col("mark").alias("m")
-    )
-    keys = ["label", "low", "high"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, keys):
-            nodes = group.column("node").to_numpy()
-            at = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))  # rows of one doc_id and text are one
-            group = group.take(at)
-            texts = group.select(["text"]).combine_chunks().to_batches()
-            sets = [s for b in texts for s in shingle_sets(b.column("text"), words)]
-            pair = group.column("low")[0].as_py() != group.column("high")[0].as_py()
-            found = similar_links(sets, group.column("right").to_pylist(), pair, similarity)
-            if found:
-                a = nodes[at][np.array(found)]
-                yield pa.RecordBatch.from_arrays([pa.array(a.max(axis=1)), pa.array(a.min(axis=1))], ["u", "v"])
-
-    rows = _marked(docs).join(blocks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select(*keys, "right", "node", "text")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "u long, v long")
-
-
-def cluster_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, shard_rows: int | None = None) -> DataFrame:
-    """doc_id, mark, label, component_id of texts whose shingle sets are ``similarity`` alike or more, or joined by such.
-
-    ``shard_rows``: blocks hold about so many sets of 64 shingles.
-    """
-    rows = cut_lineage(band_rows(docs, words, bands_for(similarity)))
-    distinct = rows.groupBy("node").agg(F.first("size").alias("size"), F.min(F.struct("doc_id", "mark")).alias("row")).select("node", "size", "row.*")
-    candidates = candidate_edges(rows.select("node", "bands"))
-    links = star_labels(verified_edges(docs, distinct, candidates, words, similarity, 64 * shard_rows if shard_rows else BLOCK_SHINGLES))
-    placed = rows.select("doc_id", "mark", "node").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-    placed = placed.select("doc_id", "mark", F.coalesce("root", "node").alias("label"))
-    return placed.join(placed.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "mark", "label", "component_id")
-
-
-def keep_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows and columns of ``docs``, one row of each group of similar texts."""
-    return _one_each(docs, cluster_similar(docs, words, similarity))
-
-
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows and columns of ``docs``, one row of each component: that of the least doc_id (then least mark)."""
-    return _one_each(docs, cluster(docs, words, radius))
-
-
-def _one_each(docs: DataFrame, clustered: DataFrame) -> DataFrame:
-    kept = clustered.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("tc_kept_id"), F.col("k.mark").alias("tc_kept_mark")).distinct()
-    marked = docs.withColumn("tc_mark", F.xxhash64("text"))
-    same = marked["doc_id"].cast("long").eqNullSafe(kept["tc_kept_id"]) & (marked["tc_mark"] == kept["tc_kept_mark"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "tc_mark"]).drop("tc_mark")
+    kept = cluster(docs, words, radius).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("k"))
+    kept = kept.select("k.doc_id", "k.mark").distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # the caller's columns travel in one struct, so that no name of theirs can meet one of ours
+    marked = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    same = marked["id"].eqNullSafe(kept["doc_id"]) & (marked["mark"] == kept["mark"])
+    one = marked.join(kept, same, "left_semi").dropDuplicates(["id", "mark"])
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
