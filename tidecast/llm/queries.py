@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, ngram_lm, packing, pii, quality, secrets, simhash, topk
+from . import bpe, langid, mixing, ngram_lm, packing, pii, quality, runs, secrets, simhash, topk
 from .textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,10 @@ FROM s QUALIFY rank <= 5"""
 @_query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_bytes(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    seed = F.when(h % 10 == 0, F.floor(h / 10))
+    return runs.run_digest(runs.collapse(table(spark, sf_dir, "documents"), seed))
