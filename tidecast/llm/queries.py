@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, ngram_lm, packing, pii, quality, runs, secrets, simhash, topk
+from . import bpe, hardneg, langid, mixing, ngram_lm, packing, pii, quality, runs, secrets, simhash, topk, urlfilter
 from .textkit import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,66 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     seed = F.when(h % 10 == 0, F.floor(h / 10))
     return runs.run_digest(runs.collapse(table(spark, sf_dir, "documents"), seed))
+
+
+#: Fixed values of op12: rules on host and path; words whose hosts' URLs are listed.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+LISTED_WORDS = ("casino", "pills", "bets", "ads-track")
+
+
+@_query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: canonical URLs of all pages whose host holds one of the listed words."""
+    pages = table(spark, sf_dir, "pages")
+    host = urlfilter.host_of(F.col("url"))
+    listed = pages.where(F.greatest(*(F.instr(host, w) for w in LISTED_WORDS)) > 0).select(urlfilter.canonical(F.col("url")))
+    return urlfilter.judge(pages, listed, URL_RULES).drop("canonical", "listed")
+
+
+ORACLES["op12_url_filter"] = r"""
+WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+           lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND split_part(x, '=', 1) NOT IN ('ref', 'gclid', 'fbclid'))), '&') AS q
+  FROM a),
+k AS (
+  SELECT page_id, host, path, CASE WHEN host IN ('', 'www.') THEN NULL ELSE
+         (CASE WHEN starts_with(host, 'www.') THEN substr(host, 5) ELSE host END) || rtrim(path, '/') || (CASE WHEN q <> '' THEN '?' || q ELSE '' END) END AS canonical,
+         CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+              WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM p),
+listed AS (SELECT DISTINCT canonical FROM k WHERE canonical IS NOT NULL AND (instr(host, 'casino') > 0 OR instr(host, 'pills') > 0 OR instr(host, 'bets') > 0 OR instr(host, 'ads-track') > 0))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM k LEFT JOIN listed l ON k.canonical = l.canonical"""
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"), F.col("id") % 50 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+a AS (SELECT DISTINCT vec_id, label, x FROM e WHERE vec_id % 50 = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, c.vec_id, c.label, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+  FROM a JOIN e c ON c.vec_id <> a.vec_id OR c.label <> a.label),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE label = anchor_label QUALIFY place <= 5),
+m AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label
+  WHERE 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 3"""
