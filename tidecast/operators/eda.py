@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from ..functions.attach import attach_row
 from ..functions.calendar import DAY_NAMES, season, season_order, weekday0
 from ..functions.numeric import clip, round_half_up, safe_div
-from .quantile import exact_quantiles
+from .moments import correlation, unpivot
+from .quantile import distribution
 
 STORE, DATE, SALES = "store", "date", "sales"
 
@@ -64,9 +65,11 @@ def seasonal_patterns(fact: DataFrame, keys: Sequence[str] = (), date: str = DAT
 
 def seasonality_strength(fact: DataFrame, keys: Sequence[str] = (), date: str = DATE, sales: str = SALES) -> DataFrame:
     """Sample std of the season means ÷ overall mean × 100 (2 dp); 0 when the mean is not positive."""
-    keys = _keys(keys)
-    seasons = seasonal_patterns(fact, keys, date, sales)
-    per = seasons.groupBy(*keys).agg(
+    return strength_of(seasonal_patterns(fact, keys, date, sales), keys)
+
+
+def strength_of(seasons: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    per = seasons.groupBy(*_keys(keys)).agg(
         F.stddev_samp("avg_sales").alias("season_mean_std"),
         safe_div(F.sum("total_sales"), F.sum("records")).alias("overall_mean"),
         F.count(F.lit(1)).alias("seasons"),
@@ -83,9 +86,11 @@ def seasonality_strength(fact: DataFrame, keys: Sequence[str] = (), date: str =
 def peak_low_periods(fact: DataFrame, keys: Sequence[str] = (), n: int = 5, date: str = DATE, sales: str = SALES) -> DataFrame:
     """Top-n and bottom-n months by total sales, with the average of each side."""
     keys = _keys(keys)
-    monthly = fact.groupBy(*keys, F.date_format(F.col(date), "yyyy-MM").alias("month")).agg(
-        F.sum(sales).alias("total_sales")
-    )
+    return peak_low_of(fact.groupBy(*keys, F.date_format(F.col(date), "yyyy-MM").alias("month")).agg(F.sum(sales).alias("total_sales")), keys, n)
+
+
+def peak_low_of(monthly: DataFrame, keys: Sequence[str] = (), n: int = 5) -> DataFrame:
+    keys = _keys(keys)
     peak = top_k(monthly, keys, [F.desc("total_sales"), F.asc("month")], n).withColumn("kind", F.lit("peak"))
     low = top_k(monthly, keys, [F.asc("total_sales"), F.desc("month")], n).withColumn("kind", F.lit("low"))
     both = peak.unionByName(low)
@@ -119,12 +124,20 @@ def store_metrics(fact: DataFrame, keys: Sequence[str] = (), store: str = STORE,
         F.max(sales).alias("max_sales"),
         F.count(sales).alias("records"),
     )
+    return with_consistency(m)
+
+
+def with_consistency(m: DataFrame) -> DataFrame:
     return m.withColumn("consistency", 100 - clip(safe_div("std_dev", "avg_sales") * 100, 0, 100))
 
 
 def store_ranking(fact: DataFrame, keys: Sequence[str] = (), n: int = 10, store: str = STORE, sales: str = SALES) -> DataFrame:
+    return ranking_of(store_metrics(fact, keys, store, sales), keys, n, store)
+
+
+def ranking_of(metrics: DataFrame, keys: Sequence[str] = (), n: int = 10, store: str = STORE) -> DataFrame:
     keys = _keys(keys)
-    m = store_metrics(fact, keys, store, sales).select(*keys, store, "avg_sales", "total_sales", "consistency")
+    m = metrics.select(*keys, store, "avg_sales", "total_sales", "consistency")
     top = top_k(m, keys, [F.desc("avg_sales"), F.asc(store)], n).withColumn("kind", F.lit("top"))
     bottom = top_k(m, keys, [F.asc("avg_sales"), F.asc(store)], n).withColumn("kind", F.lit("bottom"))
     return top.unionByName(bottom)
@@ -132,9 +145,11 @@ def store_ranking(fact: DataFrame, keys: Sequence[str] = (), n: int = 10, store:
 
 def store_overview(fact: DataFrame, keys: Sequence[str] = (), store: str = STORE, sales: str = SALES) -> DataFrame:
     """Total stores, average of store means, best performer (ties → smallest id)."""
-    keys = _keys(keys)
-    m = store_metrics(fact, keys, store, sales)
-    return m.groupBy(*keys).agg(
+    return overview_of(store_metrics(fact, keys, store, sales), keys, store)
+
+
+def overview_of(metrics: DataFrame, keys: Sequence[str] = (), store: str = STORE) -> DataFrame:
+    return metrics.groupBy(*_keys(keys)).agg(
         F.count(F.lit(1)).alias("total_stores"),
         F.avg("avg_sales").alias("avg_store_sales"),
         F.min_by(store, F.struct(-F.col("avg_sales"), F.col(store))).alias("best_performer"),
@@ -162,10 +177,14 @@ def store_volatility(fact: DataFrame, keys: Sequence[str] = (), n: int = 5, stor
 # --- agg_weekday / agg_year ------------------------------------------------------------------
 def weekday_analysis(fact: DataFrame, keys: Sequence[str] = (), date: str = DATE, sales: str = SALES) -> DataFrame:
     keys = _keys(keys)
-    names = F.array(*[F.lit(d) for d in DAY_NAMES])
     g = fact.groupBy(*keys, weekday0(date).alias("day_of_week")).agg(
         F.avg(sales).alias("avg_sales"), F.sum(sales).alias("total_sales"), F.count(sales).alias("record_count")
     )
+    return with_day_name(g)
+
+
+def with_day_name(g: DataFrame) -> DataFrame:
+    names = F.array(*[F.lit(d) for d in DAY_NAMES])
     return g.withColumn("day_name", F.element_at(names, F.col("day_of_week") + 1))
 
 
@@ -180,25 +199,10 @@ def year_analysis(fact: DataFrame, keys: Sequence[str] = (), date: str = DATE, s
 def overall_statistics(
     fact: DataFrame, keys: Sequence[str] = (), store: str = STORE, date: str = DATE, sales: str = SALES
 ) -> DataFrame:
-    keys = _keys(keys)
-    stats = fact.groupBy(*keys).agg(
-        F.sum(sales).alias("total_sales"),
-        F.avg(sales).alias("avg_sales"),
-        F.stddev_samp(sales).alias("std_dev"),
-        F.min(sales).alias("min_sales"),
-        F.max(sales).alias("max_sales"),
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_distinct(store).alias("total_stores"),
-        F.min(date).alias("date_range_start"),
-        F.max(date).alias("date_range_end"),
-    )
-    med = exact_quantiles(fact, sales, [0.5], keys, names=["median_sales"])
-    return stats.join(med, keys, "left") if keys else _attach(stats, med)
+    """Totals, spread, exact median, stores and date range, from two reads of the fact."""
+    from .rollup import overall, rollup
 
-
-def _attach(one_row: DataFrame, other_one_row: DataFrame) -> DataFrame:
-    """Attach a single-row result to another (scalar subqueries; no join)."""
-    return attach_row(one_row, other_one_row)
+    return overall(rollup(fact, keys, store=store, date=date, sales=sales, by_day=False))
 
 
 def data_stats(fact: DataFrame, keys: Sequence[str] = (), store: str = STORE, date: str = DATE, sales: str = SALES) -> DataFrame:
@@ -244,26 +248,19 @@ def correlation_analysis(
     """Pearson r of sales against every numeric column in ONE aggregate, unpivoted, ranked by |r|."""
     keys = _keys(keys)
     cols = list(columns) if columns is not None else numeric_columns(fact, exclude=[sales, *keys])
-    wide = fact.groupBy(*keys).agg(*[F.corr(F.col(sales).cast("double"), F.col(c).cast("double")).alias(c) for c in cols])
-    stack = "stack({n}, {pairs}) AS (variable, r)".format(
-        n=len(cols), pairs=", ".join(f"'{c}', `{c}`" for c in cols)
-    )
-    long = wide.selectExpr(*[f"`{k}`" for k in keys], stack).where(F.col("r").isNotNull() & ~F.isnan("r"))
-    long = long.withColumn("correlation", round_half_up("r", 3)).drop("r")
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs("correlation")), F.asc("variable")) if keys else Window.orderBy(
-        F.desc(F.abs("correlation")), F.asc("variable")
-    )
-    ranked = long.withColumn("abs_rank", F.row_number().over(w))
-    insight = F.when(
-        (F.col("abs_rank") <= top) & (F.abs("correlation") > 0.5),
-        F.format_string(
-            "Strong %s correlation between %s and %s",
-            F.when(F.col("correlation") > 0, "positive").otherwise("negative"),
-            F.lit(sales),
-            F.col("variable"),
-        ),
-    )
-    return ranked.withColumn("insight", insight)
+    wide = fact.groupBy(*keys).agg(*[correlation(F.col(sales), F.col(f"`{c}`")).alias(c) for c in cols])
+    return ranked_correlations(unpivot(wide, keys, {c: F.col(f"`{c}`") for c in cols}, value="r"), keys, sales, top)
+
+
+def ranked_correlations(long: DataFrame, keys: Sequence[str] = (), sales: str = SALES, top: int = 3) -> DataFrame:
+    """(variable, r) rows that have a correlation, rounded, ranked by |r|, with a sentence on strong ones."""
+    keys = _keys(keys)
+    held = long.where(F.col("r").isNotNull()).withColumn("correlation", round_half_up("r", 3)).drop("r")
+    order = [F.desc(F.abs("correlation")), F.asc("variable")]
+    ranked = held.withColumn("abs_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)))
+    sign = F.when(F.col("correlation") > 0, "rises").otherwise("falls")
+    strong = (F.col("abs_rank") <= top) & (F.abs("correlation") > 0.5)
+    return ranked.withColumn("insight", F.when(strong, F.format_string("%s: %s clearly with %s", F.lit(sales), sign, F.col("variable"))))
 
 
 # --- agg_daily / agg_quartiles -----------------------------------------------------------------
@@ -370,33 +367,41 @@ def histogram(fact: DataFrame, sales: str = SALES, bins: int = 50, keys: Sequenc
     )
 
 
-def fixed_width_histogram(fact: DataFrame, sales: str = SALES, width: float = 2000.0, keys: Sequence[str] = ()) -> DataFrame:
-    """Bins of ``width`` from the lowest to the highest value's, empty bins between them included."""
+#: Longest run of empty bins that is given bin by bin.
+MAX_GAP = 1000
+
+
+def filled_bins(counts: DataFrame, keys: Sequence[str] = (), max_gap: int = MAX_GAP) -> DataFrame:
+    """keys, bin, bins, count: the counted bins and the empty ones between them.
+
+    A run of more than ``max_gap`` empty bins is one row: its first bin, and how many ``bins`` it spans. So an outlier adds
+    a row, not a bin for every width up to it.
+    """
+    keys = _keys(keys)
+    w = Window.partitionBy(*keys).orderBy("bin") if keys else Window.orderBy("bin")
+    following = counts.withColumn("following", F.lead("bin").over(w))
+    # differences of bins at either end of BIGINT don't fit in it
+    gap = F.col("following").cast("decimal(20,0)") - F.col("bin") - 1
+    here = F.struct(F.col("bin").alias("bin"), F.lit(1).cast("decimal(20,0)").alias("bins"), F.col("count").alias("count"))
+    empty = lambda at, wide: F.struct(at.alias("bin"), wide.cast("decimal(20,0)").alias("bins"), F.lit(0).cast("long").alias("count"))
+    single = F.transform(F.sequence(F.col("bin") + 1, F.col("following") - 1), lambda b: empty(b, F.lit(1)))
+    between = F.when(gap.isNull() | (gap <= 0), F.array().cast("array<struct<bin:bigint,bins:decimal(20,0),count:bigint>>"))
+    between = between.when(gap <= max_gap, single).otherwise(F.array(empty(F.col("bin") + 1, gap)))
+    return following.select(*keys, F.inline(F.concat(F.array(here), between)))
+
+
+def fixed_width_histogram(fact: DataFrame, sales: str = SALES, width: float = 2000.0, keys: Sequence[str] = (), max_gap: int = MAX_GAP) -> DataFrame:
+    """Bins of ``width`` from the lowest to the highest value's, empty bins between them as in ``filled_bins``."""
     keys = _keys(keys)
     b = F.floor(F.col(sales) / width).cast("long")
     counts = fact.where(F.col(sales).isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    span = counts.groupBy(*keys).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where(F.col("lo").isNotNull())
-    every = span.select(*keys, F.explode(F.sequence("lo", "hi")).alias("bin"))
-    return every.join(counts, [*keys, "bin"], "left").fillna({"count": 0}).withColumns(
-        {"bin_start": F.col("bin") * width, "bin_end": (F.col("bin") + 1) * width}
-    )
+    end = (F.col("bin") + F.col("bins").cast("double")) * width
+    return filled_bins(counts, keys, max_gap).select(*keys, "bin", "count", (F.col("bin") * width).alias("bin_start"), end.alias("bin_end"))
 
 
 def box_plot(fact: DataFrame, sales: str = SALES, keys: Sequence[str] = ()) -> DataFrame:
-    """Quartiles, IQR, 1.5·IQR whiskers (most extreme points inside the fences) and outlier count."""
-    keys = _keys(keys)
-    q = exact_quantiles(fact, sales, [0.25, 0.5, 0.75], keys, names=["q1", "median", "q3"])
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    fences = q.withColumns({"lo_fence": F.col("q1") - 1.5 * F.col("iqr"), "hi_fence": F.col("q3") + 1.5 * F.col("iqr")})
-    src = fact.select(*keys, F.col(sales).alias("v")).where(F.col("v").isNotNull())
-    j = attach_row(src, fences, keys)
-    inside = (F.col("v") >= F.col("lo_fence")) & (F.col("v") <= F.col("hi_fence"))
-    w = j.groupBy(*keys, "q1", "median", "q3", "iqr").agg(
-        F.min(F.when(inside, F.col("v"))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col("v"))).alias("upper_whisker"),
-        F.count_if(~inside).alias("outliers"),
-    )
-    return w
+    """Quartiles, IQR, 1.5·IQR whiskers (most extreme points inside the fences) and outlier count, in two reads of the fact."""
+    return distribution(fact, sales, keys)[0]
 
 
 # --- dashboard distributions over per-store min / average / max ---------------------------------------
@@ -427,17 +432,17 @@ def store_value_bands(fact: DataFrame, keys: Sequence[str] = (), store: str = ST
 
 
 def store_value_histogram(fact: DataFrame, keys: Sequence[str] = (), width: float = STORE_VALUE_BIN, store: str = STORE,
-                          sales: str = SALES) -> DataFrame:
+                          sales: str = SALES, max_gap: int = MAX_GAP) -> DataFrame:
     """Bins of ``width`` from floor(min/width) to ceil(max/width) inclusive over store min/avg/max values,
-    empty bins included, labelled like '$2K-$4K'."""
+    empty bins as in ``filled_bins``, labelled like '$2K-$4K'."""
     keys = _keys(keys)
     vals = store_values(fact, keys, store, sales).withColumn("bin", F.floor(F.col("value") / width).cast("long"))
-    counts = vals.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
-    rng = vals.groupBy(*keys).agg(F.min("bin").alias("__lo"), F.ceil(F.max("value") / width).cast("long").alias("__hi"))
-    bins = rng.select(*keys, F.explode(F.sequence("__lo", "__hi")).alias("bin"))
-    out = bins.join(counts, [*keys, "bin"], "left").fillna({"count": 0})
+    # the bin that starts at or after the greatest value is listed too
+    last = vals.groupBy(*keys).agg(F.ceil(F.max("value") / width).cast("long").alias("bin")).where("bin is not null").withColumn("count", F.lit(0).cast("long"))
+    counts = vals.where("bin is not null").select(*keys, "bin", F.lit(1).cast("long").alias("count")).unionByName(last).groupBy(*keys, "bin").agg(F.sum("count").alias("count"))
     k = width / 1000.0
-    return out.select(
-        *keys, "bin", (F.col("bin") * width).alias("range_start"), ((F.col("bin") + 1) * width).alias("range_end"),
-        F.format_string("$%.0fK-$%.0fK", F.col("bin") * k, (F.col("bin") + 1) * k).alias("label"), "count",
+    end = F.col("bin") + F.col("bins").cast("double")
+    return filled_bins(counts, keys, max_gap).select(
+        *keys, "bin", (F.col("bin") * width).alias("range_start"), (end * width).alias("range_end"),
+        F.format_string("$%.0fK-$%.0fK", F.col("bin") * k, end * k).alias("label"), "count",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.calendar import temporal_features
+from ..functions.numeric import round_half_up
 from ..operators import eda
 from ..sources.testdata import ENRICHED_CTE, FACT_CTE, TENANT_CTE, sales_fact, tenant_fact
 from .registry import register, rnd, with_ctes
@@ -208,7 +209,7 @@ l AS (SELECT variable, round(r, 3) AS correlation FROM u WHERE r IS NOT NULL AND
 k AS (SELECT *, CAST(row_number() OVER (ORDER BY abs(correlation) DESC, variable ASC) AS INTEGER) AS abs_rank FROM l)
 SELECT variable, correlation, abs_rank,
        CASE WHEN abs_rank <= 3 AND abs(correlation) > 0.5 THEN
-         printf('Strong %s correlation between sales and %s', CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END, variable) END AS insight
+         printf('sales: %s clearly with %s', CASE WHEN correlation > 0 THEN 'rises' ELSE 'falls' END, variable) END AS insight
 FROM k""".format(cols=", ".join(f"corr(sales, {c}) AS {c}" for c in CORR_COLS)),
 )
 def q_agg_corr(spark, sf):
@@ -354,3 +355,94 @@ SELECT g.bin, CAST(g.bin * 2000.0 AS DOUBLE) AS range_start, CAST((g.bin + 1) *
 )
 def q_agg_store_histogram(spark, sf):
     return eda.store_value_histogram(sales_fact(spark, sf))
+
+
+# --- the same operators where a column is constant, a store has one row, a forecast is flat, a value lies far out -------
+# Fixed rules, identical on both engines: one row has a store of its own, and one a value far beyond all others.
+ODD_CTE = """odd AS (
+  SELECT CASE WHEN order_key = (SELECT min(order_key) FROM fact) AND line_number = 1 THEN 'alone' ELSE store END AS store, date,
+         CASE WHEN order_key = (SELECT max(order_key) FROM fact) AND line_number = 1 THEN sales * 1e9 ELSE sales END AS sales,
+         quantity, discount, 7.25 AS flat, CASE WHEN CAST(store AS BIGINT) % 3 = 0 THEN 100.0 ELSE quantity * 1000 END AS predicted, order_key, line_number
+  FROM fact)"""
+
+
+def odd_fact(spark, sf):
+    f = sales_fact(spark, sf)
+    ends = f.agg(F.min("order_key").alias("least"), F.max("order_key").alias("most"))
+    at = lambda c: (F.col("order_key") == ends.select(c).scalar()) & (F.col("line_number") == 1)
+    return f.select(
+        F.when(at("least"), "alone").otherwise(F.col("store")).alias("store"),
+        "date",
+        F.when(at("most"), F.col("sales") * 1e9).otherwise(F.col("sales")).alias("sales"),
+        "quantity",
+        "discount",
+        F.lit(7.25).alias("flat"),
+        F.when(F.col("store").cast("long") % 3 == 0, 100.0).otherwise(F.col("quantity") * 1000).alias("predicted"),
+    )
+
+
+ODD_CORR = ["quantity", "discount", "flat"]
+
+
+@register(
+    "agg_corr_by_store",
+    with_ctes(FACT_CTE, ODD_CTE)
+    + """, c AS (SELECT store, {cols} FROM odd GROUP BY store),
+u AS (UNPIVOT c ON {names} INTO NAME variable VALUE r),
+l AS (SELECT store, variable, round(r, 3) AS correlation FROM u WHERE r IS NOT NULL AND NOT isnan(r))
+SELECT store, variable, correlation, CAST(row_number() OVER (PARTITION BY store ORDER BY abs(correlation) DESC, variable) AS INTEGER) AS abs_rank FROM l""".format(
+        cols=", ".join(f"corr(sales, {c}) AS {c}" for c in ODD_CORR), names=", ".join(ODD_CORR)
+    ),
+)
+def q_agg_corr_by_store(spark, sf):
+    return eda.correlation_analysis(odd_fact(spark, sf), columns=ODD_CORR, keys=["store"]).drop("insight")
+
+
+@register(
+    "agg_moments_merged",
+    with_ctes(FACT_CTE, ODD_CTE)
+    + """SELECT store, count(*) AS n, round(avg(sales), 2) AS mean_sales, round(avg(quantity), 4) AS mean_quantity, round(stddev_samp(sales), 2) AS std_sales,
+       CASE WHEN isnan(corr(sales, quantity)) THEN NULL ELSE round(corr(sales, quantity), 3) END AS correlation FROM odd WHERE store <> '1' GROUP BY store""",
+)
+def q_agg_moments_merged(spark, sf):
+    """Days of a store, stored as states, merged into the store."""
+    from ..operators import moments
+
+    days = odd_fact(spark, sf).where("store <> '1'").groupBy("store", "date").agg(*moments.pair_state(F.col("sales"), F.col("quantity")))
+    merged = moments.merge(days, ["store"], pairs=[""])
+    return merged.select(
+        "store",
+        "n",
+        round_half_up("mx", 2).alias("mean_sales"),
+        round_half_up("my", 4).alias("mean_quantity"),
+        round_half_up(moments.stddev_samp(F.col("xx"), F.col("n")), 2).alias("std_sales"),
+        round_half_up(moments.pearson(), 3).alias("correlation"),
+    )
+
+
+@register(
+    "agg_histogram_outlier",
+    with_ctes(FACT_CTE, ODD_CTE)
+    + """, c AS (SELECT CAST(floor(sales / 2000.0) AS BIGINT) AS bin, count(*) AS count FROM odd WHERE sales IS NOT NULL GROUP BY 1),
+n AS (SELECT bin, count, lead(bin) OVER (ORDER BY bin) AS following FROM c),
+g AS (SELECT bin, CAST(1 AS BIGINT) AS bins, count FROM n
+      UNION ALL SELECT unnest(generate_series(bin + 1, following - 1)), 1, 0 FROM n WHERE following - bin - 1 BETWEEN 1 AND 1000
+      UNION ALL SELECT bin + 1, following - bin - 1, 0 FROM n WHERE following - bin - 1 > 1000)
+SELECT bin, count, bin * 2000.0 AS bin_start, (bin + bins) * 2000.0 AS bin_end FROM g""",
+)
+def q_agg_histogram_outlier(spark, sf):
+    return eda.fixed_width_histogram(odd_fact(spark, sf))
+
+
+@register(
+    "fc_metrics_flat",
+    with_ctes(FACT_CTE, ODD_CTE)
+    + """SELECT store, round(sqrt(avg((quantity * 900 - predicted) * (quantity * 900 - predicted))), 2) AS rmse, round(avg(abs(quantity * 900 - predicted)), 2) AS mae,
+       round(avg(abs((quantity * 900 - predicted) / nullif(quantity * 900, 0) * 100)), 2) AS mape, round(avg((quantity * 900 - predicted) / nullif(quantity * 900, 0) * 100), 2) AS mpe,
+       CASE WHEN isnan(corr(quantity * 900, predicted)) THEN NULL ELSE round(corr(quantity * 900, predicted), 2) END AS correlation, count(*) AS n_observations
+FROM odd GROUP BY store""",
+)
+def q_fc_metrics_flat(spark, sf):
+    from ..operators import forecast
+
+    return rnd(forecast.metrics(odd_fact(spark, sf).withColumn("actual", F.col("quantity") * 900), keys=["store"]))

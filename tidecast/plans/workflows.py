@@ -1,69 +1,59 @@
 """End-to-end flows composed from the operators (lazy DataFrames; callers pick the sinks).
 
-* ``eda_bundle``      — every EDA section over one enriched fact (agg_eda_bundle)
+* ``eda_bundle``      — every EDA section (agg_eda_bundle)
 * ``chart_bundle``    — the data behind every chart (§2.13), drawing is the caller's
 * ``upload_flow``     — file → validation → enriched fact → EDA + model + forecast (query lifecycle A)
 * ``recommendations`` — fact → monthly series → every rule (lifecycle B)
 
-The enriched fact is persisted once per bundle (``MEMORY_AND_DISK``: spills
-instead of failing, recomputed from lineage if an executor is lost) and
-released by ``release``.
+The two bundles read the fact twice at most: once for a stored rollup that all sections are merged from, once for the
+values that decide the median, whiskers and histogram (``operators/rollup.py``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.calendar import temporal_features
-from ..operators import clean, eda, forecast, ml, recommend, series
+from ..operators import clean, eda, forecast, ml, recommend, rollup, series
 from ..sources import intake
 
 
-def enriched_fact(fact: DataFrame, persist: bool = True) -> DataFrame:
-    e = temporal_features(fact)
-    return e.persist(StorageLevel.MEMORY_AND_DISK) if persist else e
-
-
-def eda_bundle(fact: DataFrame, keys: Sequence[str] = (), persist: bool = True) -> dict[str, DataFrame]:
-    e = enriched_fact(fact, persist)
+def eda_bundle(fact: DataFrame, keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Every EDA section; correlations are those of sales with each numeric column and the calendar's."""
     k = list(keys)
+    numeric = [c for c in eda.numeric_columns(fact, exclude=["sales", *k]) if c not in rollup.CALENDAR]
+    r = rollup.rollup(fact, k, numeric)
+    monthly, seasons, stores = rollup.monthly(r), rollup.seasons(r), rollup.stores(r)
     return {
-        "overall_stats": eda.overall_statistics(e, k),
-        "monthly_trends": eda.monthly_trends(e, k),
-        "seasonal_patterns": eda.seasonal_patterns(e, k),
-        "seasonality_strength": eda.seasonality_strength(e, k),
-        "peak_low_periods": eda.peak_low_periods(e, k),
-        "store_analysis": eda.store_ranking(e, k),
-        "store_overview": eda.store_overview(e, k),
-        "day_of_week": eda.weekday_analysis(e, k),
-        "year_analysis": eda.year_analysis(e, k),
-        "correlations": eda.correlation_analysis(e, keys=k),
-        "_fact": e,
+        "overall_stats": rollup.overall(r),
+        "monthly_trends": monthly,
+        "seasonal_patterns": seasons,
+        "seasonality_strength": eda.strength_of(seasons, k),
+        "peak_low_periods": eda.peak_low_of(monthly.select(*k, "month", "total_sales"), k),
+        "store_analysis": eda.ranking_of(stores, k),
+        "store_overview": eda.overview_of(stores, k),
+        "day_of_week": rollup.weekdays(r),
+        "year_analysis": rollup.years(r),
+        "correlations": rollup.correlations(r),
     }
 
 
-def chart_bundle(fact: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:
+def chart_bundle(fact: DataFrame, top_n: int = 10, bins: int = 50) -> dict[str, DataFrame]:
     """chart_sales_over_time, chart_seasonality, chart_season, chart_store, chart_year, chart_distribution."""
+    r = rollup.rollup(fact)
+    box, histogram = rollup.charts(r, bins)
     return {
-        "chart_sales_over_time": eda.daily_totals(fact),
-        "chart_seasonality": eda.monthly_trends(fact),
-        "chart_season": eda.seasonal_patterns(fact),
-        "chart_store": eda.store_ranking(fact, n=top_n),
-        "chart_year": eda.year_analysis(fact),
-        "chart_distribution": eda.histogram(fact, bins=50),
-        "chart_box": eda.box_plot(fact),
+        "chart_sales_over_time": rollup.daily(r),
+        "chart_seasonality": rollup.monthly(r),
+        "chart_season": rollup.seasons(r),
+        "chart_store": eda.ranking_of(rollup.stores(r), n=top_n),
+        "chart_year": rollup.years(r),
+        "chart_distribution": histogram,
+        "chart_box": box,
     }
 
 
-def release(bundle: dict[str, DataFrame]) -> None:
-    fact = bundle.get("_fact")
-    if fact is not None:
-        fact.unpersist()
-
-
 def upload_flow(spark: SparkSession, path: str, horizon_days: int = 365, **rf_params) -> dict[str, DataFrame]:
     """Validate an uploaded file and derive everything the reference's upload step produces."""
     valid, rejected, report = intake.validate_csv(spark, path)
