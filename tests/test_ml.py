@@ -1,12 +1,13 @@
 """MLlib smoke / property tests on the deterministic F3/F6 shapes."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidecast.functions.calendar import FEATURES7, temporal_features7
-from tidecast.operators import ml
+from tidecast.operators import encode, forest, ml
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +57,52 @@ def test_lag_forecast_twelve_steps(spark):
     assert [r.step for r in fc] == list(range(1, 13))
     assert fc[0].period == dt.date(2019, 1, 1)
     assert all(r.lower_ci <= r.forecast <= r.upper_ci for r in fc)
+
+
+def test_codes_run_on_across_ranges(spark):
+    rng = random.Random(1)
+    labels = sorted({"".join(rng.choice("abzAZ09é") for _ in range(rng.randint(0, 4))) for _ in range(300)}, key=lambda t: t.encode())
+    rows = [(t, "x" if i % 2 else None) for i, t in enumerate(labels * 2)] + [(None, "y")] + [("hot", "x")] * 500
+    df = spark.createDataFrame(rows, "store string, kind string")
+    want = sorted({*labels, "hot"}, key=lambda t: t.encode())
+    for size in (1, 20, 10_000):
+        codes = encode.label_codes(df, ["store", "kind"], range_labels=size)
+        got = {(r.column, r.label): r.code for r in codes.collect()}
+        assert got == {**{("store", t): i for i, t in enumerate(want)}, ("kind", "x"): 0, ("kind", "y"): 1}
+    coded = encode.apply_codes(spark.createDataFrame([("hot",), (None,), ("never",)], "store string"), codes, ["store"])
+    assert {r.store: r["store__code"] for r in coded.collect()} == {"hot": want.index("hot"), None: len(want), "never": len(want)}
+    assert encode.label_codes(df.limit(0), ["store"]).count() == 0
+
+
+def test_scaling_leaves_constant_columns_at_zero(spark):
+    df = spark.createDataFrame([(1.0, 5), (2.0, 5), (4.0, 5)], "a double, b int")
+    got = [r.features for r in encode.scaled(df, ["a", "b"]).orderBy("a").collect()]
+    assert [x[1] for x in got] == [0.0] * 3 and sum(x[0] for x in got) == pytest.approx(0)
+
+
+def test_no_split_of_too_few_rows(spark, f6, tmp_path):
+    noisy = f6.withColumn("sales", F.col("sales") + F.pmod(F.hash("date"), F.lit(97)))
+    train = {}
+    for least in (2, 12):
+        model, data = ml.train(noisy, FEATURES7, "sales", ["date"], numTrees=7, maxDepth=12, min_split=least)
+        path = ml.save(model, str(tmp_path / f"m{least}"))
+        rf = str(next((tmp_path / f"m{least}" / "pipeline" / "stages").glob("*RandomForest*")))
+        table = forest.nodes(spark, rf).collect()
+        splits = [r for r in table if r.leftChild >= 0]
+        assert splits and all(r.rawCount >= least for r in splits)
+        train[least] = {(r.tree, r.id): r for r in table}
+        # scoring is a walk through the node table
+        for row in ml.load(path).transform(data.limit(20)).collect():
+            total = 0.0
+            for t in range(7):
+                at = train[least][t, 0]
+                while at.leftChild >= 0:
+                    left = row.features[at.split.featureIndex] <= at.split.leftCategoriesOrThreshold[0]
+                    at = train[least][t, at.leftChild if left else at.rightChild]
+                total += at.prediction
+            assert row.prediction == pytest.approx(total / 7)
+    assert len(train[12]) < len(train[2])
+    # folding is idempotent, and trees of one leaf stay
+    again = forest.fold(forest.nodes(spark, rf), 12)
+    assert again.count() == len(train[12])
+    assert forest.fold(forest.nodes(spark, rf), 10**6).where("id = 0 and leftChild = -1").count() == 7

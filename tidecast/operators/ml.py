@@ -1,11 +1,11 @@
 """Model training and scoring with MLlib (distributed end to end — no driver-side frames).
 
-* features: ``StringIndexer`` (alphabetical codes, unseen → extra bucket) for string
-  columns, ``VectorAssembler``, optional ``StandardScaler``, in one ``Pipeline``;
+* features: label codes as a joined table for string columns (``encode``), then ``VectorAssembler``
+  and an optional ``StandardScaler``;
 * split: deterministic ``pmod(xxhash64(row key), 100) < 80`` — stable under
   repartitioning and executor loss, unlike ``randomSplit`` over a re-read source;
-* model: ``RandomForestRegressor``; metrics in one aggregate per split;
-* persistence: ``PipelineModel`` directories (``write().overwrite()`` / ``load``).
+* model: ``RandomForestRegressor`` with splits of too few rows folded back (``forest``); metrics in one aggregate per split;
+* persistence: the code table as Parquet beside a ``PipelineModel`` directory.
 
 Recursive multi-step forecasting keeps the lag window in an array column and
 cuts lineage with a reliable ``checkpoint()`` into the cluster's checkpoint folder.
@@ -14,10 +14,11 @@ cuts lineage with a reliable ``checkpoint()`` into the cluster's checkpoint fold
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +27,12 @@ from pyspark.sql import types as T
 from ..functions.attach import attach_row
 from ..functions.calendar import temporal_features7
 from ..session import cut_lineage, ensure_parallelism
+from .encode import apply_codes, label_codes
+from .forest import with_min_split
 
 # Reference model defaults.
 RF_DEFAULTS = {"numTrees": 100, "maxDepth": 20, "minInstancesPerNode": 2, "seed": 42}
+MIN_SPLIT = 5
 TRAIN_PERCENT = 80
 PREDICTION_BAND = 0.10
 
@@ -40,30 +44,37 @@ def assemble(df: DataFrame, features: Sequence[str], label: str | None = None, o
     return VectorAssembler(inputCols=list(features), outputCol=out).transform(clean)
 
 
-def feature_stages(df: DataFrame, features: Sequence[str], scale: bool = False) -> tuple[list, list[str]]:
-    """ml_encode_scale: label-encode every string feature (alphabetical codes, unseen → extra code),
-    assemble, optionally standardise.
+def text_columns(df: DataFrame, features: Sequence[str]) -> list[str]:
+    return [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
 
-    Codes are used as ordinal numbers (as a label encoder feeds a forest): a
-    ``SQLTransformer`` re-projects them without nominal metadata, so a key with
-    millions of values never becomes a categorical split needing millions of bins.
+
+def feature_stages(features: Sequence[str], texts: Sequence[str], scale: bool = False) -> list:
+    """Stages over coded rows: assemble, optionally standardise.
+
+    Codes are ordinal numbers (as a label encoder feeds a forest), so a key with millions of values never becomes a
+    categorical split needing millions of bins.
     """
-    stages, cols, codes = [], [], []
-    for c in features:
-        if isinstance(df.schema[c].dataType, T.StringType):
-            stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc", handleInvalid="keep"))
-            codes.append(c)
-            cols.append(f"{c}__code")
-        else:
-            cols.append(c)
-    if codes:
-        proj = ", ".join(f"`{c}__idx` + 0.0 AS `{c}__code`" for c in codes)
-        stages.append(SQLTransformer(statement=f"SELECT *, {proj} FROM __THIS__"))
-    vec = "features_raw" if scale else "features"
-    stages.append(VectorAssembler(inputCols=cols, outputCol=vec, handleInvalid="keep"))
+    cols = [f"{c}__code" if c in texts else c for c in features]
+    stages = [VectorAssembler(inputCols=cols, outputCol="features_raw" if scale else "features", handleInvalid="keep")]
     if scale:
         stages.append(StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True))
-    return stages, cols
+    return stages
+
+
+@dataclass(frozen=True)
+class CodedModel:
+    """A fitted pipeline behind the label codes of its text columns."""
+
+    pipeline: PipelineModel
+    codes: DataFrame
+    texts: list[str]
+
+    @property
+    def stages(self) -> list:
+        return self.pipeline.stages
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.pipeline.transform(apply_codes(df, self.codes, self.texts))
 
 
 def split(df: DataFrame, key: Sequence[str], train_percent: int = TRAIN_PERCENT) -> DataFrame:
@@ -73,27 +84,32 @@ def split(df: DataFrame, key: Sequence[str], train_percent: int = TRAIN_PERCENT)
 
 def train(
     df: DataFrame, features: Sequence[str], label: str = "sales", key: Sequence[str] | None = None, scale: bool = False,
-    max_bins: int = 64, **rf_params,
-) -> tuple[PipelineModel, DataFrame]:
-    """ml_rf_train: fit the feature pipeline + random forest on the train split.
+    max_bins: int = 64, min_split: int = MIN_SPLIT, **rf_params,
+) -> tuple[CodedModel, DataFrame]:
+    """ml_rf_train: label codes, feature pipeline and random forest on the train split.
 
-    Returns the fitted ``PipelineModel`` and the split input (``is_train`` column). The training
+    No node of fewer than ``min_split`` rows is split. Returns the fitted model and the split input (``is_train`` column). The training
     columns (features, label, key) are persisted while fitting (``MEMORY_AND_DISK``: spills instead
     of failing, rebuilt from lineage if an executor is lost), because fitting makes several passes
-    (indexer, metadata, split search, trees) that would otherwise each re-run the whole input plan;
+    (metadata, split search, trees) that would otherwise each re-run the whole input plan;
     they are released before this returns.
     """
     params = {**RF_DEFAULTS, **rf_params}
     params["maxDepth"] = min(int(params["maxDepth"]), 30)
     key = list(key or [*features, label])
     whole = split(df.dropna(subset=[*features, label]), key)
-    fitting = ensure_parallelism(whole.where("is_train").select(*features, label)).persist(StorageLevel.MEMORY_AND_DISK)
+    texts = text_columns(df, features)
+    seen = whole.where("is_train").select(*features, label)
+    codes = label_codes(seen, texts)
+    fitting = ensure_parallelism(apply_codes(seen, codes, texts)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stages, _ = feature_stages(fitting, features, scale)
+        stages = feature_stages(features, texts, scale)
         rf = RandomForestRegressor(labelCol=label, featuresCol="features", featureSubsetStrategy="all", maxBins=max_bins, **params)
-        model = Pipeline(stages=[*stages, rf]).fit(fitting)
+        fitted = Pipeline(stages=[*stages, rf]).fit(fitting)
     finally:
         fitting.unpersist()
+    folded = with_min_split(fitted.stages[-1], df.sparkSession, min_split)
+    model = CodedModel(PipelineModel([*fitted.stages[:-1], folded]), codes, texts)
     return model, whole
 
 
@@ -111,7 +127,7 @@ def metrics(scored: DataFrame, label: str = "sales", prediction: str = "predicti
     return g.withColumn("r2", 1 - F.try_divide(F.col("__sse"), F.col("__sst"))).drop("__sse", "__sst")
 
 
-def importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
+def importance(model: CodedModel, names: Sequence[str]) -> DataFrame:
     """ml_importance: feature importances zipped with feature names, ranked (model metadata, #features rows)."""
     rf = model.stages[-1]
     vals = rf.featureImportances.toArray().tolist()
@@ -127,29 +143,32 @@ def _active_session():
     return SparkSession.getActiveSession()
 
 
-def save(model: PipelineModel, path: str) -> str:
-    """ml_save_load: persist the whole fitted pipeline (encoders, scaler, forest)."""
-    model.write().overwrite().save(path)
+def save(model: CodedModel, path: str) -> str:
+    """ml_save_load: persist the whole fitted model (codes, scaler, forest)."""
+    model.codes.write.mode("overwrite").parquet(f"{path}/codes")
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
     return path
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str) -> CodedModel:
+    pipeline = PipelineModel.load(f"{path}/pipeline")
+    inputs = next(s.getInputCols() for s in pipeline.stages if isinstance(s, VectorAssembler))
+    codes = _active_session().read.parquet(f"{path}/codes")
+    return CodedModel(pipeline, codes, [c.removesuffix("__code") for c in inputs if c.endswith("__code")])
 
 
-def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], defaults: dict | None = None) -> DataFrame:
+def predict(model: CodedModel, df: DataFrame, features: Sequence[str], defaults: dict | None = None) -> DataFrame:
     """ml_predict: score any table; missing numeric features are 0, missing string features empty."""
     defaults = defaults or {}
-    texts = {s.getInputCol() for s in model.stages if s.hasParam("stringOrderType")}
     out = df
     for c in features:
         if c not in out.columns:
-            out = out.withColumn(c, F.lit(defaults.get(c, "" if c in texts else 0)))
+            out = out.withColumn(c, F.lit(defaults.get(c, "" if c in model.texts else 0)))
     return model.transform(out)
 
 
 # --- forecasts --------------------------------------------------------------------------------------
-def daily_forecast(model: PipelineModel, history: DataFrame, n: int = 365, keys: Sequence[str] = (), date: str = "date",
+def daily_forecast(model: CodedModel, history: DataFrame, n: int = 365, keys: Sequence[str] = (), date: str = "date",
                    band: float = PREDICTION_BAND, extra: dict | None = None) -> DataFrame:
     """fc_rf_daily: score the next ``n`` days after each series' last date with a ±10 % band."""
     from .forecast import future_calendar
@@ -164,7 +183,7 @@ def daily_forecast(model: PipelineModel, history: DataFrame, n: int = 365, keys:
     )
 
 
-def dates_products(model: PipelineModel, products: DataFrame, start: str, days: int, product_col: str = "product",
+def dates_products(model: CodedModel, products: DataFrame, start: str, days: int, product_col: str = "product",
                    quantity_col: str = "quantity", default_quantity: float = 1.0) -> DataFrame:
     """fc_dates_product: every product × each of ``days`` dates from ``start`` (explode, no join)."""
     if quantity_col in products.columns:  # one row per product: its average quantity (deterministic)

@@ -8,10 +8,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.calendar import FEATURES7, temporal_features7
-from ..operators import ml
+from ..functions.numeric import round_half_up
+from ..operators import encode, ml
 from ..operators import series as ts
 from ..sinks.tables import shared_path
-from ..sources.testdata import FACT_CTE, sales_fact
+from ..sources.testdata import ENRICHED_CTE, FACT_CTE, sales_fact
 from .registry import register, rnd, with_ctes
 
 FEATURES = ["store", "quantity", "discount", "tax", *FEATURES7]
@@ -41,14 +42,30 @@ def q_ml_assemble(spark, sf):
     return a.select(*ROW_KEY, vector_to_array("features").alias("features"))
 
 
-@register("ml_encode_scale")
-def q_ml_encode_scale(spark, sf):
-    from pyspark.ml import Pipeline
+SCALED = ["store__code", "quantity", "discount", "tax", *FEATURES7]
+
 
+@register(
+    "ml_encode_scale",
+    with_ctes(FACT_CTE, ENRICHED_CTE)
+    + """, e AS (SELECT order_key, line_number, product, CAST(dense_rank() OVER (ORDER BY store) - 1 AS DOUBLE) AS store__code, quantity, discount, tax, year, month, day(date) AS day,
+       week, day_of_week, quarter, day_of_year FROM efact),
+f AS (SELECT {figures} FROM e)
+SELECT order_key, line_number, product, store__code, [{scaled}] AS features FROM e, f""".format(
+        figures=", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in SCALED),
+        scaled=", ".join(f"round(({c} - m_{c}) / s_{c}, 4)" for c in SCALED),
+    ),
+)
+def q_ml_encode_scale(spark, sf):
     df = enriched(spark, sf)
-    stages, _ = ml.feature_stages(df, FEATURES, scale=True)
-    model = Pipeline(stages=stages).fit(df)
-    return model.transform(df).select(*ROW_KEY, "store__code", vector_to_array("features").alias("features"))
+    coded = encode.scaled(encode.apply_codes(df, encode.label_codes(df, ["store"]), ["store"]), SCALED)
+    return coded.select(*ROW_KEY, "store__code", F.transform("features", lambda v: round_half_up(v, 4)).alias("features"))
+
+
+@register("ml_label_codes", with_ctes(FACT_CTE) + """SELECT 'store' AS "column", store AS label, dense_rank() OVER (ORDER BY store) - 1 AS code FROM (SELECT DISTINCT store FROM fact)""")
+def q_ml_label_codes(spark, sf):
+    """Ranges of seven labels, so that codes run on across many."""
+    return encode.label_codes(sales_fact(spark, sf), ["store"], range_labels=7)
 
 
 @register("ml_split")

@@ -65,11 +65,16 @@ def target_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
 
 
+#: Rows of a task of an iterative fit, at least: a calendar's worth of rows stays in a few tasks.
+TASK_ROWS = 2_000
+
+
 def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread the input of an iterative, CPU-heavy fit evenly over the cluster's parallelism.
+    """Spread the input of an iterative, CPU-heavy fit evenly over the cluster's parallelism, if it is large enough.
 
-    One round-robin shuffle, paid once: the caller persists the result and every training
+    One count and one round-robin shuffle, paid once: the caller persists the result and every training
     pass reads it. (Asking a shuffled DataFrame for its partition count would make AQE run
     its stages just to answer, and the fit would then compute them again.)
     """
-    return df.repartition(target_parallelism(df.sparkSession))
+    rows = df.count()
+    return df.repartition(max(1, min(target_parallelism(df.sparkSession), -(-rows // TASK_ROWS))))
