@@ -32,21 +32,22 @@ def sims():
     return {"noise": noise, "walk": walk, "ar": ar + 100, "seasonal": seasonal}
 
 
-def test_adf_kernel_separates_noise_from_walk(sims):
-    assert tsstats.adf(sims["noise"])["p_value"] < 0.01
-    assert tsstats.adf(sims["walk"])["p_value"] > 0.10
+def test_adf_separates_noise_from_walk(spark, sims):
+    p = {r.sid: r.p_value for r in st.adf_test(_monthly(spark, sims), ["sid"]).collect()}
+    assert p["noise"] < 0.01 and p["walk"] > 0.10
 
 
-def test_kpss_and_adf_size_and_power():
+def test_kpss_and_adf_size_and_power(spark):
     """Rejection rates at the 5 % level over 200 simulated series of length 96."""
-    kpss_noise = kpss_walk = adf_walk = 0
+    series = {}
     for seed in range(200):
         r = np.random.default_rng(seed)
-        noise, walk = r.normal(size=96), np.cumsum(r.normal(size=96))
-        kpss_noise += tsstats.kpss(noise)["p_value"] < 0.05
-        kpss_walk += tsstats.kpss(walk)["p_value"] < 0.05
-        adf_walk += tsstats.adf(walk)["p_value"] < 0.05
-    assert kpss_noise / 200 < 0.10 and kpss_walk / 200 > 0.6 and adf_walk / 200 < 0.10
+        series[f"n{seed}"], series[f"w{seed}"] = r.normal(size=96), np.cumsum(r.normal(size=96))
+    df = _monthly(spark, series)
+    kpss = {r.sid: r.p_value < 0.05 for r in st.kpss_test(df, ["sid"]).collect()}
+    adf = {r.sid: r.p_value < 0.05 for r in st.adf_test(df, ["sid"]).collect()}
+    rate = lambda got, kind: sum(v for k, v in got.items() if k[0] == kind) / 200
+    assert rate(kpss, "n") < 0.10 and rate(kpss, "w") > 0.6 and rate(adf, "w") < 0.10
 
 
 def test_chi2_tail_known_values():

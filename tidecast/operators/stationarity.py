@@ -1,23 +1,20 @@
 """Stationarity diagnostics per series.
 
-ADF and KPSS need a regression / long-run variance per series: they run as
-``groupBy(keys).applyInPandas`` over the *period* table (one group = one
-aggregated series, bounded by its calendar). Labels, votes and the variance
-ratio are plain Spark expressions.
+All tests are Spark expressions over the *period* table: the regressions and long-run variances, whose numbers of lags
+the data decide, work on one array per series (``lagged``); a series is bounded by its calendar.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import tsstats
 from ..functions.attach import attach_row
-from . import windows
+from ..functions.numeric import safe_div
+from . import lagged, windows
 
 PERIOD, VALUE = "period", "value"
 
@@ -36,44 +33,85 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(target_parallelism(df.sparkSession), *keys)
 
 
-def _run_per_series(series: DataFrame, keys: Sequence[str], fields: list[T.StructField], kernel, period: str, value: str) -> DataFrame:
-    """One kernel call per series (grouped map over Arrow batches); an ungrouped input is one series."""
-    user_keys = list(keys)
-    src = series.select(*user_keys, period, F.col(value).cast("double").alias(value))
-    if not user_keys:
-        src = src.withColumn("__series", F.lit(0))
-    gkeys = user_keys or ["__series"]
-    schema = T.StructType([src.schema[k] for k in gkeys] + fields)
-    names = [f.name for f in fields]
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        row = {k: pdf[k].iloc[0] for k in gkeys}
-        try:
-            out = kernel(pdf[value].to_numpy(dtype=float))
-        except Exception:  # noqa: BLE001 — a series the test cannot handle yields NULL statistics
-            out = {}
-        row.update({n: out.get(n) for n in names})
-        return pd.DataFrame([row], columns=gkeys + names)
-
-    out = spread(src, gkeys).groupBy(*gkeys).applyInPandas(apply, schema)
-    return out if user_keys else out.drop("__series")
-
-
-ADF_FIELDS = [
-    T.StructField("adf_stat", T.DoubleType()),
-    T.StructField("p_value", T.DoubleType()),
-    T.StructField("lags", T.IntegerType()),
-    T.StructField("nobs", T.IntegerType()),
-    T.StructField("crit_1", T.DoubleType()),
-    T.StructField("crit_5", T.DoubleType()),
-    T.StructField("crit_10", T.DoubleType()),
-]
+def _one_series(series: DataFrame, keys: Sequence[str], period: str, value: str) -> tuple[DataFrame, list[str]]:
+    """Arrays per series; an ungrouped input is one series."""
+    gkeys = list(keys) or ["__series"]
+    src = series if keys else series.withColumn("__series", F.lit(0))
+    return lagged.series_arrays(src, gkeys, period, value), gkeys
+
+
+# Fixed values (published constants).
+# MacKinnon (1994): response surface of the p-value, regression with a constant, one variable.
+ADF_TAU_MAX, ADF_TAU_MIN, ADF_TAU_STAR = 2.74, -18.83, -1.61
+ADF_SMALL = (2.1659, 1.4412, 0.038269)
+ADF_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+# MacKinnon (2010): critical values b0 + b1/n + b2/n² + b3/n³.
+ADF_CRITICAL = {
+    "crit_1": (-3.43035, -6.5393, -16.786, -79.433),
+    "crit_5": (-2.86154, -2.8903, -4.234, -40.040),
+    "crit_10": (-2.56677, -1.5384, -2.809, 0.0),
+}
+# Kwiatkowski et al. (1992), level stationarity: critical values and their p-values.
+KPSS_CRITICAL = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+#: A regression that leaves less than this share of the response's squares fits perfectly, and tests nothing.
+PERFECT = 1e-12
+
+
+def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
+    out = F.lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = out * x + c
+    return out
+
+
+def _adf_columns(x: Column, d: Column, n: Column, skip: Column, lags: Column) -> Column:
+    """Columns of the regression of changes after the first ``skip``: constant, level, ``lags`` changes before, the change."""
+    rows = n - 1 - skip
+    before = F.transform(F.filter(F.sequence(F.lit(0), lags), lambda j: j > 0), lambda j: F.slice(d, skip - j + 1, rows))
+    return F.concat(F.array(F.array_repeat(F.lit(1.0), rows), F.slice(x, skip + 1, rows)), before, F.array(F.slice(d, skip + 1, rows)))
 
 
 def adf_test(series: DataFrame, keys: Sequence[str] = (), period: str = PERIOD, value: str = VALUE) -> DataFrame:
-    """ts_adf: ADF statistic, p-value, lags, nobs, critical values, stationary if p < 0.05, 4-level label."""
-    out = _run_per_series(series, keys, ADF_FIELDS, tsstats.adf, period, value)
+    """ts_adf: ADF statistic, p-value, lags, nobs, critical values, stationary if p < 0.05, 4-level label.
+
+    Dickey-Fuller regression with a constant. The number of lags has the least AIC of all up to 12 (n/100)^¼, on the
+    sample that the largest leaves; all of them come from one swept cross-product matrix per series. Series that don't
+    vary, are shorter than four periods or are fitted perfectly are "Not testable".
+    """
+    s, gkeys = _one_series(series, keys, period, value)
+    n = F.col("__n")
+    # the statistic doesn't depend on place and scale; numbers near one keep the products precise
+    s = s.withColumn("__mean", safe_div(lagged.total(F.col("__x")), n))
+    s = s.withColumn("__dev", F.sqrt(safe_div(lagged.total(F.transform("__x", lambda v: (v - F.col("__mean")) * (v - F.col("__mean")))), n)))
+    able = (n >= 4) & (F.col("__dev") > 0)
+    s = s.withColumn("__z", F.when(able, F.transform("__x", lambda v: (v - F.col("__mean")) / F.col("__dev"))))
+    s = s.withColumn("__d", F.zip_with(F.slice("__z", F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice("__z", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: a - b))
+    most = F.least(F.greatest(F.floor(n / 2) - 2, F.lit(0)), F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25)))).cast("int")
+    s = s.withColumn("__most", F.when(able, most))
+    z, d, most = F.col("__z"), F.col("__d"), F.col("__most")
+    s = s.withColumn("__gram", lagged.cross_products(_adf_columns(z, d, n, most, most)))
+    s = s.withColumn("__left", lagged.swept(F.col("__gram"), most + 3)["left"])
+    rows = n - 1 - most
+    fit = lambda j: rows * (math.log(2 * math.pi) + F.log(F.greatest(F.get("__left", j + 1), F.lit(1e-300)) / rows) + 1) + 2 * (j + 2)
+    candidates = F.transform(F.filter(F.sequence(F.lit(0), most), lambda j: rows > j + 2), lambda j: F.struct(fit(j).alias("aic"), j.alias("lags")))
+    s = s.withColumn("__lags", F.coalesce(F.array_min(candidates)["lags"], F.when(able, F.lit(0))))
+    lags = F.col("__lags")
+    s = s.withColumn("__own", lagged.cross_products(_adf_columns(z, d, n, lags, lags)))
+    s = s.withColumn("__m", lagged.swept(F.col("__own"), lags + 3)["m"])
+    cell = lambda m, i, j: F.get(F.get(m, i), j)
+    m, end = F.col("__m"), lags + 2
+    nobs = n - 1 - lags
+    squares = cell(m, end, end)
+    free = nobs - end
+    tested = able & (free > 0) & (squares > PERFECT * cell(F.col("__own"), end, end)) & (cell(m, F.lit(1), F.lit(1)) > 0)
+    error = F.sqrt(safe_div(squares, free) * cell(m, F.lit(1), F.lit(1)))
+    out = s.select(*gkeys, F.when(tested, safe_div(cell(m, F.lit(1), end), error)).alias("adf_stat"), lags.cast("int").alias("lags"), F.when(able, nobs).cast("int").alias("nobs"))
+    stat, seen = F.col("adf_stat"), F.col("nobs")
+    surface = F.when(stat <= ADF_TAU_STAR, _polynomial(ADF_SMALL, stat)).otherwise(_polynomial(ADF_LARGE, stat))
+    p = F.when(stat > ADF_TAU_MAX, 1.0).when(stat < ADF_TAU_MIN, 0.0).otherwise(lagged.normal_cdf(surface))
+    out = out.withColumn("p_value", F.round(p, 12))  # what is less is the series' rounding
+    out = out.withColumns({name: _polynomial(c, safe_div(F.lit(1.0), seen)) for name, c in ADF_CRITICAL.items()})
+    out = out.select(*(k for k in gkeys if k != "__series"), "adf_stat", "p_value", "lags", "nobs", "crit_1", "crit_5", "crit_10")
     p = F.col("p_value")
     return out.withColumns(
         {
@@ -87,12 +125,35 @@ def adf_test(series: DataFrame, keys: Sequence[str] = (), period: str = PERIOD,
     )
 
 
-KPSS_FIELDS = [T.StructField("kpss_stat", T.DoubleType()), T.StructField("p_value", T.DoubleType()), T.StructField("lags", T.IntegerType())]
-
-
 def kpss_test(series: DataFrame, keys: Sequence[str] = (), period: str = PERIOD, value: str = VALUE) -> DataFrame:
-    """ts_kpss: KPSS level test, stationary if p > 0.05 (p clipped to the table range .01–.10)."""
-    out = _run_per_series(series, keys, KPSS_FIELDS, tsstats.kpss, period, value)
+    """ts_kpss: KPSS level test, stationary if p > 0.05 (p clipped to the table range .01–.10).
+
+    The long-run variance takes Bartlett weights over as many lags as Hobijn, Franses and Ooms (1998) choose from the
+    series' own first autocovariances.
+    """
+    s, gkeys = _one_series(series, keys, period, value)
+    n = F.col("__n")
+    s = s.withColumn("__mean", safe_div(lagged.total(F.col("__x")), n))
+    s = s.withColumn("__e", F.transform("__x", lambda v: v - F.col("__mean"))).withColumn("__s", lagged.dot(F.col("__e"), F.col("__e")))
+    e, squares = F.col("__e"), F.col("__s")
+    first = F.floor(F.pow(n.cast("double"), F.lit(2.0 / 9.0))).cast("int")
+    s = s.withColumns({
+        "__zero": safe_div(squares, n) + safe_div(2 * lagged.weighted_lags(e, n, first, lambda k: F.lit(1.0)), n),
+        "__one": safe_div(2 * lagged.weighted_lags(e, n, first, lambda k: k.cast("double")), n),
+    })
+    ratio = F.coalesce(safe_div(F.col("__one"), F.col("__zero")), F.lit(0.0))
+    lags = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1.0 / 3.0)) * F.pow(n.cast("double"), F.lit(1.0 / 3.0)))
+    s = s.withColumn("__lags", F.least(lags, F.greatest(n - 1, F.lit(0))).cast("int"))
+    bartlett = lambda k: 1.0 - k / (F.col("__lags") + 1.0)
+    s = s.withColumn("__long", safe_div(squares + 2 * lagged.weighted_lags(e, n, F.col("__lags"), bartlett), n))
+    stat = safe_div(safe_div(lagged.running_squares(e), n * n), F.when(F.col("__long") > 0, F.col("__long")))
+    s = s.withColumn("__stat", stat)
+    stat = F.col("__stat")
+    p = F.when(stat <= KPSS_CRITICAL[0][0], KPSS_CRITICAL[0][1])
+    for (a, pa), (b, pb) in zip(KPSS_CRITICAL, KPSS_CRITICAL[1:]):
+        p = p.when(stat <= b, pa + (stat - a) / (b - a) * (pb - pa))
+    p = p.when(stat > KPSS_CRITICAL[-1][0], KPSS_CRITICAL[-1][1])
+    out = s.select(*(k for k in gkeys if k != "__series"), stat.alias("kpss_stat"), p.alias("p_value"), F.col("__lags").alias("lags"))
     p = F.col("p_value")
     return out.withColumns(
         {

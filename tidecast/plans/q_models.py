@@ -1,16 +1,15 @@
 """Queries for stationarity tests (§2.9) and ARIMA / SARIMA forecasting (§2.11).
 
-ADF, KPSS and the ARIMA family are numeric kernels per series, not SQL: they
-are registered without an oracle (rows-only check) and tested against known
-properties in ``tests/test_models.py``. The variance ratio and the differencing
-validation are plain aggregates and carry SQL oracles.
+The ARIMA family are numeric kernels per series, not SQL: they are registered without an oracle (rows-only check) and
+tested against known properties in ``tests/test_models.py``. The stationarity tests carry SQL oracles: regressions by
+sweeping a cross-product matrix in a recursive query, lag products by lists.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import arima
+from ..operators import arima, lagged
 from ..operators import quality as dq
 from ..operators import series as ts
 from ..operators import stationarity as st
@@ -29,14 +28,112 @@ def monthly(spark, sf):
     return ts.aggregate(sales_fact(spark, sf), "MS", K)
 
 
-@register("ts_adf")
+def adf_sql(name: str, source: str, keys: str) -> str:
+    """CTEs that end in ``name``: the ADF figures of each series (``keys``) of ``source`` (keys, period, value)."""
+
+    def swept(out: str, grams: str, carried: str) -> str:
+        cell = (
+            "CASE WHEN i = p + 1 AND j = p + 1 THEN 1 / m[p + 1][p + 1] WHEN i = p + 1 THEN m[p + 1][j] / m[p + 1][p + 1] "
+            "WHEN j = p + 1 THEN -m[i][p + 1] / m[p + 1][p + 1] ELSE m[i][j] - m[i][p + 1] * m[p + 1][j] / m[p + 1][p + 1] END"
+        )
+        return f""", {out} AS (
+  SELECT {keys}, {carried}, k, 0 AS p, g AS m FROM {grams}
+  UNION ALL SELECT {keys}, {carried}, k, p + 1, list_transform(range(1, k + 1), lambda i: list_transform(range(1, k + 1), lambda j: {cell})) FROM {out} WHERE p < k - 1)"""
+
+    def gram(out: str, source: str, skip: str, lags: str) -> str:
+        return f""", {out}c AS (SELECT *, list_concat(list_concat([list_transform(range(n - 1 - {skip}), lambda t: 1.0), x[{skip} + 1 : n - 1]],
+    list_transform(range(1, {lags} + 1), lambda j: dx[{skip} + 1 - j : n - 1 - j])), [dx[{skip} + 1 : n - 1]]) AS c FROM {source}),
+{out} AS (SELECT * EXCLUDE (c), {lags} + 3 AS k, list_transform(c, lambda a: list_transform(c, lambda b: list_inner_product(a, b))) AS g FROM {out}c)"""
+
+    return (
+        f""", {name}_s AS (SELECT {keys}, list(value ORDER BY period) AS v, CAST(count(value) AS INTEGER) AS n, avg(value) AS mean, stddev_pop(value) AS dev
+  FROM {source} WHERE value IS NOT NULL GROUP BY {keys} HAVING count(value) >= 4 AND stddev_pop(value) > 0),
+{name}_x AS (SELECT * EXCLUDE (v), list_transform(v, lambda y: (y - mean) / dev) AS x FROM {name}_s),
+{name}_d AS (SELECT *, list_transform(range(1, n), lambda i: x[i + 1] - x[i]) AS dx, CAST(least(greatest(n // 2 - 2, 0), ceil(12.0 * pow(n / 100.0, 0.25))) AS INTEGER) AS most FROM {name}_x)"""
+        + gram(f"{name}_g", f"{name}_d", "most", "most")
+        + swept(f"{name}_w", f"{name}_g", "n, most")
+        + f""", {name}_a AS (SELECT {keys}, p - 2 AS lags, (n - 1 - most) * (ln(2 * pi()) + ln(m[k][k] / (n - 1 - most)) + 1) + 2 * p AS aic FROM {name}_w
+  WHERE p >= 2 AND n - 1 - most > p),
+{name}_b AS (SELECT * FROM {name}_a QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY aic, lags) = 1),
+{name}_o AS (SELECT {name}_d.* EXCLUDE (most), lags FROM {name}_d JOIN {name}_b USING ({keys}))"""
+        + gram(f"{name}_h", f"{name}_o", "lags", "lags")
+        + swept(f"{name}_v", f"{name}_h", "n, lags")
+        + f""", {name}_t AS (SELECT {keys}, CAST(lags AS INTEGER) AS lags, n - 1 - lags AS nobs, m[2][k] / sqrt(m[k][k] / (n - 1 - lags - (lags + 2)) * m[2][2]) AS adf_stat FROM {name}_v WHERE p = k - 1),
+{name}_u AS (SELECT *, CASE WHEN adf_stat <= -1.61 THEN 2.1659 + 1.4412 * adf_stat + 0.038269 * adf_stat ** 2
+                            ELSE 1.7339 + 0.93202 * adf_stat - 0.12745 * adf_stat ** 2 - 0.010368 * adf_stat ** 3 END AS y FROM {name}_t),
+{name}_z AS (SELECT *, least(greatest(y, -8), 8) AS z FROM {name}_u),
+{name}_q AS (SELECT *, 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(121), lambda k: sign(z) * exp((2 * k + 1) * ln(greatest(abs(z), 1e-300))
+    - list_sum(list_transform(range(k + 1), lambda j: ln(2 * j + 1))))) ) AS phi FROM {name}_z),
+{name} AS (SELECT {keys}, adf_stat, CASE WHEN adf_stat > 2.74 THEN 1.0 WHEN adf_stat < -18.83 THEN 0.0 ELSE round(least(greatest(phi, 0), 1), 12) END AS p_value, lags, CAST(nobs AS INTEGER) AS nobs,
+  -3.43035 - 6.5393 / nobs - 16.786 / nobs ** 2 - 79.433 / nobs ** 3 AS crit_1, -2.86154 - 2.8903 / nobs - 4.234 / nobs ** 2 - 40.040 / nobs ** 3 AS crit_5,
+  -2.56677 - 1.5384 / nobs - 2.809 / nobs ** 2 AS crit_10 FROM {name}_q)"""
+    )
+
+
+def kpss_sql(name: str, source: str, keys: str) -> str:
+    """CTEs that end in ``name``: the KPSS figures of each series of ``source``."""
+    dot = "list_inner_product(e[k + 1 : n], e[1 : n - k])"
+    return f""", {name}_s AS (SELECT {keys}, list(value ORDER BY period) AS v, CAST(count(value) AS INTEGER) AS n, avg(value) AS mean FROM {source} WHERE value IS NOT NULL GROUP BY {keys}),
+{name}_e AS (SELECT {keys}, n, list_transform(v, lambda y: y - mean) AS e FROM {name}_s),
+{name}_f AS (SELECT *, list_inner_product(e, e) AS s, CAST(floor(pow(n, 2.0 / 9)) AS INTEGER) AS firsts FROM {name}_e),
+{name}_r AS (SELECT *, list_sum(list_transform(range(1, firsts + 1), lambda k: {dot})) AS plain, list_sum(list_transform(range(1, firsts + 1), lambda k: k * {dot})) AS graded FROM {name}_f),
+{name}_l AS (SELECT *, CAST(least(floor(1.1447 * pow(pow(2 * graded / (s + 2 * plain), 2), 1.0 / 3) * pow(n, 1.0 / 3)), n - 1) AS INTEGER) AS lags FROM {name}_r),
+{name}_v AS (SELECT *, (s + 2 * coalesce(list_sum(list_transform(range(1, lags + 1), lambda k: (1 - k / (lags + 1.0)) * {dot})), 0)) / n AS variance,
+  list_sum(list_transform(range(1, n + 1), lambda t: list_sum(e[1 : t]) ** 2)) / (n * n) AS eta FROM {name}_l),
+{name}_k AS (SELECT {keys}, eta / variance AS kpss_stat, lags FROM {name}_v),
+{name} AS (SELECT {keys}, kpss_stat, CASE WHEN kpss_stat <= 0.347 THEN 0.10 WHEN kpss_stat <= 0.463 THEN 0.10 + (kpss_stat - 0.347) / 0.116 * -0.05
+  WHEN kpss_stat <= 0.574 THEN 0.05 + (kpss_stat - 0.463) / 0.111 * -0.025 WHEN kpss_stat <= 0.739 THEN 0.025 + (kpss_stat - 0.574) / 0.165 * -0.015 ELSE 0.01 END AS p_value, lags FROM {name}_k)"""
+
+
+R = "WITH RECURSIVE " + FACT_CTE + "\n" + MONTHLY
+ADF_SAYS = """CASE WHEN p_value < 0.01 THEN 'Highly stationary (p < 0.01)' WHEN p_value < 0.05 THEN 'Stationary (p < 0.05)'
+  WHEN p_value < 0.10 THEN 'Weakly stationary (p < 0.10)' ELSE 'Non-stationary (p >= 0.10)' END"""
+KPSS_SAYS = """CASE WHEN p_value > 0.10 THEN 'Stationary (p > 0.10)' WHEN p_value > 0.05 THEN 'Likely stationary (p > 0.05)'
+  WHEN p_value > 0.01 THEN 'Weakly stationary (p > 0.01)' ELSE 'Non-stationary (p <= 0.01)' END"""
+#: Every series as it is, and differenced once and twice.
+VERSIONS = """, v1 AS (SELECT store, period, value - lag(value) OVER (PARTITION BY store ORDER BY period) AS value FROM ms QUALIFY row_number() OVER (PARTITION BY store ORDER BY period) > 1),
+v2 AS (SELECT store, period, value - lag(value) OVER (PARTITION BY store ORDER BY period) AS value FROM v1 QUALIFY row_number() OVER (PARTITION BY store ORDER BY period) > 1),
+versions AS (SELECT store, 0 AS d, period, value FROM ms UNION ALL SELECT store, 1, period, value FROM v1 UNION ALL SELECT store, 2, period, value FROM v2)"""
+ORDER = """, orders AS (SELECT store, min(d) FILTER (WHERE p_value < 0.05) AS first, count(*) AS orders_tested FROM adf GROUP BY store),
+chosen AS (SELECT store, CAST(coalesce(first, 2) AS INTEGER) AS d, first IS NOT NULL AS is_stationary FROM orders)"""
+P4 = {"p_value": 4, "adf_stat": 4, "crit_1": 4, "crit_5": 4, "crit_10": 4, "kpss_stat": 4}
+
+
+@register(
+    "ts_adf",
+    R + adf_sql("adf", "ms", "store")
+    + f""" SELECT store, round(adf_stat, 4) AS adf_stat, round(p_value, 4) AS p_value, lags, nobs, round(crit_1, 4) AS crit_1, round(crit_5, 4) AS crit_5, round(crit_10, 4) AS crit_10,
+       p_value < 0.05 AS is_stationary, {ADF_SAYS} AS interpretation FROM adf""",
+)
 def q_ts_adf(spark, sf):
-    return st.adf_test(monthly(spark, sf), K)
+    return rnd(st.adf_test(monthly(spark, sf), K), overrides=P4)
 
 
-@register("ts_kpss")
+@register(
+    "ts_kpss",
+    R + kpss_sql("kpss", "ms", "store")
+    + f""" SELECT store, round(kpss_stat, 4) AS kpss_stat, round(p_value, 4) AS p_value, lags, p_value > 0.05 AS is_stationary, {KPSS_SAYS} AS interpretation FROM kpss""",
+)
 def q_ts_kpss(spark, sf):
-    return st.kpss_test(monthly(spark, sf), K)
+    return rnd(st.kpss_test(monthly(spark, sf), K), overrides=P4)
+
+
+@register(
+    "ts_residual_acf",
+    W + MONTHLY
+    + """, f AS (SELECT store, period, value - lag(value, 12) OVER (PARTITION BY store ORDER BY period) AS residual, row_number() OVER (PARTITION BY store ORDER BY period) AS i FROM ms),
+g AS (SELECT store, period, residual FROM f WHERE i > 12),
+e AS (SELECT store, list(residual - mean ORDER BY period) AS e, CAST(count(*) AS INTEGER) AS n FROM g JOIN (SELECT store, avg(residual) AS mean FROM g GROUP BY store) USING (store) GROUP BY store),
+r AS (SELECT store, n, CAST(unnest(range(1, 11)) AS INTEGER) AS lag, e FROM e),
+c AS (SELECT store, n, lag, coalesce(list_inner_product(e[lag + 1 : n], e[1 : n - lag]), 0) / list_inner_product(e, e) AS r FROM r WHERE n > 10),
+q AS (SELECT store, n * (n + 2) * sum(r * r / (n - lag)) AS q FROM c GROUP BY store, n)
+SELECT store, lag, round(r, 4) AS r, round(q, 4) AS q, round(exp(-q / 2) * (1 + q / 2 + pow(q / 2, 2) / 2 + pow(q / 2, 3) / 6 + pow(q / 2, 4) / 24), 4) AS p_value, n FROM c JOIN q USING (store)""",
+)
+def q_ts_residual_acf(spark, sf):
+    """Residuals of the forecast that a month is as it was twelve before."""
+    m = win.seasonal_difference(monthly(spark, sf), 12, keys=K, out="residual").select("store", "period", "residual")
+    out = lagged.residual_autocorrelation(m, K)
+    return rnd(out.where("n > 10"), 4)
 
 
 @register(
@@ -57,12 +154,30 @@ def q_ts_var_ratio(spark, sf):
     return rnd(st.variance_ratio(monthly(spark, sf), K), dp=6, exclude=("p_value",))
 
 
-@register("ts_consensus")
+VR = """, h AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY store ORDER BY period) <= floor(count(*) OVER (PARTITION BY store) / 2) THEN 1 ELSE 2 END AS half FROM ms),
+hg AS (SELECT store, var_samp(value) FILTER (WHERE half = 1) AS vf, var_samp(value) FILTER (WHERE half = 2) AS vs FROM h GROUP BY store),
+vr AS (SELECT store, CASE WHEN vf > 0 THEN vs / vf ELSE 1.0 END AS variance_ratio FROM hg)"""
+
+
+@register(
+    "ts_consensus",
+    R + adf_sql("adf", "ms", "store") + kpss_sql("kpss", "ms", "store") + VR
+    + """, j AS (SELECT store, adf.p_value < 0.05 AS adf_stationary, adf.p_value AS adf_p, kpss.p_value > 0.05 AS kpss_stationary, kpss.p_value AS kpss_p,
+  abs(variance_ratio - 1) < 0.5 AS vr_stationary, variance_ratio FROM adf JOIN kpss USING (store) JOIN vr USING (store)),
+t AS (SELECT *, CAST(adf_stationary AS INTEGER) + CAST(kpss_stationary AS INTEGER) + CAST(vr_stationary AS INTEGER) AS votes FROM j)
+SELECT store, adf_stationary, round(adf_p, 4) AS adf_p, kpss_stationary, round(kpss_p, 4) AS kpss_p, vr_stationary, round(variance_ratio, 4) AS variance_ratio, votes, votes >= 2 AS consensus_stationary,
+  votes || '/3' AS test_agreement, CASE WHEN votes >= 2 THEN 'CONSENSUS: Series is STATIONARY (' || votes || '/3 tests agree)' ELSE 'MIXED RESULTS: (' || votes || '/3 tests say stationary)' END AS summary FROM t""",
+)
 def q_ts_consensus(spark, sf):
-    return st.consensus(monthly(spark, sf), K)
+    return rnd(st.consensus(monthly(spark, sf), K), 4)
 
 
-@register("ts_order_d")
+@register(
+    "ts_order_d",
+    R + VERSIONS + adf_sql("adf", "versions", "store, d") + ORDER
+    + """ SELECT store, d, is_stationary, CASE WHEN is_stationary THEN 'Series becomes stationary at d=' || d ELSE 'Series not fully stationary even at d=' || d || ' (reached max_d)' END AS explanation,
+  'Use d=' || d || ' in ARIMA(p, ' || d || ', q)' AS recommendation FROM chosen""",
+)
 def q_ts_order_d(spark, sf):
     return st.differencing_order(monthly(spark, sf), K, 2, "adf")
 
@@ -97,20 +212,44 @@ def q_ts_prepare(spark, sf):
     return rnd(validation)
 
 
-@register("ts_prepare_stat")
+@register(
+    "ts_prepare_stat",
+    R + VERSIONS + adf_sql("adf", "versions", "store, d") + ORDER
+    + """, prepared AS (SELECT store, period, value - lag(value, 12) OVER (PARTITION BY store ORDER BY period) AS value FROM versions JOIN chosen USING (store, d)
+  QUALIFY row_number() OVER (PARTITION BY store ORDER BY period) > 12)"""
+    + adf_sql("after", "prepared", "store")
+    + """ SELECT store, chosen.d, round(adf.p_value, 4) AS original_p_value, adf.p_value < 0.05 AS original_stationary, round("after".p_value, 4) AS final_p_value, "after".p_value < 0.05 AS is_ready,
+  true AS seasonal_differencing, 12 AS seasonal_period FROM chosen LEFT JOIN (SELECT * FROM adf WHERE d = 0) AS adf USING (store) LEFT JOIN "after" USING (store)""",
+)
 def q_ts_prepare_stat(spark, sf):
     _, report = st.prepare_stationary(monthly(spark, sf), K, 2, apply_seasonal=True, seasonal_period=12)
-    return report
+    return rnd(report, 4)
 
 
-@register("ts_compare_stat")
+@register(
+    "ts_compare_stat",
+    R + VERSIONS + adf_sql("adf", "versions", "store, d")
+    + """, o AS (SELECT store, count(value) AS original_length, avg(value) AS original_mean, stddev_samp(value) AS original_std FROM ms GROUP BY store),
+x AS (SELECT store, count(*) AS differenced_length, avg(value) AS differenced_mean, stddev_samp(value) AS differenced_std FROM v1 GROUP BY store),
+a AS (SELECT * FROM adf WHERE d = 0), b AS (SELECT * FROM adf WHERE d = 1)
+SELECT store, round(a.adf_stat, 4) AS adf_before, round(a.p_value, 4) AS p_before, round(b.adf_stat, 4) AS adf_after, round(b.p_value, 4) AS p_after,
+  original_length, round(original_mean, 4) AS original_mean, round(original_std, 4) AS original_std, differenced_length, round(differenced_mean, 4) AS differenced_mean, round(differenced_std, 4) AS differenced_std,
+  original_length - 1 = differenced_length AS order_correct, true AS no_nans, abs(differenced_mean) < abs(original_mean) AS mean_near_zero, differenced_std < original_std AS variance_reduced,
+  original_length - 1 = differenced_length AS is_valid, 1 AS d_order, b.p_value < a.p_value AS p_value_improved, b.adf_stat < a.adf_stat AS statistic_improved, a.p_value >= 0.05 AND b.p_value < 0.05 AS became_stationary
+FROM a JOIN b USING (store) JOIN o USING (store) JOIN x USING (store)""",
+)
 def q_ts_compare_stat(spark, sf):
     m = monthly(spark, sf)
     d = win.difference(m, 1, keys=K, out="__d").select(*K, "period", F.col("__d").alias("value"))
-    return st.compare_before_after(m, d, 1, K)
+    return rnd(st.compare_before_after(m, d, 1, K), 4)
 
 
-@register("ts_recommend_arima")
+@register(
+    "ts_recommend_arima",
+    R + VERSIONS + adf_sql("adf", "versions", "store, d") + ORDER
+    + """ SELECT store, 1 AS p, d, 1 AS q, 1 AS seasonal_p, 0 AS seasonal_d, 1 AS seasonal_q, 12 AS seasonal_s, 'ARIMA(1,' || d || ',1)' AS recommended_order,
+  'SARIMA(1,' || d || ',1)(1,0,1,12)' AS recommended_seasonal_order FROM chosen""",
+)
 def q_ts_recommend_arima(spark, sf):
     return st.recommend_arima(monthly(spark, sf), K)
 
