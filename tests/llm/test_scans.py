@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -65,6 +66,34 @@ def test_rules_stay_linear():
         secrets.Scanner(secrets.RULES).spans(text, [])
 
 
+def test_a_megabyte_of_one_pattern_takes_seconds():
+    began = time.time()
+    scanner = secrets.Scanner(secrets.RULES)
+    for text in ("eyJ" * 350_000, "eyJ." * 250_000, "eyJeyJ.eyJ" * 100_000, "-----BEGIN PRIVATE KEY-----" * 40_000):
+        assert not [k for _, k, _ in scanner.spans(text, []) if secrets.RULES[k].kind != "jwt"]
+    weights = np.zeros((len(pii.KINDS), len(pii.FEATURES)))
+    for text in ("10.1.2.3 " * 110_000, "+1 202 555 0100 " * 60_000, "a@b.cd " * 140_000):
+        assert len(pii.find_in(text, weights, 2.0)) == text.count(" ", 0, None) // (4 if text[0] == "+" else 1)
+    assert time.time() - began < 120
+
+
+def test_jwt_hits_within_a_failed_run():
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    good = f"{head}.eyJzdWIiOjF9.c2ln"
+    for text, at in ((f"eyJeyJ {good}", 7), (f"eyJx.{good}", 5), (f"eyJx.eyJ.{good}", 9), (f"eyJ-eyJ!{good}", 8)):
+        spans = [(a, b) for a, k, b in secrets.Scanner(secrets.RULES).spans(text, []) if secrets.RULES[k].kind == "jwt"]
+        assert (at, at + len(good)) in spans or spans == []
+        brute = re.finditer(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", text)
+        assert spans == [m.span() for m in brute if secrets.header_ok(m[0])]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=8), st.integers(0, 30), st.integers(1, 6))
+def test_cover_meets_what_any_span_meets(spans, a, n):
+    spans = [(s, 0, s + m) for s, m in spans]
+    assert pii.Cover(spans).meets(a, a + n) == any(s < a + n and a < e for s, _, e in spans)
+
+
 def prefixed(prefix, body):
     value, out = zlib.crc32(body.encode()), ""
     for _ in range(6):

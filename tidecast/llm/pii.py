@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +184,19 @@ def span_features(text: str, a: int, b: int) -> list[int]:
     return [_AT[x] for x in on]
 
 
+class Cover:
+    """Spans (start, kind, end) by their start, and the furthest end up to each: what overlaps one is found by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        ordered = sorted(spans)
+        self.starts = [s for s, _, _ in ordered]
+        self.ends = list(accumulate((e for _, _, e in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start
+
+
 class Lattice:
     """Segmentations of one stretch: single plain tokens, and candidate segments of each kind.
 
@@ -189,9 +204,11 @@ class Lattice:
     that end after token j - 1.
     """
 
-    def __init__(self, text: str, start: int, end: int, fixed: list[tuple[int, int, int]] = ()):
+    def __init__(self, text: str, start: int, end: int, fixed: Cover | None = None):
         self.tokens = tokens_of(text, start, end)
-        free = [(i, j) for i, j in candidates(text, self.tokens) if not any(self.tokens[i][0] < e and s < self.tokens[j][1] for s, _, e in fixed)]
+        free = candidates(text, self.tokens)
+        if fixed is not None:
+            free = [(i, j) for i, j in free if not fixed.meets(self.tokens[i][0], self.tokens[j][1])]
         self.segments = free
         self.features = [span_features(text, self.tokens[i][0], self.tokens[j][1]) for i, j in free]
         self.by_end: list[list[tuple[int, int]]] = [[] for _ in range(len(self.tokens) + 1)]
@@ -287,8 +304,9 @@ def find_in(text: str, weights: np.ndarray, min_gain: float) -> list[tuple[int,
     """(start, kind, end, base) of all spans, sorted."""
     base = rule_spans(text)
     out = [(a, k, b, True) for a, k, b in base]
+    cover = Cover(base)
     for a, b in stretches(text):
-        lattice = Lattice(text, a, b, [s for s in base if s[0] < b and a < s[2]])
+        lattice = Lattice(text, a, b, cover)
         if lattice.segments:
             for c, k, gain in lattice.best(lattice.scores(weights)):
                 if gain >= min_gain:

@@ -73,6 +73,7 @@ class Rule:
     keywords: tuple[str, ...]  # lower case; none: the hex run pass finds the hits
     pattern: str
     check: Callable[[re.Match], bool]
+    run: str = ""  # what follows the keyword up to where every match from within it must go on alike
 
 
 BASE_RULES = (
@@ -83,7 +84,7 @@ BASE_RULES = (
 CHECKED_RULES = (
     Rule("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", lambda m: checksum_ok(m[0])),
     Rule("npm", ("npm_",), r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", lambda m: checksum_ok(m[0])),
-    Rule("jwt", ("eyj",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", lambda m: header_ok(m[0])),
+    Rule("jwt", ("eyj",), r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", lambda m: header_ok(m[0]), r"eyJ[A-Za-z0-9_-]+"),
     Rule("pem", ("-----begin ",), r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END \1PRIVATE KEY-----", lambda m: der_ok(m[0])),
 )
 RULES = (*BASE_RULES, *CHECKED_RULES)
@@ -97,6 +98,7 @@ class Scanner:
 
         self.rules = rules
         self.patterns = [re.compile(r.pattern, re.ASCII) for r in rules]
+        self.stretches = [re.compile(r.run, re.ASCII) if r.run else None for r in rules]
         self.runs = [k for k, r in enumerate(rules) if not r.keywords]
         self.automaton = ahocorasick.Automaton()
         for k, rule in enumerate(rules):
@@ -116,10 +118,14 @@ class Scanner:
         hits.sort()
         out, used = [], [0] * len(self.rules)
         for at, k in hits:
-            if at >= used[k] and (m := self.patterns[k].match(text, at)):
+            if at < used[k]:
+                continue
+            if m := self.patterns[k].match(text, at):
                 used[k] = m.end()
                 if self.rules[k].check(m):
                     out.append((at, k, m.end()))
+            elif self.stretches[k] and (run := self.stretches[k].match(text, at)):
+                used[k] = run.end()  # hits within the run would fail as this one did, each at the run's end
         return out
 
 
