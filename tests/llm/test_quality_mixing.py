@@ -91,9 +91,25 @@ def template_pages(n, shared, own):
 def test_templates_go_whatever_their_share_of_a_page(spark):
     for n, shared, own in ((40, 20, 5), (100, 40, 3), (40, 1, 3)):
         template, rows = template_pages(n, shared, own)
-        out = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_left=0.0).collect()
-        assert len(out) >= 0.8 * n
-        assert not any(line in r.text for r in out for line in template)
+        for near_copies in (True, False):
+            out = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"), near_copies=near_copies, min_left=0.0).collect()
+            assert len(out) >= 0.8 * n
+            assert not any(line in r.text for r in out for line in template)
+
+
+def test_templates_of_every_host_go(spark):
+    rows = [(100 * h + i, t, f"host{h}") for h in range(10) for i, t, _ in template_pages(100, 40, 3)[1]]
+    rng = random.Random(4)
+    rows = [(d, t + "\n" + " ".join(lines_of(rng, 1)), s) for d, t, s in rows]
+    verdict = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_left=0.0)
+    assert verdict.where("n_removed > 0").selectExpr("count(distinct host)").first()[0] == 10
+    assert verdict.where("size(removed) < 40").count() == 0
+
+
+def test_no_column_name_clashes(spark):
+    docs = spark.createDataFrame([(i, "some words that are enough for a whole document here " + str(i), "s", i, "m", [1], "x") for i in range(4)], "doc_id long, text string, source string, tc_h int, tc_m string, removed array<int>, `h.m` string")
+    out = quality.clean(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
 
 
 def test_limit_does_not_rise_with_the_host(spark):

@@ -3,16 +3,14 @@
 Lines are normalised (words with one blank between them, A-Z lowered) and hashed. Lines above the limit of their
 host are removed; a document that keeps fewer than ``min_words`` words, or less than ``min_left`` of them, is rejected.
 
-``boilerplate`` finds these lines. Documents are told apart by a hash of their whole normalised text, and a line
-is common when it stands in more than ``line_limit`` of them, an absolute number that grows with the logarithm of
-the host. A group of near copies doesn't condemn its own text: a line with some words changed counts as the line it
-was made from (the one in most documents that has the same least hash of its three-word windows, under one of four
-functions). A document with a line that is in no other counts as itself, others by their rarest line, so that near
-copies count once, and text that many groups of them share is still found.
+``frequent_lines`` finds these lines: documents are told apart by a hash of their whole normalised text, and a line is
+common when it stands in more than ``line_limit`` of a host's documents, an absolute number that grows with the
+logarithm of the host. Exact copies count once.
 
-``frequent_lines`` is the rule that the SQL of op5_quality fixes: documents are told apart by their least line
-hash, and the limit is ``max(least_docs, share * documents of the host)``. Where shared lines are most of a page,
-pages with one least line count as one document, so that it finds fewer of them.
+``boilerplate`` is for corpora with large groups of near copies, which would condemn their own text: a line with some
+words changed counts as the line it was made from (the one in most documents that has the same least hash of its
+three-word windows, under one of four functions). A document with a line that is in no other counts as itself, others by
+their rarest line, so that near copies count once too, and text that many groups of them share is still found.
 
 Counting goes over (host, line, document) triples that are first made distinct within each task, so a line
 that stands in a third of all documents reaches the shuffle once per task and distinct document.
@@ -29,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .textkit import folded_words, mix, span_hashes, spans_of, text_bytes, text_slices, window_hashes, word_spans
@@ -39,7 +38,6 @@ MAX_REPEAT_PERCENT = 20
 LEAST_DOCS = 10
 #: Up to so many documents of a host the limit is LEAST_DOCS; it then grows with their binary logarithm.
 LIMIT_DOCS = 100
-SHARE = 0.05
 MIN_LEFT = 0.2
 SYMBOLS = b"#*$%&|<>"
 
@@ -100,7 +98,7 @@ def line_sketches(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 LINE = pa.struct([("line", pa.int64()), ("words", pa.int32()), ("sketch", pa.list_(pa.int64()))])
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_SCHEMA = f"doc_id long, host long, mark long, {', '.join(f'{c} long' for c in STATS)}, class long, copy long, lines array<struct<line:long,words:int,sketch:array<long>>>"
+_SCHEMA = f"doc_id long, host long, mark long, {', '.join(f'{c} long' for c in STATS)}, copy long, lines array<struct<line:long,words:int,sketch:array<long>>>"
 
 
 def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -139,11 +137,10 @@ def _measure(part: pa.RecordBatch) -> pa.RecordBatch:
         [
             *(part.column(c) for c in ("doc_id", "host", "mark")),
             *(pa.array(c.astype(np.int64)) for c in cols),
-            pa.array([line_id(min(x)) if x else None for x in lines], pa.int64()),
-            pa.array([line_id(w.digest()) for w in whole], pa.int64()),
+            pa.array([line_id(w.digest()) if x else None for w, x in zip(whole, lines)], pa.int64()),
             pa.array([[{"line": line_id(d), "words": w, "sketch": k} for d, (w, k) in x.items()] for x in lines], pa.list_(LINE)),
         ],
-        ["doc_id", "host", "mark", *STATS, "class", "copy", "lines"],
+        ["doc_id", "host", "mark", *STATS, "copy", "lines"],
     )
 
 
@@ -152,7 +149,7 @@ def _keys(host: str) -> list[Column]:
 
 
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts inside each document, its class, its normalised text's hash and its distinct normalised lines."""
+    """Counts inside each document, its normalised text's hash (null without a line) and its distinct normalised lines."""
 
     def run(batches):
         for batch in batches:
@@ -162,24 +159,28 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return docs.select(*_keys(host), "text").mapInArrow(run, _SCHEMA)
 
 
-def frequent_lines(measured: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, line) above the limit of its host, by the rule of op5_quality's SQL."""
-    classes = measured.where("class is not null").select("host", "class").distinct()
-    documents = classes.groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
-    lines = measured.select("host", "class", F.explode("lines.line").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    wide = lines.where(F.col("n") > least_docs)
-    return wide.join(documents, "host").where(F.col("n") > F.col("documents") * F.lit(share)).select("host", "line")
-
-
 def line_limit(documents: Column, least_docs: int = LEAST_DOCS) -> Column:
     """Distinct documents of a host of so many in which a line may stand."""
     return F.lit(least_docs) * F.greatest(F.lit(1.0), F.log2(documents / F.lit(LIMIT_DOCS)))
 
 
+def _limits(texts: DataFrame, least_docs: int) -> DataFrame:
+    documents = texts.select("host", "copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
+    return documents.select("host", line_limit(F.col("documents"), least_docs).alias("limit"))
+
+
+def frequent_lines(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(host, line) that stands in more distinct texts of its host than ``line_limit``."""
+    texts = measured.where("copy is not null").select("host", "copy", "lines")
+    lines = texts.select("host", "copy", F.explode("lines.line").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    wide = lines.where(F.col("n") > least_docs)
+    return wide.join(_limits(texts, least_docs), "host").where("n > limit").select("host", "line")
+
+
 def boilerplate(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(host, line) that stands in more documents of its host than ``line_limit``, groups of near copies counted once."""
-    texts = measured.where("class is not null").select("host", "copy", "lines")
-    limits = texts.select("host", "copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents")).select("host", line_limit(F.col("documents"), least_docs).alias("limit"))
+    texts = measured.where("copy is not null").select("host", "copy", "lines")
+    limits = _limits(texts, least_docs)
     pairs = texts.select("host", "copy", F.explode("lines.line").alias("line")).distinct()
     counts = cut_lineage(pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     common = cut_lineage(counts.where(F.col("n") > least_docs).join(limits, "host").where("n > limit").select("host", "line", "limit"))
@@ -197,17 +198,17 @@ def boilerplate(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return wide.select("host", "line", "limit", "own", "key").distinct().groupBy("host", "line", "limit").agg(F.count(F.lit(1)).alias("n")).where("n > limit").select("host", "line")
 
 
-def judge(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float | None = None, min_left: float = MIN_LEFT) -> DataFrame:
-    """With ``share`` lines are judged by ``frequent_lines``, else by ``boilerplate``.
+def judge(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, near_copies: bool = False, min_left: float = MIN_LEFT) -> DataFrame:
+    """Lines are judged by ``frequent_lines``, with ``near_copies`` by ``boilerplate``.
 
     doc_id, host, mark, the counts, base_failed, n_removed (words in removed lines), removed (their hashes), kept.
     """
     measured = cut_lineage(measure(docs, host))
-    frequent = boilerplate(measured, least_docs) if share is None else frequent_lines(measured, least_docs, share)
+    frequent = boilerplate(measured, least_docs) if near_copies else frequent_lines(measured, least_docs)
     placed = measured.select("doc_id", "host", "mark", F.inline("lines")).drop("sketch").join(frequent, ["host", "line"])
     gone = placed.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("mark").alias("m")).agg(F.collect_set(F.struct("line", "words")).alias("gone"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("host") == F.col("h")) & (F.col("mark") == F.col("m"))
-    joined = measured.drop("class", "copy", "lines").join(gone, same, "left")
+    joined = measured.drop("copy", "lines").join(gone, same, "left")
     removed = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda total, x: total + x["words"]), F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     left = F.col("n_words") - F.col("n_removed")
@@ -229,22 +230,22 @@ def strip_lines(text: str, removed: set[int]) -> str:
     return "\n".join(out)
 
 
-def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", near_copies: bool = True, **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, without the lines above their host's limit; same columns."""
-    verdict = judge(docs, host, **limits).where("kept").select(*(F.col(c).alias(f"tc_{c}") for c in ("doc_id", "host", "mark")), F.col("removed").alias("tc_removed"))
-    verdict = verdict.dropDuplicates(["tc_doc_id", "tc_host", "tc_mark"])
-    keyed = docs.withColumns({"tc_h": F.xxhash64(host), "tc_m": F.xxhash64("text")})
-    same = keyed["doc_id"].cast("long").eqNullSafe(verdict["tc_doc_id"]) & (keyed["tc_h"] == verdict["tc_host"]) & (keyed["tc_m"] == verdict["tc_mark"])
-    picked = keyed.join(verdict, same).select(*(keyed[c] for c in docs.columns), "tc_removed")
-    names = docs.columns
+    verdict = judge(docs, host, near_copies=near_copies, **limits).where("kept").select("doc_id", "host", "mark", "removed").dropDuplicates(["doc_id", "host", "mark"])
+    # the caller's columns travel in one struct, so that no name of theirs can meet one of ours
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(host).alias("h"), F.xxhash64("text").alias("m"))
+    same = keyed["id"].eqNullSafe(verdict["doc_id"]) & (keyed["h"] == verdict["host"]) & (keyed["m"] == verdict["mark"])
+    picked = keyed.join(verdict, same).select("row", F.col("row.text").alias("text"), "removed")
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                gone = part.column("tc_removed")
-                texts = [strip_lines(t.as_py(), set(g.as_py())) if len(g) else t.as_py() for t, g in zip(part.column("text"), gone)]
-                at = part.schema.get_field_index("text")
-                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type)).select(names)
-
-    out = picked.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+                texts = [strip_lines(t.as_py(), set(g.as_py())) if len(g) else t.as_py() for t, g in zip(part.column("text"), part.column("removed"))]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, part.column("text").type)], ["row", "text"])
+
+    kept = picked.select("row", "text", "removed").mapInArrow(run, T.StructType([T.StructField("row", picked.schema["row"].dataType), T.StructField("text", T.StringType())]))
+    out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(c.alias(name) for name, c in out.items()))

@@ -52,7 +52,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = quality.judge(table(spark, sf_dir, "documents"), share=quality.SHARE)
+    verdict = quality.judge(table(spark, sf_dir, "documents"))
     return verdict.select("doc_id", *quality.STATS, "base_failed", "n_removed", "kept")
 
 
@@ -66,19 +66,19 @@ spots AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >
 wins AS (SELECT rid, i, w[i:i+4] AS win FROM spots),
 twice AS (SELECT rid, i FROM wins QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid),
-ls AS (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d),
-lw AS (SELECT rid, source, line, regexp_extract_all(line, '[^ 	-
+ls AS (SELECT rid, source, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS nr FROM d),
+lw AS (SELECT rid, source, line, nr, regexp_extract_all(line, '[^ 	-
 ]+') AS w FROM ls),
 norm AS (
-  SELECT rid, source, line, len(w) AS words,
+  SELECT rid, source, line, nr, len(w) AS words,
          md5(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
   FROM lw WHERE len(w) > 0),
 dup AS (SELECT rid, sum(c - 1) AS n FROM (SELECT rid, line, count(*) AS c FROM norm GROUP BY ALL) GROUP BY rid),
-cls AS (SELECT rid, any_value(source) AS source, min(h) AS c FROM norm GROUP BY rid),
-hosts AS (SELECT source, count(DISTINCT c) AS documents FROM cls GROUP BY source),
-freq AS (SELECT n.source, n.h, count(DISTINCT c.c) AS docs FROM norm n JOIN cls c USING (rid) GROUP BY n.source, n.h),
+txt AS (SELECT rid, any_value(source) AS source, md5(string_agg(h, '' ORDER BY nr)) AS c FROM norm GROUP BY rid),
+hosts AS (SELECT source, count(DISTINCT c) AS documents FROM txt GROUP BY source),
+freq AS (SELECT n.source, n.h, count(DISTINCT t.c) AS docs FROM norm n JOIN txt t USING (rid) GROUP BY n.source, n.h),
 wide AS (SELECT f.source, f.h FROM freq f JOIN hosts o ON f.source IS NOT DISTINCT FROM o.source
-         WHERE f.docs > 10 AND f.docs > o.documents * CAST(0.05 AS DOUBLE)),
+         WHERE f.docs > 10 AND f.docs > 10 * greatest(1, log2(o.documents / 100))),
 gone AS (SELECT n.rid, sum(n.words) AS n FROM norm n JOIN wide x ON n.source IS NOT DISTINCT FROM x.source AND n.h = x.h GROUP BY n.rid),
 r AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
