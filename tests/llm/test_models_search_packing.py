@@ -4,7 +4,9 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -165,11 +167,14 @@ def unpacked(rows, row_tokens, end_id, pad_id, kind):
 
 def test_packing_round_trip(spark, tmp_path):
     rng = random.Random(1)
-    rows = [(0, None), (1, ""), (2, "é" * 5000), (3, "x" * 2047), (4, "x" * 2048), (5, "y" * 4095), (None, "no id")]
+    rows = [(0, None), (1, ""), (2, "é" * 5000), (3, "x" * 2047), (4, "x" * 2048), (5, "y" * 4095), (6, "z" * 300_000), (7, " " * 100_000), (None, "no id")]
     rows += [(10 + i, "".join(rng.choice("abc é") for _ in range(rng.choice([3, 200, 1900, 9000])))) for i in range(80)]
     for some in (rows, []):
         spark.createDataFrame([(*r, "x") for r in some], "doc_id long, text string, ids string").repartition(3).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         got = op10_packing(spark, str(tmp_path)).collect()
+        library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+        assert unpacked(got, 2048, 50256, 50257, "<u4") == sorted((str(d), library.encode_ordinary(t or "")) for d, t in some)
+        got = packing.pack_bytes(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
         assert unpacked(got, 2048, 256, 257, "<u2") == sorted((str(d), list((t or "").encode())) for d, t in some)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     packed = packing.pack_bytes(docs, row_tokens=64, block_tokens=5000).collect()
@@ -179,9 +184,25 @@ def test_packing_round_trip(spark, tmp_path):
 
 
 def test_packing_of_encoded_documents(spark):
-    import public_tokenizers as P
-
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     encoded = bpe.encode(docs, bpe.Vocabulary(spark, P.path("byte_bpe_50k.tiktoken")))
     want = sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in encoded.collect())
     assert unpacked(packing.pack_ids(encoded, 50256, 50257).collect(), 2048, 50256, 50257, "<u4") == want
+    ids = packing.token_ids(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in ids.collect()) == want
+
+
+def test_scores_that_do_not_fit_fail(spark):
+    frame = lambda *v: spark.createDataFrame([(50 * i, list(x)) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    big = 2.0**26  # products of 2^68 that cancel
+    got = topk.top_k(frame([big, big], [big, -big], [1.0, 2.0]), F.col("id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(100, 3 * 2**42), (50, 0)]
+    for huge in (1e300, 1e12):
+        with pytest.raises(Exception, match="too large|64 bits"):
+            topk.top_k(frame([huge], [huge], [1.0]), F.col("id") == 0).collect()
+
+
+def test_languages_beyond_the_bound_fail(spark):
+    rows = spark.range(langid.MOST_LANGUAGES + 1).selectExpr("concat('l', id) as lang", "'some text' as text")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(rows)

@@ -223,3 +223,12 @@ def test_mix_repeats_rows(spark):
     rows = mixed.collect()
     assert sum(len(WORD.findall(r.text or "")) for r in rows) == want[1]
     assert len(rows) == mixing.sample(docs, F.xxhash64(*docs.columns)).agg(F.sum("copies")).first()[0]
+
+
+def test_mix_of_odd_columns(spark):
+    rows = [(i, "w " * (5 + i % 3), f"s{i % 2}", {"k": i, "a": 1}, i, "m", [{"x": i}], "d") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,int>, tc_mark int, mark string, nested array<map<string,int>>, `copies.n` string")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert got and all(r in rows for r in got)

@@ -21,7 +21,8 @@ from .textkit import text_slices
 
 ORDERS = 3
 BUCKETS = 1 << 15
-MOST_ENTRIES = 1 << 23
+#: Bound of the broadcast matrix: so many rows of BUCKETS 32-bit numbers, 128 MB.
+MOST_LANGUAGES = 1024
 SMOOTHING = 0.5
 UNKNOWN = "und"
 # multipliers of the window hash, one per place
@@ -95,12 +96,10 @@ def fit(labelled: DataFrame) -> Model:
     rows = labelled.select("lang", "text").where("lang is not null and text is not null")
     per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     number = per_lang.count()
-    if number > MOST_ENTRIES >> 8:
-        raise ValueError(f"{number} languages do not fit the model's bound")
+    if number > MOST_LANGUAGES:
+        raise ValueError(f"{number} languages; the model holds {MOST_LANGUAGES} at most")
     documents = {r.lang: r.n for r in per_lang.collect()}
     buckets = BUCKETS
-    while buckets * len(documents) > MOST_ENTRIES:
-        buckets //= 2
     langs = sorted(documents)
     counts = np.zeros((len(langs), buckets))
     place = {lang: i for i, lang in enumerate(langs)}

@@ -171,10 +171,19 @@ def sample(docs: DataFrame, mark: Column, block: int = BLOCK, **shares) -> DataF
         flying = flying.withColumn("blocks", F.lit(widest))
 
 
+def _hashable(docs: DataFrame) -> list[Column]:
+    """The columns in a form that has a hash: those that hold a map, as text."""
+    maps = [f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()]
+    return [F.to_json(F.struct(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`") for c in docs.columns]
+
+
 def mix(docs: DataFrame, **shares) -> DataFrame:
     """The rows of the mix, with the columns of ``docs``; a row taken twice stands twice."""
-    mark = F.xxhash64(*docs.columns)
-    taken = sample(docs, mark, **shares).groupBy(F.col("doc_id").alias("tc_id"), F.col("mark").alias("tc_of")).agg(F.sum("copies").alias("tc_copies")).where("tc_copies > 0")
-    once = docs.withColumn("tc_mark", mark).dropDuplicates(["doc_id", "tc_mark"])
-    same = once["doc_id"].cast("long").eqNullSafe(taken["tc_id"]) & (once["tc_mark"] == taken["tc_of"])
-    return once.join(taken, same).withColumn("tc_n", F.explode(F.sequence(F.lit(1), F.col("tc_copies").cast("int")))).select(*docs.columns)
+    mark = F.xxhash64(*_hashable(docs))
+    taken = sample(docs, mark, **shares).groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    # the caller's columns travel in one struct, so that no name of theirs can meet one of ours
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("of"))
+    once = marked.dropDuplicates(["id", "of"])
+    same = once["id"].eqNullSafe(taken["doc_id"]) & (once["of"] == taken["mark"])
+    each = once.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import read_ranks
 from .textkit import text_bytes, text_slices
 
 ROW_TOKENS = 2048
@@ -148,6 +149,25 @@ def pack_ids(encoded: DataFrame, end_id: int, pad_id: int, row_tokens: int = ROW
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, SQL)
 
 
+def token_ids(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """doc_id, ids of ``text`` (null: none) by a byte-level vocabulary file, as ``pack_ids`` takes them.
+
+    Ids come from the tiktoken library in each task: this is about rows of ids, not about merging.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
+
+    def run(batches):
+        import tiktoken
+
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                ids = [np.asarray(encoding.encode_ordinary(t or ""), "<u4").tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+
+
 def position_ids(cu_seqlens: list[int], row_tokens: int) -> np.ndarray:
     """Position ids of one packed row: from 0 in every segment, and in the padding."""
     edges = np.array([*cu_seqlens[:-1], cu_seqlens[-1]])

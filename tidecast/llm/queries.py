@@ -131,7 +131,11 @@ FROM s QUALIFY rank <= 5"""
 
 @_query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_bytes(table(spark, sf_dir, "documents"))
+    """Rows of byte-pair ids; the two ids after the vocabulary's are a document's end and the padding."""
+    import public_tokenizers
+
+    ids = packing.token_ids(table(spark, sf_dir, "documents"), byte_ranks(), public_tokenizers.PATTERN)
+    return packing.pack_ids(ids, 50256, 50257)
 
 
 @_query

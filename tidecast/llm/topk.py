@@ -11,7 +11,8 @@ with queries times rows, as the search is over the stated query set against all
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows of
 null id; a query's own rows are those of its id; vectors of other lengths meet in the components they share;
-repeated query rows count once; ties go to the smaller id; fewer candidates than k give all of them.
+repeated query rows count once; ties go to the smaller id; fewer candidates than k give all of them. Components of 2^62
+or more after scaling, and scores beyond 64 bits, fail with a message.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: int
     wide = F.transform(F.col(vector_column), lambda v: v.cast("double"))
     finite = F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), wide.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    return rows.where(F.coalesce(finite, F.lit(False))).select("id", F.transform("v", lambda v: F.floor(v * float(scale))).alias("x"))
+    cell = lambda v: F.when(F.abs(v) < 2.0**62 / scale, F.floor(v * float(scale))).otherwise(F.raise_error(F.lit("a component is too large to be scored exactly")))
+    return rows.where(F.coalesce(finite, F.lit(False))).select("id", F.transform("v", cell).alias("x"))
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -100,14 +102,19 @@ def _search(k: int):
         q, x = matrix(queries.column("x"), width), matrix(vectors.column("x"), width)
         qid, vid = queries.column("id").to_numpy(), vectors.column("id").to_numpy()
         # sums of products under 2^53 are exact in doubles, which multiply faster
-        if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(width, 1) < 2**53:
+        reach = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(width, 1)
+        if reach < 2**53:
             q, x = q.astype(float), x.astype(float)
+        elif reach >= 2**62:  # Python's integers don't wrap
+            q, x = q.astype(object), x.astype(object)
         least, most = x.min(axis=0), x.max(axis=0)
         by_id = np.argsort(vid, kind="stable")
         rows = []
         for n in range(len(qid)):
             own = by_id[np.searchsorted(vid, qid[n], "left", by_id) : np.searchsorted(vid, qid[n], "right", by_id)]
             best, score = max_score(q[n], x, vid, least, most, own, k)
+            if reach >= 2**62 and any(abs(v) >= 2**63 for v in score):
+                raise OverflowError("a score doesn't fit in 64 bits")
             rows.append((np.full(best.size, qid[n]), vid[best], score.astype(np.int64)))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*rows)], schema=out_schema)
 
