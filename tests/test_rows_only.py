@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecast.operators import arima, stationarity as st
+from tidecast.sinks import log_table as lt
 from tidecast.sinks import tables as sk
 from tidecast.sources import intake
 
@@ -67,13 +68,13 @@ def test_delete_and_replace_tenant(spark):
     rows = [(u, f"s{u % 3}", dt.date(2024, 1, 1) + dt.timedelta(days=d), float(u * 100 + d)) for u in range(1, 41) for d in range(3)]
     df = spark.createDataFrame(rows, "user_id bigint, store_id string, date date, sales double")
     path = sk.shared_path(spark, "tenant-test")
-    sk.write_stored(sk.upsert(spark, None, [df], order="user_id"), path)
-    sk.delete_tenant(spark, path, 7)
-    t = spark.read.parquet(path)
+    lt.append(spark, path, df, order="user_id")
+    lt.delete_tenant(spark, path, 7)
+    t = lt.read(spark, path)
     users = {r.user_id for r in t.select("user_id").distinct().collect()}
     assert users == set(range(1, 41)) - {7} and t.count() == 39 * 3
     new = spark.createDataFrame([(9, "s9", dt.date(2025, 1, 1), 1.0)], "user_id bigint, store_id string, date date, sales double")
-    sk.replace_tenant(spark, new, path)
-    t = spark.read.parquet(path)
+    lt.replace_tenants(spark, path, new)
+    t = lt.read(spark, path)
     assert [tuple(r) for r in t.where("user_id = 9").select("store_id", "sales").collect()] == [("s9", 1.0)]
     assert t.where("user_id != 9").count() == 38 * 3

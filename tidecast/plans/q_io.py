@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sinks import log_table as lt
 from ..sinks import tables as sk
 from ..sources import intake, tenant
 from ..sources.testdata import FACT_CTE, TENANT_CTE, sales_fact, table, tenant_fact
@@ -65,12 +66,22 @@ def q_src_required(spark, sf):
     return intake.require_columns(valid, ["store", "date", "sales"])
 
 
-@register("src_manifest")
+@register(
+    "src_manifest",
+    """SELECT 'csv/n_regionkey=' || r_regionkey AS folder, 'csv' AS kind, CAST(NULL AS VARCHAR) AS reject_reason, true AS accepted FROM region
+UNION ALL SELECT 'json/n_regionkey=' || r_regionkey, 'json', 'not a .csv file', false FROM region
+UNION ALL SELECT 'large', 'csv', 'file too large', false UNION ALL SELECT 'none', 'csv', 'empty file', false""",
+)
 def q_src_manifest(spark, sf):
-    landing = sk.shared_path(spark, "landing")
-    sk.write_csv(clean_headers(rendered_upload(spark, sf)), landing + "/csv")
-    sk.write_json(table(spark, sf, "region"), landing + "/json")  # a non-CSV file to reject
-    return intake.upload_manifest(spark, landing)
+    """A landing folder of accepted files and of every reason to reject one."""
+    landing, nation = sk.shared_path(spark, "landing"), table(spark, sf, "nation").coalesce(1)
+    nation.write.partitionBy("n_regionkey").csv(f"{landing}/csv")
+    nation.write.partitionBy("n_regionkey").json(f"{landing}/json")
+    table(spark, sf, "events").coalesce(1).write.csv(f"{landing}/large")
+    nation.limit(0).coalesce(1).write.csv(f"{landing}/none")
+    found = intake.upload_manifest(spark, landing, max_bytes=20_000)
+    folder = F.regexp_extract("path", "/landing-[0-9a-f]+/(.*)/[^/]*$", 1)
+    return found.select(folder.alias("folder"), F.element_at(F.split("file_name", "\\."), -1).alias("kind"), "reject_reason", "accepted")
 
 
 @register(
@@ -120,7 +131,8 @@ def batches(spark, sf):
 def stored_table(spark, sf) -> str:
     b1, _ = batches(spark, sf)
     path = sk.shared_path(spark, "stored")
-    return sk.write_stored(sk.upsert(spark, None, [b1], order="event_id"), path)
+    lt.append(spark, path, b1, order="event_id")
+    return path
 
 
 @register(
@@ -136,8 +148,39 @@ SELECT user_id, store_id, date, sales, {PARTS_SQL} FROM f""",
 def q_snk_upsert(spark, sf):
     path = stored_table(spark, sf)
     _, b2 = batches(spark, sf)
-    merged = sk.upsert(spark, path, [b2], order="event_id")
-    sk.write_stored(merged, path)
+    lt.append(spark, path, b2, order="event_id")
+    return lt.read(spark, path).drop(*sk.PARTITION)
+
+
+@register(
+    "snk_compact",
+    WS
+    + f""", m AS (SELECT user_id, store_id, date, sales, 0 AS batch, NULL AS event_id FROM s1 UNION ALL SELECT user_id, store_id, date, sales, 1, event_id FROM b2),
+f AS (SELECT user_id, store_id, date, sales FROM m WHERE user_id <> 4 QUALIFY row_number() OVER (PARTITION BY user_id, store_id, date ORDER BY batch DESC, event_id DESC NULLS LAST) = 1)
+SELECT user_id, store_id, date, sales, {PARTS_SQL} FROM f""",
+)
+def q_snk_compact(spark, sf):
+    """Two uploads and the removal of a tenant, folded into one batch."""
+    path = stored_table(spark, sf)
+    lt.append(spark, path, batches(spark, sf)[1], order="event_id")
+    lt.delete_tenant(spark, path, 4)
+    lt.compact(spark, path)
+    return lt.read(spark, path).drop(*sk.PARTITION)
+
+
+@register(
+    "snk_plain_upsert",
+    WS
+    + f""", m AS (SELECT user_id, store_id, date, sales, 0 AS batch, NULL AS event_id FROM s1 UNION ALL SELECT user_id, store_id, date, sales, 1, event_id FROM b2),
+f AS (SELECT user_id, store_id, date, sales FROM m QUALIFY row_number() OVER (PARTITION BY user_id, store_id, date ORDER BY batch DESC, event_id DESC NULLS LAST) = 1)
+SELECT user_id, store_id, date, sales, {PARTS_SQL} FROM f""",
+)
+def q_snk_plain_upsert(spark, sf):
+    """The same two uploads into plain partitioned Parquet, whose touched folders are rewritten."""
+    b1, b2 = batches(spark, sf)
+    path = sk.shared_path(spark, "plain")
+    sk.write_stored(sk.upsert(spark, None, [b1], order="event_id"), path)
+    sk.write_stored(sk.upsert(spark, path, [b2], order="event_id"), path)
     return tenant.read_stored(spark, path)
 
 
@@ -160,10 +203,9 @@ SELECT user_id, store_id, date, sales, {PARTS_SQL} FROM f""",
 def q_snk_replace_tenant(spark, sf):
     path = stored_table(spark, sf)
     _, b2 = batches(spark, sf)
-    late = sk.stored_shape(b2.where(F.col("user_id").isin("3", "5")).withColumn("__order", F.col("event_id"))).where("date is not null")
-    new_rows = sk.merge_last_wins(None, [late.withColumn("sales", F.col("sales") * 2)], order="__order")
-    sk.replace_tenant(spark, new_rows, path, tenants=[3, 5])
-    return tenant.read_stored(spark, path)
+    new_rows = b2.where(F.col("user_id").isin("3", "5")).withColumn("sales", F.col("sales") * 2)
+    lt.replace_tenants(spark, path, new_rows, tenants=[3, 5], order="event_id")
+    return lt.read(spark, path).drop(*sk.PARTITION)
 
 
 @register(
@@ -172,7 +214,7 @@ def q_snk_replace_tenant(spark, sf):
 WHERE user_id = 7 AND store_id = 'click' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12' ORDER BY store_id, date""",
 )
 def q_src_tenant_scan(spark, sf):
-    t = tenant.read_stored(spark, stored_table(spark, sf), with_bucket=True)
+    t = lt.read(spark, stored_table(spark, sf))
     return tenant.tenant_scan(t, 7, "click", "2024-01-05", "2024-01-12")
 
 
@@ -181,7 +223,7 @@ def q_src_tenant_scan(spark, sf):
     WS + f"""SELECT store_id, date, sales, {PARTS_SQL} FROM s1 WHERE user_id = 8""",
 )
 def q_src_export_tenant(spark, sf):
-    t = tenant.read_stored(spark, stored_table(spark, sf), with_bucket=True)
+    t = lt.read(spark, stored_table(spark, sf))
     out = tenant.export_tenant(t, 8, sk.shared_path(spark, "export"))
     schema = ("store_id string, date date, sales double, year int, month int, week int, quarter int, season string, "
               "day_of_week int, day_of_year int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sinks import log_table as lt
 from ..sinks import tables as sk
 from ..sources.testdata import TENANT_CTE, tenant_fact
 from ..streaming import ingest
@@ -43,4 +44,4 @@ def q_stream_upsert(spark, sf):
     # one file per group of tenants: every key lives in exactly one file, so file order cannot change a result
     t.repartition(4, "user_id").write.option("header", True).csv(landing)
     ingest.run_upload_ingest(spark, landing, table, base + "/_checkpoint", ["user_id", "store_id", "date", "sales", "event_id"])
-    return spark.read.parquet(table).drop(*sk.PARTITION)
+    return lt.read(spark, table).drop(*sk.PARTITION)

@@ -1,6 +1,7 @@
-"""Sinks: CSV / JSON files and the multi-tenant stored-sales table.
+"""Sinks: CSV / JSON files and the multi-tenant stored-sales table as plain partitioned Parquet.
 
-The stored table is Parquet partitioned by a hashed tenant bucket
+``log_table`` keeps the same rows as a log of batches, which is what uploads, replacements and streams write to. The plain
+table is Parquet partitioned by a hashed tenant bucket
 (``tenant_bucket = pmod(xxhash64(user_id), TENANT_BUCKETS)``) and the sale's month:
 a tenant filter prunes to one bucket and a date filter to its months, and an upload
 of a few days rewrites only the (bucket, month) directories it touches, however
@@ -180,44 +181,3 @@ def upsert_report(batches: Sequence[DataFrame]) -> DataFrame:
         u = u.unionByName(b, allowMissingColumns=True)
     ok = key_types(u)
     return u.agg(F.count_if(ok).alias("stored"), F.count_if(~ok).alias("failed"))
-
-
-def replace_tenant(spark: SparkSession, rows: DataFrame, path: str, tenants: Sequence | None = None) -> str:
-    """snk_replace_tenant: delete-then-insert — the listed tenants (default: those in ``rows``) end up with
-    exactly ``rows``; other tenants sharing their buckets are carried over unchanged.
-
-    The touched directories (those that hold or get rows of these tenants) are staged in the
-    shared folder first (a job must not read the partitions it overwrites), then swapped in with
-    a dynamic partition overwrite. A touched directory left with no rows is removed explicitly:
-    a dynamic overwrite only replaces those that receive rows.
-    """
-    new = stored_shape(rows)
-    ids = new.select(TENANT).distinct() if tenants is None else spark.createDataFrame([(int(t),) for t in tenants], f"{TENANT} bigint")
-    existing = _read_existing(spark, path)
-    if existing is None:
-        return write_stored(new, path)
-    of = [c.alias(n) for n, c in partition_columns().items()]
-    parts = existing.join(ids, TENANT, "left_semi").select(*PARTITION).union(new.select(*of)).distinct()
-    keep = existing.join(parts, list(PARTITION), "left_semi").join(ids, TENANT, "left_anti").select(*STORED_COLUMNS)
-    staged = shared_path(spark, "replace-stage")
-    keep.unionByName(new.select(*STORED_COLUMNS)).write.parquet(staged)
-    staged_df = spark.read.parquet(staged)
-    # directory names (buckets x months), not rows; read before they are swapped
-    emptied = sorted(tuple(r) for r in parts.join(staged_df.select(*of).distinct(), list(PARTITION), "left_anti").collect())
-    write_stored(staged_df, path)
-    for bucket, month in emptied:
-        _delete_dir(spark, f"{path.rstrip('/')}/{BUCKET}={bucket}/{MONTH}={month}")
-    return path
-
-
-def _delete_dir(spark: SparkSession, path: str) -> bool:
-    """Remove one partition directory (a metadata operation on the shared file system)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True))
-
-
-def delete_tenant(spark: SparkSession, path: str, tenant_id) -> str:
-    """Remove one tenant: its bucket is rewritten without it (staged, then swapped in), or removed if it empties."""
-    empty = spark.createDataFrame([], "user_id bigint, store_id string, date date, sales double")
-    return replace_tenant(spark, empty, path, tenants=[tenant_id])

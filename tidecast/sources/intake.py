@@ -205,24 +205,22 @@ def load_with_fallback(spark: SparkSession, candidates: Sequence[str]):
 
 
 def list_files(spark: SparkSession, landing: str) -> DataFrame:
-    """(path, length) of every file under ``landing`` from the file system's listing.
+    """(path, length) of every file under ``landing``, hidden ones (``_``/``.``) left out; no content is read.
 
-    File-format sources skip zero-length files before scanning, so an empty upload would be
-    invisible to them; the listing is metadata only (no content is read), gathered on the
-    driver exactly as Spark's own file index lists a table's files. Hidden files (``_``/``.``)
-    are left out, as Spark does.
+    Spark's file index lists the folders (in tasks, where there are many) and hands over all names in one call. Lengths are a
+    scan's metadata; scans skip files of no length, which are those that the listing alone has.
     """
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(landing)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    it = fs.listFiles(root, True)
-    rows = []
-    while it.hasNext():
-        st = it.next()
-        name = st.getPath().getName()
-        if not name.startswith(("_", ".")):
-            rows.append((st.getPath().toString(), int(st.getLen())))
-    return spark.createDataFrame(rows, "path string, length bigint")
+    if not jvm.org.apache.hadoop.fs.Path(landing).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(landing)):
+        raise FileNotFoundError(landing)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landing)
+    listed = jvm.org.apache.hadoop.util.StringUtils.join("\n", files._jdf.inputFiles())  # encoded, so without line ends
+    names = spark.createDataFrame([(f,) for f in listed.split("\n") if f], "value string")
+    plain = F.url_decode(F.replace(F.col("value"), F.lit("+"), F.lit("%2B")))  # a plus stands for itself in a path
+    place = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    every = names.select(plain.alias("path"), place(plain).alias("place")).distinct()
+    sized = files.select(place(F.col("path")).alias("place"), "length")
+    return every.join(sized, "place", "left").select("path", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
 
 
 def upload_manifest(spark: SparkSession, landing: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The reference re-ingests and recomputes on every upload; the streaming form of
 that is a file stream over a landing folder whose micro-batches are validated
-row by row and upserted into the stored-sales table (``foreachBatch`` → keyed
-last-wins merge → dynamic partition overwrite of the touched tenants). A second
+row by row and appended to the stored-sales table (``foreachBatch`` → one batch of
+the log, committed once). A second
 job keeps daily totals per store with an event-time watermark. Checkpoints and
 outputs live under the cluster's shared checkpoint folder, so a restarted job
 resumes exactly where it stopped.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date, parse_sales
 from ..schema import all_string
-from ..sinks import tables as sk
+from ..sinks import log_table as lt
 
 
 def read_upload_stream(spark: SparkSession, landing: str, columns: Sequence[str], max_files_per_trigger: int | None = None) -> DataFrame:
@@ -39,15 +39,11 @@ def typed_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def upsert_batch(spark: SparkSession, table_path: str):
-    """foreachBatch body: merge the micro-batch into the stored table (last version of each key wins)."""
+def upsert_batch(spark: SparkSession, table_path: str, name: str = "uploads"):
+    """foreachBatch body: append the micro-batch to the stored table, once however often it is delivered."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read twice: for the directories it touches and for its rows
-        try:
-            sk.write_stored(sk.upsert(spark, table_path, [batch], order="event_id"), table_path)
-        finally:
-            batch.unpersist()
+        lt.append(spark, table_path, batch, order="event_id", stream=(name, batch_id))
 
     return run
 
