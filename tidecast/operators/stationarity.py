@@ -36,8 +36,8 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _one_series(series: DataFrame, keys: Sequence[str], period: str, value: str) -> tuple[DataFrame, list[str]]:
     """Arrays per series; an ungrouped input is one series."""
     gkeys = list(keys) or ["__series"]
-    src = series if keys else series.withColumn("__series", F.lit(0))
-    return lagged.series_arrays(src, gkeys, period, value), gkeys
+    src = (series if keys else series.withColumn("__series", F.lit(0))).select(*gkeys, period, value)
+    return lagged.series_arrays(spread(src, gkeys), gkeys, period, value), gkeys
 
 
 # Fixed values (published constants).

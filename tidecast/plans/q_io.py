@@ -10,7 +10,7 @@ from ..sinks import tables as sk
 from ..sources import intake, tenant
 from ..sources.testdata import FACT_CTE, TENANT_CTE, sales_fact, table, tenant_fact
 from .q_clean import RAW_CTE, TYPED_CTE, rendered_upload
-from .registry import register, with_ctes
+from .registry import register, rnd, with_ctes
 
 WR = with_ctes(FACT_CTE, RAW_CTE, TYPED_CTE)
 VALID_SQL = WR + """SELECT store, date, sales, quantity, order_key, line FROM typed WHERE date IS NOT NULL AND sales IS NOT NULL"""
@@ -107,6 +107,28 @@ def q_snk_json(spark, sf):
     return spark.read.schema("store string, report_json string").json(path)
 
 
+REPORT = "metadata struct<store:string,start:date,end:date>, summary struct<total_predictions:bigint,average:double,max:double,min:double>, predictions array<struct<date:date,predicted_sales:double>>"
+
+
+@register(
+    "snk_json_report",
+    with_ctes(FACT_CTE)
+    + """, d AS (SELECT store, date, sum(sales) AS sales FROM fact GROUP BY store, date)
+SELECT store, min(date) AS start, max(date) AS "end", count(*) AS total_predictions, round(avg(sales), 2) AS average, round(max(sales), 2) AS max, round(min(sales), 2) AS min,
+       list(date ORDER BY date) AS dates, round(list_sum(list_transform(list(sales ORDER BY date), lambda v, i: v * i)), 2) AS weighed FROM d GROUP BY store""",
+)
+def q_snk_json_report(spark, sf):
+    """A report document per store of its daily totals, written, read again and taken apart."""
+    from ..operators import series as ts
+
+    d = ts.aggregate(sales_fact(spark, sf), "D", ["store"], positive=False).select("store", F.col("period").alias("date"), F.col("value").alias("predicted_sales"))
+    path = sk.write_json(sk.json_report(d, ["store"]), sk.shared_path(spark, "report"))
+    doc = spark.read.schema("store string, report_json string").json(path).withColumn("r", F.from_json("report_json", REPORT))
+    weighed = F.aggregate(F.transform("r.predictions", lambda p, i: p["predicted_sales"] * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    out = doc.select("r.metadata.*", "r.summary.*", F.transform("r.predictions", lambda p: p["date"]).alias("dates"), weighed.alias("weighed"))
+    return rnd(out)
+
+
 # --- stored multi-tenant table -------------------------------------------------------------------
 CORRECTED_FROM = "2024-01-10"
 STORED_SQL = """stored_in AS (SELECT user_id, store_id, date, sales, event_id FROM tfact),
