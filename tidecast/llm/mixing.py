@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .textkit import sorted_groups, text_bytes, text_slices, word_spans
+from .textkit import numbered, sorted_groups, text_bytes, text_slices, word_spans
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -174,16 +174,14 @@ def sample(docs: DataFrame, mark: Column, block: int = BLOCK, **shares) -> DataF
 def _hashable(docs: DataFrame) -> list[Column]:
     """The columns in a form that has a hash: those that hold a map, as text."""
     maps = [f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()]
-    return [F.to_json(F.struct(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`") for c in docs.columns]
+    return [F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if c in maps else F.col(f"`{c}`") for c in docs.columns]
 
 
 def mix(docs: DataFrame, **shares) -> DataFrame:
     """The rows of the mix, with the columns of ``docs``; a row taken twice stands twice."""
-    mark = F.xxhash64(*_hashable(docs))
-    taken = sample(docs, mark, **shares).groupBy("doc_id", "mark").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    # the caller's columns travel in one struct, so that no name of theirs can meet one of ours
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("of"))
-    once = marked.dropDuplicates(["id", "of"])
-    same = once["id"].eqNullSafe(taken["doc_id"]) & (once["of"] == taken["mark"])
-    each = once.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    taken = sample(docs, F.xxhash64(*_hashable(docs)), **shares).groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    rows, names = numbered(docs)
+    once = rows.withColumn("mark", F.xxhash64(*_hashable(rows))).dropDuplicates([names["doc_id"], "mark"])
+    same = once[names["doc_id"]].cast("long").eqNullSafe(taken["of_id"]) & (once["mark"] == taken["of_mark"])
+    each = once.join(taken, same).select(*names.values(), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n"))
+    return each.drop("n").toDF(*names)

@@ -27,10 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .textkit import folded_words, mix, span_hashes, spans_of, text_bytes, text_slices, window_hashes, word_spans
+from .textkit import folded_words, mix, numbered, span_hashes, spans_of, text_bytes, text_slices, window_hashes, word_spans
 
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -233,19 +232,20 @@ def strip_lines(text: str, removed: set[int]) -> str:
 def clean(docs: DataFrame, host: str = "source", near_copies: bool = True, **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, without the lines above their host's limit; same columns."""
     verdict = judge(docs, host, near_copies=near_copies, **limits).where("kept").select("doc_id", "host", "mark", "removed").dropDuplicates(["doc_id", "host", "mark"])
-    # the caller's columns travel in one struct, so that no name of theirs can meet one of ours
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(host).alias("h"), F.xxhash64("text").alias("m"))
-    same = keyed["id"].eqNullSafe(verdict["doc_id"]) & (keyed["h"] == verdict["host"]) & (keyed["m"] == verdict["mark"])
-    picked = keyed.join(verdict, same).select("row", F.col("row.text").alias("text"), "removed")
+    rows, names = numbered(docs)
+    text, columns = names["text"], list(names.values())
+    verdict = verdict.toDF("of_id", "of_host", "of_mark", "removed")
+    keyed = rows.withColumns({"host": F.xxhash64(names[host]), "mark": F.xxhash64(text)})
+    same = keyed[names["doc_id"]].cast("long").eqNullSafe(verdict["of_id"]) & (keyed["host"] == verdict["of_host"]) & (keyed["mark"] == verdict["of_mark"])
+    picked = keyed.join(verdict, same).select(*columns, "removed")
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                texts = [strip_lines(t.as_py(), set(g.as_py())) if len(g) else t.as_py() for t, g in zip(part.column("text"), part.column("removed"))]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, part.column("text").type)], ["row", "text"])
-
-    kept = picked.select("row", "text", "removed").mapInArrow(run, T.StructType([T.StructField("row", picked.schema["row"].dataType), T.StructField("text", T.StringType())]))
-    out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
-    if "n_chars" in out:
-        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return kept.select(*(c.alias(name) for name, c in out.items()))
+            for part in text_slices(batch, text):
+                gone = part.column("removed")
+                texts = [strip_lines(t.as_py(), set(g.as_py())) if len(g) else t.as_py() for t, g in zip(part.column(text), gone)]
+                at = part.schema.get_field_index(text)
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type)).select(columns)
+
+    out = picked.mapInArrow(run, rows.schema).toDF(*names)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import star_labels
-from .textkit import folded_words, sorted_groups, text_bytes, text_slices
+from .textkit import folded_words, numbered, sorted_groups, text_bytes, text_slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -198,10 +198,8 @@ def with_fingerprint_text(clustered: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows and columns of ``docs``, one row of each component: that of the least doc_id (then least mark)."""
     kept = cluster(docs, words, radius).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("k"))
-    kept = kept.select("k.doc_id", "k.mark").distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    # the caller's columns travel in one struct, so that no name of theirs can meet one of ours
-    marked = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
-    same = marked["id"].eqNullSafe(kept["doc_id"]) & (marked["mark"] == kept["mark"])
-    one = marked.join(kept, same, "left_semi").dropDuplicates(["id", "mark"])
-    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    kept = kept.select(F.col("k.doc_id").alias("of_id"), F.col("k.mark").alias("of_mark")).distinct()
+    rows, names = numbered(docs)
+    marked = rows.withColumn("mark", F.xxhash64(names["text"]))
+    same = marked[names["doc_id"]].cast("long").eqNullSafe(kept["of_id"]) & (marked["mark"] == kept["of_mark"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([names["doc_id"], "mark"]).drop("mark").toDF(*names)
