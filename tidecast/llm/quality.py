@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .textkit import folded_words, mix, numbered, span_hashes, spans_of, text_bytes, text_slices, window_hashes, word_spans
+from .textkit import SMALL_SLICE_BYTES, folded_words, mix, numbered, span_hashes, spans_of, text_bytes, text_slices, window_hashes, word_spans
 
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -152,7 +152,7 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SMALL_SLICE_BYTES):
                 yield _measure(part)
 
     return docs.select(*_keys(host), "text").mapInArrow(run, _SCHEMA)
@@ -241,7 +241,7 @@ def clean(docs: DataFrame, host: str = "source", near_copies: bool = True, **lim
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, SMALL_SLICE_BYTES):
                 gone = part.column("removed")
                 texts = [strip_lines(t.as_py(), set(g.as_py())) if len(g) else t.as_py() for t, g in zip(part.column(text), gone)]
                 at = part.schema.get_field_index(text)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import star_labels
-from .textkit import folded_words, numbered, sorted_groups, text_bytes, text_slices
+from .textkit import SMALL_SLICE_BYTES, folded_words, numbered, sorted_groups, text_bytes, text_slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SMALL_SLICE_BYTES):
                 fp = fingerprints_of(part.column("text"), words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fp)], ["doc_id", "mark", "fp"])
 

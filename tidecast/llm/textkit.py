@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step works on at once.
 SLICE_BYTES = 4 << 20
+#: The same for steps that hold some dozen arrays of their words at once.
+SMALL_SLICE_BYTES = 1 << 20
 _WINDOW = 1 << 20
 _U = np.uint64
 
