@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .textkit import SMALL_SLICE_BYTES, folded_words, mix, numbered, span_hashes, spans_of, text_bytes, text_slices, window_hashes, word_spans
+from .textkit import SMALL_SLICE_BYTES, folded_words, mix, numbered, releasing, span_hashes, spans_of, text_bytes, text_slices, window_hashes, word_spans
 
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -151,7 +151,7 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     """Counts inside each document, its normalised text's hash (null without a line) and its distinct normalised lines."""
 
     def run(batches):
-        for batch in batches:
+        for batch in releasing(batches):
             for part in text_slices(batch, "text", SMALL_SLICE_BYTES):
                 yield _measure(part)
 
@@ -240,7 +240,7 @@ def clean(docs: DataFrame, host: str = "source", near_copies: bool = True, **lim
     picked = keyed.join(verdict, same).select(*columns, "removed")
 
     def run(batches):
-        for batch in batches:
+        for batch in releasing(batches):
             for part in text_slices(batch, text, SMALL_SLICE_BYTES):
                 gone = part.column("removed")
                 texts = [strip_lines(t.as_py(), set(g.as_py())) if len(g) else t.as_py() for t, g in zip(part.column(text), gone)]

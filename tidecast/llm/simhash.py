@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import star_labels
-from .textkit import SMALL_SLICE_BYTES, folded_words, numbered, sorted_groups, text_bytes, text_slices
+from .textkit import SMALL_SLICE_BYTES, folded_words, numbered, releasing, sorted_groups, text_bytes, text_slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, mark (hash of the text), fp (the fingerprint's 64 bits as a signed long)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in releasing(batches):
             for part in text_slices(batch, "text", SMALL_SLICE_BYTES):
                 fp = fingerprints_of(part.column("text"), words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fp)], ["doc_id", "mark", "fp"])
@@ -170,7 +170,7 @@ def link_edges(distinct: DataFrame, n: int, radius: int = RADIUS, shard_rows: in
     keys = ["shard", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, keys):
+        for group in sorted_groups(releasing(batches), keys):
             fps = group.column("fp").to_numpy()
             pair = group.column("low")[0].as_py() != group.column("high")[0].as_py()
             found = shard_links(fps.view(np.uint64).tolist(), group.column("right").to_pylist(), pair, radius)
