@@ -185,7 +185,8 @@ SELECT date, round(sales, 2) AS sales, round(overall_mean, 2) AS overall_mean, r
        sales > overall_mean AS above_mean FROM d, m""",
 )
 def q_jn_scalar(spark, sf):
-    from ..operators.eda import _attach, daily_totals
+    from ..functions.attach import attach_row as _attach
+    from ..operators.eda import daily_totals
 
     d = daily_totals(sales_fact(spark, sf))
     m = d.agg(F.avg("sales").alias("overall_mean"))
@@ -247,7 +248,7 @@ SELECT date, round(predicted_sales, 2) AS predicted_sales, round(base, 2) AS bas
        CASE WHEN trend_pct > 2 THEN 'Up' WHEN trend_pct < -2 THEN 'Down' ELSE 'Stable' END AS trend_direction FROM p""",
 )
 def q_win_pred_trend(spark, sf):
-    from ..operators.eda import _attach
+    from ..functions.attach import attach_row as _attach
 
     d = sales_fact(spark, sf).groupBy("date").agg(F.sum("sales").alias("predicted_sales"))
     b = d.agg(F.avg("predicted_sales").alias("base"))
