@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import statistics
 
 import numpy as np
 import pytest
@@ -111,3 +112,40 @@ def test_residual_autocorrelation(spark):
     q = 60 * 62 * sum(r * r / (60 - k) for k, r in enumerate(acf, 1))
     assert [got["a", k].r for k in range(1, 11)] == pytest.approx(acf, rel=1e-9) and got["a", 1].q == pytest.approx(q, rel=1e-9)
     assert got["flat", 1].r is None and got["flat", 1].p_value is None and got["short", 1].r is not None
+
+
+def francia(values):
+    """W' and its p-value by plain sums and the standard library's normal distribution."""
+    normal, x = statistics.NormalDist(), sorted(values)
+    n, mean = len(x), statistics.fmean(x)
+    m = [normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    w = sum(a * (b - mean) for a, b in zip(m, x)) ** 2 / (sum(a * a for a in m) * sum((b - mean) ** 2 for b in x))
+    u = math.log(n)
+    z = (math.log(1 - w) + 1.2725 - 1.0521 * (math.log(u) - u)) / (1.0308 - 0.26758 * (math.log(u) + 2 / u))
+    return w, 1 - normal.cdf(z)
+
+
+def test_normal_quantile(spark):
+    at = [1e-12, 1e-6, 0.01, 0.075, 0.0751, 0.3, 0.5, 0.9, 0.925, 0.999, 1 - 1e-9]
+    got = spark.createDataFrame([(p,) for p in at], "p double").select("p", lagged.normal_quantile(F.col("p")).alias("z")).collect()
+    for r in got:
+        assert r.z == pytest.approx(statistics.NormalDist().inv_cdf(r.p), abs=2e-6)
+
+
+def test_residual_normality(spark):
+    rng = np.random.default_rng(8)
+    # the weights of eleven men of Shapiro and Wilk (1965): not normal at 5 %
+    named = {"men": [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], "flat": [0.1] * 9, "four": [1, 2, 3, 9], "two": [1, 2], "ties": [1, 1, 1, 2, 2, 5, 5]}
+    named |= {f"n{i}": rng.normal(1e6, 3, 60) for i in range(60)} | {f"e{i}": rng.exponential(5, 60) for i in range(60)}
+    named["holes"] = [None, 4.0, float("nan"), 1.0, 2.5, 3.0, 8.0]
+    got = {r.d: r for r in lagged.residual_normality(series(spark, named), ["d"], "value").collect()}
+    for k in ("men", "ties", "n0", "n59", "e0", "e59"):
+        w, p = francia([float(x) for x in named[k]])
+        assert got[k].w_stat == pytest.approx(w, abs=1e-6) and got[k].p_value == pytest.approx(p, abs=1e-5)
+    assert got["men"].p_value < 0.05 and not got["men"].is_normal
+    assert got["flat"].w_stat is None and got["flat"].p_value is None and got["four"].p_value is None and got["two"].w_stat == pytest.approx(1)
+    assert got["holes"].n == 5
+    assert sum(got[f"n{i}"].is_normal for i in range(60)) >= 52 and sum(got[f"e{i}"].is_normal for i in range(60)) <= 3
+    one = lagged.residual_normality(series(spark, {"men": named["men"]}).drop("d"), value="value").collect()
+    assert len(one) == 1 and one[0].w_stat == pytest.approx(got["men"].w_stat)
+    assert lagged.residual_normality(series(spark, {"men": []}), ["d"], "value").count() == 0

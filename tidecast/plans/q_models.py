@@ -136,6 +136,32 @@ def q_ts_residual_acf(spark, sf):
     return rnd(out.where("n > 10"), 4)
 
 
+def _powers(table, r: str) -> str:
+    top, bottom = (" + ".join(f"{c!r} * pow({r}, {i})" for i, c in enumerate(part)) for part in table)
+    return f"({top}) / ({bottom})"
+
+
+@register(
+    "ts_residual_normality",
+    W + MONTHLY
+    + f""", f AS (SELECT store, value - lag(value, 12) OVER (PARTITION BY store ORDER BY period) AS v, row_number() OVER (PARTITION BY store ORDER BY period) AS i FROM ms),
+g AS (SELECT store, v - avg(v) OVER (PARTITION BY store) AS e, count(*) OVER (PARTITION BY store) AS n, row_number() OVER (PARTITION BY store ORDER BY v) AS r FROM f WHERE i > 12),
+s AS (SELECT *, (r - 0.375) / (n + 0.25) AS p, (r - 0.375) / (n + 0.25) - 0.5 AS q, sqrt(-ln(least((r - 0.375) / (n + 0.25), 1 - (r - 0.375) / (n + 0.25)))) AS t FROM g),
+m AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_powers(lagged.QUANTILE_MIDDLE, "(0.180625 - q * q)")}
+  WHEN t <= 5 THEN sign(q) * {_powers(lagged.QUANTILE_TAIL, "(t - 1.6)")} ELSE sign(q) * {_powers(lagged.QUANTILE_FAR, "(t - 5)")} END AS m FROM s),
+w AS (SELECT store, count(*) AS n, CASE WHEN max(e) > min(e) THEN sum(m * e) ** 2 / (sum(m * m) * sum(e * e)) END AS w_stat FROM m GROUP BY store),
+u AS (SELECT *, (ln(1 - w_stat) - (-1.2725 + 1.0521 * (ln(ln(n)) - ln(n)))) / (1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n))) AS y FROM w WHERE n >= 5),
+z AS (SELECT *, least(greatest(y, -8), 8) AS z FROM u),
+o AS (SELECT store, n, w_stat, 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(121), lambda k: sign(z) * exp((2 * k + 1) * ln(greatest(abs(z), 1e-300))
+    - list_sum(list_transform(range(k + 1), lambda j: ln(2 * j + 1)))))) AS p_value FROM z)
+SELECT store, n, round(w_stat, 4) AS w_stat, round(least(greatest(p_value, 0), 1), 4) AS p_value, p_value > 0.05 AS is_normal FROM o""",
+)
+def q_ts_residual_normality(spark, sf):
+    """The same residuals: are they normal?"""
+    m = win.seasonal_difference(monthly(spark, sf), 12, keys=K, out="residual").select("store", "period", "residual")
+    return rnd(lagged.residual_normality(m, K).where("n >= 5"), 4)
+
+
 @register(
     "ts_var_ratio",
     W
