@@ -1,24 +1,20 @@
 """ARIMA / SARIMA fitting and forecasting for every series at once.
 
-Each (series, order) fit is one ``applyInPandas`` group: the order grid of the
-automatic search is a Spark ``explode`` of candidate orders per series, so a
-cluster fits series × orders in parallel and ``min_by(order, aic)`` picks the
-winner per series. The numeric kernel (``functions.tsstats``) sees one
-aggregated series (≤ a few hundred periods) per call.
+A series is one array on one row, a candidate order another row of it; fits, forecasts and diagnostics are expressions on such
+rows (``arma``), and ``min_by(order, aic)`` picks the winner per series. A cluster works on series x orders in parallel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import tsstats
 from ..functions.attach import attach_row
+from ..functions.numeric import safe_div
+from . import arma, lagged
+from .arma import FITTED
 from .stationarity import differencing_order, spread
 
 PERIOD, VALUE = "period", "value"
@@ -42,71 +38,24 @@ def _with_orders(series: DataFrame, keys: list[str], orders: DataFrame | None, o
     return series.select("*", F.inline(grid)), keys
 
 
-FIT_FIELDS = [
-    T.StructField("aic", T.DoubleType()),
-    T.StructField("bic", T.DoubleType()),
-    T.StructField("sigma2", T.DoubleType()),
-    T.StructField("nobs", T.IntegerType()),
-    T.StructField("converged", T.BooleanType()),
-]
-FC_FIELDS = [
-    T.StructField("step", T.IntegerType()),
-    T.StructField("last_period", T.DateType()),
-    T.StructField("forecast", T.DoubleType()),
-    T.StructField("lower_ci", T.DoubleType()),
-    T.StructField("upper_ci", T.DoubleType()),
-    T.StructField("status", T.StringType()),
-]
-DIAG_FIELDS = [
-    T.StructField("resid_mean", T.DoubleType()),
-    T.StructField("resid_std", T.DoubleType()),
-    T.StructField("ljung_box_q", T.DoubleType()),
-    T.StructField("ljung_box_p", T.DoubleType()),
-    T.StructField("jarque_bera", T.DoubleType()),
-    T.StructField("jarque_bera_p", T.DoubleType()),
-    T.StructField("status", T.StringType()),
-]
-FITTED = "fitted"
-
-
-def _grouped(df: DataFrame, keys: list[str], fields, fn, period: str, value: str, extra: Sequence[str] = ()) -> DataFrame:
-    gkeys = (keys or ["__series"]) + ORDER_COLS + list(extra)
-    src = df if keys else df.withColumn("__series", F.lit(0))
-    schema = T.StructType([src.schema[k] for k in gkeys] + fields)
-    names = [f.name for f in fields]
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        head = {k: pdf[k].iloc[0] for k in gkeys}
-        order = (int(head["p"]), int(head["d"]), int(head["q"]))
-        seasonal = (int(head["sp"]), int(head["sd"]), int(head["sq"]), int(head["s"]))
-        args = [head[c] for c in extra]
-        rows = fn(pdf[value].to_numpy(dtype=float), pdf[period].iloc[-1], order, seasonal, *args)
-        out = pd.DataFrame(rows, columns=names) if rows else pd.DataFrame(columns=names)
-        for k in gkeys:
-            out[k] = head[k]
-        return out[gkeys + names]
-
-    src = spread(src.select(*gkeys, period, F.col(value).cast("double").alias(value)), gkeys)
-    out = src.groupBy(*gkeys).applyInPandas(apply, schema)
-    out = out.drop(*extra)
-    return out if keys else out.drop("__series")
-
-
-def _fit_rows(y, last, order, seasonal):
-    try:
-        f = tsstats.arima_fit(y, order, seasonal)
-        return [(f["aic"], f["bic"], f["sigma2"], int(f["nobs"]), bool(np.isfinite(f["aic"])))]
-    except Exception:  # noqa: BLE001 — an order that cannot be fitted is reported as not converged
-        return [(None, None, None, None, False)]
+def _fitted(series: DataFrame, keys: list[str], order, seasonal, orders: DataFrame | None, period: str, value: str, extra: Sequence[str] = ()) -> DataFrame:
+    """One row per series and order with the fit; NULL and NaN values are left out, ``extra`` columns are constant per series."""
+    gkeys = keys or ["__series"]
+    src = series if keys else series.withColumn("__series", F.lit(0))
+    v = F.col(value).cast("double")
+    held = F.collect_list(F.when(v.isNotNull() & ~F.isnan(v), F.struct(F.col(period).alias("p"), v.alias("v"))))
+    rows = spread(src.select(*gkeys, period, value, *extra), gkeys).groupBy(*gkeys).agg(F.array_sort(held).alias("__held"), *[F.max(c).alias(c) for c in extra])
+    rows = rows.withColumns({"__x": F.transform("__held", lambda s: s["v"]), "__n": F.size("__held"), "last_period": F.get("__held", F.size("__held") - 1)["p"]})
+    rows, _ = _with_orders(rows.drop("__held", *([] if keys else ["__series"])), keys, orders, order, seasonal)
+    return arma.fit(rows, keys, common=orders is not None)
 
 
 def fit(series: DataFrame, keys: Sequence[str] = (), order=DEFAULT_ORDER, seasonal=(0, 0, 0, 0), orders: DataFrame | None = None,
         period: str = PERIOD, value: str = VALUE) -> DataFrame:
-    """Fit statistics (AIC, BIC, σ², n) per series and order."""
+    """Fit statistics (AIC, BIC, σ², n) and coefficients (``ar``, ``ma``, by rising lag) per series and order."""
     keys = list(keys)
-    df, keys = _with_orders(series.select(*keys, period, value), keys, orders, order, seasonal)
-    return _grouped(df, keys, FIT_FIELDS, _fit_rows, period, value)
+    out = _fitted(series, keys, order, seasonal, orders, period, value)
+    return out.select(*keys, *ORDER_COLS, "aic", "bic", "sigma2", "nobs", F.col("aic").isNotNull().alias("converged"), F.col("__fit.ar").alias("ar"), F.col("__fit.ma").alias("ma"), "status")
 
 
 def forecast(
@@ -119,21 +68,9 @@ def forecast(
     ``steps_col`` names a per-series horizon column carried on ``series`` (overrides ``steps``).
     """
     keys = list(keys)
-
-    def rows(y, last, od, seas, *per_series):
-        n = int(per_series[0]) if per_series else steps
-        try:
-            f = tsstats.arima_fit(y, od, seas)
-            fc, lo, hi = tsstats.arima_forecast(y, f, n, z)
-            if not np.isfinite([fc, lo, hi]).all():
-                raise ValueError("no finite forecast")
-        except Exception as why:  # noqa: BLE001 — series too short / singular: reported by status
-            return [(None, last, None, None, None, f"not {FITTED}: {why}")]
-        return [(h + 1, last, float(fc[h]), float(lo[h]), float(hi[h]), FITTED) for h in range(n)]
-
-    extra = [steps_col] if steps_col else []
-    df, keys = _with_orders(series.select(*keys, period, value, *extra), keys, orders, order, seasonal)
-    out = _grouped(df, keys, FC_FIELDS, rows, period, value, extra)
+    rows = _fitted(series, keys, order, seasonal, orders, period, value, [steps_col] if steps_col else [])
+    rows = arma.forecasts(rows, F.col(steps_col) if steps_col else F.lit(steps))
+    out = rows.select(*keys, *ORDER_COLS, "last_period", "status", F.explode_outer("__fc").alias("f")).select("*", "f.*")
     if freq == "MS":
         per = F.add_months("last_period", F.col("step"))
     elif freq == "W":
@@ -141,9 +78,9 @@ def forecast(
     else:
         per = F.date_add("last_period", F.col("step"))
     return out.select(
-        *keys, *ORDER_COLS, "step", per.alias(PERIOD), "forecast", "lower_ci", "upper_ci",
-        (F.col("upper_ci") - F.col("lower_ci")).alias("ci_width"), "status",
-    )
+        *keys, *ORDER_COLS, "step", per.alias(PERIOD), "forecast", (F.col("forecast") - z * F.col("se")).alias("lower_ci"),
+        (F.col("forecast") + z * F.col("se")).alias("upper_ci"), (2 * z * F.col("se")).alias("ci_width"), "status",
+    )
 
 
 def sarima_forecast(series: DataFrame, steps: int = 12, keys: Sequence[str] = (), order=(1, 1, 1), seasonal=(1, 1, 1, 12), **kw) -> DataFrame:
@@ -209,28 +146,32 @@ def compare_orders(series: DataFrame, keys: Sequence[str] = (), candidates=((0,
 
 def diagnostics(series: DataFrame, keys: Sequence[str] = (), order=DEFAULT_ORDER, seasonal=(0, 0, 0, 0), orders: DataFrame | None = None,
                 lags: int = 10, period: str = PERIOD, value: str = VALUE) -> DataFrame:
-    """fc_diagnostics: residual mean < 0.1σ, Ljung-Box(10) p > .05, Jarque-Bera p > .05 (normality, in place of Shapiro-Wilk).
+    """fc_diagnostics: residual mean < 0.1σ, Ljung-Box(10) p > .05, Shapiro-Francia p > .05; Jarque-Bera besides.
 
-    A series that can't be fitted has a row without figures, whose ``status`` says why.
+    ``lags`` is even. A series that can't be fitted has a row without figures, whose ``status`` says why; one with no
+    more residuals than lags has no Ljung-Box figures.
     """
     keys = list(keys)
-
-    def rows(y, last, od, seas):
-        try:
-            e = tsstats.arima_fit(y, od, seas)["resid"]
-            q, qp = tsstats.ljung_box(e, lags)
-            jb, jbp = tsstats.jarque_bera(e)
-        except Exception as why:  # noqa: BLE001 — series too short / singular: reported by status
-            return [(None, None, None, None, None, None, f"not {FITTED}: {why}")]
-        return [(float(np.mean(e)), float(np.std(e)), q, qp, jb, jbp, FITTED)]
-
-    df, keys = _with_orders(series.select(*keys, period, value), keys, orders, order, seasonal)
-    out = _grouped(df, keys, DIAG_FIELDS, rows, period, value)
-    out = out.withColumns(
+    rows = _fitted(series, keys, order, seasonal, orders, period, value).select(*keys, *ORDER_COLS, "status", "nobs", F.col("__fit.left").alias("__left"))
+    rows = rows.withColumn("resid_mean", safe_div(lagged.total(F.col("__left")), F.col("nobs")))
+    rows = rows.withColumn("__c", arma.let(F.col("resid_mean"), lambda m: F.transform("__left", lambda v: v - m)))
+    moment = lambda k: safe_div(lagged.total(F.transform("__c", lambda v: F.pow(v, F.lit(float(k))))), F.col("nobs"))
+    rows = rows.withColumns({f"__m{k}": moment(k) for k in (2, 3, 4)})
+    q = arma.let(F.struct("__c", "nobs"), lambda g: F.aggregate(arma.span(1, F.lit(lags)), F.lit(0.0), lambda s, k: s + safe_div(F.pow(lagged.lag_product(g["__c"], g["nobs"], k), F.lit(2.0)), (g["nobs"] - k))))
+    squares = F.col("__m2") * F.col("nobs")
+    rows = rows.withColumn("ljung_box_q", F.when(F.col("nobs") > lags, F.col("nobs") * (F.col("nobs") + 2.0) * safe_div(q, squares * squares)))
+    skew2, tails = safe_div(F.col("__m3") * F.col("__m3"), F.pow("__m2", F.lit(3.0))), safe_div(F.col("__m4"), F.col("__m2") * F.col("__m2")) - 3
+    rows = rows.withColumn("jarque_bera", F.col("nobs") / 6 * (skew2 + tails * tails / 4))
+    rows = rows.withColumn("w_stat", lagged.francia_of(F.col("__c"), F.col("nobs")))
+    rows = rows.select(
+        *keys, *ORDER_COLS, "resid_mean", F.sqrt("__m2").alias("resid_std"), "ljung_box_q", lagged.chi_square_tail(F.col("ljung_box_q"), lags).alias("ljung_box_p"),
+        "jarque_bera", F.exp(-F.col("jarque_bera") / 2).alias("jarque_bera_p"), "w_stat", lagged.francia_p(F.col("w_stat"), F.col("nobs")).alias("w_p"), "status",
+    )
+    out = rows.withColumns(
         {
             "mean_ok": F.abs("resid_mean") < 0.1 * F.col("resid_std"),
             "no_autocorrelation": F.col("ljung_box_p") > 0.05,
-            "normal_residuals": F.col("jarque_bera_p") > 0.05,
+            "normal_residuals": F.col("w_p") > 0.05,
         }
     )
     return out.withColumn("passed", F.col("mean_ok") & F.col("no_autocorrelation"))

@@ -163,6 +163,22 @@ def residual_autocorrelation(residuals: DataFrame, keys: Sequence[str] = (), lag
     return sums.select(*keys, F.inline(each), "q", "p_value", "n")
 
 
+def francia_p(w: Column, n: Column) -> Column:
+    """Chance of a normal sample of ``n`` values having a W' below ``w``; NULL for fewer than five."""
+    u = F.when(n >= FRANCIA_LEAST, F.log(n.cast("double")))
+    mean = FRANCIA_MEAN[0] + FRANCIA_MEAN[1] * (F.log(u) - u)
+    deviation = FRANCIA_DEVIATION[0] + FRANCIA_DEVIATION[1] * (F.log(u) + 2 / u)
+    z = (F.log(F.greatest(1 - w, F.lit(1e-16))) - mean) / deviation
+    return F.when(w.isNotNull(), 1 - normal_cdf(z))
+
+
+def francia_of(centred: Column, n: Column) -> Column:
+    """W' of an array of ``n`` values whose mean is zero; NULL if they don't vary."""
+    score = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: normal_quantile((i - 0.375) / (n + 0.25)))
+    both = F.get(F.transform(F.array(F.struct(score.alias("m"), F.array_sort(centred).alias("x"))), lambda g: safe_div(F.pow(dot(g["m"], g["x"]), F.lit(2.0)), dot(g["m"], g["m"]) * dot(g["x"], g["x"]))), F.lit(0))
+    return F.when(F.array_max(centred) > F.array_min(centred), F.least(both, F.lit(1.0)))
+
+
 def residual_normality(residuals: DataFrame, keys: Sequence[str] = (), value: str = "residual") -> DataFrame:
     """keys, n, w_stat, p_value, is_normal: are the residuals of each series normal? By their order statistics.
 
@@ -183,9 +199,5 @@ def residual_normality(residuals: DataFrame, keys: Sequence[str] = (), value: st
     ).where(F.col("n") > 0)
     share = F.when(F.col("__varies"), F.least(safe_div(F.col("__me") * F.col("__me"), F.col("__mm") * F.col("__ee")), F.lit(1.0)))
     sums = sums.withColumn("w_stat", share)
-    u = F.when(F.col("n") >= FRANCIA_LEAST, F.log(F.col("n").cast("double")))
-    mean = FRANCIA_MEAN[0] + FRANCIA_MEAN[1] * (F.log(u) - u)
-    deviation = FRANCIA_DEVIATION[0] + FRANCIA_DEVIATION[1] * (F.log(u) + 2 / u)
-    z = (F.log(F.greatest(1 - F.col("w_stat"), F.lit(1e-16))) - mean) / deviation
-    sums = sums.withColumn("p_value", F.when(F.col("w_stat").isNotNull(), 1 - normal_cdf(z)))
+    sums = sums.withColumn("p_value", francia_p(F.col("w_stat"), F.col("n")))
     return sums.select(*keys, "n", "w_stat", "p_value", (F.col("p_value") > 0.05).alias("is_normal"))
