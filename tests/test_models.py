@@ -1,12 +1,12 @@
 """Property tests for the per-series kernels and their Spark wrappers (no SQL oracle exists for them)."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecast.functions import tsstats
 from tidecast.operators import arima, quality as dq, stationarity as st
 
 
@@ -50,27 +50,77 @@ def test_kpss_and_adf_size_and_power(spark):
     assert rate(kpss, "n") < 0.10 and rate(kpss, "w") > 0.6 and rate(adf, "w") < 0.10
 
 
-def test_chi2_tail_known_values():
-    assert tsstats.chi2_sf(18.307, 10) == pytest.approx(0.05, abs=1e-4)
-    assert tsstats.chi2_sf(3.841, 1) == pytest.approx(0.05, abs=1e-4)
-    assert tsstats.chi2_sf(2.0, 2) == pytest.approx(np.exp(-1.0), rel=1e-10)
-
-
-def test_css_equals_ols_for_ar1(sims):
-    y = sims["ar"]
-    f = tsstats.arima_fit(y, (1, 0, 0))
-    X = np.column_stack([np.ones(len(y) - 1), y[:-1]])
-    b = np.linalg.lstsq(X, y[1:], rcond=None)[0]
-    assert f["params"][1] == pytest.approx(b[1], abs=1e-5)
-    assert f["params"][0] == pytest.approx(b[0] / (1 - b[1]), rel=1e-4)
-
-
-def test_forecast_intervals_widen(sims):
-    y = sims["walk"]
-    f = tsstats.arima_fit(y, (1, 1, 1))
-    fc, lo, hi = tsstats.arima_forecast(y, f, 12)
-    w = hi - lo
-    assert np.all(lo <= fc) and np.all(fc <= hi) and np.all(np.diff(w) >= -1e-9)
+def by_two_regressions(y, p, d, q, first=None):
+    """(ar, ma, sigma2, rows, forecasts of twelve steps, their errors) by numpy's least squares and Toeplitz systems."""
+    w = np.diff(y, d)
+    mu = w.mean() if d == 0 else 0.0
+    z, n = w - mu, len(w)
+    long = min(n // 3, max(p, q, math.ceil(10 * math.log10(n)))) if q else 0
+    r = [z[k:] @ z[: n - k] for k in range(long + 1)]
+    phi = np.linalg.solve([[r[abs(i - j)] for j in range(long)] for i in range(long)], r[1:]) if q else np.zeros(0)
+    e = np.array([z[t] - sum(phi[j] * z[t - 1 - j] for j in range(long)) for t in range(long, n)])
+    first = max(p, long + q if q else 0) if first is None else first
+    x = np.array([[z[t - i] for i in range(1, p + 1)] + [e[t - i - long] for i in range(1, q + 1)] for t in range(first, n)])
+    b = np.linalg.lstsq(x, z[first:], rcond=None)[0] if p + q else np.zeros(0)
+    left = z[first:] - (x @ b if p + q else 0)
+    s2 = left @ left / len(left)
+    ahead, psi = list(z), [1.0]
+    for h in range(1, 13):
+        ahead.append(sum(b[i] * ahead[-1 - i] for i in range(p)) + sum(b[p + i] * e[h - i - 2] for i in range(h - 1, q)))
+        psi.append(sum(b[i] * psi[h - 1 - i] for i in range(min(p, h))) + (b[p + h - 1] if h <= q else 0))
+    out, weights = np.array(ahead[n:]) + mu, np.array(psi[:12])
+    for k in range(d, 0, -1):
+        out, weights = np.diff(y, k - 1)[-1] + np.cumsum(out), np.cumsum(weights)
+    return b[:p], b[p:], s2, len(left), out, np.sqrt(s2 * np.cumsum(weights**2))
+
+
+@pytest.mark.parametrize("order", [(0, 0, 0), (1, 0, 0), (2, 1, 0), (0, 1, 1), (1, 1, 1), (2, 0, 2), (1, 2, 3)])
+def test_fit_and_forecast_against_least_squares(spark, sims, order):
+    df = _monthly(spark, sims)
+    fits = {r.sid: r for r in arima.fit(df, ["sid"], order).collect()}
+    fc = {}
+    for r in arima.forecast(df, 12, ["sid"], order).orderBy("step").collect():
+        fc.setdefault(r.sid, []).append(r)
+    for sid, y in sims.items():
+        ar, ma, s2, rows, points, errors = by_two_regressions(y, *order)
+        assert fits[sid].ar == pytest.approx(ar, abs=1e-6) and fits[sid].ma == pytest.approx(ma, abs=1e-6)
+        assert fits[sid].sigma2 == pytest.approx(s2, rel=1e-8) and fits[sid].nobs == rows
+        assert [r.forecast for r in fc[sid]] == pytest.approx(points, rel=1e-7)
+        assert [r.ci_width for r in fc[sid]] == pytest.approx(2 * 1.96 * errors, rel=1e-6)
+
+
+def test_seasonal_lags_and_own_horizons(spark, sims):
+    y = sims["seasonal"]
+    r = arima.fit(_monthly(spark, {"s": y}), ["sid"], (1, 0, 0), (1, 1, 0, 12)).first()
+    w = y[12:] - y[:-12]
+    x = np.column_stack([w[13 - k : len(w) - k] for k in (1, 12, 13)])
+    assert r.ar == pytest.approx(np.linalg.lstsq(x, w[13:], rcond=None)[0], abs=1e-7)
+    df = _monthly(spark, {"a": y, "b": y[:50]}).withColumn("h", F.when(F.col("sid") == "a", 2).otherwise(5))
+    assert {r.sid: r["count"] for r in arima.forecast(df, 1, ["sid"], steps_col="h").groupBy("sid").count().collect()} == {"a": 2, "b": 5}
+    one = arima.forecast(df.where("sid = 'a'").drop("sid"), 2).collect()
+    assert [r.forecast for r in one] == pytest.approx([r.forecast for r in arima.forecast(df.where("sid = 'a'"), 2, ["sid"]).collect()])
+
+
+def test_flat_exact_and_broken_series(spark):
+    some = {"flat": np.full(40, 7.0), "line": np.arange(40) * 2.0 + 1}
+    fc = arima.forecast(_monthly(spark, some), 2, ["sid"]).orderBy("sid", "step").collect()
+    assert [r.forecast for r in fc] == pytest.approx([7, 7, 81, 83]) and all(r.ci_width == 0 and r.status == "fitted" for r in fc)
+    best = {r.sid: r for r in arima.auto_order(_monthly(spark, some), ["sid"], 1, 1, 1).collect()}
+    assert best["flat"].fallback and best["flat"].orders_fitted == 0
+    holes = spark.createDataFrame([("h", dt.date(2020, 1, 1), None), ("h", dt.date(2020, 2, 1), float("nan"))], "sid string, period date, value double")
+    assert [r.status for r in arima.forecast(holes, 3, ["sid"]).collect()] == ["not fitted: series too short for this order"]
+    assert arima.forecast(holes.limit(0), 3, ["sid"]).count() == 0 and arima.diagnostics(holes.limit(0), ["sid"]).count() == 0
+
+
+def test_diagnostics_figures(spark, sims):
+    r = arima.diagnostics(_monthly(spark, {"ar": sims["ar"]}), ["sid"], (1, 0, 0)).first()
+    z = sims["ar"] - sims["ar"].mean()
+    e = z[1:] - (z[1:] @ z[:-1]) / (z[:-1] @ z[:-1]) * z[:-1]
+    n, c = len(e), e - e.mean()
+    q = n * (n + 2) * sum((c[k:] @ c[:-k] / (c @ c)) ** 2 / (n - k) for k in range(1, 11))
+    assert r.resid_mean == pytest.approx(e.mean()) and r.resid_std == pytest.approx(e.std()) and r.ljung_box_q == pytest.approx(q)
+    jb = n / 6 * ((c**3).mean() ** 2 / (c**2).mean() ** 3 + ((c**4).mean() / (c**2).mean() ** 2 - 3) ** 2 / 4)
+    assert r.jarque_bera == pytest.approx(jb) and r.jarque_bera_p == pytest.approx(math.exp(-jb / 2)) and 0.9 < r.w_stat <= 1
 
 
 def test_spark_stationarity_and_consensus(spark, sims):

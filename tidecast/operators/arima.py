@@ -109,9 +109,11 @@ def auto_order(series: DataFrame, keys: Sequence[str] = (), max_p: int = 3, max_
     """fc_auto_arima: AIC-best order per series over the grid; (1,1,1) when nothing converged."""
     keys = list(keys)
     grid = order_grid(series, keys, max_p, max_q, d, period, value)
-    fits = fit(series, keys, orders=grid, period=period, value=value).where(F.col("converged"))
+    fits = fit(series, keys, orders=grid, period=period, value=value)
+    # not a filter: pushed below the fit it would compute every fit twice
+    rank = F.when(F.col("converged"), F.struct("aic", "p", "q"))
     best = fits.groupBy(*keys).agg(
-        F.min_by(F.struct(*ORDER_COLS), F.struct("aic", "p", "q")).alias("o"), F.min("aic").alias("aic"), F.count(F.lit(1)).alias("orders_fitted")
+        F.min_by(F.struct(*ORDER_COLS), rank).alias("o"), F.min("aic").alias("aic"), F.count_if("converged").alias("orders_fitted")
     ).select(*keys, "o.*", "aic", "orders_fitted")
     all_series = series.select(*keys).distinct() if keys else None
     if keys:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div
 from . import lagged
+from .stationarity import spread
 
 FITTED = "fitted"
 SHORT = f"not {FITTED}: series too short for this order"
@@ -94,9 +95,9 @@ def fit(arrays: DataFrame, keys: Sequence[str] = (), common: bool = False) -> Da
     size = c("__size")
     has_mean = (c("d") == 0) & (c("sd") == 0)
     out = out.withColumn("__mu", F.when(has_mean, F.coalesce(safe_div(lagged.total(c("__w")), size), F.lit(0.0))).otherwise(0.0))
-    spread = let(c("__mu"), lambda mu: F.sqrt(safe_div(lagged.total(F.transform("__w", lambda v: (v - mu) * (v - mu))), size)))
+    deviation = let(c("__mu"), lambda mu: F.sqrt(safe_div(lagged.total(F.transform("__w", lambda v: (v - mu) * (v - mu))), size)))
     varies = (F.array_max("__w") > F.array_min("__w")) | ~has_mean  # what is left of a flat series is the mean's rounding
-    out = out.withColumn("__scale", let(F.when(varies, spread), lambda d: F.when(d > 0, d).otherwise(1.0)))
+    out = out.withColumn("__scale", let(F.when(varies, deviation), lambda d: F.when(d > 0, d).otherwise(1.0)))
     centred = lambda m: F.transform("__w", lambda v: (v - m["mu"]) / m["scale"])
     out = out.withColumn("__z", let(F.struct(c("__mu").alias("mu"), c("__scale").alias("scale")), centred))
     most = lambda lags: F.coalesce(F.array_max(lags), F.lit(0))
@@ -106,6 +107,8 @@ def fit(arrays: DataFrame, keys: Sequence[str] = (), common: bool = False) -> Da
     if common:
         first = F.max(first).over(Window.partitionBy(*keys, "d", "sd", "s"))
     out = out.withColumn("__first", first).withColumn("__rows", size - c("__first"))
+    if common:  # every order is work of its own, which the few bytes of a row don't show
+        out = spread(out, [*keys, "p", "d", "q", "sp", "sd", "sq", "s"])
     params = F.size("__ar") + F.size("__ma")
     able = (c("__rows") > params + 1 + has_mean.cast("int"))
     out = out.withColumn("__able", able)
