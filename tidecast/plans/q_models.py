@@ -1,8 +1,8 @@
 """Queries for stationarity tests (§2.9) and ARIMA / SARIMA forecasting (§2.11).
 
-The ARIMA family are numeric kernels per series, not SQL: they are registered without an oracle (rows-only check) and
-tested against known properties in ``tests/test_models.py``. The stationarity tests carry SQL oracles: regressions by
-sweeping a cross-product matrix in a recursive query, lag products by lists.
+SQL oracles: regressions by sweeping a cross-product matrix in a recursive query (ARIMA of order (1, 1, 1): a long
+autoregression by recursion), lag products by lists. Order searches and seasonal orders are tested against least squares in
+``tests/test_models.py``.
 """
 
 from __future__ import annotations
@@ -141,19 +141,25 @@ def _powers(table, r: str) -> str:
     return f"({top}) / ({bottom})"
 
 
-@register(
-    "ts_residual_normality",
-    W + MONTHLY
-    + f""", f AS (SELECT store, value - lag(value, 12) OVER (PARTITION BY store ORDER BY period) AS v, row_number() OVER (PARTITION BY store ORDER BY period) AS i FROM ms),
-g AS (SELECT store, v - avg(v) OVER (PARTITION BY store) AS e, count(*) OVER (PARTITION BY store) AS n, row_number() OVER (PARTITION BY store ORDER BY v) AS r FROM f WHERE i > 12),
-s AS (SELECT *, (r - 0.375) / (n + 0.25) AS p, (r - 0.375) / (n + 0.25) - 0.5 AS q, sqrt(-ln(least((r - 0.375) / (n + 0.25), 1 - (r - 0.375) / (n + 0.25)))) AS t FROM g),
+#: From ``g`` (store, e, n, r: residuals about their mean, their count and rank) to ``o`` (store, n, w_stat, p_value).
+FRANCIA = f"""s AS (SELECT *, (r - 0.375) / (n + 0.25) AS p, (r - 0.375) / (n + 0.25) - 0.5 AS q, sqrt(-ln(least((r - 0.375) / (n + 0.25), 1 - (r - 0.375) / (n + 0.25)))) AS t FROM g),
 m AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_powers(lagged.QUANTILE_MIDDLE, "(0.180625 - q * q)")}
   WHEN t <= 5 THEN sign(q) * {_powers(lagged.QUANTILE_TAIL, "(t - 1.6)")} ELSE sign(q) * {_powers(lagged.QUANTILE_FAR, "(t - 5)")} END AS m FROM s),
 w AS (SELECT store, count(*) AS n, CASE WHEN max(e) > min(e) THEN sum(m * e) ** 2 / (sum(m * m) * sum(e * e)) END AS w_stat FROM m GROUP BY store),
 u AS (SELECT *, (ln(1 - w_stat) - (-1.2725 + 1.0521 * (ln(ln(n)) - ln(n)))) / (1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n))) AS y FROM w WHERE n >= 5),
 z AS (SELECT *, least(greatest(y, -8), 8) AS z FROM u),
 o AS (SELECT store, n, w_stat, 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(121), lambda k: sign(z) * exp((2 * k + 1) * ln(greatest(abs(z), 1e-300))
-    - list_sum(list_transform(range(k + 1), lambda j: ln(2 * j + 1)))))) AS p_value FROM z)
+    - list_sum(list_transform(range(k + 1), lambda j: ln(2 * j + 1)))))) AS p_value FROM z)"""
+
+
+@register(
+    "ts_residual_normality",
+    W + MONTHLY
+    + """, f AS (SELECT store, value - lag(value, 12) OVER (PARTITION BY store ORDER BY period) AS v, row_number() OVER (PARTITION BY store ORDER BY period) AS i FROM ms),
+g AS (SELECT store, v - avg(v) OVER (PARTITION BY store) AS e, count(*) OVER (PARTITION BY store) AS n, row_number() OVER (PARTITION BY store ORDER BY v) AS r FROM f WHERE i > 12),
+"""
+    + FRANCIA
+    + """
 SELECT store, n, round(w_stat, 4) AS w_stat, round(least(greatest(p_value, 0), 1), 4) AS p_value, p_value > 0.05 AS is_normal FROM o""",
 )
 def q_ts_residual_normality(spark, sf):
@@ -280,9 +286,37 @@ def q_ts_recommend_arima(spark, sf):
     return st.recommend_arima(monthly(spark, sf), K)
 
 
-@register("fc_arima")
+#: Order (1, 1, 1) of every store, to ``fit``: long autoregression by recursion, the two coefficients by Cramer's rule.
+ARIMA_111 = """, ia AS (SELECT store, list(value ORDER BY period) AS x, CAST(count(*) AS INTEGER) AS n, max(period) AS last FROM ms GROUP BY store),
+iw AS (SELECT *, n - 1 AS size, list_transform(range(1, n), lambda i: x[i + 1] - x[i]) AS w FROM ia WHERE n > 1),
+iz AS (SELECT *, sqrt(list_inner_product(w, w) / size) AS scale, CAST(least(size // 3, greatest(1, ceil(10 * log10(size)))) AS INTEGER) AS long FROM iw),
+ir AS (SELECT * EXCLUDE (w), list_transform(w, lambda v: v / scale) AS z FROM iz WHERE size - long - 1 > 3),
+il AS (SELECT *, list_transform(range(0, long + 1), lambda k: list_inner_product(z[k + 1 : size], z[1 : size - k])) AS r FROM ir),
+lev AS (SELECT store, r, long, 0 AS k, CAST([] AS DOUBLE[]) AS phi, r[1] AS v FROM il
+  UNION ALL SELECT store, r, long, k + 1, CASE WHEN k = 0 THEN [a] ELSE list_append(list_transform(range(1, k + 1), lambda i: phi[i] - a * phi[k + 1 - i]), a) END, v * (1 - a * a)
+  FROM (SELECT *, (r[k + 2] - CASE WHEN k = 0 THEN 0 ELSE list_inner_product(phi, list_reverse(r[2 : k + 1])) END) / v AS a FROM lev WHERE k < long)),
+ie AS (SELECT il.*, list_transform(range(long, size), lambda t: z[t + 1] - list_inner_product(phi, list_reverse(z[t - long + 1 : t]))) AS e
+  FROM il JOIN (SELECT store, phi FROM lev WHERE k = long) USING (store)),
+ic AS (SELECT *, size - long - 1 AS rows, z[long + 2 : size] AS y, z[long + 1 : size - 1] AS c1, e[1 : size - long - 1] AS c2 FROM ie),
+ig AS (SELECT *, list_inner_product(c1, c1) AS aa, list_inner_product(c2, c2) AS mm, list_inner_product(c1, c2) AS am, list_inner_product(c1, y) AS ay, list_inner_product(c2, y) AS my FROM ic),
+ib AS (SELECT *, (ay * mm - my * am) / (aa * mm - am * am) AS ar, (my * aa - ay * am) / (aa * mm - am * am) AS ma FROM ig),
+il2 AS (SELECT *, list_transform(range(1, rows + 1), lambda i: (y[i] - ar * c1[i] - ma * c2[i]) * scale) AS resid FROM ib),
+fit AS (SELECT *, list_inner_product(resid, resid) / rows AS sigma2 FROM il2)"""
+ORDER_111 = "1 AS p, 1 AS d, 1 AS q, 0 AS sp, 0 AS sd, 0 AS sq, 0 AS s"
+
+
+@register(
+    "fc_arima",
+    R + ARIMA_111
+    + f""", st AS (SELECT *, CAST(unnest(range(1, 13)) AS INTEGER) AS step FROM fit),
+sf AS (SELECT store, last, step, x[n] + scale * (ar * z[size] + ma * e[size - long]) * list_sum(list_transform(range(0, step), lambda i: pow(ar, i))) AS f,
+  sqrt(sigma2 * list_sum(list_transform(range(0, step), lambda j: pow(1 + (ar + ma) * coalesce(list_sum(list_transform(range(0, j), lambda i: pow(ar, i))), 0), 2)))) AS se FROM st)
+SELECT store, {ORDER_111}, step, CAST(last + to_months(step) AS DATE) AS period, round(f, 2) AS forecast, round(f - 1.96 * se, 2) AS lower_ci, round(f + 1.96 * se, 2) AS upper_ci,
+  round(2 * 1.96 * se, 2) AS ci_width, 'fitted' AS status FROM sf
+UNION ALL SELECT store, {ORDER_111}, NULL, NULL, NULL, NULL, NULL, NULL, 'not fitted: series too short for this order' FROM ia WHERE store NOT IN (SELECT store FROM fit)""",
+)
 def q_fc_arima(spark, sf):
-    return arima.forecast(monthly(spark, sf), 12, K, order=(1, 1, 1))
+    return rnd(arima.forecast(monthly(spark, sf), 12, K, order=(1, 1, 1)), 2)
 
 
 @register("fc_sarima")
@@ -300,9 +334,25 @@ def q_fc_compare(spark, sf):
     return arima.compare_orders(monthly(spark, sf), K)
 
 
-@register("fc_diagnostics")
+@register(
+    "fc_diagnostics",
+    R + ARIMA_111
+    + """, dm AS (SELECT store, rows AS n, list_sum(resid) / rows AS mean, resid FROM fit),
+dc AS (SELECT *, list_transform(resid, lambda v: v - mean) AS c FROM dm),
+dd AS (SELECT *, list_inner_product(c, c) AS ss, list_sum(list_transform(c, lambda v: pow(v, 3))) / n AS m3, list_sum(list_transform(c, lambda v: pow(v, 4))) / n AS m4 FROM dc),
+dq AS (SELECT *, CASE WHEN n > 10 THEN n * (n + 2) * list_sum(list_transform(range(1, 11), lambda k: pow(list_inner_product(c[k + 1 : n], c[1 : n - k]) / ss, 2) / (n - k))) END AS lb,
+  n / 6.0 * (m3 * m3 / pow(ss / n, 3) + pow(m4 / pow(ss / n, 2) - 3, 2) / 4) AS jb FROM dd),
+g AS (SELECT store, n, e, row_number() OVER (PARTITION BY store ORDER BY e) AS r FROM (SELECT store, n, unnest(c) AS e FROM dc)),
+"""
+    + FRANCIA
+    + f""", dv AS (SELECT store, mean, sqrt(ss / dq.n) AS dev, lb, exp(-lb / 2) * (1 + lb / 2 + pow(lb / 2, 2) / 2 + pow(lb / 2, 3) / 6 + pow(lb / 2, 4) / 24) AS lp, jb, w_stat, p_value FROM dq LEFT JOIN o USING (store))
+SELECT store, {ORDER_111}, round(mean, 4) AS resid_mean, round(dev, 4) AS resid_std, round(lb, 4) AS ljung_box_q, round(lp, 4) AS ljung_box_p, round(jb, 4) AS jarque_bera, round(exp(-jb / 2), 4) AS jarque_bera_p,
+  round(w_stat, 4) AS w_stat, round(least(greatest(p_value, 0), 1), 4) AS w_p, 'fitted' AS status, abs(mean) < 0.1 * dev AS mean_ok, lp > 0.05 AS no_autocorrelation, p_value > 0.05 AS normal_residuals,
+  abs(mean) < 0.1 * dev AND lp > 0.05 AS passed FROM dv
+UNION ALL SELECT store, {ORDER_111}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not fitted: series too short for this order', NULL, NULL, NULL, NULL FROM ia WHERE store NOT IN (SELECT store FROM fit)""",
+)
 def q_fc_diagnostics(spark, sf):
-    return arima.diagnostics(monthly(spark, sf), K, order=(1, 1, 1))
+    return rnd(arima.diagnostics(monthly(spark, sf), K, order=(1, 1, 1)), 4)
 
 
 @register("fc_arima_holdout")
