@@ -149,3 +149,30 @@ def test_residual_normality(spark):
     one = lagged.residual_normality(series(spark, {"men": named["men"]}).drop("d"), value="value").collect()
     assert len(one) == 1 and one[0].w_stat == pytest.approx(got["men"].w_stat)
     assert lagged.residual_normality(series(spark, {"men": []}), ["d"], "value").count() == 0
+
+
+def test_lag_search_works_out_one_factor(spark, named):
+    """What the lag counts share isn't named within the function that scores each of them."""
+    plan = st.adf_test(series(spark, named), ["d"])._jdf.queryExecution().optimizedPlan().toString()
+    scored = next(line for line in plan.split("\n") if "AS __lags#" in line)
+    assert "aggregate(" not in scored.split("aic", 1)[1]
+
+
+def test_order_search_and_report_against_single_tests(spark, named):
+    """Versions by arrays are those of the windows; every series is gathered once."""
+    rows = named | {"one": [4.0], "flat": [5.0] * 30, "nulls": [None] * 9, "short": [1, 5, 2, 9, 1, 4, 4, 7], "gaps": [None if i % 11 == 4 else v for i, v in enumerate(named["walk84"])]}
+    df = series(spark, rows).withColumnRenamed("d", "k")
+    prepared, report = st.prepare_stationary(df, ["k"], 2, apply_seasonal=True, seasonal_period=12)
+    tests = {(r.k, r.d): r for r in st.adf_test(st.differenced_versions(df, 2, ["k"]), ["k", "d"]).collect()}
+    after = {r.k: r.p_value for r in st.adf_test(prepared, ["k"]).collect()}
+    order = {r.k: r for r in st.differencing_order(df, ["k"]).collect()}
+    got = {r.k: r for r in report.collect()}
+    assert set(got) == set(order) == set(rows)
+    for k, r in got.items():
+        d = next((d for d in range(3) if (k, d) in tests and tests[k, d].is_stationary), None)
+        assert (order[k].d, order[k].is_stationary) == (2 if d is None else d, d is not None) and r.d == order[k].d
+        assert r.original_p_value == tests[k, 0].p_value and r.original_stationary == tests[k, 0].is_stationary
+        assert r.final_p_value == pytest.approx(after.get(k), rel=1e-9) if after.get(k) is not None else r.final_p_value is None and r.is_ready is None
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    one = df.where("k = 'walk84'").drop("k")
+    assert st.prepare_stationary(one, (), 2, True)[1].first().final_p_value == pytest.approx(got["walk84"].final_p_value) and st.differencing_order(one, test="kpss").count() == 1

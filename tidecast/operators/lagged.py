@@ -6,7 +6,8 @@ regressions of every lag count) is a higher-order expression on it. No Python wo
 
 ``sweep`` solves regressions: sweeping the cross-product matrix of (columns, response) on its columns one after the
 other leaves, after each, the residual sum of squares of the regression on the columns so far, its coefficients, and the
-inverse of their cross products. One matrix per series so answers all nested lag counts.
+inverse of their cross products. One matrix per series so answers all nested lag counts. ``triangle`` and ``forward`` answer
+them from a triangular factor, at a sixth of the products.
 """
 
 from __future__ import annotations
@@ -26,10 +27,18 @@ COLLINEAR = 1e-10
 
 def series_arrays(series: DataFrame, keys: Sequence[str], period: str, value: str, out: str = "__x", n: str = "__n") -> DataFrame:
     """keys, ``out`` (the values in order of their periods, without NULL and NaN), ``n`` (how many)."""
-    v = F.col(value).cast("double")
-    held = F.collect_list(F.when(v.isNotNull() & ~F.isnan(v), F.struct(F.col(period).alias("p"), v.alias("v"))))
-    ordered = F.transform(F.array_sort(held), lambda s: s["v"])
-    return series.groupBy(*keys).agg(ordered.alias(out)).withColumn(n, F.size(out))
+    return present(whole_arrays(series, keys, period, value, out), out, n)
+
+
+def whole_arrays(series: DataFrame, keys: Sequence[str], period: str, value: str, out: str = "__x") -> DataFrame:
+    """keys, ``out`` (the values in order of their periods, NULL where one has none)."""
+    held = F.collect_list(F.struct(F.col(period).alias("p"), F.col(value).cast("double").alias("v")))
+    return series.groupBy(*keys).agg(F.transform(F.array_sort(held), lambda s: s["v"]).alias(out))
+
+
+def present(arrays: DataFrame, out: str = "__x", n: str = "__n") -> DataFrame:
+    """``out`` without NULL and NaN, and ``n``, how many are left."""
+    return arrays.withColumn(out, F.filter(out, lambda v: v.isNotNull() & ~F.isnan(v))).withColumn(n, F.size(out))
 
 
 def total(a: Column) -> Column:
@@ -140,6 +149,32 @@ def swept(m: Column, size: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), size - 2), start, step, end)
 
 
+def forward(factor: Column, g: Column) -> Column:
+    """Solution of (lower triangle ``factor``) x = g; 0 in the places of columns that take no part."""
+
+    def entry(a, row):
+        left = F.get(g, F.size(a)) - dot(a, F.slice(row, F.lit(1), F.size(a)))
+        return F.concat(a, F.array(F.coalesce(safe_div(left, F.get(row, F.size(a))), F.lit(0.0))))
+
+    return F.aggregate(factor, F.array().cast("array<double>"), entry)
+
+
+def triangle(gram: Column) -> Column:
+    """Lower Cholesky factor of ``gram``, row by row, both as rows that end at the diagonal.
+
+    A column that is a combination of those before has 0 on the diagonal, and takes no part in what follows.
+    """
+
+    def row(f, g):
+        own, d = forward(f, g), F.get(g, F.size(f))
+        left = lambda a: d - dot(a, a)
+        root = lambda x: F.when(x > F.lit(COLLINEAR) * d, F.sqrt(x)).otherwise(0.0)
+        ended = lambda a: F.concat(a, F.transform(F.array(left(a)), root))
+        return F.concat(f, F.transform(F.array(own), ended))
+
+    return F.aggregate(gram, F.array().cast("array<array<double>>"), row)
+
+
 def residual_autocorrelation(residuals: DataFrame, keys: Sequence[str] = (), lags: int = 10, period: str = "period", value: str = "residual") -> DataFrame:
     """keys, lag, r, q, p_value, n: autocorrelations of any residual table, with the portmanteau statistic up to ``lags``.
 

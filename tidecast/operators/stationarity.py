@@ -64,21 +64,63 @@ def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
     return out
 
 
-def _adf_columns(x: Column, d: Column, n: Column, skip: Column, lags: Column) -> Column:
-    """Columns of the regression of changes after the first ``skip``: constant, level, ``lags`` changes before, the change."""
-    rows = n - 1 - skip
-    before = F.transform(F.filter(F.sequence(F.lit(0), lags), lambda j: j > 0), lambda j: F.slice(d, skip - j + 1, rows))
-    return F.concat(F.array(F.array_repeat(F.lit(1.0), rows), F.slice(x, skip + 1, rows)), before, F.array(F.slice(d, skip + 1, rows)))
+def _adf_products(z: Column, d: Column, n: Column, lags: Column) -> Column:
+    """Cross products of the regression of changes after the first ``lags``.
+
+    gram: lower triangle of those of constant, level and ``lags`` changes before; with: those with the change; squares: its own.
+    A product of changes at lags i + 1, j + 1 is that at i, j but for one term at either end, so that only the products of level
+    and change with each lag are sums over the series.
+    """
+    rows = n - 1 - lags
+    cell = lambda a, i: F.get(a, i)
+    before = F.sequence(F.lit(0), lags)
+    at = lambda j: F.slice(d, lags - j + 1, rows)
+    given = F.struct(
+        z.alias("z"), lags.alias("lags"), n.alias("n"), F.slice(z, lags + 1, rows).alias("level"), at(F.lit(0)).alias("change"),
+        F.transform(before, at).alias("at"), F.reverse(F.slice(d, F.lit(1), lags)).alias("first"), F.reverse(F.slice(d, n - lags, lags)).alias("last"),
+    )
+
+    def sums(g):
+        return F.struct(
+            F.transform(g["at"], lambda a: lagged.dot(a, g["level"])).alias("level"), F.transform(g["at"], lambda a: lagged.dot(a, g["change"])).alias("change"),
+            F.transform(F.sequence(F.lit(0), g["lags"]), lambda j: cell(g["z"], g["n"] - 1 - j) - cell(g["z"], g["lags"] - j)).alias("one"),
+        )
+
+    def products(g, s):
+        def row(held, j):
+            ends = lambda old, i: old + cell(g["first"], i) * cell(g["first"], j - 1) - cell(g["last"], i) * cell(g["last"], j - 1)
+            return F.concat(held, F.array(F.concat(F.array(cell(s["change"], j)), F.transform(cell(held, j - 1), ends))))
+
+        lagged_rows = F.aggregate(F.filter(F.sequence(F.lit(0), g["lags"]), lambda j: j > 0), F.array(F.array(cell(s["change"], F.lit(0)))), row)
+        of_lags = F.transform(lagged_rows, lambda r, j: F.concat(F.array(cell(s["one"], j), cell(s["level"], j)), F.slice(r, F.lit(2), j)))
+        start = F.array(F.array((g["n"] - 1 - g["lags"]).cast("double")), F.array(lagged.total(g["level"]), lagged.dot(g["level"], g["level"])))
+        return F.struct(
+            F.concat(start, F.slice(of_lags, F.lit(2), g["lags"])).alias("gram"),
+            F.concat(F.array(cell(s["one"], F.lit(0)), cell(s["level"], F.lit(0))), F.slice(s["change"], F.lit(2), g["lags"])).alias("with"),
+            cell(s["change"], F.lit(0)).alias("squares"),
+        )
+
+    return _let(given, lambda g: _let(sums(g), lambda s: products(g, s)))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def adf_test(series: DataFrame, keys: Sequence[str] = (), period: str = PERIOD, value: str = VALUE) -> DataFrame:
     """ts_adf: ADF statistic, p-value, lags, nobs, critical values, stationary if p < 0.05, 4-level label.
 
     Dickey-Fuller regression with a constant. The number of lags has the least AIC of all up to 12 (n/100)^¼, on the
-    sample that the largest leaves; all of them come from one swept cross-product matrix per series. Series that don't
+    sample that the largest leaves; all of them come from one triangular factor per series. Series that don't
     vary, are shorter than four periods or are fitted perfectly are "Not testable".
     """
     s, gkeys = _one_series(series, keys, period, value)
+    return _adf_of(s, [k for k in gkeys if k != "__series"])
+
+
+def _adf_of(s: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The test of every array ``__x`` of ``__n`` values; ``keep``: columns that stay."""
     n = F.col("__n")
     # the statistic doesn't depend on place and scale; numbers near one keep the products precise
     s = s.withColumn("__mean", safe_div(lagged.total(F.col("__x")), n))
@@ -89,29 +131,38 @@ def adf_test(series: DataFrame, keys: Sequence[str] = (), period: str = PERIOD,
     most = F.least(F.greatest(F.floor(n / 2) - 2, F.lit(0)), F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25)))).cast("int")
     s = s.withColumn("__most", F.when(able, most))
     z, d, most = F.col("__z"), F.col("__d"), F.col("__most")
-    s = s.withColumn("__gram", lagged.cross_products(_adf_columns(z, d, n, most, most)))
-    s = s.withColumn("__left", lagged.swept(F.col("__gram"), most + 3)["left"])
+    s = s.withColumn("__gram", _adf_products(z, d, n, most))
+    g = F.col("__gram")
+    s = s.withColumn("__own", lagged.forward(lagged.triangle(g["gram"]), g["with"]))
     rows = n - 1 - most
-    fit = lambda j: rows * (math.log(2 * math.pi) + F.log(F.greatest(F.get("__left", j + 1), F.lit(1e-300)) / rows) + 1) + 2 * (j + 2)
-    candidates = F.transform(F.filter(F.sequence(F.lit(0), most), lambda j: rows > j + 2), lambda j: F.struct(fit(j).alias("aic"), j.alias("lags")))
-    s = s.withColumn("__lags", F.coalesce(F.array_min(candidates)["lags"], F.when(able, F.lit(0))))
+    # residual squares with constant and level, then with a lag more each
+    start = F.struct(F.array().cast("array<double>").alias("held"), g["squares"].alias("left"))
+    less = lambda s, v: _let(s["left"] - v * v, lambda x: F.struct(F.concat(s["held"], F.array(x)).alias("held"), x.alias("left")))
+    left = F.aggregate("__own", start, less, lambda s: s["held"])
+    fit = lambda left, j: rows * (math.log(2 * math.pi) + F.log(F.greatest(left, F.lit(1e-300)) / rows) + 1) + 2 * (j + 2)
+    # the figures of all lag counts go in as an array: named within a function of one, they would be worked out for each
+    figures = F.transform(F.slice(left, F.lit(2), most + 1), lambda x, j: F.when(rows > j + 2, F.struct(fit(x, j).alias("aic"), j.alias("lags"))))
+    s = s.withColumn("__lags", F.coalesce(F.array_min(figures)["lags"], F.when(able, F.lit(0))))
     lags = F.col("__lags")
-    s = s.withColumn("__own", lagged.cross_products(_adf_columns(z, d, n, lags, lags)))
-    s = s.withColumn("__m", lagged.swept(F.col("__own"), lags + 3)["m"])
-    cell = lambda m, i, j: F.get(F.get(m, i), j)
-    m, end = F.col("__m"), lags + 2
+    s = s.withColumn("__gram", _adf_products(z, d, n, lags))
+    s = s.withColumn("__factor", lagged.triangle(g["gram"]))
+    unit = F.transform(F.sequence(F.lit(0), lags + 1), lambda i: F.when(i == 1, 1.0).otherwise(0.0))
+    s = s.withColumns({"__own": lagged.forward(F.col("__factor"), g["with"]), "__unit": lagged.forward(F.col("__factor"), unit)})
+    own, unit = F.col("__own"), F.col("__unit")
+    # coefficient of the level and its share of the inverse of the cross products
+    s = s.withColumns({"__b": lagged.dot(unit, own), "__inverse": lagged.dot(unit, unit), "__squares": g["squares"] - lagged.dot(own, own)})
     nobs = n - 1 - lags
-    squares = cell(m, end, end)
-    free = nobs - end
-    tested = able & (free > 0) & (squares > PERFECT * cell(F.col("__own"), end, end)) & (cell(m, F.lit(1), F.lit(1)) > 0)
-    error = F.sqrt(safe_div(squares, free) * cell(m, F.lit(1), F.lit(1)))
-    out = s.select(*gkeys, F.when(tested, safe_div(cell(m, F.lit(1), end), error)).alias("adf_stat"), lags.cast("int").alias("lags"), F.when(able, nobs).cast("int").alias("nobs"))
+    squares = F.col("__squares")
+    free = nobs - (lags + 2)
+    tested = able & (free > 0) & (squares > PERFECT * g["squares"]) & (F.col("__inverse") > 0)
+    error = F.sqrt(safe_div(F.greatest(squares, F.lit(0.0)), free) * F.col("__inverse"))
+    out = s.select(*keep, F.when(tested, safe_div(F.col("__b"), error)).alias("adf_stat"), lags.cast("int").alias("lags"), F.when(able, nobs).cast("int").alias("nobs"))
     stat, seen = F.col("adf_stat"), F.col("nobs")
     surface = F.when(stat <= ADF_TAU_STAR, _polynomial(ADF_SMALL, stat)).otherwise(_polynomial(ADF_LARGE, stat))
     p = F.when(stat > ADF_TAU_MAX, 1.0).when(stat < ADF_TAU_MIN, 0.0).otherwise(lagged.normal_cdf(surface))
     out = out.withColumn("p_value", F.round(p, 12))  # what is less is the series' rounding
     out = out.withColumns({name: _polynomial(c, safe_div(F.lit(1.0), seen)) for name, c in ADF_CRITICAL.items()})
-    out = out.select(*(k for k in gkeys if k != "__series"), "adf_stat", "p_value", "lags", "nobs", "crit_1", "crit_5", "crit_10")
+    out = out.select(*keep, "adf_stat", "p_value", "lags", "nobs", "crit_1", "crit_5", "crit_10")
     p = F.col("p_value")
     return out.withColumns(
         {
@@ -132,6 +183,11 @@ def kpss_test(series: DataFrame, keys: Sequence[str] = (), period: str = PERIOD,
     series' own first autocovariances.
     """
     s, gkeys = _one_series(series, keys, period, value)
+    return _kpss_of(s, [k for k in gkeys if k != "__series"])
+
+
+def _kpss_of(s: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The test of every array ``__x`` of ``__n`` values; ``keep``: columns that stay."""
     n = F.col("__n")
     s = s.withColumn("__mean", safe_div(lagged.total(F.col("__x")), n))
     s = s.withColumn("__e", F.transform("__x", lambda v: v - F.col("__mean"))).withColumn("__s", lagged.dot(F.col("__e"), F.col("__e")))
@@ -153,7 +209,7 @@ def kpss_test(series: DataFrame, keys: Sequence[str] = (), period: str = PERIOD,
     for (a, pa), (b, pb) in zip(KPSS_CRITICAL, KPSS_CRITICAL[1:]):
         p = p.when(stat <= b, pa + (stat - a) / (b - a) * (pb - pa))
     p = p.when(stat > KPSS_CRITICAL[-1][0], KPSS_CRITICAL[-1][1])
-    out = s.select(*(k for k in gkeys if k != "__series"), stat.alias("kpss_stat"), p.alias("p_value"), F.col("__lags").alias("lags"))
+    out = s.select(*keep, stat.alias("kpss_stat"), p.alias("p_value"), F.col("__lags").alias("lags"))
     p = F.col("p_value")
     return out.withColumns(
         {
@@ -231,6 +287,27 @@ def differenced_versions(series: DataFrame, max_d: int, keys: Sequence[str] = ()
     return out
 
 
+def _versions(series: DataFrame, max_d: int, keys: list[str], period: str, value: str, carried: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """One row per series and d = 0..max_d: its array ``__x``, differenced d times, of ``__n`` values; the columns to keep.
+
+    ``carried``: a name for the array as it is, NULLs included.
+    """
+    gkeys = keys or ["__series"]
+    src = (series if keys else series.withColumn("__series", F.lit(0))).select(*gkeys, period, value)
+    rows = lagged.whole_arrays(spread(src, gkeys), gkeys, period, value)
+    # each once more from the one before; NULL stays NULL on either side of a difference
+    step = lambda held, _: F.concat(held, F.array(_changes(F.element_at(held, -1), 1)))
+    every = F.aggregate(F.array_repeat(F.lit(0), max_d), F.array("__x"), step)
+    rows = rows.select(*gkeys, *[F.col("__x").alias(c) for c in carried], F.posexplode(every).alias("d", "__x"))
+    return lagged.present(rows), [*keys, "d", *carried]
+
+
+def _changes(x: Column, lag: int) -> Column:
+    """x less its value ``lag`` before."""
+    left = F.greatest(F.size(x) - lag, F.lit(0))
+    return F.zip_with(F.slice(x, F.lit(lag + 1), left), F.slice(x, F.lit(1), left), lambda new, old: new - old)
+
+
 def differencing_order(
     series: DataFrame, keys: Sequence[str] = (), max_d: int = 2, test: str = "adf", period: str = PERIOD, value: str = VALUE
 ) -> DataFrame:
@@ -238,13 +315,8 @@ def differencing_order(
     if test not in ("adf", "kpss", "auto"):
         raise ValueError("test must be 'adf', 'kpss' or 'auto'")
     keys = list(keys)
-    versions = differenced_versions(series, max_d, keys, period, value)
-    tester = kpss_test if test == "kpss" else adf_test
-    res = tester(versions, keys + ["d"], period, value)
-    g = res.groupBy(*keys).agg(
-        F.min(F.when(F.col("is_stationary"), F.col("d"))).alias("__first"),
-        F.count(F.lit(1)).alias("orders_tested"),
-    )
+    res = (_kpss_of if test == "kpss" else _adf_of)(*_versions(series, max_d, keys, period, value))
+    g = res.groupBy(*keys).agg(F.min(F.when(F.col("is_stationary"), F.col("d"))).alias("__first"))
     d = F.coalesce(F.col("__first"), F.lit(max_d))
     return g.select(
         *keys,
@@ -297,14 +369,19 @@ def prepare_stationary(
         prepared = windows.seasonal_difference(prepared, seasonal_period, period, value, keys, out="__sd").select(
             *keys, period, F.col("__sd").alias(value), "d"
         )
-    before = adf_test(series, keys, period, value).select(*keys, F.col("p_value").alias("original_p_value"), F.col("is_stationary").alias("original_stationary"))
-    after = adf_test(prepared.select(*keys, period, value), keys, period, value).select(
-        *keys, F.col("p_value").alias("final_p_value"), F.col("is_stationary").alias("is_ready")
-    )
-    if keys:
-        rep = order.join(before, keys, "left").join(after, keys, "left")
-    else:
-        rep = attach_row(attach_row(order, before), after)
+    # the report: every version is tested once, and the chosen one again from the same array
+    tested = _adf_of(*_versions(series, max_d, keys, period, value, ["__whole"]))
+    as_is = lambda c: F.max(F.when(F.col("d") == 0, F.col(c)))
+    rep = tested.groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(F.col("is_stationary"), F.col("d"))), F.lit(max_d)).alias("d"), as_is("p_value").alias("original_p_value"),
+        as_is("is_stationary").alias("original_stationary"), as_is("__whole").alias("__whole"),
+    )
+    at_d = F.aggregate(F.array_repeat(F.lit(0), F.col("d")), F.col("__whole"), lambda x, _: _changes(x, 1))
+    rep = rep.withColumn("__x", at_d)
+    if apply_seasonal:
+        rep = rep.withColumn("__x", F.when(F.size("__x") >= 2 * seasonal_period, _changes(F.col("__x"), seasonal_period)).otherwise(F.array().cast("array<double>")))
+    held = [*keys, "d", "original_p_value", "original_stationary"]
+    rep = _adf_of(lagged.present(rep), held).select(*held, F.col("p_value").alias("final_p_value"), F.col("is_stationary").alias("is_ready"))
     rep = rep.withColumns({"seasonal_differencing": F.lit(apply_seasonal), "seasonal_period": F.lit(seasonal_period if apply_seasonal else None).cast("int")})
     return prepared, rep
 
