@@ -78,6 +78,19 @@ def test_bundle_sections_equal_the_single_operators(spark):
         same(b["correlations"], corr)
 
 
+def test_cells_are_days_and_stores_not_their_pairs(spark):
+    """As many as there are days and stores; rows without either have a cell too."""
+    rows = [(f"s{i % 40}" if i % 50 else None, dt.date(2022, 1, 1) + dt.timedelta(days=i // 40) if i % 70 else None, float(i), 1, 2.0, 0.5) for i in range(2000)]
+    fact = spark.createDataFrame(rows, SCHEMA)
+    r = rollup.rollup(fact, columns=["quantity"])
+    days, stores = ({x[k] for x in rows} for k in (1, 0))
+    assert r.days.count() + r.shops.count() == len(days) + len(stores) and {x.date for x in r.days.collect()} == days and {x.store for x in r.shops.collect()} == stores
+    for cells in (r.days, r.shops):
+        assert cells.agg(F.sum("records"), F.sum("total")).first()[:] == (2000, sum(x[2] for x in rows))
+    one = rollup.overall(r).first()
+    assert (one.total_records, one.total_stores, one.date_range_start, one.date_range_end) == (2000, 40, min(days - {None}), max(days - {None}))
+
+
 def eda_features(fact):
     from tidecast.functions.calendar import temporal_features
 

@@ -1,10 +1,11 @@
 """One stored rollup of a sales fact, from which every descriptive section follows.
 
-The fact is read once: one aggregate with two grouping sets gives a *cell* for each store and day (mergeable moments of
-sales, and of sales against each numeric column) and a *bucket* table of the value distribution. Both go to the
-checkpoint folder. Months, seasons, weekdays, years, stores and the whole are merged from the cells; correlations too,
-those with the calendar's columns included, since these are constant within a day. Only the median, whiskers and
-histogram read the fact again, once, for the values of the few buckets that decide them.
+The fact is read once: one aggregate with three grouping sets gives a *cell* for each day and for each store (mergeable
+moments of sales, and of sales against each numeric column) and a *bucket* table of the value distribution. All go to the
+checkpoint folder. No section needs a store's days: cells of both together would be nearly as many as the rows. Months,
+seasons, weekdays and years are merged from the days, the whole from the stores; correlations from the days, those with
+the calendar's columns included, since these are constant within a day. Only the median, whiskers and histogram read the
+fact again, once, for the values of the few buckets that decide them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .quantile import distribution, exact_quantiles, log_bucket
 CALENDAR = ("year", "month", "week", "day_of_week", "quarter", "day_of_year")
 #: Names of the states within a cell: sales alone, and sales with each column.
 OWN = "s_"
-_CELL, _BUCKET = 1, 2
+_DAY, _STORE, _BUCKET = 1, 2, 3
 
 
 def _pair(column: str) -> str:
@@ -35,7 +36,8 @@ def _pair(column: str) -> str:
 @dataclass(frozen=True)
 class Rollup:
     fact: DataFrame
-    cells: DataFrame
+    days: DataFrame
+    shops: DataFrame
     buckets: DataFrame
     keys: list[str]
     store: str
@@ -45,7 +47,7 @@ class Rollup:
 
 
 def rollup(fact: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] = (), store: str = "store", date: str = "date", sales: str = "sales", by_day: bool = True) -> Rollup:
-    """``columns``: numeric columns whose correlation with sales is wanted. ``by_day=False`` keeps cells of stores only."""
+    """``columns``: numeric columns whose correlation with sales is wanted. ``by_day=False`` leaves the days out."""
     keys = list(keys)
     value = F.col(sales).cast("double")
     src = fact.withColumns({"__bucket": F.when(~F.isnan(value), log_bucket(value)), "__value": value})
@@ -61,13 +63,15 @@ def rollup(fact: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] = (
     ]
     for c in columns:
         figures += pair_state(F.col("__value"), F.col(f"`{c}`"), _pair(c))
-    # which of the two sets a row belongs to: a bucket row leaves the grain out
-    kind = F.when(F.grouping("__bucket") == 1, _CELL).otherwise(_BUCKET).alias("kind")
-    both = cut_lineage(src.groupingSets([[*keys, *grain], [*keys, "__bucket"]], *keys, *grain, "__bucket").agg(kind, *figures))
-    cells = both.where(F.col("kind") == _CELL).drop("kind", "__bucket")
+    # which of the sets a row belongs to: each leaves the others' columns out
+    at = lambda c: F.grouping(c) == 0
+    kind = F.when(at("__bucket"), _BUCKET)
+    kind = (kind.when(at(date), _DAY) if by_day else kind).otherwise(_STORE).alias("kind")
+    both = cut_lineage(src.groupingSets([[*keys, c] for c in [*grain, "__bucket"]], *keys, *grain, "__bucket").agg(kind, *figures))
+    days, shops = (both.where(F.col("kind") == k).drop("kind", "__bucket", *(set(grain) - {own})) for k, own in ((_DAY, date), (_STORE, store)))
     buckets = both.where((F.col("kind") == _BUCKET) & F.col("__bucket").isNotNull())
     buckets = buckets.select(*keys, F.col("__bucket").alias("bucket"), F.col(f"{OWN}n").alias("c"), F.col("least").cast("double").alias("least"), F.col("most").cast("double").alias("most"))
-    return Rollup(fact, cells, buckets, keys, store, date, sales, list(columns))
+    return Rollup(fact, days, shops, buckets, keys, store, date, sales, list(columns))
 
 
 def _average() -> Column:
@@ -89,7 +93,7 @@ def overall(r: Rollup) -> DataFrame:
         F.min("first_date").alias("date_range_start"),
         F.max("last_date").alias("date_range_end"),
     ]
-    stats = merge(r.cells, r.keys, singles=[OWN], more=more).withColumn("std_dev", _deviation())
+    stats = merge(r.shops, r.keys, singles=[OWN], more=more).withColumn("std_dev", _deviation())
     stats = stats.select(*r.keys, "total_sales", "avg_sales", "std_dev", "min_sales", "max_sales", "total_records", "total_stores", "date_range_start", "date_range_end")
     median = exact_quantiles(r.fact, r.sales, [0.5], r.keys, ["median_sales"], buckets=r.buckets)
     return with_median(stats, median, r.keys)
@@ -100,7 +104,7 @@ def with_median(stats: DataFrame, median: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def _by(r: Rollup, column: Column) -> DataFrame:
-    return r.cells.groupBy(*r.keys, column).agg(F.sum("total").alias("total_sales"), _average().alias("avg_sales"), F.sum(f"{OWN}n").alias("record_count"))
+    return r.days.groupBy(*r.keys, column).agg(F.sum("total").alias("total_sales"), _average().alias("avg_sales"), F.sum(f"{OWN}n").alias("record_count"))
 
 
 def monthly(r: Rollup) -> DataFrame:
@@ -116,25 +120,25 @@ def years(r: Rollup) -> DataFrame:
 
 
 def daily(r: Rollup) -> DataFrame:
-    return r.cells.groupBy(*r.keys, r.date).agg(F.sum("total").alias(r.sales))
+    return r.days.groupBy(*r.keys, r.date).agg(F.sum("total").alias(r.sales))
 
 
 def seasons(r: Rollup) -> DataFrame:
     more = [_average().alias("avg_sales"), F.sum("total").alias("total_sales"), F.sum(f"{OWN}n").alias("records")]
-    merged = merge(r.cells.withColumn("season", season(F.month(r.date))), [*r.keys, "season"], singles=[OWN], more=more)
+    merged = merge(r.days.withColumn("season", season(F.month(r.date))), [*r.keys, "season"], singles=[OWN], more=more)
     return merged.select(*r.keys, "season", "avg_sales", "total_sales", "records", _deviation().alias("std_dev"), season_order("season").alias("season_order"))
 
 
 def stores(r: Rollup) -> DataFrame:
     more = [_average().alias("avg_sales"), F.sum("total").alias("total_sales"), F.min("least").alias("min_sales"), F.max("most").alias("max_sales")]
-    merged = merge(r.cells, [*r.keys, r.store], singles=[OWN], more=more)
+    merged = merge(r.shops, [*r.keys, r.store], singles=[OWN], more=more)
     return eda.with_consistency(merged.select(*r.keys, r.store, "avg_sales", "total_sales", _deviation().alias("std_dev"), "min_sales", "max_sales", F.col(f"{OWN}n").alias("records")))
 
 
 def correlations(r: Rollup, calendar: Sequence[str] = CALENDAR, top: int = 3) -> DataFrame:
     """Sales against the rollup's columns and the calendar's."""
     names = list(calendar) + r.columns
-    cells = temporal_features(r.cells, r.date)
+    cells = temporal_features(r.days, r.date)
     held, zero = F.col(f"{OWN}n"), F.lit(0.0)
     for c in calendar:
         parts = {"n": F.when(F.col(c).isNotNull(), held).otherwise(F.lit(0).cast("long")), "mx": F.col(f"{OWN}mx"), "my": F.when(held > 0, F.col(c).cast("double")), "xx": F.col(f"{OWN}xx"), "yy": zero, "xy": zero}
