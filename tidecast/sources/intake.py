@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,13 +80,15 @@ def validate_frame(raw: DataFrame, resolved: Resolved | None = None, default_sto
         raise ValueError("Missing required column: Sales.")
     extras = [c for c in raw.columns if c not in (r.date, r.sales, r.store) and c != CORRUPT]
     store_expr = F.trim(F.col(f"`{r.store}`").cast("string")) if r.store else F.lit(default_store)
-    typed = raw.select(
+    row = F.struct(
         store_expr.alias("store"),
         parse_date(F.col(f"`{r.date}`")).alias("date"),
         parse_sales(F.col(f"`{r.sales}`")).alias("sales"),
         F.col(f"`{r.date}`").cast("string").alias("__raw_date"),
         *[F.col(f"`{c}`").alias(r.rename[c]) for c in extras],
     )
+    # one array element a row: no filter on what was parsed moves below it, where it would be parsed a second time
+    typed = raw.select(F.inline(F.array(row)))
     if "season" in [r.rename[c] for c in extras]:
         typed = typed.withColumn("season", normalize_season("season"))
     ok = F.col("date").isNotNull() & F.col("sales").isNotNull()
@@ -137,10 +140,23 @@ def date_parse_failures(raw: DataFrame, date_col: str, samples: int = 5) -> Data
     return attach_row(count, examples)
 
 
+def first_lines(batches):
+    """The first line of each file in a task's lines, which come in order; a block that begins a file is in one task."""
+    seen = None
+    for batch in batches:
+        files = batch.column(0).to_pandas()
+        starts = files.ne(files.shift())
+        starts.iloc[:1] = files.iloc[:1].ne(seen)
+        if len(files):
+            seen = files.iloc[-1]
+        if starts.any():
+            yield batch.take(pa.array(starts.to_numpy().nonzero()[0]))
+
+
 def files_by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
     """Header line -> files that begin with it. Only the files' first lines leave the tasks."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    first = lines.where("at = 0").withColumn("id", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    first = lines.where("at = 0").select("file", F.col("value").alias("header")).mapInArrow(first_lines, "file string, header string")
     found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
     return {r.header: r.files for r in sorted(found, key=lambda r: r.files)}
 
