@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidecast import session
 from tidecast.functions.calendar import FEATURES7, temporal_features7
 from tidecast.operators import encode, forest, ml
 
@@ -106,3 +107,20 @@ def test_no_split_of_too_few_rows(spark, f6, tmp_path):
     again = forest.fold(forest.nodes(spark, rf), 12)
     assert again.count() == len(train[12])
     assert forest.fold(forest.nodes(spark, rf), 10**6).where("id = 0 and leftChild = -1").count() == 7
+
+
+def test_a_fit_has_no_more_tasks_than_cores(spark):
+    """Each task of a forest's pass makes and shuffles the figures of every node, whatever the shuffle partitions are."""
+    cores = spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(4 * cores))
+    try:
+        many = spark.range(4 * cores * session.TASK_ROWS)
+        dealt = session.ensure_parallelism(many)
+        assert dealt.rdd.getNumPartitions() == cores and dealt.count() == many.count()
+        few = spark.range(session.TASK_ROWS + 1)
+        assert session.ensure_parallelism(few).rdd.getNumPartitions() == min(2, cores)
+        assert session.ensure_parallelism(few.limit(0)).rdd.getNumPartitions() == 1
+        assert session.ensure_parallelism(many, few).rdd.getNumPartitions() == min(2, cores)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -101,7 +101,7 @@ def train(
     texts = text_columns(df, features)
     seen = whole.where("is_train").select(*features, label)
     codes = label_codes(seen, texts)
-    fitting = ensure_parallelism(apply_codes(seen, codes, texts)).persist(StorageLevel.MEMORY_AND_DISK)
+    fitting = ensure_parallelism(apply_codes(seen, codes, texts), seen).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stages = feature_stages(features, texts, scale)
         rf = RandomForestRegressor(labelCol=label, featuresCol="features", featureSubsetStrategy="all", maxBins=max_bins, **params)

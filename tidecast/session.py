@@ -69,12 +69,21 @@ def target_parallelism(spark: SparkSession) -> int:
 TASK_ROWS = 2_000
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread the input of an iterative, CPU-heavy fit evenly over the cluster's parallelism, if it is large enough.
+def fit_tasks(counted: DataFrame) -> int:
+    """Tasks of an iterative fit on as many rows as ``counted`` has: one for each core, fewer if rows are few.
 
-    One count and one round-robin shuffle, paid once: the caller persists the result and every training
-    pass reads it. (Asking a shuffled DataFrame for its partition count would make AQE run
-    its stages just to answer, and the fit would then compute them again.)
+    Every task of a forest's pass makes and shuffles the figures of all nodes, however few its rows are, so more tasks
+    than cores only add to that. Rows are counted up to what fills the cores; scans end early.
     """
-    rows = df.count()
-    return df.repartition(max(1, min(target_parallelism(df.sparkSession), -(-rows // TASK_ROWS))))
+    cores = counted.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(cores, -(-counted.limit(cores * TASK_ROWS).count() // TASK_ROWS)))
+
+
+def ensure_parallelism(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Spread the input of an iterative, CPU-heavy fit evenly over the cluster's cores, if it is large enough.
+
+    One bounded count (of ``counted``, a plainer table with the same rows, if given) and one round-robin shuffle, paid once:
+    the caller persists the result and every training pass reads it. (Asking a shuffled DataFrame for its partition count
+    would make AQE run its stages just to answer, and the fit would then compute them again.)
+    """
+    return df.repartition(fit_tasks(df if counted is None else counted))
