@@ -171,3 +171,25 @@ def test_series_that_cannot_be_fitted_have_a_status(spark, sims):
     ho = {r.sid: r for r in arima.holdout_evaluation(df.where("sid <> 'flat'"), ["sid"]).collect()}
     assert ho.keys() == {"long", "two", "one"} and ho["long"].rmse is not None
     assert ho["two"].rmse is None and ho["two"].status.startswith("not fitted") and ho["one"].status.startswith("not fitted")
+
+
+def test_orders_of_a_series_share_its_row(spark, sims):
+    """No row, window or shuffle for each order; figures as if each were fitted alone on the shared periods."""
+    df = _monthly(spark, {"ar": sims["ar"], "short": sims["ar"][:9]})
+    orders = [(0, 1, 0), (1, 1, 0), (0, 1, 2), (2, 1, 1), (1, 0, 1), (3, 0, 0), (1, 1, 0)]
+    grid = spark.createDataFrame([(s, *o) for s in ("ar", "short") for o in orders], "sid string, p int, d int, q int")
+    fits = arima.fit(df, ["sid"], orders=grid)
+    plan = arima.auto_order(df, ["sid"], 2, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    got = fits.collect()
+    assert sorted((r.sid, r.p, r.d, r.q) for r in got) == sorted((s, *o) for s in ("ar", "short") for o in orders)
+    n = len(sims["ar"])
+    for r in (r for r in got if r.sid == "ar"):
+        long = min((n - r.d) // 3, math.ceil(10 * math.log10(n - r.d)))
+        ar, ma, s2, rows, _, _ = by_two_regressions(sims["ar"], r.p, r.d, r.q, long + (2 if r.d else 1))
+        assert r.nobs == rows and r.sigma2 == pytest.approx(s2, rel=1e-8)
+        assert r.ar == pytest.approx(ar, abs=1e-6) and r.ma == pytest.approx(ma, abs=1e-6)
+    assert {r.status for r in got if r.sid == "short"} >= {"not fitted: series too short for this order"}
+    one = arima.compare_orders(df.where("sid = 'ar'").drop("sid")).collect()
+    each = arima.compare_orders(df.where("sid = 'ar'"), ["sid"]).collect()
+    assert sorted((r.p, r.q, r.aic, r.aic_rank) for r in one) == sorted((r.p, r.q, r.aic, r.aic_rank) for r in each) and len(one) == 5

@@ -1,7 +1,7 @@
 """ARIMA / SARIMA fitting and forecasting for every series at once.
 
-A series is one array on one row, a candidate order another row of it; fits, forecasts and diagnostics are expressions on such
-rows (``arma``), and ``min_by(order, aic)`` picks the winner per series. A cluster works on series x orders in parallel.
+A series is one array on one row, with its candidate orders as another; fits, forecasts and diagnostics are expressions on such
+rows (``arma``), and ``min_by(order, aic)`` picks the winner per series. A cluster works on the series in parallel.
 """
 
 from __future__ import annotations
@@ -22,20 +22,19 @@ ORDER_COLS = ["p", "d", "q", "sp", "sd", "sq", "s"]
 DEFAULT_ORDER = (1, 1, 1)
 
 
-def _with_orders(series: DataFrame, keys: list[str], orders: DataFrame | None, order, seasonal) -> tuple[DataFrame, list[str]]:
-    """Attach order columns: a per-series (or per-series × candidate) order table, or one fixed order."""
+def _with_orders(series: DataFrame, keys: list[str], orders: DataFrame | None, order, seasonal) -> DataFrame:
+    """Attach d, sd, s and the orders that share them, as an array: of a per-series order table, or one fixed order."""
     if orders is None:
-        sp, sd, sq, s = seasonal
-        lits = dict(zip(ORDER_COLS, [*order, sp, sd, sq, s]))
-        return series.withColumns({k: F.lit(int(v)) for k, v in lits.items()}), keys
+        lits = {k: F.lit(int(v)).alias(k) for k, v in zip(ORDER_COLS, [*order, *seasonal])}
+        return series.withColumns({"d": lits["d"], "sd": lits["sd"], "s": lits["s"], "__orders": F.array(F.struct(*[lits[k] for k in arma.ORDER]))})
     for c in ORDER_COLS:
         if c not in orders.columns:
             orders = orders.withColumn(c, F.lit(0))
+    grids = orders.groupBy(*keys, "d", "sd", "s").agg(F.collect_list(F.struct(*arma.ORDER)).alias("__orders"))
     if keys:
-        return series.join(orders.select(*keys, *ORDER_COLS), keys, "inner"), keys
-    # one ungrouped series: the (bounded) candidate list becomes an array, exploded per row — no join
-    grid = orders.select(F.collect_list(F.struct(*ORDER_COLS))).scalar()
-    return series.select("*", F.inline(grid)), keys
+        return series.join(grids, keys, "inner")
+    # one ungrouped series: the (bounded) candidate lists become an array, exploded per row — no join
+    return series.select("*", F.inline(grids.select(F.collect_list(F.struct("d", "sd", "s", "__orders"))).scalar()))
 
 
 def _fitted(series: DataFrame, keys: list[str], order, seasonal, orders: DataFrame | None, period: str, value: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -46,8 +45,7 @@ def _fitted(series: DataFrame, keys: list[str], order, seasonal, orders: DataFra
     held = F.collect_list(F.when(v.isNotNull() & ~F.isnan(v), F.struct(F.col(period).alias("p"), v.alias("v"))))
     rows = spread(src.select(*gkeys, period, value, *extra), gkeys).groupBy(*gkeys).agg(F.array_sort(held).alias("__held"), *[F.max(c).alias(c) for c in extra])
     rows = rows.withColumns({"__x": F.transform("__held", lambda s: s["v"]), "__n": F.size("__held"), "last_period": F.get("__held", F.size("__held") - 1)["p"]})
-    rows, _ = _with_orders(rows.drop("__held", *([] if keys else ["__series"])), keys, orders, order, seasonal)
-    return arma.fit(rows, keys, common=orders is not None)
+    return arma.fit(_with_orders(rows.drop("__held", *([] if keys else ["__series"])), keys, orders, order, seasonal))
 
 
 def fit(series: DataFrame, keys: Sequence[str] = (), order=DEFAULT_ORDER, seasonal=(0, 0, 0, 0), orders: DataFrame | None = None,
@@ -154,7 +152,7 @@ def diagnostics(series: DataFrame, keys: Sequence[str] = (), order=DEFAULT_ORDER
     more residuals than lags has no Ljung-Box figures.
     """
     keys = list(keys)
-    rows = _fitted(series, keys, order, seasonal, orders, period, value).select(*keys, *ORDER_COLS, "status", "nobs", F.col("__fit.left").alias("__left"))
+    rows = _fitted(series, keys, order, seasonal, orders, period, value).select(*keys, *ORDER_COLS, "status", "nobs", "__left")
     rows = rows.withColumn("resid_mean", safe_div(lagged.total(F.col("__left")), F.col("nobs")))
     rows = rows.withColumn("__c", arma.let(F.col("resid_mean"), lambda m: F.transform("__left", lambda v: v - m)))
     moment = lambda k: safe_div(lagged.total(F.transform("__c", lambda v: F.pow(v, F.lit(float(k))))), F.col("nobs"))

@@ -2,26 +2,25 @@
 
 A long autoregression (Yule-Walker equations by the Durbin-Levinson recursion) gives innovations; one least-squares
 regression of the differenced series on its own lags and on the innovations' lags then gives all coefficients at once, from a
-swept cross-product matrix. Nothing is searched iteratively and no Python worker is involved, so the orders may differ
-by row. A season's lags are i + s j with free coefficients (the product of the two polynomials isn't imposed).
+swept cross-product matrix. Nothing is searched iteratively and no Python worker is involved, so a row may have any
+orders: what those of one row share is computed once. A season's lags are i + s j with free coefficients (the product of the two polynomials isn't imposed).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div
 from . import lagged
-from .stationarity import spread
 
 FITTED = "fitted"
 SHORT = f"not {FITTED}: series too short for this order"
 #: A regression that leaves less than this share of the response's squares leaves nothing.
 PERFECT = 1e-12
+#: An order's own columns; d, sd and s are its series'.
+ORDER = ("p", "q", "sp", "sq")
 
 
 def let(value: Column, body) -> Column:
@@ -80,17 +79,17 @@ def innovations(z: Column, n: Column, order: Column) -> Column:
     )
 
 
-def fit(arrays: DataFrame, keys: Sequence[str] = (), common: bool = False) -> DataFrame:
-    """``arrays`` (keys, ``__x``, ``__n``, p, d, q, sp, sd, sq, s) with the fit's columns.
+def fit(arrays: DataFrame) -> DataFrame:
+    """One row per order with the fit's columns, from ``arrays`` (keys, ``__x``, ``__n``, d, sd, s, ``__orders``: p, q, sp, sq).
 
-    Added: aic, bic, sigma2, nobs, status, ``__fit`` (ar, ma: coefficients of ``__ar`` and ``__ma``, the lags; left: residuals),
-    ``__e`` (innovations), ``__mu``, ``__scale``. The mean is taken off unless the series is differenced. ``common``: the orders
-    of a series with the same differences are regressed on the same periods, so that their AIC can be compared. A series that
-    is too short has only a status; one that is flat, or fitted to the last digit, has sigma2 0 and no AIC.
+    Added: aic, bic, sigma2, nobs, status, ``__fit`` (ar, ma: coefficients of ``__ar`` and ``__ma``, the lags), ``__left`` (residuals),
+    ``__e`` (innovations), ``__mu``, ``__scale``. The mean is taken off unless the series is differenced. The orders of a row are
+    regressed on the same periods, so that their AIC can be compared; those with innovations of one long autoregression share
+    these and one matrix of cross products, of which each takes its own lags. A series that is too short has only a status;
+    one that is flat, or fitted to the last digit, has sigma2 0 and no AIC.
     """
     c = F.col
-    out = arrays.withColumns({"__ar": lags_of(c("p"), c("sp"), c("s")), "__ma": lags_of(c("q"), c("sq"), c("s"))})
-    out = out.withColumn("__w", differenced(differenced(c("__x"), c("s"), c("sd")), F.lit(1), c("d")))
+    out = arrays.withColumn("__w", differenced(differenced(c("__x"), c("s"), c("sd")), F.lit(1), c("d")))
     out = out.withColumn("__size", F.size("__w"))
     size = c("__size")
     has_mean = (c("d") == 0) & (c("sd") == 0)
@@ -101,58 +100,75 @@ def fit(arrays: DataFrame, keys: Sequence[str] = (), common: bool = False) -> Da
     centred = lambda m: F.transform("__w", lambda v: (v - m["mu"]) / m["scale"])
     out = out.withColumn("__z", let(F.struct(c("__mu").alias("mu"), c("__scale").alias("scale")), centred))
     most = lambda lags: F.coalesce(F.array_max(lags), F.lit(0))
-    wanted = F.greatest(most("__ma"), most("__ar"), F.ceil(10 * F.log10(F.greatest(size, F.lit(1)).cast("double"))).cast("int"))
-    out = out.withColumn("__long", F.when(F.size("__ma") > 0, F.least(F.floor(size / 3).cast("int"), wanted)).otherwise(0))
-    first = F.greatest(most("__ar"), F.when(F.size("__ma") > 0, c("__long") + most("__ma")).otherwise(0))
-    if common:
-        first = F.max(first).over(Window.partitionBy(*keys, "d", "sd", "s"))
-    out = out.withColumn("__first", first).withColumn("__rows", size - c("__first"))
-    if common:  # every order is work of its own, which the few bytes of a row don't show
-        out = spread(out, [*keys, "p", "d", "q", "sp", "sd", "sq", "s"])
-    params = F.size("__ar") + F.size("__ma")
-    able = (c("__rows") > params + 1 + has_mean.cast("int"))
-    out = out.withColumn("__able", able)
-    at = F.struct("__size", "__long", "__first", "__rows")
+    lags = lambda o: F.struct(*[o[k].alias(k) for k in ORDER], lags_of(o["p"], o["sp"], c("s")).alias("__ar"), lags_of(o["q"], o["sq"], c("s")).alias("__ma"))
+    out = out.withColumn("__orders", F.transform("__orders", lags))
+    wanted = lambda o: F.greatest(most(o["__ma"]), most(o["__ar"]), F.ceil(10 * F.log10(F.greatest(size, F.lit(1)).cast("double"))).cast("int"))
+    long = lambda o: F.when(F.size(o["__ma"]) > 0, F.least(F.floor(size / 3).cast("int"), wanted(o))).otherwise(0)
+    out = out.withColumn("__orders", F.transform("__orders", lambda o: o.withField("long", long(o))))
+    first = lambda o: F.greatest(most(o["__ar"]), F.when(F.size(o["__ma"]) > 0, o["long"] + most(o["__ma"])).otherwise(0))
+    out = out.withColumn("__first", F.array_max(F.transform("__orders", first)))
+    out = out.withColumn("__rows", size - c("__first"))
+    alike = lambda k: F.struct(k.alias("__long"), F.filter("__orders", lambda o: o["long"] == k).alias("__grid"))
+    out = out.withColumn("__blocks", F.transform(F.array_distinct(F.transform("__orders", lambda o: o["long"])), alike))
+    # outer, though no array is empty: else a filter on its size is pushed below the fit and computes it again
+    out = out.drop("__orders", "__w").select("*", F.inline_outer("__blocks")).drop("__blocks")
+
+    params = lambda o: F.size(o["__ar"]) + F.size(o["__ma"])
+    able = lambda o: c("__rows") > params(o) + 1 + has_mean.cast("int")
+    every = lambda name: F.array_sort(F.array_distinct(F.flatten(F.transform("__grid", lambda o: o[name]))))
+    out = out.withColumns({"__ars": every("__ar"), "__mas": every("__ma"), "__any": F.exists("__grid", able)})
+    at = F.struct("__long", "__first", "__rows")
     e = let(F.struct("__z", "__size", "__long"), lambda g: innovations(g["__z"], g["__size"], g["__long"]))
-    out = out.withColumn("__e", F.when(c("__able") & (F.size("__ma") > 0), e).otherwise(F.array().cast("array<double>")))
+    out = out.withColumn("__e", F.when(c("__any") & (F.size("__mas") > 0), e).otherwise(F.array().cast("array<double>")))
 
     def columns(g):
-        own = F.transform(g["__ar"], lambda lag: F.slice(g["__z"], g["at"]["__first"] - lag + 1, g["at"]["__rows"]))
-        moving = F.transform(g["__ma"], lambda lag: F.slice(g["__e"], g["at"]["__first"] - lag - g["at"]["__long"] + 1, g["at"]["__rows"]))
+        """The regression's columns and, last, its response."""
+        own = F.transform(g["ar"], lambda lag: F.slice(g["__z"], g["at"]["__first"] - lag + 1, g["at"]["__rows"]))
+        moving = F.transform(g["ma"], lambda lag: F.slice(g["__e"], g["at"]["__first"] - lag - g["at"]["__long"] + 1, g["at"]["__rows"]))
         return F.concat(own, moving, F.array(F.slice(g["__z"], g["at"]["__first"] + 1, g["at"]["__rows"])))
 
+    given = lambda ar, ma: F.struct(c(ar).alias("ar"), c(ma).alias("ma"), "__z", "__e", at.alias("at"))
+    half = lambda cols: F.transform(cols, lambda a, i: F.transform(F.slice(cols, F.lit(1), i + 1), lambda b: lagged.dot(a, b)))
+    out = out.withColumn("__half", F.when(c("__any"), let(let(given("__ars", "__mas"), columns), half)))
     cell = lambda m, i, j: F.get(F.get(m, i), j)
 
-    def solved(cols, k):
-        def coefficients(gram, m):
+    def products(o, g):
+        """The order's own cross products."""
+        place = lambda lags, lag: F.array_position(lags, lag).cast("int") - 1
+        own = F.transform(o["__ar"], lambda lag: place(g["ar"], lag))
+        moving = F.transform(o["__ma"], lambda lag: F.size(g["ar"]) + place(g["ma"], lag))
+        places = F.concat(own, moving, F.array(F.size(g["ar"]) + F.size(g["ma"])))
+        return let(places, lambda at: F.transform(at, lambda i: F.transform(at, lambda j: cell(g["half"], F.greatest(i, j), F.least(i, j)))))
+
+    def solved(gram, k):
+        def coefficients(m):
             return F.transform(span(0, k - 1), lambda i: F.when(cell(m, i, i) > lagged.COLLINEAR * cell(gram, i, i), cell(m, i, k)).otherwise(0.0))
 
-        def figures(gram, m):
-            return let(
-                coefficients(gram, m),
-                lambda b: F.struct(
-                    b.alias("b"), cell(m, k, k).alias("squares"), cell(gram, k, k).alias("all"),
-                    F.aggregate(span(0, k - 1), F.get(cols, k), lambda left, i: F.zip_with(left, F.get(cols, i), lambda y, v: y - F.get(b, i) * v)).alias("left"),
-                ),
-            )
+        figures = lambda m: F.struct(coefficients(m).alias("b"), cell(m, k, k).alias("squares"), cell(gram, k, k).alias("all"))
+        return let(F.when(k > 0, lagged.swept(gram, k + 1)["m"]).otherwise(gram), figures)
 
-        return let(lagged.cross_products(cols), lambda gram: let(F.when(k > 0, lagged.swept(gram, k + 1)["m"]).otherwise(gram), lambda m: figures(gram, m)))
+    regression = lambda o, g: F.when(able(o), let(products(o, g), lambda gram: let(F.size(gram) - 1, lambda k: solved(gram, k))))
+    # what the orders share goes in as a value: named within a function of one, it would be worked out for each
+    shared = F.struct(c("__ars").alias("ar"), c("__mas").alias("ma"), c("__half").alias("half"))
+    fits = let(shared, lambda g: F.transform("__grid", lambda o: o.withField("__b", regression(o, g)).dropFields("long")))
+    out = out.withColumn("__fits", fits)
+    out = out.drop("__grid", "__half", "__ars", "__mas", "__any").select("*", F.inline_outer("__fits")).drop("__fits")
 
-    given = F.struct("__ar", "__ma", "__z", "__e", at.alias("at"))
-    out = out.withColumn("__b", F.when(c("__able"), let(let(given, columns), lambda cols: let(F.size(cols) - 1, lambda k: solved(cols, k)))))
     b = c("__b")
-    good = c("__able")
+    good = b.isNotNull()
     out = out.withColumn("status", F.when(good, FITTED).otherwise(SHORT))
     squares = F.when(b["squares"] > PERFECT * b["all"], b["squares"]).otherwise(0.0)
     m = c("__rows")
     out = out.withColumn("sigma2", F.when(good, safe_div(squares, m) * c("__scale") * c("__scale")))
     out = out.withColumn("nobs", F.when(good, m).cast("int"))
-    penalised = params + 1 + has_mean.cast("int")
+    penalised = F.size("__ar") + F.size("__ma") + 1 + has_mean.cast("int")
     likelihood = -m / 2 * (F.log(2 * math.pi * c("sigma2")) + 1)
     out = out.withColumns({"aic": -2 * likelihood + 2 * penalised, "bic": -2 * likelihood + F.log(m.cast("double")) * penalised})
     ar, ma = F.slice(b["b"], F.lit(1), F.size("__ar")), F.slice(b["b"], F.size("__ar") + 1, F.size("__ma"))
-    scaled = let(c("__scale"), lambda s: F.transform(b["left"], lambda v: v * s))
-    return out.withColumn("__fit", F.when(good, F.struct(ar.alias("ar"), ma.alias("ma"), scaled.alias("left")))).drop("__w", "__z", "__b", "__able")
+    # a column of its own: who doesn't ask for residuals doesn't compute them
+    less = lambda cols: F.aggregate(span(0, F.size(cols) - 2), F.element_at(cols, -1), lambda left, i: F.zip_with(left, F.get(cols, i), lambda y, v: y - F.get(b["b"], i) * v))
+    left = let(c("__scale"), lambda s: F.transform(let(let(given("__ar", "__ma"), columns), less), lambda v: v * s))
+    return out.withColumns({"__fit": F.when(good, F.struct(ar.alias("ar"), ma.alias("ma"))), "__left": F.when(good, left)}).drop("__z", "__b")
 
 
 def forecasts(fitted: DataFrame, steps: Column, z: float = 1.96) -> DataFrame:
