@@ -3,12 +3,14 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tidecast import session
 from tidecast.functions.calendar import FEATURES7, temporal_features7
-from tidecast.operators import encode, forest, ml
+from tidecast.operators import encode, forest, grow, ml
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +126,89 @@ def test_a_fit_has_no_more_tasks_than_cores(spark):
         assert session.ensure_parallelism(many, few).rdd.getNumPartitions() == min(2, cores)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def stumps(x, n, y, limits, least, depth):
+    """(rows, sum, feature, bin, children) of the tree that a plain search finds; ``x`` has bins, ``n`` draws."""
+    rows, total, best = n.sum(), (n * y).sum(), (0.0, None, None)
+    for f, own in enumerate(limits if depth else []):
+        for b in range(len(own)):
+            left = x[f] <= b
+            m, s = n[left].sum(), (n * y)[left].sum()
+            if m >= least and rows - m >= least:
+                gain = (s * s / m + (total - s) ** 2 / (rows - m) - total * total / rows) / rows
+                best = max(best, (gain, -f, -b), key=lambda g: g[0])
+    if best[1] is None or best[0] <= 1e-9:
+        return rows, total, None, None, ()
+    f, b = -best[1], -best[2]
+    left = x[f] <= b
+    return rows, total, f, b, tuple(stumps(x[:, side], n[side], y[side], limits, least, depth - 1) for side in (left, ~left))
+
+
+@pytest.mark.parametrize("memory", [256, 0])
+def test_trees_are_those_of_a_plain_search(spark, memory):
+    rng = random.Random(3)
+    rows = [(float(rng.randint(0, 4)), rng.random(), 7.0, float(rng.randint(0, 90))) for _ in range(900)]
+    rows = [(a, b, c, d, 10 * a + 20 * (b > 0.3) * a + d % 7 + 1000) for a, b, c, d in rows]
+    df = spark.createDataFrame(rows, "x0 double, x1 double, x2 double, x3 double, y double").repartition(3).cache()
+    rf = RandomForestRegressor(numTrees=3, maxDepth=4, minInstancesPerNode=9, maxBins=32, seed=5, maxMemoryInMB=memory)
+    forest_, limits, mean = grow.grow(rf, df, 4)
+    assert limits[0].tolist() == [0.5, 1.5, 2.5, 3.5] and limits[2].size == 0 and all(v.size <= 31 for v in limits)
+    blocks = grow.pack(df, limits, mean, 3, 1.0, 5).collect()
+    bins = np.concatenate([np.frombuffer(b.bins, np.uint8).reshape(4, -1) for b in blocks], axis=1)
+    draws = np.concatenate([np.frombuffer(b.draws, np.uint8).reshape(3, -1) for b in blocks], axis=1).astype(float)
+    y = np.concatenate([np.frombuffer(b.y) for b in blocks])
+    assert bins.shape == (4, 900) and 0.9 < draws.mean() < 1.1 and abs(y.sum()) < 1e-6
+
+    def same(tree, node, want):
+        n, s, f, b, children = want
+        assert tree.figures[node][:2] == pytest.approx((n, s)) and (tree.left[node] < 0) == (not children)
+        if children:
+            assert (tree.feature[node], tree.bin[node]) == (f, b)
+            for side in (0, 1):
+                same(tree, tree.left[node] + side, children[side])
+
+    for t, tree in enumerate(forest_):
+        same(tree, 0, stumps(bins, draws[t], y, limits, 9, 4))
+        assert len(tree.left) > 9
+    stored = list(grow.node_rows(forest_, limits, mean))
+    squares = {(t, r[0]): r[3][2] for t, r in stored}
+    for t, tree in enumerate(forest_):  # children's squares add up, leaves of the last level included
+        for i, left in enumerate(tree.left):
+            assert left < 0 or squares[t, i] == pytest.approx(squares[t, left] + squares[t, left + 1])
+
+
+def test_rows_are_kept_as_bytes_not_as_objects(spark, f6, monkeypatch):
+    """MLlib's fit keeps each row as objects of some 200 bytes, more than executors hold, and reads them in every pass."""
+    fitted, packed = [], []
+    fit, pack = RandomForestRegressor._fit, grow.pack
+
+    def kept(*args):
+        packed.append(pack(*args))
+        return packed[-1]
+
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, df: fitted.append(df.count()) or fit(self, df))
+    monkeypatch.setattr(grow, "pack", kept)
+    _, data = ml.train(f6, FEATURES7, "sales", ["date"], numTrees=6, maxDepth=4)
+    assert all(n <= 1 for n in fitted)
+    n = data.where("is_train").count()
+    size = packed[0].selectExpr("sum(length(bins) + length(draws) + length(y))").first()[0]
+    assert size == n * (len(FEATURES7) + 6 + 8)
+
+
+def test_a_forest_predicts_as_well_as_mllibs(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.random(), float(rng.randint(0, 9)), rng.random()) for i in range(3000)]
+    df = spark.createDataFrame([(i, a, b, c, 50 * a * b + 10 * (c > 0.5) + rng.random()) for i, a, b, c in rows], "id long, a double, b double, c double, sales double")
+    whole = ml.split(df, ["id"])
+    settings = {"numTrees": 10, "maxDepth": 6, "minInstancesPerNode": 2, "seed": 1}
+    rf = RandomForestRegressor(labelCol="sales", featureSubsetStrategy="all", maxBins=64, **settings)
+    theirs = rf.fit(ml.assemble(whole.where("is_train"), ["a", "b", "c"]))
+    model, data = ml.train(df, ["a", "b", "c"], "sales", ["id"], **settings)
+    want = {r.split: r for r in ml.metrics(theirs.transform(ml.assemble(whole, ["a", "b", "c"]))).collect()}
+    got = {r.split: r for r in ml.metrics(model.transform(data)).collect()}
+    for part in ("train", "test"):
+        assert got[part].n == want[part].n and got[part].rmse < 1.1 * want[part].rmse
+    assert model.stages[-1].featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray(), abs=0.02)
+    scaled, data = ml.train(df, ["a", "b", "c"], "sales", ["id"], scale=True, **settings)
+    assert {r.split: r.rmse for r in ml.metrics(scaled.transform(data)).collect()} == pytest.approx({k: r.rmse for k, r in got.items()}, rel=0.05)

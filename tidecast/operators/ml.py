@@ -4,7 +4,8 @@
   and an optional ``StandardScaler``;
 * split: deterministic ``pmod(xxhash64(row key), 100) < 80`` — stable under
   repartitioning and executor loss, unlike ``randomSplit`` over a re-read source;
-* model: ``RandomForestRegressor`` with splits of too few rows folded back (``forest``); metrics in one aggregate per split;
+* model: the forest a ``RandomForestRegressor`` describes, grown on packed rows (``grow``) and read back as MLlib's model, splits of
+  too few rows folded back (``forest``); metrics in one aggregate per split;
 * persistence: the code table as Parquet beside a ``PipelineModel`` directory.
 
 Recursive multi-step forecasting keeps the lag window in an array column and
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 from ..functions.attach import attach_row
 from ..functions.calendar import temporal_features7
 from ..session import cut_lineage, ensure_parallelism
+from . import grow
 from .encode import apply_codes, label_codes
 from .forest import with_min_split
 
@@ -105,11 +108,13 @@ def train(
     try:
         stages = feature_stages(features, texts, scale)
         rf = RandomForestRegressor(labelCol=label, featuresCol="features", featureSubsetStrategy="all", maxBins=max_bins, **params)
-        fitted = Pipeline(stages=[*stages, rf]).fit(fitting)
+        prepared = Pipeline(stages=stages).fit(fitting)
+        numbers = [vector_to_array("features")[i] for i in range(len(features))] if scale else [F.col(c) for c in stages[0].getInputCols()]
+        fitted = grow.fit(rf, prepared.transform(fitting) if scale else fitting, numbers)
     finally:
         fitting.unpersist()
-    folded = with_min_split(fitted.stages[-1], df.sparkSession, min_split)
-    model = CodedModel(PipelineModel([*fitted.stages[:-1], folded]), codes, texts)
+    folded = with_min_split(fitted, df.sparkSession, min_split)
+    model = CodedModel(PipelineModel([*prepared.stages, folded]), codes, texts)
     return model, whole
 
 
