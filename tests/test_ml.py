@@ -5,12 +5,16 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tidecast import session
 from tidecast.functions.calendar import FEATURES7, temporal_features7
 from tidecast.operators import encode, forest, grow, ml
+from tidecast.plans import q_ml
+
+from tests.conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -212,3 +216,16 @@ def test_a_forest_predicts_as_well_as_mllibs(spark):
     assert model.stages[-1].featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray(), abs=0.02)
     scaled, data = ml.train(df, ["a", "b", "c"], "sales", ["id"], scale=True, **settings)
     assert {r.split: r.rmse for r in ml.metrics(scaled.transform(data)).collect()} == pytest.approx({k: r.rmse for k, r in got.items()}, rel=0.05)
+
+
+def test_metrics_are_those_of_the_train_and_of_the_test_rows(spark, monkeypatch):
+    """Rows the forest was fitted on say nothing of how well it predicts others, so the two parts are never pooled."""
+    kept = []
+    monkeypatch.setattr(q_ml, "trained", lambda *a, f=q_ml.trained: kept.append(f(*a)) or kept[0])
+    got = {r.split: r for r in q_ml.q_ml_metrics(spark, SF_SMALL).collect()}
+    model, data = kept[0]
+    assert set(got) == {"train", "test"} and sum(r.n for r in got.values()) == q_ml.enriched(spark, SF_SMALL).dropna(subset=[*q_ml.FEATURES, "sales"]).count()
+    scored = model.transform(data).cache()
+    for part, own in (("train", scored.where("is_train")), ("test", scored.where("not is_train"))):
+        for name in ("mae", "rmse", "r2"):
+            assert got[part][name] == pytest.approx(RegressionEvaluator(labelCol="sales", metricName=name).evaluate(own))
