@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import RandomForestRegressor
@@ -229,3 +230,48 @@ def test_metrics_are_those_of_the_train_and_of_the_test_rows(spark, monkeypatch)
     for part, own in (("train", scored.where("is_train")), ("test", scored.where("not is_train"))):
         for name in ("mae", "rmse", "r2"):
             assert got[part][name] == pytest.approx(RegressionEvaluator(labelCol="sales", metricName=name).evaluate(own))
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16, np.float64])
+def test_blocks_give_back_their_rows(kind):
+    values = [np.arange(5 * n).reshape(5, n).astype(kind) for n in (1, 7, 14, 20, 50)]
+    blocks = pa.concat_arrays([grow.blocks_of(v, 7) for v in values])
+    assert max(len(b) for b in blocks.to_pylist()) == 5 * 7 * np.dtype(kind).itemsize
+    lengths = np.array([len(b) // (5 * np.dtype(kind).itemsize) for b in blocks.to_pylist()])
+    assert (grow.side_by_side(blocks, lengths, 5, kind) == np.concatenate(values, axis=1)).all()
+    assert (grow.side_by_side(blocks[2:], lengths[2:], 5, kind) == np.concatenate(values[2:], axis=1)).all()
+
+
+def test_memory_of_a_fit_does_not_grow_with_its_rows(spark, monkeypatch):
+    """What Spark caches, reads back and hands to a worker at a time is bounded, and a pass still has one task a core."""
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (0, 1, session.TASK_ROWS * cores, 10**7, 10**9):
+        parts = session.fit_parts(spark, rows)
+        assert parts >= 1 and rows <= parts * session.PART_ROWS
+        assert parts <= cores or parts % cores == 0
+    assert session.fit_parts(spark, session.TASK_ROWS * cores) == cores and session.fit_parts(spark, session.TASK_ROWS + 1) == min(2, cores)
+
+    monkeypatch.setattr(session, "PART_ROWS", 100)
+    packed, seen, pack, best = [], [], grow.pack, grow.best_splits
+
+    def kept(*args):
+        packed.append(pack(*args))
+        return packed[-1]
+
+    def looked(df, *args):
+        if not seen:
+            own = packed[-1].groupBy(F.spark_partition_id()).agg(F.sum(F.length("y") / 8).alias("n"), F.max(F.length("bins") + F.length("draws") + F.length("y")).alias("b"))
+            seen.append((df.rdd.getNumPartitions(), packed[-1].storageLevel, own.collect()))
+        return best(df, *args)
+
+    monkeypatch.setattr(grow, "pack", kept)
+    monkeypatch.setattr(grow, "best_splits", looked)
+    rng = random.Random(6)
+    rows = [(i, rng.choice("abc"), rng.random()) for i in range(6000)]
+    df = spark.createDataFrame([(i, s, a, 10 * a + (s == "a")) for i, s, a in rows], "id long, store string, a double, sales double")
+    model, data = ml.train(df, ["store", "a"], "sales", ["id"], numTrees=20, maxDepth=6)
+    tasks, level, parts = seen[0]
+    assert tasks <= cores and not level.useMemory and level.useDisk
+    assert sum(r.n for r in parts) == data.where("is_train").count() and max(r.n for r in parts) <= 200
+    assert max(r.b for r in parts) <= grow.BLOCK_BYTES
+    assert {r.split: r.r2 > 0.97 for r in ml.metrics(model.transform(data)).collect()} == {"train": True, "test": True}

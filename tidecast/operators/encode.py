@@ -20,16 +20,25 @@ from ..session import cut_lineage, target_parallelism
 RANGE_LABELS = 100_000
 
 
-def label_codes(df: DataFrame, columns: Sequence[str], range_labels: int = RANGE_LABELS) -> DataFrame:
-    """column, label, code (from 0, by the label's place in byte order) of every label that stands in ``df``."""
+def label_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, label, rows: every label that stands in ``df`` and in how many rows it does, by one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("label")) for c in columns]))
+    labels = df.select(each.alias("x")).select("x.*").where("label is not null")
+    return cut_lineage(labels.groupBy("column", "label").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def label_codes(df: DataFrame, columns: Sequence[str], range_labels: int = RANGE_LABELS, labels: DataFrame | None = None) -> DataFrame:
+    """column, label, code (from 0, by the label's place in byte order) of every label that stands in ``df``.
+
+    ``labels`` is the table of ``label_rows``, if it is there already.
+    """
     spark = df.sparkSession
     if not columns:
         return spark.createDataFrame([], "column string, label string, code long")
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("label")) for c in columns]))
-    labels = cut_lineage(df.select(each.alias("x")).select("x.*").where("label is not null").distinct())
+    labels = label_rows(df, columns) if labels is None else labels
     ranges = max(1, min(target_parallelism(spark), -(-labels.count() // range_labels)))
     # ranges are drawn from a sample: they are written down before anything depends on them
-    dealt = cut_lineage(labels.repartitionByRange(ranges, "column", "label").withColumn("part", F.spark_partition_id()))
+    dealt = cut_lineage(labels.drop("rows").repartitionByRange(ranges, "column", "label").withColumn("part", F.spark_partition_id()))
     inner = Window.partitionBy("column", "part").orderBy("label")
     sizes = dealt.groupBy("column", "part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("column").orderBy("part")) - F.col("n")).drop("n")

@@ -2,8 +2,9 @@
 
 MLlib keeps a row with its draws as objects of some 200 bytes and updates one figure at a time; the passes over rows x
 trees x features are then bound by memory, and rows that no longer fit are written as Java objects and read back in
-every pass. Here a task packs its rows once, in blocks: a byte per feature (its bin), a byte per tree (how often the tree
-drew the row), the label. A pass over the blocks counts and sums the labels by tree, node, feature and bin; Spark adds up
+every pass. Here a task packs its rows once, in small blocks: a byte per feature (its bin), a byte per tree (how often the tree
+drew the row), the label. Blocks are kept on disk, in partitions of bounded size, so that no task's memory grows with the
+table; a task takes as many of them as there are per core. A pass over the blocks counts and sums the labels by tree, node, feature and bin; Spark adds up
 the tasks' figures per group of nodes, and the best split of each node, nothing else, goes to the driver.
 
 The forest is the one that ``RandomForestRegressor`` describes: every row and every feature, draws from Poisson(rate) per
@@ -19,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 
 from ..sinks.tables import shared_path
 
+#: Rows that are packed or counted at a time.
 BLOCK_ROWS = 1 << 15
+#: Bytes of a block. Spark hands over many blocks at a time (10,000 by default), so these bound what a worker holds.
+BLOCK_BYTES = 1 << 11
 #: Nodes whose figures are added up together.
 NODES = 128
 #: Gains below this part of a node's mean square are rounding.
@@ -81,9 +86,40 @@ def bin_limits(rows: DataFrame, features: int, max_bins: int) -> tuple[list[np.n
     return limits, mean, n
 
 
+def blocks_of(values: np.ndarray, rows: int) -> pa.Array:
+    """Lines of equal length cut into blocks of so many columns: each block line by line, the last one shorter."""
+    lines, n = values.shape
+    whole = n // rows * rows
+    sizes = [lines * rows * values.itemsize] * (whole // rows) + [lines * (n - whole) * values.itemsize] * (whole < n)
+    data = values[:, :whole].reshape(lines, -1, rows).transpose(1, 0, 2).tobytes() + values[:, whole:].tobytes()
+    offsets = np.cumsum([0, *sizes], dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def side_by_side(blocks: pa.Array, lengths: np.ndarray, lines: int, kind: type) -> np.ndarray:
+    """The lines that ``blocks_of`` cut, from blocks of so many columns each."""
+    cuts = np.flatnonzero(np.diff(lengths)) + 1  # blocks of one length are taken together
+    parts = []
+    for i, j in zip([0, *cuts], [*cuts, len(lengths)]):
+        data = np.frombuffer(b"".join(blocks[i:j].to_pylist()), kind)
+        parts.append(data.reshape(j - i, lines, -1).transpose(1, 0, 2).reshape(lines, -1))
+    return np.concatenate(parts, axis=1)
+
+
+def unpacked(batch: pa.RecordBatch, features: int, trees: int, kind: type) -> Iterator[tuple]:
+    """Bins, draws and labels of some ``BLOCK_ROWS`` rows at a time."""
+    lengths = pc.binary_length(batch.column(2)).to_numpy() // 8
+    part = np.cumsum(lengths) // BLOCK_ROWS
+    for own in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(part)) + 1):
+        if len(own):
+            some, sizes = batch.slice(own[0], len(own)), lengths[own]
+            yield (*(side_by_side(some.column(i), sizes, *of) for i, of in enumerate(((features, kind), (trees, np.uint8)))), side_by_side(some.column(2), sizes, 1, np.float64)[0])
+
+
 def pack(rows: DataFrame, limits: list[np.ndarray], mean: float, trees: int, rate: float, seed: int) -> DataFrame:
     """Blocks of rows: bins (feature by feature), draws (tree by tree) and centred labels."""
     kind = np.uint8 if max(map(len, limits)) < 256 else np.uint16
+    block_rows = max(1, BLOCK_BYTES // (len(limits) * np.dtype(kind).itemsize + trees + 8))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([seed % (1 << 63), TaskContext.get().partitionId()])
@@ -93,7 +129,7 @@ def pack(rows: DataFrame, limits: list[np.ndarray], mean: float, trees: int, rat
             y = y - mean
             bins = np.stack([np.searchsorted(limit, v).astype(kind) for v, limit in zip(x, limits)])
             draws = np.minimum(rng.poisson(rate, (trees, len(y))), 255).astype(np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (bins, draws, y)], names=["bins", "draws", "y"])
+            return pa.RecordBatch.from_arrays([blocks_of(v, block_rows) for v in (bins, draws, y[None])], names=["bins", "draws", "y"])
 
         held, n = [], 0
         for batch in batches:
@@ -132,9 +168,7 @@ def best_splits(packed: DataFrame, group: dict[int, tuple], level: int, features
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {t: (np.zeros((3, k)), np.zeros((kinds, features, k * bins))) for t, (*_, k) in group.items()}
         for batch in batches:
-            for part in zip(*(c.to_pylist() for c in batch.columns)):
-                x, drawn, y = (np.frombuffer(v, d) for v, d in zip(part, (kind, np.uint8, np.float64)))
-                x, drawn = x.reshape(features, -1), drawn.reshape(trees, -1)
+            for x, drawn, y in unpacked(batch, features, trees, kind):
                 for t, (feature, at_bin, left, slots, k) in group.items():
                     rows = np.flatnonzero(drawn[t])
                     own = np.take(x, rows, axis=1)
@@ -200,9 +234,11 @@ def groups(wanted: list[tuple[int, int]], most: int) -> Iterator[dict[int, list[
 def grow(rf: RandomForestRegressor, rows: DataFrame, features: int) -> tuple[list[Tree], list[np.ndarray], float]:
     """The trees, the limits of the bins and the label's mean, from rows of x0, x1, … and y."""
     trees, depth = rf.getNumTrees(), rf.getMaxDepth()
-    limits, mean, n = bin_limits(rows, features, min(rf.getMaxBins(), 1 << 16))
+    cores = rows.sparkSession.sparkContext.defaultParallelism  # what a task sends grows with nodes or quantiles, not with its rows: a task a core
+    limits, mean, n = bin_limits(rows.coalesce(cores), features, min(rf.getMaxBins(), 1 << 16))
     bins = max(map(len, limits)) + 1
-    packed = pack(rows, limits, mean, trees, rf.getSubsamplingRate(), rf.getSeed()).persist(StorageLevel.MEMORY_AND_DISK)
+    packed = pack(rows, limits, mean, trees, rf.getSubsamplingRate(), rf.getSeed()).persist(StorageLevel.DISK_ONLY)
+    dealt = packed.coalesce(cores)
     forest = [Tree() for _ in range(trees)]
     wanted = [(t, 0) for t in range(trees)]
     most = max(1, (rf.getMaxMemoryInMB() << 20) // (24 * features * bins))
@@ -211,7 +247,7 @@ def grow(rf: RandomForestRegressor, rows: DataFrame, features: int) -> tuple[lis
             following = []
             for nodes in groups(wanted, most):
                 group = {t: forest[t].table(own, bins) for t, own in nodes.items()}
-                found = best_splits(packed, group, level, features, bins, trees, max(1, rf.getMinInstancesPerNode()), level == depth - 1)
+                found = best_splits(dealt, group, level, features, bins, trees, max(1, rf.getMinInstancesPerNode()), level == depth - 1)
                 for r in sorted(found.collect(), key=lambda r: (r.tree, r.slot)):
                     tree, node = forest[r.tree], nodes[r.tree][r.slot]
                     rows, _, squares = tree.figures[node] = tuple(r.figures)

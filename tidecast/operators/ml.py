@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 
 from ..functions.attach import attach_row
 from ..functions.calendar import temporal_features7
-from ..session import cut_lineage, ensure_parallelism
+from ..session import cut_lineage, ensure_parallelism, fit_parts
 from . import grow
-from .encode import apply_codes, label_codes
+from .encode import apply_codes, label_codes, label_rows
 from .forest import with_min_split
 
 # Reference model defaults.
@@ -92,9 +92,9 @@ def train(
     """ml_rf_train: label codes, feature pipeline and random forest on the train split.
 
     No node of fewer than ``min_split`` rows is split. Returns the fitted model and the split input (``is_train`` column). The training
-    columns (features, label, key) are persisted while fitting (``MEMORY_AND_DISK``: spills instead
-    of failing, rebuilt from lineage if an executor is lost), because fitting makes several passes
-    (metadata, split search, trees) that would otherwise each re-run the whole input plan;
+    columns (coded features, label) are persisted while fitting (``DISK_ONLY``: a table that fills the storage memory leaves
+    small executors no heap, as its chunks take two regions each; rebuilt from lineage if an executor is lost) in partitions of
+    bounded size, because fitting makes several passes (limits of bins, packing) that would otherwise each re-run the whole input plan;
     they are released before this returns.
     """
     params = {**RF_DEFAULTS, **rf_params}
@@ -103,10 +103,14 @@ def train(
     whole = split(df.dropna(subset=[*features, label]), key)
     texts = text_columns(df, features)
     seen = whole.where("is_train").select(*features, label)
-    codes = label_codes(seen, texts)
-    fitting = ensure_parallelism(apply_codes(seen, codes, texts), seen).persist(StorageLevel.MEMORY_AND_DISK)
+    labels = label_rows(seen, texts) if texts else None
+    codes = label_codes(seen, texts, labels=labels)
+    # no feature is NULL here, so a text column's labels count all rows without another pass
+    n = labels.where(F.col("column") == texts[0]).agg(F.sum("rows")).first()[0] or 0 if texts else seen.count()
+    stages = feature_stages(features, texts, scale)
+    coded = apply_codes(seen, codes, texts).select(*stages[0].getInputCols(), label)
+    fitting = coded.repartition(fit_parts(df.sparkSession, n)).persist(StorageLevel.DISK_ONLY)
     try:
-        stages = feature_stages(features, texts, scale)
         rf = RandomForestRegressor(labelCol=label, featuresCol="features", featureSubsetStrategy="all", maxBins=max_bins, **params)
         prepared = Pipeline(stages=stages).fit(fitting)
         numbers = [vector_to_array("features")[i] for i in range(len(features))] if scale else [F.col(c) for c in stages[0].getInputCols()]

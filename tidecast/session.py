@@ -79,6 +79,19 @@ def fit_tasks(counted: DataFrame) -> int:
     return max(1, min(cores, -(-counted.limit(cores * TASK_ROWS).count() // TASK_ROWS)))
 
 
+#: Rows of a partition of a fit, at most: a partition is cached, evicted and read back whole, so it must not grow with the table.
+PART_ROWS = 500_000
+
+
+def fit_parts(spark: SparkSession, rows: int) -> int:
+    """Partitions to keep a fit's rows in: as many as ``fit_tasks``, and a multiple of it where a core's share passes ``PART_ROWS``.
+
+    A pass takes several of them in one task (``coalesce``), as every task of it makes and shuffles the figures of all nodes.
+    """
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+    return tasks * max(1, -(-rows // (tasks * PART_ROWS)))
+
+
 def ensure_parallelism(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Spread the input of an iterative, CPU-heavy fit evenly over the cluster's cores, if it is large enough.
 
